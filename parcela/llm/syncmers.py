@@ -4,9 +4,10 @@ A k-mer (K code points) is a closed syncmer if the least hash of its inner subst
 stands at its first or last place. Whether it is one hangs on the k-mer alone, so an edit moves or
 changes only the anchors that it touches, and every window of K - S + 1 k-mers holds one.
 
-A document's fingerprint is the SIZE least distinct hashes of its anchors (all, if it has fewer), in
-hexadecimal. The likeness of two is the share of common hashes among the SIZE least of their union, an
-estimate of the Jaccard similarity of the anchor sets, exact for documents with fewer anchors.
+Anchors that are equal are told apart by their number (the first, second, .. of a document), so that
+repeated passages weigh by their length. A document's fingerprint is the SIZE least of these hashes (all,
+if it has fewer), in hexadecimal. The likeness of two is the share of common hashes among the SIZE least of their union, an
+estimate of the Jaccard similarity of the anchors' multisets, exact for documents with fewer anchors.
 
 Defined cases: a null text is the empty one, whose fingerprint is empty; a text shorter than K has one
 anchor, the hash of the whole; two empty fingerprints have likeness 1, an empty and another one 0. The
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from parcela.llm.common import BASE, buckets, mix, slices, texts_of
 
-K, S, SIZE = 24, 8, 192
+K, S, SIZE = 12, 4, 256
 
 #: Code points looked at together.
 STRETCH = 1 << 18
@@ -77,17 +78,29 @@ def positions(text: str, k: int = K, s: int = S) -> Iterator[tuple[int, int]]:
             yield lo + int(at), int(h)
 
 
+def numbered(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The `size` least hashes, rising, once equal ones are told apart by their number."""
+    hashes = np.sort(hashes)
+    first = np.ones(len(hashes), bool)
+    first[1:] = hashes[1:] != hashes[:-1]
+    if not first.all():
+        at = np.arange(len(hashes))
+        nth = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+        hashes = np.sort(np.where(first, hashes, mix(hashes + nth * np.uint64(BASE))))
+    return hashes[:size]
+
+
 def sketches(texts: list[str], size: int = SIZE) -> list[np.ndarray]:
-    """The `size` least distinct anchor hashes of each text, rising."""
+    """The `size` least hashes of each text's numbered anchors, rising."""
     out = []
     for lo, hi in slices(texts, STRETCH):
         part = texts[lo:hi]
         if len(part) == 1 and len(part[0]) > STRETCH:
-            found = np.empty(0, np.uint64)
+            found = []
             for i in range(0, len(part[0]) - K + 1, STRETCH):
                 points = np.frombuffer(part[0][i : i + STRETCH + K - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
-                found = np.unique(np.concatenate([found, anchors(points)[1]]))[:size]
-            out.append(found)
+                found.append(anchors(points)[1])
+            out.append(numbered(np.concatenate(found), size))
             continue
         points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum([len(t) for t in part])
@@ -97,7 +110,7 @@ def sketches(texts: list[str], size: int = SIZE) -> list[np.ndarray]:
                 whole = points[end - len(text) : end]
                 out.append(rolled(whole, len(text)) if len(text) else np.empty(0, np.uint64))
             else:
-                out.append(np.unique(hashes[np.searchsorted(at, end - len(text)) : np.searchsorted(at, end - K, "right")])[:size])
+                out.append(numbered(hashes[np.searchsorted(at, end - len(text)) : np.searchsorted(at, end - K, "right")], size))
     return out
 
 
