@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm import bpe, common, langid, packing, sharding, syncmers, toxicity, urlrules
+from parcela.llm import bpe, common, langid, neardup, packing, sharding, syncmers, toxicity, urlrules
 
 #: Rules of the URL filter: host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -61,10 +61,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return neardup.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(common.table(spark, sf_dir, "documents"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_best_fit_packing, op6_url_filters, op7_toxicity, op8_byte_bpe, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_best_fit_packing, op6_url_filters, op7_toxicity, op8_byte_bpe, op9_minhash_near_dedup, op10_sharding)}
 ORACLE = {"op6_url_filters": OP6_SQL}
