@@ -38,7 +38,7 @@ from parcela.llm.common import BASE, cut, mix, slices, texts_of, utf8, words
 #: Tokens of a chunk.
 CHUNK = 1_000_000
 #: Weight of the shorter context, by order.
-MU = {2: 30.0, 3: 3.0}
+MU = {2: 500.0, 3: 1.0}
 #: Steps of the quantised log10 in a unit.
 STEPS = 2048.0
 
