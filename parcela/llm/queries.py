@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm import bpe, common, langid, neardup, ngrams, packing, sharding, syncmers, toxicity, urlrules
+from parcela.llm import bpe, common, langid, neardup, ngrams, packing, sharding, syncmers, toxicity, urlrules, webp
 
 #: Rules of the URL filter: host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -37,6 +37,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(docs).select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return webp.round_trip(common.table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return urlrules.judge(common.table(spark, sf_dir, "pages"), rules)
@@ -78,5 +83,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_best_fit_packing, op4_lm_scoring, op6_url_filters, op7_toxicity, op8_byte_bpe, op9_minhash_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_best_fit_packing, op4_lm_scoring, op5_lossless_webp, op6_url_filters, op7_toxicity, op8_byte_bpe, op9_minhash_near_dedup, op10_sharding)}
 ORACLE = {"op6_url_filters": OP6_SQL}
