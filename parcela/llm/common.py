@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the columns named in `more`; all others go, whatever their names."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[c for c in more if c != "text"])
+
+
+def filtered(docs: DataFrame, judged: Callable[..., DataFrame], condition: str) -> DataFrame:
+    """The rows of docs, with all their columns as they were, for which `condition` holds on what `judged(docs, *columns)` adds.
+
+    judged maps documents row by row, so nothing is shuffled; the text goes to Python once.
+    """
+    names = [c for c in docs.columns if c not in ("doc_id", "text")]
+    safe = {c: f"_own_{i}" for i, c in enumerate(names)}
+    own = docs.select("doc_id", "text", *[F.col(c).alias(a) for c, a in safe.items()], F.col("text").isNull().alias("_no_text"))
+    found = judged(own, "text", *safe.values(), "_no_text").where(condition)
+    back = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("_no_text"), F.col("text"))} | {c: F.col(a) for c, a in safe.items()}
+    return found.select(*[back[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -104,6 +117,12 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
     A word's hash depends on its bytes alone.
     """
+    hashes, counts, _ = words_and_stems(data, starts)
+    return hashes, counts
+
+
+def words_and_stems(data: np.ndarray, starts: np.ndarray, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """As words(); and for each of `stems` the hash of each word's first so many bytes, 0 for words that aren't longer."""
     solid = ~BLANK[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -115,9 +134,10 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     counts = np.diff(np.searchsorted(begin, starts))
     if not len(begin):
-        return np.empty(0, np.uint64), counts
+        return np.empty(0, np.uint64), counts, [np.empty(0, np.uint64) for _ in stems]
     power, back = _grown(BASE, WINDOW + 1), _grown(INVERSE, WINDOW + 1)
     out = np.empty(len(begin), np.uint64)
+    heads = [np.zeros(len(begin), np.uint64) for _ in stems]
     at = 0
     while at < len(begin):  # a stretch of whole words of at most WINDOW bytes, or one longer word
         lo = begin[at]
@@ -130,10 +150,14 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         np.cumsum(piece * p[:size], out=total[1:])
         i, j = begin[at:to] - lo, end[at:to] - lo
         out[at:to] = (total[j] - total[i]) * b[i] + (j - i).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for head, n in zip(heads, stems, strict=True):
+            longer = np.flatnonzero(j - i > n)
+            k = i[longer]
+            head[at + longer] = mix((total[k + n] - total[k]) * b[k] + np.uint64(n + (1 << 20)))
         at = to
     if len(_POWERS[BASE]) > WINDOW + 1:  # a huge word's table isn't kept
         _POWERS.clear()
-    return mix(out), counts
+    return mix(out), counts, heads
 
 
 def slices(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:

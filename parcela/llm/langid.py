@@ -32,7 +32,7 @@ from parcela.llm.common import mix, slices, texts_of
 
 SAMPLE = 2400
 DIMENSIONS = 4096
-AMBIGUOUS = 0.05
+AMBIGUOUS = 0.02
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,7 @@ def decode(model: Model, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """doc_id, the columns `keep`, lang_pred, score and ambiguous of each document."""
+    """doc_id, the columns `keep` (`text` too, if named), lang_pred, score and ambiguous of each document."""
     types = dict(docs.dtypes)
 
     def run(batches):
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 if model.languages:
                     best, sure = decode(model, x.astype(np.float32) @ model.weights + model.bias)
                     best, sure = np.where(has, best, len(model.languages)), np.where(has, sure, 0.0)
-                yield part.drop(columns="text").assign(lang_pred=names[best], score=sure, ambiguous=sure < AMBIGUOUS)
+                yield (part if "text" in keep else part.drop(columns="text")).assign(lang_pred=names[best], score=sure, ambiguous=sure < AMBIGUOUS)
 
     kept = "".join(f"{c} {types[c]}, " for c in keep)
     return texts_of(docs, *keep).mapInPandas(run, f"doc_id long, {kept}lang_pred string, score double, ambiguous boolean")

@@ -5,8 +5,9 @@ gets grade 2 if it holds more words that mark toxic documents than the median to
 The model is P(grade <= k) = 1 / (1 + exp(x.w - t_k)): one vector of weights for both thresholds
 t_0 < t_1. A document's expected severity is the sum of P(grade >= k). It is toxic if P(grade >= 1) >= 0.5.
 
-Words are runs of letters, A-Z in lower case. Features are those that differ most between the classes
-(z-score of the share of documents that hold them), each as log(1 + count).
+Words are runs of letters, A-Z in lower case. Features are the words and stems (a word's first 4 to 8 bytes, so
+that inflected words are met) that differ most between the classes (z-score of the share of documents
+that hold them), each as 1 + log(count).
 
 The fit takes a bounded sample of labelled documents: SAMPLE of each class (expected), drawn by a
 hash of the id and weighted back to the classes' shares. Texts that occur more than once count once.
@@ -27,10 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcela.llm.common import cut, slices, texts_of, utf8, words
+from parcela.llm.common import cut, slices, texts_of, utf8, words_and_stems
 
-SAMPLE = 4000
-FEATURES, LEAST_DOCS, LEAST_Z = 512, 5, 4.0
+SAMPLE = 3000
+FEATURES, LEAST_DOCS, LEAST_Z = 512, 5, 7.0
+STEMS = (4, 5, 6, 7, 8)
 GRADES = 3
 
 #: Bytes that aren't part of a word: ASCII but for letters.
@@ -51,12 +53,15 @@ class Model:
 
 
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The words' hashes and how many each text has."""
+    """The hashes of all words and stems, and the text that each is in."""
     data, starts = utf8(texts)
-    return words(np.where(APART[data], np.uint8(0x20), data), starts)
+    hashes, counts, heads = words_and_stems(np.where(APART[data], np.uint8(0x20), data), starts, STEMS)
+    row = np.repeat(np.arange(len(texts)), counts)
+    some = [h != 0 for h in heads]
+    return np.concatenate([hashes, *[h[k] for h, k in zip(heads, some, strict=True)]]), np.concatenate([row, *[row[k] for k in some]])
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, l2: float = 2e-4, steps: int = 600, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, l2: float = 1e-5, steps: int = 1000, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising thresholds, by gradient steps of adapted size (Adam) over all rows."""
     weight = weight / weight.sum()
     top = int(grade.max())
@@ -95,9 +100,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def hashed(batches):
         for b in batches:
-            hashes, counts = letters(list(b["text"]))
-            ends = np.cumsum(counts)
-            yield pd.DataFrame({"toxic": b["toxic"], "hashes": [hashes[e - c : e].view(np.int64) for e, c in zip(ends, counts, strict=True)]})
+            for lo, hi in slices(list(b["text"])):
+                hashes, row = letters(list(b["text"][lo:hi]))
+                order = np.lexsort((hashes, row))
+                ends = np.searchsorted(row[order], np.arange(hi - lo + 1))
+                yield pd.DataFrame({"toxic": b["toxic"][lo:hi], "hashes": np.split(hashes[order].view(np.int64), ends[1:-1])})
 
     texts = texts_of(docs).join(F.broadcast(drawn), "doc_id").groupBy(F.xxhash64("text"), "text").agg(F.max("toxic").alias("toxic"))
     found = cut(texts.select("toxic", "text").mapInPandas(hashed, "toxic int, hashes array<long>"))
@@ -123,12 +130,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     grade = np.where(toxic == 1, np.where(held > (np.median(some) if len(some) else np.inf), 2, 1), 0)
     if not (grade == 2).any():
         grade = np.minimum(grade, 1)
-    w, t = fit_ordinal(np.log1p(x), grade, np.where(toxic == 1, sizes[1] / have[1], sizes[0] / have[0]))
+    w, t = fit_ordinal(np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0), grade, np.where(toxic == 1, sizes[1] / have[1], sizes[0] / have[0]))
     return Model(features, w, t)
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """doc_id, the columns `keep`, severity (expected grade), grade (the likeliest), p_toxic and toxic of each document."""
+    """doc_id, the columns `keep` (`text` too, if named), severity (expected grade), grade (the likeliest), p_toxic and toxic of each document."""
     types = dict(docs.dtypes)
 
     def run(batches):
@@ -137,14 +144,14 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 part = b.iloc[lo:hi]
                 x = np.zeros(len(part))
                 if len(model.features):
-                    hashes, counts = letters(list(part["text"]))
+                    hashes, row = letters(list(part["text"]))
                     at = np.minimum(np.searchsorted(model.features, hashes), len(model.features) - 1)
                     hit = np.flatnonzero(model.features[at] == hashes)
-                    cell, times = np.unique(np.repeat(np.arange(len(part)), counts)[hit] * len(model.features) + at[hit], return_counts=True)
-                    np.add.at(x, cell // len(model.features), np.log1p(times) * model.weights[cell % len(model.features)])
+                    cell, times = np.unique(row[hit] * len(model.features) + at[hit], return_counts=True)
+                    np.add.at(x, cell // len(model.features), (1 + np.log(times)) * model.weights[cell % len(model.features)])
                 p = model.grades(x)
                 each = -np.diff(np.hstack([np.ones((len(p), 1)), p, np.zeros((len(p), 1))]), axis=1)
-                yield part.drop(columns="text").assign(severity=p.sum(1), grade=each.argmax(1).astype(np.int32), p_toxic=p[:, 0] if p.shape[1] else 0.0, toxic=p[:, 0] >= 0.5)
+                yield (part if "text" in keep else part.drop(columns="text")).assign(severity=p.sum(1), grade=each.argmax(1).astype(np.int32), p_toxic=p[:, 0] if p.shape[1] else 0.0, toxic=p[:, 0] >= 0.5)
 
     kept = "".join(f"{c} {types[c]}, " for c in keep)
     return texts_of(docs, *keep).mapInPandas(run, f"doc_id long, {kept}severity double, grade int, p_toxic double, toxic boolean")
