@@ -149,7 +149,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if held:
             yield row()
 
-    kept = texts_of(docs, F.col("learns"))
+    kept = texts_of(docs, "learns")
     return kept.mapInPandas(run, "chunk long, doc_ids array<long>, learns array<boolean>, counts array<int>, words binary, tokens binary")
 
 
