@@ -9,9 +9,10 @@ Each is a distribution over the known words and one unknown word.
    list of words. Chunks are written to the shared folder, so they keep their rows.
 2. Each chunk asks for the n-grams that occur in it: sorted hashes as Elias-Fano lists, dealt by ranges of the
    hash, with the counts of its own learnt texts. In each range the counts of all chunks are added, and the
-   sums go back in the order in which they were asked for. So the counts cover the whole corpus, an n-gram
+   what the other chunks have goes back in the order in which it was asked for. So the counts cover the whole corpus, an n-gram
    moves once for each chunk that holds it, and no task holds more than a range or a chunk.
-   Single words have 64 bits of hash; longer n-grams have 40 beside their range.
+   Single words have 64 bits of hash; longer n-grams have 34 beside their range, so one in some thousands of look-ups
+   of what wasn't learnt may meet another n-gram's count, at any size of the corpus.
 3. A chunk's part of the model becomes a trie: a level for each order, sorted by context, as monotone Elias-Fano lists
    in a memory-mapped file, with 16-bit quantised log probabilities and back-off weights. Level 3 names a word by its place
    among the successors of the middle word. A look-up is a successor search among the context's children; where it
@@ -43,7 +44,7 @@ MU = {2: 500.0, 3: 1.0}
 STEPS = 2048.0
 
 END = np.uint64(0x5BF03635F0A31E4D)
-KEY_BITS = 40
+KEY_BITS = 34
 
 
 class EliasFano:
@@ -62,9 +63,7 @@ class EliasFano:
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
         n, values = len(values), values.astype(np.uint64)
         bits = cls.low_bits(n, universe)
-        spread = np.empty((n, bits), np.uint8)
-        for k in range(bits):
-            spread[:, k] = (values >> np.uint64(k)) & np.uint64(1)
+        spread = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, count=bits, bitorder="little")
         low = np.concatenate([np.packbits(spread.reshape(-1), bitorder="little"), np.zeros(8, np.uint8)])
         marks = np.zeros(n + (universe >> bits) + 1, np.uint8)
         marks[(values >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
@@ -89,30 +88,32 @@ class EliasFano:
         return (high << np.uint64(self.bits)) | self.lows(np.arange(self.n)) if self.n else high
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each x, or -1: the successor search stops at the first value that isn't less."""
+        """The place of each x, or -1: a binary search for the successor among the values with the same high part."""
         if not self.n or not len(x):
             return np.full(len(x), -1)
         high = (x >> self.bits).astype(np.int64)
         want = x.astype(np.uint64) & np.uint64((1 << self.bits) - 1)
-        at, end = self.first()[high], self.first()[high + 1]
-        out = np.full(len(x), -1)
+        at, stop = self.first()[high], self.first()[high + 1]
+        end = stop.copy()
         live = np.flatnonzero(at < end)
         while len(live):
-            here = self.lows(at[live])
-            same = here == want[live]
-            out[live[same]] = at[live[same]]
-            more = ~same & (here < want[live])
-            live = live[more]
-            at[live] += 1
+            middle = (at[live] + end[live]) >> 1
+            less = self.lows(middle) < want[live]
+            at[live] = np.where(less, middle + 1, at[live])
+            end[live] = np.where(less, end[live], middle)
             live = live[at[live] < end[live]]
+        out = np.full(len(x), -1)
+        inside = np.flatnonzero(at < stop)
+        hit = inside[self.lows(at[inside]) == want[inside]]
+        out[hit] = at[hit]
         return out
 
     def pack(self) -> bytes:
-        return np.array([self.n, self.universe & ((1 << 62) - 1), len(self.low)], "<i8").tobytes() + self.low.tobytes() + self.high.tobytes()
+        return np.array([self.n, self.universe, len(self.low)], "<u8").tobytes() + self.low.tobytes() + self.high.tobytes()
 
     @classmethod
     def unpack(cls, data: bytes) -> EliasFano:
-        n, universe, size = np.frombuffer(data, "<i8", 3).tolist()
+        n, universe, size = np.frombuffer(data, "<u8", 3).tolist()
         body = np.frombuffer(data, np.uint8, offset=24)
         return cls(n, universe, body[:size], body[size:])
 
@@ -132,7 +133,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     "doc_ids": [[None if pd.isna(d) else int(d) for ids, _, _, _ in held for d in ids]],
                     "learns": [[bool(x) for _, learns, _, _ in held for x in learns]],
                     "counts": [np.concatenate([c for _, _, c, _ in held]).astype(np.int32)],
-                    "words": [hashes.tobytes()],
+                    "words": [EliasFano.of(hashes, (1 << 64) - 1).pack()],
                     "tokens": [zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)],
                 }
             )
@@ -157,7 +158,7 @@ class Chunk:
     """What occurs in a chunk: tokens, and the distinct n-grams of each order sorted by context."""
 
     def __init__(self, learns, counts, word_bytes: bytes, token_bytes: bytes):
-        self.words = np.frombuffer(word_bytes, np.uint64)
+        self.words = EliasFano.unpack(word_bytes).values()
         self.t = np.frombuffer(zlib.decompress(token_bytes), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64)
         self.counts = np.asarray(counts, np.int64)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
@@ -191,11 +192,15 @@ def dealt(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return order, part, np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
 
 
+def begin(part: int, ranges: int) -> int:
+    """The least key of a range."""
+    return -(-(part << 32) // ranges) << 32
+
+
 def within(keys: np.ndarray, part: int, ranges: int) -> np.ndarray:
     """Keys' places in their range, in KEY_BITS bits; rising as the keys do."""
-    low = -(-(part << 32) // ranges) << 32
     width = max(1, (1 << 64) // ranges >> KEY_BITS)
-    return np.minimum((keys - np.uint64(low)) // np.uint64(width), np.uint64((1 << (KEY_BITS + 1)) - 1))
+    return np.minimum((keys - np.uint64(begin(part, ranges))) // np.uint64(width), np.uint64((1 << (KEY_BITS + 1)) - 1))
 
 
 def small_numbers(x: np.ndarray) -> bytes:
@@ -227,7 +232,7 @@ def asked(staged: DataFrame, ranges: int) -> DataFrame:
                     x, y = slice(s1[p], s1[p + 1]), slice(s2[p], s2[p + 1])
                     if x.start < x.stop or y.start < y.stop:
                         places = within(more[y], p, ranges)
-                        out.append((p, r.chunk, one[x].tobytes(), small_numbers(n1[x]), EliasFano.of(places, 1 << (KEY_BITS + 1)).pack(), small_numbers(n2[y])))
+                        out.append((p, r.chunk, EliasFano.of(one[x] - np.uint64(begin(p, ranges)), -(-(1 << 64) // ranges) + (1 << 32)).pack(), small_numbers(n1[x]), EliasFano.of(places, 1 << (KEY_BITS + 1)).pack(), small_numbers(n2[y])))
                 yield pd.DataFrame(out, columns=["range", "chunk", "k1", "n1", "k2", "n2"])
 
     return staged.select("chunk", "learns", "counts", "words", "tokens").mapInPandas(run, "range int, chunk long, k1 binary, n1 binary, k2 binary, n2 binary")
@@ -248,17 +253,17 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.nd
 
 
 def answered(requests: DataFrame) -> DataFrame:
-    """chunk, range, sums of the chunk's n-grams in its order; types and tokens of the range on one of its rows."""
+    """chunk, range, the other chunks' counts of the chunk's n-grams in its order; types and tokens of the range on one of its rows."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        k1 = [np.frombuffer(k, np.uint64) for k in b["k1"]]
+        k1 = [EliasFano.unpack(k).values() for k in b["k1"]]
         k2 = [EliasFano.unpack(k).values() for k in b["k2"]]
         n1 = [read_numbers(n, len(k)) for n, k in zip(b["n1"], k1, strict=True)]
         n2 = [read_numbers(n, len(k)) for n, k in zip(b["n2"], k2, strict=True)]
         (s1, types), (s2, _) = summed(k1, n1), summed(k2, n2)
         first = np.arange(len(b)) == 0
         return pd.DataFrame(
-            {"chunk": b["chunk"], "range": b["range"], "s1": [small_numbers(s) for s in s1], "s2": [small_numbers(s) for s in s2], "types": np.where(first, types, 0), "tokens": np.where(first, sum(int(n.sum()) for n in n1), 0)}
+            {"chunk": b["chunk"], "range": b["range"], "s1": [small_numbers(s - n) for s, n in zip(s1, n1, strict=True)], "s2": [small_numbers(s - n) for s, n in zip(s2, n2, strict=True)], "types": np.where(first, types, 0), "tokens": np.where(first, sum(int(n.sum()) for n in n1), 0)}
         )
 
     return requests.groupBy("range").applyInPandas(run, "chunk long, range int, s1 binary, s2 binary, types long, tokens long")
@@ -333,17 +338,18 @@ def scored(staged: DataFrame, answers: DataFrame, ranges: int, total: int, types
         for r in left.itertuples():
             c = Chunk(r.learns, r.counts, r.words, r.tokens)
             one, more = c.keys()
-            n1, n2 = np.zeros(len(one), np.int64), np.zeros(len(more), np.int64)
+            n1, n2 = c.c1.copy(), np.concatenate([c.c2, c.c3])
             (o1, _, s1), (o2, _, s2) = dealt(one, ranges), dealt(more, ranges)
             for a in right.itertuples():
                 x, y = o1[s1[a.range] : s1[a.range + 1]], o2[s2[a.range] : s2[a.range + 1]]
-                n1[x], n2[y] = read_numbers(a.s1, len(x)), read_numbers(a.s2, len(y))
+                n1[x] += read_numbers(a.s1, len(x))
+                n2[y] += read_numbers(a.s2, len(y))
             trie = Trie(c, n1, n2[: len(c.g2)], n2[len(c.g2) :], total, types)
             add = lambda x: np.bincount(c.doc, weights=x, minlength=len(c.counts))
             frames.append(
                 pd.DataFrame(
                     {
-                        "doc_id": pd.array(list(r.doc_ids), "Int64") if not any(d is None or d != d for d in r.doc_ids) else pd.array([None if d is None or d != d else int(d) for d in r.doc_ids], "Int64"),
+                        "doc_id": pd.array([None if d is None or d != d else int(d) for d in r.doc_ids], "Int64"),
                         "learns": np.asarray(r.learns, bool),
                         "n_tokens": c.counts,
                         "n_known": add(n1[c.t] > 0).astype(np.int64),
