@@ -59,7 +59,7 @@ def taxonomy_audit(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
 
 def space_structure(df: DataFrame, types: tuple[int, ...] = (1, 2, 3), complex_type: int = 2) -> DataFrame:
     """A row for each sector with the rows of each type, all, and the percentage of complexes."""
-    out = df.groupBy("sector_id").pivot("type_id", list(types)).agg(F.count("*"))
+    out = df.groupBy("sector_id").pivot("type_id", list(types)).agg(F.count("sector_id"))
     counts = [F.coalesce(F.col(str(t)), F.lit(0)).alias(f"type_{t}") for t in types]
     out = out.select("sector_id", *counts)
     total = sum((F.col(f"type_{t}") for t in types[1:]), F.col(f"type_{types[0]}"))

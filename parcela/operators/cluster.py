@@ -83,7 +83,7 @@ def cluster_candidates(candidates: DataFrame, variances: tuple[float, ...] = VAR
     found, scores = None, []
     spark = candidates.sparkSession
     for sector in sorted(r[0] for r in candidates.select("sector_id").distinct().collect()):
-        mine = candidates.where(F.col("sector_id") == sector)
+        mine = candidates.where(F.col("sector_id") == sector).drop("cluster_id")
         n, tabs, texts = mine.agg(F.count("*"), F.count("tab_vector"), F.count("nlp_vector")).first()
         if 0 < tabs < n:
             raise ContractError(f"sector {sector}: some candidates lack their tab vector")
