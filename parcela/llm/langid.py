@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from parcela.llm.common import mix, slices, texts_of
 
-SAMPLE = 2400
-DIMENSIONS = 4096
+SAMPLE = 2000
+DIMENSIONS = 2048
 AMBIGUOUS = 0.02
 
 
@@ -93,10 +93,10 @@ def grams(texts: list[str], dimensions: int = DIMENSIONS) -> tuple[np.ndarray, n
 
 def fit_bits(x: np.ndarray, signs: np.ndarray, l2: float = 1e-4, steps: int = 150, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """A logistic classifier for each column of signs (-1 or 1), all at once by Adam."""
-    w, b = np.zeros((x.shape[1], signs.shape[1])), np.zeros(signs.shape[1])
+    w, b = np.zeros((x.shape[1], signs.shape[1]), np.float32), np.zeros(signs.shape[1], np.float32)
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
     for step in range(1, steps + 1):
-        slope = -signs / (1 + np.exp(np.clip(signs * (x @ w + b), -50, 50))) / len(x)
+        slope = -signs / (1 + np.exp(np.clip(signs * (x @ w + b), -50, 50))) / np.float32(len(x))
         for p, g, k in ((w, x.T @ slope + l2 * w, 0), (b, slope.sum(0), 2)):
             state[k] = 0.9 * state[k] + 0.1 * g
             state[k + 1] = 0.999 * state[k + 1] + 0.001 * g * g
@@ -126,7 +126,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     languages = sorted({r["lang"] for r in rows})
     code = codewords(len(languages))
     of = np.array([languages.index(r["lang"]) for r in rows])
-    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float16).reshape(len(rows), DIMENSIONS).astype(np.float32)
+    x = np.empty((len(rows), DIMENSIONS), np.float32)
+    for i in range(len(rows)):
+        x[i] = np.frombuffer(rows[i]["x"], np.float16)
+    del rows
     w, b = fit_bits(x, code[of].astype(np.float32))
     right = (x @ w + b) * code[of] > 0
     trust = np.vstack([np.maximum(right[of == i].mean(0), 1e-3) for i in range(len(languages))])

@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marks = np.array([z_of[h] > 0 for h in features], bool)
     columns = F.array(*[F.lit(int(h.view(np.int64))).cast("long") for h in features]) if len(features) else F.array().cast("array<long>")
     rows = found.select("toxic", F.filter("hashes", lambda h: F.array_contains(columns, h)).alias("hashes")).collect()  # the sample's chosen features
-    x = np.zeros((len(rows), len(features)))
+    x = np.zeros((len(rows), len(features)), np.float32)
     for i, r in enumerate(rows):
         np.add.at(x[i], np.searchsorted(features, np.array(r["hashes"], np.int64).view(np.uint64)), 1)
     toxic = np.array([r["toxic"] for r in rows])
@@ -130,7 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     grade = np.where(toxic == 1, np.where(held > (np.median(some) if len(some) else np.inf), 2, 1), 0)
     if not (grade == 2).any():
         grade = np.minimum(grade, 1)
-    w, t = fit_ordinal(np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0), grade, np.where(toxic == 1, sizes[1] / have[1], sizes[0] / have[0]))
+    del rows
+    x[x > 0] = 1 + np.log(x[x > 0])
+    w, t = fit_ordinal(x, grade, np.where(toxic == 1, sizes[1] / have[1], sizes[0] / have[0]))
     return Model(features, w, t)
 
 
