@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parcela.session import importable
+
 VIEWS = {
     "spots_sv": """
 SELECT p_partkey AS spot_id,
@@ -88,6 +90,7 @@ class Data:
     """Tables and views of a folder of Parquet files."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        importable(spark)
         self.spark, self.sf_dir, self.made = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
