@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcela.session import importable
+
 #: Rows of one Arrow batch sent to Python; long documents make batches of many bytes.
 BATCH_ROWS = 500
 
@@ -38,7 +40,8 @@ def filtered(docs: DataFrame, judged: Callable[..., DataFrame], condition: str)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that a worker's memory doesn't follow the length of texts."""
+    """Bound the rows of an Arrow batch, so that a worker's memory doesn't follow the length of texts; and let workers find the package."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -11,7 +11,7 @@ Each is a distribution over the known words and one unknown word.
    hash, with the counts of its own learnt texts. In each range the counts of all chunks are added, and the
    what the other chunks have goes back in the order in which it was asked for. So the counts cover the whole corpus, an n-gram
    moves once for each chunk that holds it, and no task holds more than a range or a chunk.
-   Single words have 64 bits of hash; longer n-grams have 34 beside their range, so one in some thousands of look-ups
+   Single words have 64 bits of hash; longer n-grams have 32 beside their range, so one in some thousands of look-ups
    of what wasn't learnt may meet another n-gram's count, at any size of the corpus.
 3. A chunk's part of the model becomes a trie: a level for each order, sorted by context, as monotone Elias-Fano lists
    in a memory-mapped file, with 16-bit quantised log probabilities and back-off weights. Level 3 names a word by its place
@@ -44,7 +44,7 @@ MU = {2: 500.0, 3: 1.0}
 STEPS = 2048.0
 
 END = np.uint64(0x5BF03635F0A31E4D)
-KEY_BITS = 34
+KEY_BITS = 32
 
 
 class EliasFano:
@@ -119,21 +119,26 @@ class EliasFano:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """chunk, doc_ids, learns, counts (tokens of each text), words (hashes of the distinct ones), tokens (numbers into them)."""
+    """chunk, doc_ids, learns, counts (tokens of each text), words (hashes of the distinct ones, a list for each order of frequency), tokens (numbers into them)."""
 
     def run(batches):
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def row():
             nonlocal seq, held, size
-            hashes, numbers = np.unique(np.concatenate([h for _, _, _, h in held]), return_inverse=True)
+            hashes, numbers, times = np.unique(np.concatenate([h for _, _, _, h in held]), return_inverse=True, return_counts=True)
+            # Frequent words first, so that most numbers are small; by hash among words about as frequent.
+            rarity = int(log2(len(numbers))) - np.log2(times).astype(np.int64)
+            order = np.lexsort((hashes, rarity))
+            numbers = np.argsort(order)[numbers]
+            lists = np.split(hashes[order], np.flatnonzero(np.diff(rarity[order])) + 1)
             out = pd.DataFrame(
                 {
                     "chunk": [(part << 32) + seq],
                     "doc_ids": [[None if pd.isna(d) else int(d) for ids, _, _, _ in held for d in ids]],
                     "learns": [[bool(x) for _, learns, _, _ in held for x in learns]],
                     "counts": [np.concatenate([c for _, _, c, _ in held]).astype(np.int32)],
-                    "words": [EliasFano.of(hashes, (1 << 64) - 1).pack()],
+                    "words": [[EliasFano.of(w, (1 << 64) - 1).pack() for w in lists]],
                     "tokens": [zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)],
                 }
             )
@@ -151,14 +156,14 @@ def chunks(docs: DataFrame) -> DataFrame:
             yield row()
 
     kept = texts_of(docs, "learns")
-    return kept.mapInPandas(run, "chunk long, doc_ids array<long>, learns array<boolean>, counts array<int>, words binary, tokens binary")
+    return kept.mapInPandas(run, "chunk long, doc_ids array<long>, learns array<boolean>, counts array<int>, words array<binary>, tokens binary")
 
 
 class Chunk:
     """What occurs in a chunk: tokens, and the distinct n-grams of each order sorted by context."""
 
-    def __init__(self, learns, counts, word_bytes: bytes, token_bytes: bytes):
-        self.words = EliasFano.unpack(word_bytes).values()
+    def __init__(self, learns, counts, word_lists, token_bytes: bytes):
+        self.words = np.concatenate([EliasFano.unpack(w).values() for w in word_lists])
         self.t = np.frombuffer(zlib.decompress(token_bytes), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64)
         self.counts = np.asarray(counts, np.int64)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
