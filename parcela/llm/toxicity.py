@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from parcela.llm.common import cut, slices, texts_of, utf8, words_and_stems
 
 SAMPLE = 3000
-FEATURES, LEAST_DOCS, LEAST_Z = 512, 5, 7.0
+FEATURES, LEAST_DOCS, LEAST_Z = 512, 5, 5.0
 STEMS = (4, 5, 6, 7, 8)
 GRADES = 3
 
