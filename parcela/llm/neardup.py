@@ -1,13 +1,13 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification on full sets, components.
 
 A document is the set of its distinct shingles of WORDS words (fewer words: the whole sequence; none:
-empty). Two are linked if 100 * |intersection| >= PERCENT * |union|.
+empty). Two are linked if 100 * |intersection| >= percent * |union|.
 
 1. Signatures. Each shingle has a permutation of the slots and, for each of its ranks, a fraction; a
    slot holds the least rank + fraction of any shingle. Shingles are taken rank by rank for many documents
    at once, and a document stops as soon as its greatest slot is below the next rank.
 2. Equal sets become one node, the least doc_id. Nodes meet in buckets, one for each band of ROWS slots.
-   A linked pair misses all BANDS buckets with a chance of (1 - 0.85 ** 4) ** 32 < 1e-10.
+   A linked pair misses all BANDS buckets with a chance of (1 - 0.85 ** 4) ** 32 < 1e-10 at 85 percent, 1e-7 at 80.
 3. Each bucket has a pivot: the node with most copies, then that of the least hash. All nodes of a bucket are compared with the
    pivot on full sets: as many pairs as rows. Components of the links found close most buckets.
 4. A bucket that still holds two components may hide links between nodes that aren't near the pivot.
@@ -138,11 +138,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts_of(docs).join(wanted.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").mapInPandas(run, "id long, shingles binary")
 
 
-def linked(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
-    return 100 * both >= PERCENT * (a + b - both)
+def linked(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCENT):
+    return 100 * both >= percent * (a + b - both)
 
 
-def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (p, a): those that are linked, compared on full sets."""
 
     def run(batches):
@@ -151,14 +151,14 @@ def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(b["sa"], b["sp"], strict=True):
                 x, y = (np.frombuffer(s, np.uint64) for s in ((x, y) if len(x) <= len(y) else (y, x)))
                 # Without enough in the smaller one there is nothing to count.
-                keep.append(bool(len(x)) and bool(linked(len(x), len(x), len(y))) and bool(linked(int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()), len(x), len(y))))
+                keep.append(bool(len(x)) and bool(linked(len(x), len(x), len(y), percent)) and bool(linked(int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()), len(x), len(y), percent)))
             yield b.loc[keep, ["p", "a"]]
 
     by_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     return by_a.join(sets.select(F.col("id").alias("p"), F.col("shingles").alias("sp")), "p").select("p", "a", "sa", "sp").mapInPandas(run, "p long, a long")
 
 
-def joins(ids: np.ndarray, comps: np.ndarray, rest: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def joins(ids: np.ndarray, comps: np.ndarray, rest: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links within one block that join different components: each of the rows `rest` against all."""
     root = {c: c for c in comps.tolist()}
 
@@ -184,7 +184,7 @@ def joins(ids: np.ndarray, comps: np.ndarray, rest: np.ndarray, sets: list[np.nd
         part[row[i:j], at[i:j] - lo] = 1
         both += part[rest] @ part.T
     out = []
-    for i, j in zip(*np.nonzero(linked(both, size[rest][:, None], size[None])), strict=True):
+    for i, j in zip(*np.nonzero(linked(both, size[rest][:, None], size[None], percent)), strict=True):
         x, y = top(comps[rest[i]]), top(comps[j])
         if x != y:
             root[x] = y
@@ -192,9 +192,10 @@ def joins(ids: np.ndarray, comps: np.ndarray, rest: np.ndarray, sets: list[np.nd
     return out
 
 
-def block_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def block_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components in groups (p, a, comp, near: in the pivot's component), block by block."""
-    sizes = groups.groupBy("p").agg(F.sum(F.col("near").cast("int")).alias("n1"), F.sum((~F.col("near")).cast("int")).alias("n0"))
+    # Written first, so that both sides of the join below are plain shuffles, whose hot partitions Spark can split.
+    sizes = cut(groups.groupBy("p").agg(F.sum(F.col("near").cast("int")).alias("n1"), F.sum((~F.col("near")).cast("int")).alias("n0")))
     part = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
     dealt = groups.join(sizes, "p").withColumn("b0", part("n0")).withColumn("b1", part("n1"))
     own = F.when(F.col("near"), F.pmod(F.xxhash64("a"), "b1") + F.col("b0")).otherwise(F.pmod(F.xxhash64("a"), "b0")).cast("int")
@@ -205,7 +206,7 @@ def block_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(s, np.uint64) for s in b["shingles"]]
-        out = joins(b["a"].to_numpy(), b["comp"].to_numpy(), np.flatnonzero(b["left"].to_numpy()), sets) if b["left"].any() else []
+        out = joins(b["a"].to_numpy(), b["comp"].to_numpy(), np.flatnonzero(b["left"].to_numpy()), sets, percent) if b["left"].any() else []
         return pd.DataFrame(out, columns=["p", "a"], dtype="int64")
 
     spread = first.unionByName(second).join(sets.withColumnRenamed("id", "a"), "a")
@@ -231,7 +232,7 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("comp").alias("node"), "comp").distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     signed = cut(signatures(docs))
     nodes = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null")
@@ -240,13 +241,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = cut(reps.join(tops, "band").select("band", "p", F.col("rep").alias("a")).distinct())
     pairs = members.where("a <> p").select("p", "a").distinct()
     sets = cut(full_sets(docs, members.select(F.col("a").alias("id")).distinct()))
-    stars = cut(check_pairs(pairs, sets))
+    stars = cut(check_pairs(pairs, sets, percent))
     first = components(stars)
     comp = members.join(first.withColumnRenamed("node", "a"), "a", "left").select("band", "p", "a", F.coalesce("comp", "a").alias("comp"))
     wide = comp.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1 and n > 2").select("band")
     pivots = comp.where("a = p").select("p", F.col("comp").alias("pc")).distinct()
     groups = cut(comp.join(wide, "band").select("p", "a", "comp").distinct().join(pivots, "p").select("p", "a", "comp", (F.col("comp") == F.col("pc")).alias("near")))
-    more = cut(block_links(groups, sets))
+    more = cut(block_links(groups, sets, percent))
     second = components(stars.unionByName(more)) if not more.isEmpty() else first
     named = nodes.join(second.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("of_set"))
     out = signed.join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("of_set")).otherwise(F.col("doc_id")).alias("component_id"))
