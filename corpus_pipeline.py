@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from parcela.llm import common, langid, neardup, packing, toxicity
 
 
+#: Of five-word shingles in common, from which on documents are near duplicates.
+SIMILAR_PERCENT = 80
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without letters, without text or between two languages go."""
     common.small_batches(spark)
@@ -26,7 +30,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates, once; documents without an id stay unless an equal one has one."""
     common.small_batches(spark)
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = neardup.near_duplicates(docs, SIMILAR_PERCENT).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
