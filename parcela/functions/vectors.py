@@ -20,6 +20,12 @@ def l2_normalize(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: (x.cast("double") / n).cast("float")))
 
 
+def unit(a: Column) -> Column:
+    """Of length 1 as doubles; a zero vector stays. Made once for each row, so that a pair's cosine is one product."""
+    n = norm(a)
+    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 where a vector is zero."""
     n = norm(a) * norm(b)

@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcela.functions.scoring import Params, price_factors, similarity
+from parcela.functions.vectors import unit
 from parcela.operators.radius import widening_candidates
 
 ATTACHED = ["tab_vector", "nlp_vector", "modality_mask", "rent_price_sqm", "sale_price_sqm"]
 
 
 def with_features(pairs: DataFrame, spots: DataFrame) -> DataFrame:
-    """Attaches the features of both sides, after the pairs have been cut to the nearest."""
+    """Attaches the features of both sides, after the pairs have been cut to the nearest; vectors at length 1."""
+    spots = spots.withColumns({c: unit(F.col(c)) for c in ("tab_vector", "nlp_vector")})
     side = lambda mark, key: spots.select(F.col("spot_id").alias(key), *[F.col(c).alias(f"{c}_{mark}") for c in ATTACHED], *([F.col("cluster_id")] if mark == "b" else []))
     return pairs.join(side("a", "click_id"), "click_id").join(side("b", "spot_id"), "spot_id")
 
 
 def rerank_score(pairs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
-    """Adds similarity, price_factor and their product, score."""
+    """Adds similarity, price_factor and their product, score, to pairs with_features()."""
     c = F.col
-    sim = similarity(c("tab_vector_a"), c("tab_vector_b"), c("nlp_vector_a"), c("nlp_vector_b"), p.w_tab, p.w_nlp)
+    sim = similarity(c("tab_vector_a"), c("tab_vector_b"), c("nlp_vector_a"), c("nlp_vector_b"), p.w_tab, p.w_nlp, units=True)
     f = price_factors(c("modality_mask_a"), c("rent_price_sqm_a"), c("sale_price_sqm_a"), c("modality_mask_b"), c("rent_price_sqm_b"), c("sale_price_sqm_b"), p.low, p.high)
     return pairs.withColumn("similarity", sim).withColumn("price_factor", f).withColumn("score", c("similarity") * c("price_factor"))
 
