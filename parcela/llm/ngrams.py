@@ -11,8 +11,7 @@ Each is a distribution over the known words and one unknown word.
    hash, with the counts of its own learnt texts. In each range the counts of all chunks are added, and the
    what the other chunks have goes back in the order in which it was asked for. So the counts cover the whole corpus, an n-gram
    moves once for each chunk that holds it, and no task holds more than a range or a chunk.
-   Single words have 64 bits of hash; longer n-grams have 32 beside their range, so one in some thousands of look-ups
-   of what wasn't learnt may meet another n-gram's count, at any size of the corpus.
+   All n-grams have 64 bits of hash, of which the range is a part.
 3. A chunk's part of the model becomes a trie: a level for each order, sorted by context, as monotone Elias-Fano lists
    in a memory-mapped file, with 16-bit quantised log probabilities and back-off weights. Level 3 names a word by its place
    among the successors of the middle word. A look-up is a successor search among the context's children; where it
@@ -44,7 +43,6 @@ MU = {2: 500.0, 3: 1.0}
 STEPS = 2048.0
 
 END = np.uint64(0x5BF03635F0A31E4D)
-KEY_BITS = 32
 
 
 class EliasFano:
@@ -202,10 +200,9 @@ def begin(part: int, ranges: int) -> int:
     return -(-(part << 32) // ranges) << 32
 
 
-def within(keys: np.ndarray, part: int, ranges: int) -> np.ndarray:
-    """Keys' places in their range, in KEY_BITS bits; rising as the keys do."""
-    width = max(1, (1 << 64) // ranges >> KEY_BITS)
-    return np.minimum((keys - np.uint64(begin(part, ranges))) // np.uint64(width), np.uint64((1 << (KEY_BITS + 1)) - 1))
+def within(keys: np.ndarray, part: int, ranges: int) -> EliasFano:
+    """Sorted keys of a range as a list of their distances from its least key; no bit is lost."""
+    return EliasFano.of(keys - np.uint64(begin(part, ranges)), -(-(1 << 64) // ranges) + (1 << 32))
 
 
 def small_numbers(x: np.ndarray) -> bytes:
@@ -236,8 +233,7 @@ def asked(staged: DataFrame, ranges: int) -> DataFrame:
                 for p in range(ranges):
                     x, y = slice(s1[p], s1[p + 1]), slice(s2[p], s2[p + 1])
                     if x.start < x.stop or y.start < y.stop:
-                        places = within(more[y], p, ranges)
-                        out.append((p, r.chunk, EliasFano.of(one[x] - np.uint64(begin(p, ranges)), -(-(1 << 64) // ranges) + (1 << 32)).pack(), small_numbers(n1[x]), EliasFano.of(places, 1 << (KEY_BITS + 1)).pack(), small_numbers(n2[y])))
+                        out.append((p, r.chunk, within(one[x], p, ranges).pack(), small_numbers(n1[x]), within(more[y], p, ranges).pack(), small_numbers(n2[y])))
                 yield pd.DataFrame(out, columns=["range", "chunk", "k1", "n1", "k2", "n2"])
 
     return staged.select("chunk", "learns", "counts", "words", "tokens").mapInPandas(run, "range int, chunk long, k1 binary, n1 binary, k2 binary, n2 binary")
@@ -275,7 +271,7 @@ def answered(requests: DataFrame) -> DataFrame:
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    return np.minimum(np.round(-np.log10(p) * STEPS), 65535).astype("<u2")
+    return np.clip(np.round(-np.log10(np.minimum(p, 1)) * STEPS), 0, 65535).astype("<u2")
 
 
 class Trie:
@@ -291,11 +287,13 @@ class Trie:
         p2 = (f2 + MU[2] * p1[right]) / (n1[left] + MU[2])
         pointer = np.searchsorted(left, np.arange(v + 1))
         # Triples are named by their pair's place and by the last word's place among the middle word's successors.
+        # A triple counts only where its pair and its lower pair do.
         place = np.cumsum(has2) - 1
-        has3 = n3 > 0
-        pair, last = c.g3[has3] // self.v, c.g3[has3] % self.v
+        pair, last = c.g3 // self.v, c.g3 % self.v
         middle = c.g2[pair] % self.v
-        lower = np.searchsorted(g2, middle * self.v + last)
+        lower = np.searchsorted(c.g2, middle * self.v + last)
+        has3 = (n3 > 0) & has2[pair] & has2[lower]
+        pair, middle, lower = pair[has3], middle[has3], place[lower[has3]]
         self.most = max(1, int(np.diff(pointer).max(initial=1)))
         g3 = place[pair] * self.most + lower - pointer[middle]
         p3 = (n3[has3] + MU[3] * p2[lower]) / (n2[pair] + MU[3])

@@ -86,6 +86,29 @@ def test_scores_equal_brute_force(spark, monkeypatch, chunk):
         assert r.base_score == pytest.approx(base) and abs(r.score - score) <= 1.5e-3 * n
 
 
+@pytest.mark.parametrize("ranges", [8, 9, 6000])
+def test_neighbouring_keys_keep_their_own_counts(ranges):
+    for part in (0, ranges // 2, ranges - 1):
+        least = np.uint64(ngrams.begin(part, ranges))
+        keys = least + np.array([0, 1, 2, 1 << 20], np.uint64)
+        mine, others = (ngrams.EliasFano.unpack(ngrams.within(k, part, ranges).pack()).values() for k in (keys, keys[1:2]))
+        assert (mine + least).tolist() == keys.tolist()
+        assert ngrams.summed([mine, others], [np.array([1, 1, 1, 1]), np.array([5])])[0][0].tolist() == [1, 6, 1, 1]
+
+
+def test_model_stays_a_model_whatever_is_counted():
+    assert ngrams.quantised(np.array([1.5, 1.0, 0.1])).tolist() == [0, 0, 2048]
+    hashes, counts = common.words(*common.utf8(["a b c"]))
+    words = np.unique(np.append(hashes, ngrams.END))
+    tokens = np.searchsorted(words, np.append(hashes, ngrams.END)).astype("<u4")
+    lists = [ngrams.EliasFano.of(words, (1 << 64) - 1).pack()]
+    c = ngrams.Chunk([True], counts + 1, lists, zlib.compress(tokens.view(np.uint8).reshape(-1, 4).T.tobytes()))
+    one, two, three = np.ones(4, np.int64), np.ones(len(c.g2), np.int64), np.ones(len(c.g3), np.int64)
+    assert (ngrams.Trie(c, one, two, three + 3, 4, 4).scores(c) <= 0).all() and (ngrams.Trie(c, one, two, three + 3, 4, 4).scores(c) > -5).all()
+    bare = ngrams.Trie(c, one, two * 0, three, 4, 4)
+    assert len(bare.p3) == 0 and (bare.scores(c) > -5).all()
+
+
 def test_scores_of_odd_tables(spark):
     kind = "doc_id long, text string, learns boolean"
     assert ngrams.score(spark.createDataFrame([], kind)).count() == 0
