@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
@@ -18,6 +20,8 @@ from parcela.functions.vectors import l2_normalize
 VARIANCES, KS, RESTARTS, MARGIN = (0.7, 0.8, 0.9, 0.95), tuple(range(4, 13)), 10, 0.01
 #: Rows of a block of the exact silhouette.
 BLOCK = 1024
+#: Fits that the driver asks for at once.
+AT_ONCE = 8
 
 
 def vectors(df: DataFrame, column: str) -> DataFrame:
@@ -38,7 +42,8 @@ def pca_text(df: DataFrame, variance: float, column: str = "nlp_vector", most: i
 
 def kmeans(rows: DataFrame, k: int, seed: int = 0, restarts: int = RESTARTS):
     """The model with the least cost of several seeds."""
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="v", predictionCol="cluster_id").fit(rows) for i in range(restarts)]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, featuresCol="v", predictionCol="cluster_id").fit(rows), range(restarts)))
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
@@ -78,7 +83,8 @@ def centroids_of(df: DataFrame, column: str = "tab_vector") -> DataFrame:
 def cluster_candidates(candidates: DataFrame, variances: tuple[float, ...] = VARIANCES, ks: tuple[int, ...] = KS, restarts: int = RESTARTS) -> tuple[DataFrame, DataFrame]:
     """(spot_id, cluster_id) and (sector_id, silhouette, n, variance, k): a grid of variances and k in each sector.
 
-    Sectors are few, and each one's fits are distributed. Rows without text take the nearest centroid of the tab vectors.
+    Sectors are few, and each one's fits are distributed. Rows without text take the nearest centroid of the tab vectors; those with
+    neither stay without a cluster.
     """
     found, scores = None, []
     spark = candidates.sparkSession
@@ -101,19 +107,20 @@ def cluster_candidates(candidates: DataFrame, variances: tuple[float, ...] = VAR
         out = best[0]
         if texts < n:
             means = centroids_of(mine.join(out, "spot_id").select("tab_vector", "cluster_id"))
-            out = out.unionByName(nearest_centroid(mine.where("nlp_vector is null"), means))
+            bare = mine.where("nlp_vector is null")
+            out = out.unionByName(nearest_centroid(bare, means)).unionByName(bare.where("tab_vector is null").select("spot_id", F.lit(None).cast("int").alias("cluster_id")))
         found = out if found is None else found.unionByName(out)
         scores.append((sector, float(best[1]), n, best[2], best[3]))
     return found, spark.createDataFrame(scores, "sector_id int, silhouette double, n long, variance double, k int")
 
 
 def score_models(candidates: DataFrame, models: dict[int, PipelineModel]) -> DataFrame:
-    """sector_id, silhouette, n of earlier models (vector column v -> cluster_id) on today's candidates; no model: null; one cluster: -1."""
+    """sector_id, silhouette, n of earlier models (vector column v -> cluster_id) on today's candidates, of which those without v are counted only; no model: null; one cluster: -1."""
     rows = []
     for sector in sorted(r[0] for r in candidates.select("sector_id").distinct().collect()):
         mine, s = candidates.where(F.col("sector_id") == sector), None
         if sector in models:
-            out = models[sector].transform(mine)
+            out = models[sector].transform(mine.where("v is not null"))
             many = out.select("cluster_id").distinct().count() > 1
             s = ClusteringEvaluator(featuresCol="v", predictionCol="cluster_id").evaluate(out) if many else -1.0
         rows.append((sector, s, mine.count()))

@@ -340,17 +340,17 @@ def pca_text(d):
 
 @query()
 def kmeans_grid(d):
-    out, _, k = cluster.kmeans_grid(d.vectors_sv, "nlp_vector", ks=(4, 8), restarts=2)
+    out, _, k = cluster.kmeans_grid(d.vectors_sv, "nlp_vector")
     return out.withColumn("k", F.lit(k))
 
 
 def sector_candidates(d):
-    return d.features_sv.where("is_candidate and sector_id in (9, 11)")
+    return d.features_sv.where("is_candidate")
 
 
 @query()
 def cluster_candidates(d):
-    out, _ = cluster.cluster_candidates(sector_candidates(d), variances=(0.8,), ks=(4,), restarts=1)
+    out, _ = cluster.cluster_candidates(sector_candidates(d))
     return out
 
 
@@ -376,12 +376,13 @@ def silhouette_exact(d):
 
 @query()
 def score_models(d):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
+    from pyspark.ml import PipelineModel
 
-    rows = sector_candidates(d).where("nlp_vector is not null").select("spot_id", "sector_id", array_to_vector(F.transform("nlp_vector", lambda x: x.cast("double"))).alias("v"))
-    model = Pipeline(stages=[KMeans(k=4, seed=0, featuresCol="v", predictionCol="cluster_id")]).fit(rows.where("sector_id = 9"))
-    return rounded(cluster.score_models(rows, {9: model}), "silhouette")
+    both = F.concat(F.coalesce(F.col("tab_vector").cast("array<double>"), F.array().cast("array<double>")), F.col("nlp_vector").cast("array<double>"))
+    rows = sector_candidates(d).select("spot_id", "sector_id", F.when(F.col("nlp_vector").isNotNull(), array_to_vector(both)).alias("v")).persist()
+    known = rows.where("v is not null")
+    models = {s: PipelineModel([cluster.kmeans(known.where(F.col("sector_id") == s), 4)]) for (s,) in known.select("sector_id").distinct().collect()}
+    return rounded(cluster.score_models(rows, models), "silhouette")
 
 
 SECTOR_SCORES = "t AS (SELECT sector_id, avg(CAST(spot_id % 10 AS DOUBLE)) / 10e0 AS silhouette, count(*) AS n FROM {candidates_sv} WHERE is_candidate GROUP BY 1)"

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from parcela.contract import ContractError
 from parcela.functions import parsing, text, vectors
 from parcela.functions.scoring import Params, price_factor, price_factors, similarity
 from parcela.operators import cascade, clean, cluster, features, gate, ingest, metrics, prep, radius
+from parcela.plans import registry, report_queries  # noqa: F401
 from parcela.sources import tables
 
 SPOT = "spot_id long, sector_id int, modality_mask int, latitude double, longitude double, tab_vector array<double>, nlp_vector array<double>, rent_price_sqm double, sale_price_sqm double, is_candidate boolean, cluster_id int"
@@ -154,3 +156,74 @@ def test_weighted_silhouette_and_promotion(spark):
     new = spark.createDataFrame([(1, 0.30), (2, 0.30), (3, 0.26), (4, 0.20)], "sector_id int, silhouette double")
     old = spark.createDataFrame([(2, 0.25), (3, 0.25), (4, 0.25)], "sector_id int, silhouette double")
     assert dict(values(cluster.promotion_report(new, old), "sector_id", "wins")) == {1: True, 2: True, 3: False, 4: False}
+
+
+def best_partitions(x, ks):
+    """For each k the partition of rows into k groups with the least squared distances, of all there are."""
+
+    def grown(n):
+        return [[0]] if n == 1 else [[*p, g] for p in grown(n - 1) for g in range(max(p) + 2)]
+
+    cost = lambda p: sum(((x[p == g] - x[p == g].mean(0)) ** 2).sum() for g in set(p.tolist()))
+    every = [np.array(p) for p in grown(len(x))]
+    return {k: min((p for p in every if p.max() + 1 == k), key=cost) for k in ks}
+
+
+def slow_silhouette(x, p):
+    far, out = ((x[:, None] - x[None]) ** 2).sum(2), []
+    for i, g in enumerate(p):
+        if (p == g).sum() == 1:
+            out.append(0.0)
+            continue
+        a, b = far[i][p == g].sum() / ((p == g).sum() - 1), min(far[i][p == h].mean() for h in set(p.tolist()) - {g})
+        out.append((b - a) / max(a, b))
+    return float(np.mean(out))
+
+
+def test_every_sector_is_clustered_as_by_brute_force(spark):
+    rng, rows, want = np.random.default_rng(5), [], {}
+    variances, ks = (0.6, 0.95), (2, 3)
+    for sector, groups in ((9, 2), (15, 3)):
+        of = np.arange(7) % groups
+        text = np.eye(4)[of] + rng.normal(0, 0.05, (7, 4))
+        tab = np.eye(3)[of] + rng.normal(0, 0.05, (7, 3)) if sector != 15 else np.zeros((7, 0))
+        best = None
+        for variance in variances:
+            centred = text - text.mean(0)
+            _, size, axes = np.linalg.svd(centred, full_matrices=False)
+            kept = int(np.searchsorted(np.cumsum(size**2) / (size**2).sum(), variance) + 1)
+            # The operator projects the centred rows.
+            pca = centred @ axes[:kept].T
+            x = np.hstack([tab, pca / np.linalg.norm(pca, axis=1, keepdims=True)])
+            chosen = max(((slow_silhouette(x, p), -k, p) for k, p in best_partitions(x, ks).items()), key=lambda c: c[:2])
+            s = slow_silhouette(np.hstack([tab, text]), chosen[2])
+            if best is None or s > best[0] + 1e-9:
+                best = (s, variance, -chosen[1], chosen[2])
+        want[sector] = best
+        for i in range(7):
+            rows.append((100 * sector + i, sector, None if sector == 15 else tab[i].tolist(), text[i].tolist()))
+    rows += [(950, 9, [0.0, 1.0, 0.0], None), (1550, 15, None, None)]
+    df = spark.createDataFrame(rows, "spot_id long, sector_id int, tab_vector array<double>, nlp_vector array<double>")
+    out, scores = cluster.cluster_candidates(df, variances, ks, 4)
+    got = dict(values(out, "spot_id", "cluster_id"))
+    assert len(got) == len(rows) == out.count() and got[1550] is None and got[950] == got[901]
+    for sector, s, n, variance, k in values(scores, "sector_id", "silhouette", "n", "variance", "k"):
+        wanted_s, wanted_variance, wanted_k, p = want[sector]
+        assert (n, k, variance) == (8, wanted_k, wanted_variance) and s == pytest.approx(wanted_s, abs=1e-3)
+        mine = [got[100 * sector + i] for i in range(7)]
+        assert len(set(zip(mine, p.tolist(), strict=True))) == k
+
+
+def test_cluster_queries_take_all_candidates_and_defaults(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(cluster, "kmeans_grid", lambda *a, **k: asked.update(kmeans_grid=(a, k)) or (a[0], None, 4))
+    monkeypatch.setattr(cluster, "cluster_candidates", lambda *a, **k: asked.update(cluster_candidates=(a, k)) or (a[0], None))
+    for name in ("cluster_candidates", "kmeans_grid"):
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert {r[0] for r in asked["cluster_candidates"][0][0].select("sector_id").distinct().collect()} == {9, 11, 12, 15}
+    assert [(len(a), k) for a, k in (asked["cluster_candidates"], asked["kmeans_grid"])] == [(1, {}), (2, {})]
+
+
+def test_models_of_all_sectors_are_scored(spark):
+    out = values(registry.QUERIES["score_models"](spark, "/root/testdata/sf0.001"), "sector_id", "silhouette", "n")
+    assert [(s, n) for s, _, n in sorted(out)] == [(9, 35), (11, 29), (12, 31), (15, 30)] and all(x is not None for _, x, _ in out)
