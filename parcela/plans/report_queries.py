@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcela.operators import audit, clean, cluster, features, gate, ingest, metrics, prep
 from parcela.plans.listing_queries import ANSWERS, P, folder, grouped, hav
-from parcela.plans.registry import query, rounded
+from parcela.plans.registry import over_whole, query, rounded
 from parcela.streaming import requests
 
 N = "CAST({0} AS BIGINT)"
@@ -153,7 +153,7 @@ MATRIX = "m AS (SELECT sector_id, intention, count(*) AS inventory FROM {blocks_
 
 
 def matrix(d):
-    return audit.partition_matrix(d.blocks_sv.where("spot_id % 4 <> 3 or spot_id < 30"))
+    return audit.partition_matrix(d.counted_sv)
 
 
 @query(f"WITH {MATRIX} SELECT sector_id, intention, CAST(inventory AS BIGINT) AS inventory, CAST(inventory - 1 AS BIGINT) AS max_candidates, inventory - 1 >= 10 AS viable, round(100e0 * inventory / (SELECT sum(inventory) FROM m), 4) AS pct_inventory FROM m")
@@ -465,3 +465,7 @@ def stream_weekly_clicks(d):
     return d.spark.read.parquet(f"{streamed(d, log, log.schema, start)}/out").select("run_id", "clicks", "clicks_in_benchmark")
 
 
+# Whole tables --------------------------------------------------------------------------------------------------------
+
+MATRIX_ALL = "m AS (SELECT sector_id, intention, count(*) AS inventory FROM {all_counted_sv} GROUP BY 1, 2)"
+over_whole(["partition_matrix", "inviable_partitions", "level1_coverage", "cascade_verdict"], "counted_sv", "all_counted_sv", MATRIX, MATRIX_ALL)

@@ -78,6 +78,10 @@ FROM {spots_sv} s LEFT JOIN {vectors_sv} v ON v.spot_id = s.spot_id""",
 SELECT spot_id, sector_id, 'Rent' AS intention, latitude, longitude, area_sqm, user_id, rent_price_sqm AS price, type_id <> 2 AS is_candidate FROM {spots_sv} WHERE modality IN ('Rent', 'Rent & Sale')
 UNION ALL
 SELECT spot_id, sector_id, 'Sale', latitude, longitude, area_sqm, user_id, sale_price_sqm, type_id <> 2 FROM {spots_sv} WHERE modality IN ('Sale', 'Rent & Sale')""",
+    "counted_sv": "SELECT * FROM {blocks_sv} WHERE spot_id % 4 <> 3 OR spot_id < 30",
+    "all_counted_sv": """
+SELECT spot_id, CAST(CASE WHEN spot_id < 10 THEN 13 ELSE sector_id END AS INT) AS sector_id, intention, latitude, longitude, area_sqm, user_id, price, is_candidate
+FROM {blocks_sv}""",
     "candidates_sv": "SELECT *, type_id <> 2 AS is_candidate FROM {spots_sv}",
 }
 

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from parcela.plans import listing_queries, registry, report_queries  # noqa: F401
+from parcela.plans.surrogates import Data
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -56,3 +57,10 @@ def test_stream_equals_batch(spark):
 def test_streamed_weeks_are_scored(spark):
     out = registry.QUERIES["stream_weekly_clicks"](spark, FOLDER).toPandas()
     assert (out["clicks_in_benchmark"] <= out["clicks"]).all()
+
+
+def test_whole_matrix_counts_every_row(spark):
+    rows_of = Data(spark, FOLDER).blocks_sv.count()
+    out = registry.QUERIES["whole_partition_matrix"](spark, FOLDER).toPandas()
+    assert out["inventory"].sum() == rows_of and {9, 11, 12, 15} <= set(out["sector_id"])
+    assert registry.QUERIES["whole_inviable_partitions"](spark, FOLDER).count() > 0
