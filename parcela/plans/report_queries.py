@@ -469,3 +469,7 @@ def stream_weekly_clicks(d):
 
 MATRIX_ALL = "m AS (SELECT sector_id, intention, count(*) AS inventory FROM {all_counted_sv} GROUP BY 1, 2)"
 over_whole(["partition_matrix", "inviable_partitions", "level1_coverage", "cascade_verdict"], "counted_sv", "all_counted_sv", MATRIX, MATRIX_ALL)
+over_whole(
+    ["src_benchmark", "sink_scores_csv", "recall_at_k", "ndcg_at_k", "benchmark_scores", "benchmark_summary", "weekly_scores", "production_ratio", "stream_weekly_clicks"],
+    "judgments_sv", "all_judgments_sv", "{judgments_sv}", "{all_judgments_sv}",
+)

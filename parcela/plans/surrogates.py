@@ -68,6 +68,10 @@ FROM {events}""",
 SELECT p_partkey AS spot_id, p_partkey + 4 * i AS recommended_spot_id,
   CAST(CASE WHEN p_partkey % 13 = 4 THEN 0 ELSE (p_partkey + i) % 4 END AS INT) AS relevance
 FROM {part} JOIN (VALUES (1), (2), (3), (5)) AS g(i) ON 1 = 1 WHERE p_partkey < 80 AND p_partkey % 4 <> 3""",
+    "all_judgments_sv": """
+SELECT p_partkey AS spot_id, p_partkey + 4 * i AS recommended_spot_id,
+  CAST(CASE WHEN p_partkey % 13 = 4 THEN 0 ELSE (p_partkey + i) % 4 END AS INT) AS relevance
+FROM {part} JOIN (VALUES (1), (2), (3), (5)) AS g(i) ON 1 = 1""",
     "features_sv": """
 SELECT s.spot_id, s.sector_id, s.modality_mask, s.latitude, s.longitude,
   CASE WHEN s.sector_id <> 15 THEN {list}((s.spot_id % 7) / 7e0 + 0.1e0, (s.spot_id % 11) / 11e0, (s.spot_id % 3) / 3e0) END AS tab_vector,

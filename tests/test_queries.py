@@ -64,3 +64,10 @@ def test_whole_matrix_counts_every_row(spark):
     out = registry.QUERIES["whole_partition_matrix"](spark, FOLDER).toPandas()
     assert out["inventory"].sum() == rows_of and {9, 11, 12, 15} <= set(out["sector_id"])
     assert registry.QUERIES["whole_inviable_partitions"](spark, FOLDER).count() > 0
+
+
+def test_whole_benchmark_judges_every_part(spark):
+    parts = spark.read.parquet(f"{FOLDER}/part.parquet").count()
+    assert registry.QUERIES["whole_src_benchmark"](spark, FOLDER).count() == 4 * parts
+    assert registry.QUERIES["whole_sink_scores_csv"](spark, FOLDER).count() == parts
+    assert registry.QUERIES["whole_benchmark_summary"](spark, FOLDER).first()["judged"] == parts
