@@ -184,6 +184,7 @@ def joins(ids: np.ndarray, comps: np.ndarray, rest: np.ndarray, sets: list[np.nd
         part[row[i:j], at[i:j] - lo] = 1
         both += part[rest] @ part.T
     out = []
+    both, size = both.astype(np.int64), size.astype(np.int64)  # counts are exact in float32, their multiples aren't
     for i, j in zip(*np.nonzero(linked(both, size[rest][:, None], size[None], percent)), strict=True):
         x, y = top(comps[rest[i]]), top(comps[j])
         if x != y:

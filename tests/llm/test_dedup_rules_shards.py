@@ -153,3 +153,15 @@ def test_shards_of_few_rows(spark):
     assert sharding.shard(spark.createDataFrame([], DOCS)).count() == 0
     same = sharding.shard(spark.createDataFrame([(1, "a", "", 0, 0)] * 5, DOCS), 2).collect()
     assert sorted((r.shard, r.slot) for r in same) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)] or len(same) == 5
+
+
+def test_links_of_large_sets_are_exact():
+    """Two sets that miss the threshold by one part: in float32 both sides are the same number."""
+    both = next(n for n in range(200_000, 201_000) if (177 * n + 1) % 77 == 0 and np.float32(100 * n) == np.float32(100 * n + 1))
+    every = (177 * both + 1) // 77
+    left = every // 2
+    x, y = np.arange(left, dtype=np.uint64), np.arange(left - both, every - both, dtype=np.uint64)
+    assert len(np.intersect1d(x, y)) == both and 100 * both == 77 * (every - both) - 1
+    ids = np.array([1, 2])
+    assert neardup.joins(ids, ids, np.array([0]), [x, y], 77) == []
+    assert neardup.joins(ids, ids, np.array([0]), [x, np.arange(left, dtype=np.uint64)], 77) == [(1, 2)]
