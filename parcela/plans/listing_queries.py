@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from parcela import contract
@@ -11,17 +9,15 @@ from parcela.contract import Field
 from parcela.functions import geo, parsing, scoring, text, vectors
 from parcela.operators import cascade, clean, features, gate, ingest, metrics, prep, radius
 from parcela.plans.registry import query, rounded
+from parcela.session import new_folder
 from parcela.sources import tables
 
 P = scoring.Params(min_candidates=10)
 
 
 def folder(d) -> str:
-    """A new folder where all executors can write: below the session's checkpoint folder, or a temporary one."""
-    base = d.spark.sparkContext.getCheckpointDir() or d.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    from uuid import uuid4
-
-    return f"{base}/{uuid4().hex}"
+    """A new folder where all executors can write."""
+    return new_folder(d.spark)
 
 
 # Sources and sinks ---------------------------------------------------------------------------------------------------
