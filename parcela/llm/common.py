@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.session import importable
+from parcela.session import cut, importable
 
-#: Rows of one Arrow batch sent to Python; long documents make batches of many bytes.
-BATCH_ROWS = 500
+__all__ = ["cut"]
+
+#: Rows and bytes of one Arrow batch sent to Python, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,21 +41,10 @@ def filtered(docs: DataFrame, judged: Callable[..., DataFrame], condition: str)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that a worker's memory doesn't follow the length of texts; and let workers find the package."""
+    """Bounds Arrow batches, so that a worker's memory follows neither the number nor the length of texts; and lets workers find the package."""
     importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the cluster's shared checkpoint folder and forget the lineage.
-
-    The folder is the one that the session names in spark.checkpoint.dir; only where that
-    is unset (tests) a temporary one is taken.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ck-"))
-    return df.checkpoint(eager=True)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def buckets(spark: SparkSession) -> int:

@@ -42,27 +42,41 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Settings of a file under which its ids are those of merging by rank within the pattern's matches.
+PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def by_rank(whole: dict) -> bool:
+    """Whether a file of the tokenizers library has these settings and its merges stand in the order of the ids that they make."""
+    model, split = whole["model"], whole.get("pre_tokenizer") or {}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    plain = whole.get("normalizer") is None and all(split.get(k) == v for k, v in PLAIN_SPLIT.items()) and all(model.get(k, v) in (v, "" if v is None else v) for k, v in PLAIN_MODEL.items())
+    return plain and all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str):
-    """text -> ids of a byte-level BPE in the JSON format of the tokenizers library, special strings taken as text.
+    """text -> ids that the tokenizers library gives for a byte-level BPE in its JSON format, without adding special tokens.
 
-    If the file's merges stand in the order of the ids that they make, its ids are those that
-    tiktoken's merging by rank gives (3.5 times as fast); otherwise tokenizers itself is used.
+    A file that merges by rank is executed by tiktoken (3.5 times as fast); a text that holds one of the
+    file's added tokens, such as the end mark, or another file goes to tokenizers itself.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    if all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
-        symbol = byte_symbols()
-        ranks = {bytes(symbol[c] for c in token): i for token, i in vocab.items() if i < 256 + len(merges)}
-        coder = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: bpe.encode(coder, text)
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    return lambda text: whole.encode(text, add_special_tokens=False).ids
+    library = Tokenizer.from_file(path)
+    slow = lambda text: library.encode(text, add_special_tokens=False).ids
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    if not by_rank(whole):
+        return slow
+    vocab, n = whole["model"]["vocab"], 256 + len(whole["model"]["merges"])
+    symbol = byte_symbols()
+    ranks = {bytes(symbol[c] for c in token): i for token, i in vocab.items() if i < n}
+    coder = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    added = [t["content"] for t in whole.get("added_tokens", ())]
+    return lambda text: slow(text) if any(t in text for t in added) else bpe.encode(coder, text)
 
 
 def tokenised(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:

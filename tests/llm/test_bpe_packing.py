@@ -1,4 +1,5 @@
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -16,17 +17,31 @@ DOCS = "doc_id long, text string, ids string, size long"
 
 @pytest.fixture(scope="module")
 def whole():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
-def test_both_libraries_give_the_same_ids(text):
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    assert packing.encoder(JSON, PATTERN)(text) == t.encode(text, add_special_tokens=False).ids == bpe.encode(bpe.encoding(RANKS, PATTERN), text)
+def test_both_libraries_give_the_same_ids(whole, text):
+    assert packing.encoder(JSON, PATTERN)(text) == whole.encode(text, add_special_tokens=False).ids == bpe.encode(bpe.encoding(RANKS, PATTERN), text)
+
+
+def test_the_end_mark_is_one_id_as_in_the_library(whole):
+    text = "a<|endoftext|> b <|endoftext|>"
+    ids = packing.encoder(JSON, PATTERN)(text)
+    assert ids == whole.encode(text, add_special_tokens=False).ids and ids.count(50256) == 2
+
+
+def test_files_with_other_settings_go_to_the_library(tmp_path):
+    with open(JSON, encoding="utf-8") as f:
+        raw = json.load(f)
+    assert packing.by_rank(raw)
+    for key, value in (("normalizer", {"type": "Lowercase"}), ("pre_tokenizer", raw["pre_tokenizer"] | {"add_prefix_space": True}), ("model", raw["model"] | {"ignore_merges": True})):
+        other = raw | {key: value}
+        assert not packing.by_rank(other)
+        path = tmp_path / f"{key}.json"
+        path.write_text(json.dumps(other), encoding="utf-8")
+        assert packing.encoder(str(path), PATTERN)("Some WORDS") == Tokenizer.from_file(str(path)).encode("Some WORDS", add_special_tokens=False).ids
 
 
 def test_cutting_long_texts_changes_nothing(monkeypatch):
@@ -110,7 +125,7 @@ def check_packing(rows, out, whole, capacity):
 
 
 def test_pack_of_odd_rows(spark, whole):
-    rows = [(i, "word " * (i * 7 % 50), "c", 1) for i in range(60)] + [(7, "word " * 49, "c", 1), (7, "word " * 49, "c", 1), (None, None, None, None), (99, "long text " * 300, "", 0), (100, "", "", 0)]
+    rows = [(i, "word " * (i * 7 % 50), "c", 1) for i in range(60)] + [(7, "word " * 49, "c", 1), (7, "word " * 49, "c", 1), (None, None, None, None), (99, "long text " * 300, "", 0), (100, "", "", 0), (101, "an <|endoftext|> within", "", 0), (102, "<|endoftext|>" * 3, "", 0)]
     out = packing.pack(spark.createDataFrame(rows, DOCS), JSON, PATTERN, capacity=64, keep_ids=True).collect()
     check_packing(rows, out, whole, 64)
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in out)
