@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from parcela.llm.common import mix, slices, texts_of
 
-SAMPLE = 2000
-DIMENSIONS = 2048
+SAMPLE = 2400
+DIMENSIONS = 4096
 AMBIGUOUS = 0.02
 
 
@@ -117,18 +117,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     def features(batches):
         for b in batches:
-            x, has = grams(list(b["text"]))
-            yield pd.DataFrame({"lang": b["lang"][has], "x": [r.astype(np.float16).tobytes() for r in x[has]]})
+            for lo, hi in slices(list(b["text"]), 1 << 20):
+                x, has = grams(list(b["text"][lo:hi]))
+                at = [np.flatnonzero(r) for r in x[has]]
+                yield pd.DataFrame({"lang": b["lang"][lo:hi][has], "at": [a.astype("<u2").tobytes() for a in at], "x": [r[a].astype(np.float16).tobytes() for r, a in zip(x[has], at, strict=True)]})
 
-    rows = drawn.select("lang", "text").mapInPandas(features, "lang string, x binary").orderBy("x", "lang").collect()  # `sample` rows (expected)
+    rows = drawn.select("lang", "text").mapInPandas(features, "lang string, at binary, x binary").orderBy("at", "x", "lang").collect()  # `sample` rows (expected), what isn't 0 of each
     if not rows:
         return Model([], np.empty((0, 0)), np.empty((0, 0)), np.empty(0), np.empty((0, 0)))
     languages = sorted({r["lang"] for r in rows})
     code = codewords(len(languages))
     of = np.array([languages.index(r["lang"]) for r in rows])
-    x = np.empty((len(rows), DIMENSIONS), np.float32)
-    for i in range(len(rows)):
-        x[i] = np.frombuffer(rows[i]["x"], np.float16)
+    x = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["x"], np.float16)
     del rows
     w, b = fit_bits(x, code[of].astype(np.float32))
     right = (x @ w + b) * code[of] > 0
