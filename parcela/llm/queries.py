@@ -64,7 +64,7 @@ FROM h
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels").withColumnRenamed("toxic", "grade")))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

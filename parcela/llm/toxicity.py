@@ -1,21 +1,25 @@
 """Toxicity by cumulative-link ordinal regression on sparse word features.
 
-Severity has the grades 0 (not toxic), 1 and 2. The labels tell only toxic or not; a toxic document
-gets grade 2 if it holds more words that mark toxic documents than the median toxic one that holds any.
-The model is P(grade <= k) = 1 / (1 + exp(x.w - t_k)): one vector of weights for both thresholds
-t_0 < t_1. A document's expected severity is the sum of P(grade >= k). It is toxic if P(grade >= 1) >= 0.5.
+Severity has the grades 0 (not toxic), 1, .. K that the labels give, as ordered integers. The model is
+P(grade <= k) = 1 / (1 + exp(x.w - t_k)): one vector of weights for all thresholds t_0 < .. < t_(K-1). A
+document's expected severity is the sum of P(grade >= k). It is toxic if P(grade >= 1) >= 0.5.
+
+Labels that tell only toxic or not say nothing of severity. Then the extent is graded: a toxic document is
+graded 2 if two or more of its passages (PASSAGE words each) are toxic by a model of the other half of the
+labelled documents, else 1. So no document's grade comes from a model that saw it; the scale says how much
+of a document is toxic, not how bad a single passage is.
 
 Words are runs of letters, A-Z in lower case. Features are the words and stems (a word's first 4 to 8 bytes, so
-that inflected words are met) that differ most between the classes (z-score of the share of documents
-that hold them), each as 1 + log(count).
+that inflected words are met) whose shares of documents differ between toxic and other ones by LEAST_Z standard errors: at
+5, one in a million words that mean nothing. Each counts as 1 + log(count).
 
-The fit takes a bounded sample of labelled documents: SAMPLE of each class (expected), drawn by a
-hash of the id and weighted back to the classes' shares. Texts that occur more than once count once.
+The fit takes a bounded sample of labelled documents: SAMPLE toxic and SAMPLE other ones (expected), drawn by a
+hash of the id and weighted back to their shares. Texts that occur more than once count once.
 Everything else works on whole texts of all documents.
 
 Defined cases: a null text is empty; a text without words has the severity that the thresholds alone
-give; without labels of both classes nothing is toxic and the severity is 0; several labels of one id:
-the most toxic counts; labels null or of absent documents are ignored; rows that repeat are each
+give; without labels of toxic and of other documents nothing is toxic and the severity is 0; several labels of one id:
+the most severe counts; labels null or of absent documents are ignored; rows that repeat are each
 scored; an empty table gives no rows; other columns are ignored.
 """
 
@@ -31,9 +35,9 @@ from pyspark.sql import functions as F
 from parcela.llm.common import cut, slices, texts_of, utf8, words_and_stems
 
 SAMPLE = 3000
-FEATURES, LEAST_DOCS, LEAST_Z = 512, 5, 5.0
+LEAST_DOCS, LEAST_Z = 5, 5.0
 STEMS = (4, 5, 6, 7, 8)
-GRADES = 3
+PASSAGE = 24
 
 #: Bytes that aren't part of a word: ASCII but for letters.
 APART = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
@@ -48,17 +52,18 @@ class Model:
     def grades(self, x: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, .. of each row of scores."""
         if not len(self.thresholds):
-            return np.zeros((len(x), GRADES - 1))
+            return np.zeros((len(x), 1))
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - x[:, None], -50, 50)))
 
 
-def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words and stems, and the text that each is in."""
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all words and stems, the text that each is in, and the passage of that text."""
     data, starts = utf8(texts)
     hashes, counts, heads = words_and_stems(np.where(APART[data], np.uint8(0x20), data), starts, STEMS)
     row = np.repeat(np.arange(len(texts)), counts)
+    passage = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) // PASSAGE
     some = [h != 0 for h in heads]
-    return np.concatenate([hashes, *[h[k] for h, k in zip(heads, some, strict=True)]]), np.concatenate([row, *[row[k] for k in some]])
+    return tuple(np.concatenate([x, *[h[k] if x is hashes else x[k] for h, k in zip(heads, some, strict=True)]]) for x in (hashes, row, passage))
 
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, l2: float = 1e-5, steps: int = 1000, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +93,27 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, l2: float
     return p[:n], p[n] + np.concatenate([[0.0], np.cumsum(np.exp(p[n + 1 :]))])
 
 
+def damped(times: np.ndarray) -> np.ndarray:
+    return np.where(times > 0, 1 + np.log(np.maximum(times, 1)), 0).astype(np.float32)
+
+
+def extents(times: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """How many passages of each document are toxic by a model of the other half of the documents. times: a document's features by passage."""
+    x, half, out = damped(np.array([t.sum(0) for t in times])), np.arange(len(times)) % 2, np.zeros(len(times), np.int64)
+    for h in (0, 1):
+        learn = half != h
+        if len({*toxic[learn].tolist()}) < 2:
+            continue
+        w, t = fit_ordinal(x[learn], toxic[learn], weight[learn])
+        for i in np.flatnonzero((half == h) & (toxic > 0)):
+            out[i] = (damped(times[i]) @ w >= t[0]).sum()
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """labels: doc_id, toxic (0 or 1)."""
+    """labels: doc_id, grade (0 for documents that aren't toxic, and 1, 2, .. by severity; if none is above 1, the extent is graded)."""
     nothing = Model(np.empty(0, np.uint64), np.empty(0), np.empty(0))
-    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.where("doc_id is not null and grade >= 0").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("grade").cast("int").alias("grade")).withColumn("toxic", (F.col("grade") > 0).cast("int"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not {0, 1} <= {*sizes}:
         return nothing
@@ -101,13 +123,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def hashed(batches):
         for b in batches:
             for lo, hi in slices(list(b["text"])):
-                hashes, row = letters(list(b["text"][lo:hi]))
+                hashes, row, passage = letters(list(b["text"][lo:hi]))
                 order = np.lexsort((hashes, row))
-                ends = np.searchsorted(row[order], np.arange(hi - lo + 1))
-                yield pd.DataFrame({"toxic": b["toxic"][lo:hi], "hashes": np.split(hashes[order].view(np.int64), ends[1:-1])})
+                ends = np.searchsorted(row[order], np.arange(hi - lo + 1))[1:-1]
+                yield pd.DataFrame({"i": b["i"][lo:hi], "grade": b["grade"][lo:hi], "hashes": np.split(hashes[order].view(np.int64), ends), "passages": np.split(passage[order], ends)})
 
-    texts = texts_of(docs).join(F.broadcast(drawn), "doc_id").groupBy(F.xxhash64("text"), "text").agg(F.max("toxic").alias("toxic"))
-    found = cut(texts.select("toxic", "text").mapInPandas(hashed, "toxic int, hashes array<long>"))
+    texts = texts_of(docs).join(F.broadcast(drawn), "doc_id").groupBy(F.xxhash64("text").alias("i"), "text").agg(F.max("grade").alias("grade"))
+    found = cut(texts.select("i", "grade", "text").mapInPandas(hashed, "i long, grade int, hashes array<long>, passages array<long>").withColumn("toxic", (F.col("grade") > 0).cast("int")))
     have = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not {0, 1} <= {*have}:
         return nothing
@@ -115,24 +137,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     a, b, n1, n0 = F.col("a") / have[1], F.col("b") / have[0], float(have[1]), float(have[0])
     mean = (F.col("a") + F.col("b") + 1) / (n1 + n0 + 2)
     z = (a - b) / F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0))
-    best = seen.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "h").limit(FEATURES).collect()
-    z_of = {np.int64(r["h"]).view(np.uint64): r["z"] for r in best}
-    features = np.array(sorted(z_of), np.uint64)
-    marks = np.array([z_of[h] > 0 for h in features], bool)
-    columns = F.array(*[F.lit(int(h.view(np.int64))).cast("long") for h in features]) if len(features) else F.array().cast("array<long>")
-    rows = found.select("toxic", F.filter("hashes", lambda h: F.array_contains(columns, h)).alias("hashes")).collect()  # the sample's chosen features
-    x = np.zeros((len(rows), len(features)), np.float32)
-    for i, r in enumerate(rows):
-        np.add.at(x[i], np.searchsorted(features, np.array(r["hashes"], np.int64).view(np.uint64)), 1)
-    toxic = np.array([r["toxic"] for r in rows])
-    held = x[:, marks].sum(1)
-    some = held[(toxic == 1) & (held > 0)]
-    grade = np.where(toxic == 1, np.where(held > (np.median(some) if len(some) else np.inf), 2, 1), 0)
-    if not (grade == 2).any():
-        grade = np.minimum(grade, 1)
+    # Of the words of a bounded sample those that mark a class; as an array in a row it is joined without a copy in the plan.
+    marks = cut(seen.where(F.abs(z) >= LEAST_Z).agg(F.sort_array(F.collect_list("h")).alias("marks")))
+    features = np.sort(np.array(marks.first()["marks"], np.int64).view(np.uint64))
+    table = F.broadcast(marks.select(F.explode("marks").alias("h")))
+    each = found.select("i", F.explode(F.arrays_zip("hashes", "passages")).alias("e")).select("i", F.col("e.hashes").alias("h"), F.col("e.passages").alias("p"))
+    met = each.join(table, "h").groupBy("i").agg(F.collect_list("h").alias("hashes"), F.collect_list("p").alias("passages"))
+    rows = found.select("i", "grade").join(met, "i", "left").orderBy("i").collect()  # the sample's chosen features
+    times = []
+    for r in rows:
+        names, of = np.unique(np.array(r["passages"] or [0], np.int64), return_inverse=True)
+        t = np.zeros((len(names), len(features)), np.float32)
+        if r["hashes"]:
+            np.add.at(t, (of, np.searchsorted(features, np.array(r["hashes"], np.int64).view(np.uint64))), 1)
+        times.append(t)
+    grade = np.array([r["grade"] for r in rows])
     del rows
-    x[x > 0] = 1 + np.log(x[x > 0])
-    w, t = fit_ordinal(x, grade, np.where(toxic == 1, sizes[1] / have[1], sizes[0] / have[0]))
+    toxic = (grade > 0).astype(np.int64)
+    weight = np.where(toxic, sizes[1] / have[1], sizes[0] / have[0])
+    if grade.max() == 1:
+        grade = toxic + (extents(times, toxic, weight) >= 2)
+    _, grade = np.unique(grade, return_inverse=True)  # a grade that no drawn document has needs no threshold
+    w, t = fit_ordinal(damped(np.array([t.sum(0) for t in times])), grade, weight)
     return Model(features, w, t)
 
 
@@ -146,14 +172,14 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 part = b.iloc[lo:hi]
                 x = np.zeros(len(part))
                 if len(model.features):
-                    hashes, row = letters(list(part["text"]))
+                    hashes, row, _ = letters(list(part["text"]))
                     at = np.minimum(np.searchsorted(model.features, hashes), len(model.features) - 1)
                     hit = np.flatnonzero(model.features[at] == hashes)
                     cell, times = np.unique(row[hit] * len(model.features) + at[hit], return_counts=True)
                     np.add.at(x, cell // len(model.features), (1 + np.log(times)) * model.weights[cell % len(model.features)])
                 p = model.grades(x)
                 each = -np.diff(np.hstack([np.ones((len(p), 1)), p, np.zeros((len(p), 1))]), axis=1)
-                yield (part if "text" in keep else part.drop(columns="text")).assign(severity=p.sum(1), grade=each.argmax(1).astype(np.int32), p_toxic=p[:, 0] if p.shape[1] else 0.0, toxic=p[:, 0] >= 0.5)
+                yield (part if "text" in keep else part.drop(columns="text")).assign(severity=p.sum(1), grade=each.argmax(1).astype(np.int32), p_toxic=p[:, 0], toxic=p[:, 0] >= 0.5)
 
     kept = "".join(f"{c} {types[c]}, " for c in keep)
     return texts_of(docs, *keep).mapInPandas(run, f"doc_id long, {kept}severity double, grade int, p_toxic double, toxic boolean")

@@ -192,7 +192,7 @@ def test_toxic_documents_are_found(spark):
         rows.append((i, " ".join(words), "en", "", ""))
         labels.append((i, int(bad)))
     docs = spark.createDataFrame(rows + [(1000, None, "", "", ""), (None, "vile nasty", "", "", "")], DOCS)
-    model = toxicity.fit(docs, spark.createDataFrame(labels + [(5000, 1), (None, 1), (7, None)], "doc_id long, toxic int"))
+    model = toxicity.fit(docs, spark.createDataFrame(labels + [(5000, 1), (None, 1), (7, None)], "doc_id long, grade int"))
     out = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert all(out[i].toxic == (i % 8 == 0) for i in range(400)) and not out[1000].toxic and out[None].toxic
     assert all(0 <= r.severity <= 2 for r in out.values()) and max(r.grade for r in out.values()) == 2
@@ -200,10 +200,78 @@ def test_toxic_documents_are_found(spark):
     assert many.severity > few.severity
 
 
+def test_grades_of_the_labels_are_learned_as_they_are(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(300):
+        grade = i % 4
+        words = [f"word{rng.randrange(100)}" for _ in range(30)] + ["awful"] * (2 * grade)
+        rows.append((i, " ".join(words), "", "", ""))
+        labels.append((i, grade))
+    docs = spark.createDataFrame(rows, DOCS)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, grade int"))
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
+    out = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert np.mean([out[i].grade == i % 4 for i in range(300)]) > 0.95
+    assert np.mean([abs(out[i].severity - i % 4) < 0.5 for i in range(300)]) > 0.95
+
+
+def test_extent_comes_from_the_other_half():
+    rng = np.random.default_rng(5)
+    times, toxic = [], np.arange(400) % 4 // 2
+    for k in toxic:
+        n = int(rng.integers(1, 4)) if k else 0
+        times.append(np.array([[1.0, rng.integers(0, 2)]] * n + [[0.0, rng.integers(0, 2)]] * 3))
+    out = toxicity.extents(times, toxic, np.ones(400))
+    assert [int(x) for x in out] == [int(t[:, 0].sum()) if k else 0 for t, k in zip(times, toxic, strict=True)]
+
+
+def slow_severity(text, model):
+    """By loops over the words of one text."""
+    index, times = {int(h): i for i, h in enumerate(model.features)}, Counter()
+    for w in re.findall(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text):
+        data = w.translate(LOWER).encode()
+        times[int(common.words(*common.utf8([w]))[0][0])] += 1
+        for n in toxicity.STEMS:
+            if len(data) > n:  # a stem's hash is that of any longer word with the same beginning
+                times[int(common.words_and_stems(*common.utf8([data[:n].decode(errors="surrogateescape") + "x"]), (n,))[2][0][0])] += 1
+    x = sum((1 + math.log(k)) * float(model.weights[index[h]]) for h, k in times.items() if h in index)
+    return [1 / (1 + math.exp(t - x)) for t in model.thresholds]
+
+
+def test_severity_equals_a_slow_version(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["nasty", "Nastier", "calm", "calmly", "x1y", "vile!", "a-b"]) for _ in range(rng.randint(0, 60))), "", "", "") for i in range(120)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int("vile" in t)) for i, t, *_ in rows], "doc_id long, grade int"))
+    assert len(model.features)
+    for r in toxicity.score(docs, model).collect():
+        p = slow_severity(rows[r.doc_id][1], model)
+        assert r.severity == pytest.approx(sum(p), abs=1e-4) and r.p_toxic == pytest.approx(p[0], abs=1e-4) and r.toxic == (p[0] >= 0.5)
+
+
+def test_language_equals_a_slow_version(spark):
+    rng = random.Random(10)
+    rows = [(i, language(rng, VOCABULARY[k], 12), k, "", "") for i, k in enumerate(list(VOCABULARY) * 30)] + [(900, "le und the 12", None, "", "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.fit(docs)
+    for r in langid.predict(docs, model, "text").collect():
+        out = langid.grams([r.text])[0][0] @ model.weights + model.bias
+        loss = [sum(math.exp(-out[b] * model.code[k, b]) * model.trust[k, b] for b in range(model.code.shape[1])) for k in range(len(model.languages))]
+        best, second = sorted(loss)[:2]
+        assert r.lang_pred == model.languages[loss.index(best)] and r.score == pytest.approx((second - best) / (second + best), abs=1e-4)
+
+
+def test_toxicity_of_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "vile " * 3, "", "", ""), (2, "calm " * 3, "", "", ""), (3, "calm " * 400_000 + "vile vile vile", "", "", "")], DOCS)
+    model = toxicity.Model(np.sort(common.words(*common.utf8(["vile"]))[0]), np.array([5.0]), np.array([4.0]))
+    assert {r.doc_id: r.toxic for r in toxicity.score(docs, model).collect()} == {1: True, 2: False, 3: True}
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b c", "", "", "")], DOCS)
-    for labels in ([], [(1, 0)], [(1, 1)]):
-        model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for labels in ([], [(1, 0)], [(1, 1)], [(1, None)]):
+        model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, grade int"))
         r = toxicity.score(docs, model).first()
         assert not r.toxic and r.severity == 0
     assert toxicity.score(spark.createDataFrame([], DOCS), model).count() == 0
@@ -253,6 +321,12 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     clean = op7_toxicity(spark, folder).join(labels, "doc_id").where("label = 0").select("toxic").collect()
     assert sum(r.toxic for r in clean) <= 0.02 * len(clean)
+    texts = spark.read.parquet(f"{folder}/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit(texts, labels.where(~fold).withColumnRenamed("label", "grade"))
+    told = toxicity.score(texts.where(fold), model).join(labels, "doc_id").select("toxic", "label").collect()
+    caught, bad = sum(r.toxic for r in told if r.label), sum(r.label for r in told)
+    assert caught >= 0.5 * bad and sum(r.toxic for r in told if not r.label) <= 0.03 * len(told)
 
 
 def test_remainders_are_those_of_zlib(spark):
