@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic, by a model of the labels."""
     common.small_batches(spark)
-    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels").withColumnRenamed("toxic", "grade"))
     return common.filtered(docs, lambda d, *keep: toxicity.score(d, model, *keep), "not toxic")
 
 
