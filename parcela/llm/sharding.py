@@ -1,11 +1,13 @@
 """Sharding by sampled splitters, DataFrame functions only.
 
-Records are ordered by a key: the hash of their text, then their id, so equal texts lie together.
-A size-weighted sample of keys gives quantile boundaries that deal the records into ranges;
-an exact sum for each range then shows which ranges hold more than their shard's rest, and those
+Records are ordered by a key: the hash of their text, then their id, then a number of the row, so equal texts lie
+together and no two keys are equal. Size-weighted samples of keys give quantile boundaries on two levels that deal
+the records into ranges; exact sums of the ranges then show which ones hold more than their shard's rest, and those
 are subdivided at the record where the shard is full. Shards thus differ by about one record's
 size (law `bytes`), while no task ever holds more than one range.
 
+The driver gets the coarse splitters and one sum for each coarse range, which grow with the root of the ranges.
+
 Defined cases: a null text has no bytes, so its row has size 8 and the checksum of nothing, 0;
 null ids sort first; rows that repeat get slots of their own; an empty table gives no rows; other
 columns of the input are ignored.
@@ -13,36 +15,18 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
-from math import isqrt
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcela.llm.common import cut
+from parcela.llm.splitters import RANGE, SAMPLES, ranged, with_before
 
 #: Bytes that a row costs beside its text.
 OVERHEAD = 8
-#: Keys drawn for each range (expected).
-SAMPLES = 24
 #: Rows to which a range is aimed, and the fewest ranges for each shard.
 RANGE_ROWS, RANGES_PER_SHARD = 500_000, 8
 
 
-def position(bounds: list[tuple[int, int]], *key: Column) -> Column:
-    """How many bounds are less than or equal to the key, by a search of two levels (about 2 * sqrt(n) comparisons)."""
-    if not bounds:
-        return F.lit(0)
-    step = isqrt(len(bounds)) + 1
-    here = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)])
-    rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    as_struct = lambda b: F.struct(*[F.lit(v).cast("long").alias(f"k{i}") for i, v in enumerate(b)])
-    heads = F.array(*[as_struct(r[0]) for r in rows])
-    table = F.array(*[F.array(*[as_struct(b) for b in r]) for r in rows])
-    row = F.size(F.filter(heads, lambda b: b <= here))
-    within = F.size(F.filter(F.element_at(table, row), lambda b: b <= here))
-    return F.when(row == 0, 0).otherwise((row - 1) * step + within).cast("int")
-
-
 def shard(docs: DataFrame, shards: int = 24, range_rows: int = RANGE_ROWS, samples: int = SAMPLES) -> DataFrame:
     """doc_id, size, text_crc32, shard (0 to shards - 1) and slot (place in the shard, gapless from 0)."""
     slim = cut(
@@ -52,35 +36,20 @@ def shard(docs: DataFrame, shards: int = 24, range_rows: int = RANGE_ROWS, sampl
             F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
             F.xxhash64("text").alias("k0"),
             F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"),
+            F.monotonically_increasing_id().alias("k2"),
         )
     )
     rows, total = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(RANGES_PER_SHARD * shards, -(-rows // range_rows))
-    # A row is drawn with a chance in proportion to its size; the draw hangs on the row alone.
-    weight = F.col("size") * F.lit(samples * ranges / max(total, 1))
-    draw = F.pmod(F.xxhash64("k1", "k0", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = slim.where(draw < weight).select("k0", "k1", F.greatest(weight, F.lit(1.0)).alias("weight")).collect()
-    bounds, held, every = [], 0.0, sum(r.weight for r in drawn) / ranges
-    for r in sorted(drawn):
-        held += r.weight
-        if held >= every and (not bounds or bounds[-1] != (r.k0, r.k1)):
-            bounds.append((r.k0, r.k1))
-            held = 0.0
-    dealt = slim.withColumn("range", position(bounds, F.col("k0"), F.col("k1")))
-    before, at = [0] * (len(bounds) + 1), 0
-    for r in sorted(dealt.groupBy("range").agg(F.sum("size").alias("bytes")).collect()):  # one row for each range
-        before[r["range"]] = at
-        at += r["bytes"]
-    offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("range") + 1)
-    inside = Window.partitionBy("range").orderBy("k0", "k1", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = offset + F.sum("size").over(inside) - F.col("size") / 2
-    placed = cut(
-        dealt.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(float(max(total, 1))))).cast("int"))
-        .withColumn("place", F.row_number().over(inside))
-        .drop("k0", "k1")
-    )
+    dealt = ranged(slim, ["k0", "k1", "k2"], F.col("size") * F.lit(ranges / max(total, 1)), ranges, samples)
+    inside = Window.partitionBy(*RANGE).orderBy("k0", "k1", "k2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lined = cut(dealt.withColumn("reach", F.sum("size").over(inside)).withColumn("place", F.row_number().over(inside)).drop("k0", "k1", "k2"))
+    sums = lined.groupBy(*RANGE).agg(F.sum("size").alias("bytes"))
+    offsets = with_before(sums, "bytes", "offset").drop("bytes")
+    middle = F.col("offset") + F.col("reach") - F.col("size") / 2
+    placed = lined.join(offsets, RANGE).withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(float(max(total, 1))))).cast("int"))
     # How many rows of the shard the ranges before hold, and where in its range a shard begins: a row for each range and one more for each cut.
-    parts = placed.groupBy("range", "shard").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    earlier = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = parts.select("range", "shard", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
-    return placed.join(F.broadcast(shift), ["range", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("place") + F.col("shift")).alias("slot"))
+    parts = placed.groupBy(*RANGE, "shard").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    ahead = Window.partitionBy("shard").orderBy(*RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    shift = parts.select(*RANGE, "shard", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first")).alias("shift"))
+    return placed.join(shift, [*RANGE, "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("place") + F.col("shift")).alias("slot"))

@@ -115,6 +115,16 @@ def test_rules_equal_brute_force(spark, monkeypatch):
         assert got[i] == slow_verdict(u, rules), u
 
 
+def test_deeply_nested_rules_and_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(urlrules, "RANGE_KEYS", 7)
+    rules = [("net", "/" + "a/" * k, "block" if k % 2 else "allow") for k in range(30)] + [("x.net", "/a/a/", "block")]
+    urls = [f"http://{h}/{'a/' * k}{e}" for h in ("net", "x.net", "y.net") for k in range(35) for e in ("", "b")]
+    urls += [f"http://h{i}.net/a/" for i in range(300)] + ["http://net/" + "long/" * 20_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlrules.judge(pages, urlrules.rule_table(spark, rules)).collect()}
+    assert all(got[i] == slow_verdict(u, rules) for i, u in enumerate(urls)) and len(got) == len(urls)
+
+
 def test_rules_of_odd_tables(spark):
     pages, rules = "page_id long, url string", "host string, path string, verdict string"
     assert urlrules.judge(spark.createDataFrame([], pages), spark.createDataFrame([("net", "/", "block")], rules)).count() == 0
@@ -152,8 +162,31 @@ def test_shards_are_near_equal_and_gapless(spark, range_rows):
 def test_shards_of_few_rows(spark):
     assert sharding.shard(spark.createDataFrame([], DOCS)).count() == 0
     same = sharding.shard(spark.createDataFrame([(1, "a", "", 0, 0)] * 5, DOCS), 2).collect()
-    assert sorted((r.shard, r.slot) for r in same) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)] or len(same) == 5
+    held = sorted((r.shard, r.slot) for r in same)
+    assert held in ([(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)], [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)])
+
+
+def slow_law(rows, shards):
+    """The law `bytes`: in the order of the shards' records each one goes where the middle of its bytes lies."""
+    total, at, out = sum(r.size for r in rows), 0, []
+    for r in rows:
+        out.append(min(shards - 1, int((at + r.size / 2) * shards / total)))
+        at += r.size
+    return out
+
 
+@pytest.mark.parametrize("range_rows", [500_000, 40])
+def test_the_query_keeps_its_law(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(sharding.shard, "__defaults__", (24, range_rows, 24))
+    out = sorted(queries.op10_sharding(spark, "/root/testdata/sf0.001").collect(), key=lambda r: (r.shard, r.slot))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in out} == {i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in texts.items()} and len(out) == len(texts)
+    assert [r.shard for r in out] == slow_law(out, 24) and {(r.law, r.grown_shard) for r in out} == {("bytes", None)}
+    groups = {}
+    for k, r in enumerate(out):
+        groups.setdefault(r.text_crc32, []).append(k)
+    assert all(g[-1] - g[0] == len(g) - 1 for g in groups.values())  # equal texts are neighbours
 
 def test_links_of_large_sets_are_exact():
     """Two sets that miss the threshold by one part: in float32 both sides are the same number."""
