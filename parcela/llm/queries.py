@@ -43,8 +43,7 @@ def op5_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    return urlrules.judge(common.table(spark, sf_dir, "pages"), rules)
+    return urlrules.judge(common.table(spark, sf_dir, "pages"), urlrules.rule_table(spark, RULES))
 
 
 OP6_SQL = r"""

@@ -4,14 +4,14 @@ A rule is a host and a path prefix; it fits that host and all its subdomains, wh
 path starts with the rule's. The canonical key of a host and a path is the host's labels in
 reverse order, a byte 01 and the path; the keys that a rule fits below one host form one
 interval of the sorted keys. A url has a key for each suffix of its host (as many as labels),
-so subdomains are met as well. Rules' intervals are either nested or apart. The places where an
-interval begins or ends are the only ones where the innermost active rule (the top of the stack
-of nested rules) changes; at an end the enclosing rule is on top again. Urls' keys and these
-places are sorted together and each key takes the last place at or before it.
+so subdomains are met as well. Rules' intervals are either nested or apart.
 
-The sort is dealt into ranges of keys by boundaries from a bounded sample; each range begins
-with the place that is in force there, so the sweeps are independent, and a key that holds very
-many urls is swept once, as keys are made distinct before.
+Places where an interval begins or ends and the urls' keys are sorted together and swept. The sweep keeps a
+stack: a beginning is pushed, an end pops it, so the running sum of +1 and -1 is the stack's height, and what
+lies at a height is the last rule that was pushed to it. A key's rule is that at the height at the key.
+
+The sweep is dealt into ranges of keys by sampled splitters; each range begins with the stack that the ranges
+before leave, so the sweeps are independent, and a key that very many urls have is spread over ranges.
 
 Defined cases: a null url or one without `://` has an empty host and path, which no rule fits;
 of the rules with the same host and path, block wins over allow; null rules and an empty host
@@ -21,15 +21,21 @@ each judged; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcela.llm.common import ascii_lower, cut
+from parcela.llm.splitters import RANGE, ranged, with_before
+
+#: Keys to which a range is aimed, and ranges of the sweep at least.
+RANGE_KEYS, RANGES = 500_000, 32
+LINE = ["at", "kind", "tie"]
 
-#: Keys sampled for the boundaries (expected), and ranges of the sweep at least.
-SAMPLES, RANGES = 8192, 32
-#: Keys to which a range is aimed.
-RANGE_KEYS = 500_000
+
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """host, path, verdict of few rules, as literals."""
+    rows = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("host", "path", "verdict"), strict=True)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -47,21 +53,16 @@ def key(host: Column, path: Column) -> Column:
 
 
 def places(rules: DataFrame) -> DataFrame:
-    """at (key), ends, rule, verdict: where the innermost active rule changes, and to which (null: to none)."""
+    """at (key), kind (0: an interval ends, 1: one begins), up (-1 or 1), rule, verdict."""
     one = (
         rules.where("host <> '' and path is not null and verdict is not null")
         .groupBy(ascii_lower(F.col("host")).alias("host"), "path")
         .agg(F.max("verdict").alias("verdict"))  # block sorts after allow
         .select(key(F.col("host"), F.col("path")).alias("k"), F.concat("host", "path").alias("rule"), "verdict")
     )
-    # The enclosing rule: the longest proper prefix of the key that is a rule's key itself.
-    outer = one.select(F.col("k").alias("p"), F.col("rule").alias("o_rule"), F.col("verdict").alias("o_verdict"))
-    prefixes = one.select("k", F.explode(F.sequence(F.lit(1), F.octet_length("k"))).alias("n")).where("n < octet_length(k)").select("k", F.expr("substring(k, 1, n)").alias("p"), "n")
-    above = prefixes.join(outer, "p").groupBy("k").agg(F.max(F.struct("n", "o_rule", "o_verdict")).alias("o"))
-    begins = one.select(F.col("k").alias("at"), F.lit(0).alias("ends"), "rule", "verdict")
     # No key holds a byte FF, so all keys that begin with k lie before k FF. The end of an outer rule sorts after those of inner ones, as it is a shorter key with FF behind.
-    ends = one.select("k").join(above, "k", "left").select(F.concat("k", F.unhex(F.lit("FF"))).alias("at"), F.lit(1).alias("ends"), F.col("o.o_rule").alias("rule"), F.col("o.o_verdict").alias("verdict"))
-    return begins.unionByName(ends)
+    both = F.array(F.struct(F.col("k").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("up")), F.struct(F.concat("k", F.unhex(F.lit("FF"))).alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("up")))
+    return one.select(F.inline(both), "rule", "verdict")
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -70,33 +71,26 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     urls = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
     labels = F.split(F.col("host"), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = cut(urls.where("host <> ''").select("host", "path").distinct())
-    keys = asked.select("host", "path", F.explode(suffixes).alias("suffix")).select("host", "path", key(F.col("suffix"), F.col("path")).alias("at"))
-    marks = cut(places(rules))
-
-    # Boundaries from a sample of keys and the rules' places, drawn by a hash of the row.
-    n = keys.count()
-    ranges = max(RANGES, -(-n // RANGE_KEYS))
-    share = min(1.0, SAMPLES / max(n, 1))
-    drawn = sorted(bytes(r["at"]) for r in keys.where(F.pmod(F.xxhash64("at", "host"), F.lit(1 << 20)) < share * (1 << 20)).select("at").collect())
-    bounds = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)} if drawn else ())
-    found = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("at"))) if bounds else F.lit(0)
-
-    # The place in force where a range begins: the last one of the ranges before. A row for each range.
-    dealt = marks.select(found.cast("int").alias("part"), "at", (2 - F.col("ends")).alias("kind"), "rule", "verdict")
-    last = {r["part"]: r for r in dealt.groupBy("part").agg(F.max(F.struct("at", "kind", "rule", "verdict")).alias("m")).collect()}
-    carried, force = [], None
-    for i in range(1, len(bounds) + 1):
-        force = last.get(i - 1, force)
-        if force:
-            carried.append((i, bytearray(b""), 0, force["m"]["rule"], force["m"]["verdict"]))
     none = F.lit(None).cast("string")
-    line = (
-        dealt.unionByName(pages.sparkSession.createDataFrame(carried, dealt.schema))
-        .select("*", none.alias("host"), none.alias("path"))
-        .unionByName(keys.select(found.cast("int").alias("part"), "at", F.lit(3).alias("kind"), none.alias("rule"), none.alias("verdict"), "host", "path"))
-    )
-    sweep = Window.partitionBy("part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    top = F.last(F.when(F.col("kind") < 3, F.struct("rule", "verdict")), ignorenulls=True).over(sweep)
-    best = line.withColumn("top", top).where("kind = 3 and top.rule is not null").groupBy("host", "path").agg(F.max(F.struct(F.length("top.rule").alias("n"), F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict"))).alias("b"))
+    asked = urls.where("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("suffix"))
+    keys = asked.select(key(F.col("suffix"), F.col("path")).alias("at"), F.lit(2).alias("kind"), F.lit(0).alias("up"), none.alias("rule"), none.alias("verdict"), F.xxhash64("host", "path").alias("tie"), "host", "path")
+    line = cut(keys.unionByName(places(rules).select("*", F.lit(0).cast("long").alias("tie"), none.alias("host"), none.alias("path"))))
+    n = line.count()
+    ranges = max(RANGES, -(-n // RANGE_KEYS))
+    dealt = ranged(line, LINE, F.lit(ranges / max(n, 1)), ranges)
+
+    # The stack with which each range begins: of each height the last rule that was pushed to it in the ranges before.
+    starts = with_before(dealt.groupBy(*RANGE).agg(F.sum("up").alias("net")), "net", "height").select(*RANGE, "height")
+    inside = Window.partitionBy(*RANGE).orderBy(*LINE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = dealt.where("kind < 2").join(starts, RANGE).withColumn("height", F.col("height") + F.sum("up").over(inside))
+    pushed = marks.where("up = 1").groupBy(*RANGE, "height").agg(F.max(F.struct("at", "rule", "verdict")).alias("m"))
+    wanted = starts.where("height > 0").select(*RANGE, F.explode(F.sequence(F.lit(1).cast("long"), "height")).alias("height"), F.lit(None).cast(pushed.schema["m"].dataType).alias("m"), F.lit(0).alias("own"))
+    so_far = Window.partitionBy("height").orderBy(*RANGE, "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stack = wanted.unionByName(pushed.withColumn("own", F.lit(1))).withColumn("m", F.last("m", ignorenulls=True).over(so_far)).where("own = 0")
+    carried = stack.select(*RANGE, F.lit(b"").cast("binary").alias("at"), F.lit(-1).alias("kind"), F.lit(1).alias("up"), F.col("m.rule").alias("rule"), F.col("m.verdict").alias("verdict"), F.col("height").alias("tie"), none.alias("host"), none.alias("path"))
+
+    swept = dealt.unionByName(carried).withColumn("height", F.sum("up").over(inside))
+    level = Window.partitionBy(*RANGE, "height").orderBy(*LINE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    top = F.last(F.when(F.col("up") == 1, F.struct("rule", "verdict")), ignorenulls=True).over(level)
+    best = swept.withColumn("top", top).where("kind = 2 and height > 0").groupBy("host", "path").agg(F.max(F.struct(F.length("top.rule").alias("n"), F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict"))).alias("b"))
     return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
