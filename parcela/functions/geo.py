@@ -13,7 +13,7 @@ DEGREE_KM = 111.0
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, earth_km: float = EARTH_KM) -> Column:
     half = lambda a, b: F.pow(F.sin((F.radians(b) - F.radians(a)) / 2), F.lit(2))
     a = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return F.lit(2 * earth_km) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))))
+    return F.when(a.isNotNull(), F.lit(2 * earth_km) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a)))))  # least() passes nulls over
 
 
 def band(lat: Column, km: float) -> Column:

@@ -9,17 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ACCENTED, PLAIN = "áàäâãéèëêíìïîóòöôõúùüûñç", "aaaaaeeeeiiiiooooouuuunc"
+# Fixed values of name keys.
+ACCENTED, PLAIN = "áàäâéèëêíìïîóòöôúùüûñ", "aaaaeeeeiiiioooouuuun"
 
 
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode's compatibility composition, which Spark has no function for."""
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    """Unicode's compatibility composition, which Spark has no function for. ASCII is composed already."""
+    return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 
 def clean(c: Column) -> Column:
-    """NFKC, runs of white space to one blank, trimmed, empty to null. Pure ASCII skips the Python worker's change of form."""
+    """NFKC, runs of white space to one blank, trimmed, empty to null."""
     return F.nullif(F.trim(F.regexp_replace(nfkc(c), r"\s+", " ")), F.lit(""))
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcela.contract import INSIDE, INTENTIONS, SECTORS, SPACE_TYPES
 from parcela.functions.parsing import decimals
-from parcela.operators.clean import FENCE, outlier_bounds
+from parcela.functions.quantiles import quantiles
+from parcela.operators.clean import FENCE, expand_intention, outlier_bounds
+from parcela.operators.prep import label_sector
 from parcela.operators.radius import near_pairs
 
 EDA_EARTH_KM = 6371.0
@@ -32,14 +35,21 @@ def column_profile(df: DataFrame) -> DataFrame:
     return stacked(one, [], cols, ["t", "p", "d", "e"], ["type", "pct_null", "n_distinct", "example"])
 
 
+def applies_to(intention: str) -> Column:
+    """Whether a listing has a price of this intention."""
+    return F.coalesce(F.col("modality").isin(intention, "Rent & Sale"), F.lit(False))
+
+
+PRICES = {"rent_price_sqm": "Rent", "rent_price_total": "Rent", "sale_price_sqm": "Sale", "sale_price_total": "Sale"}
+
+
 def structural_nulls(df: DataFrame) -> DataFrame:
     """Of each price: percent null, rows where it applies, percent null there, percent filled where it doesn't apply."""
-    applies = {"rent_price_sqm": F.col("modality").isin("Rent", "Rent & Sale"), "sale_price_sqm": F.col("modality").isin("Sale", "Rent & Sale")}
     aggs = []
-    for c, a in applies.items():
-        empty = F.col(c).isNull()
-        aggs += [pct(empty).alias(f"p_{c}"), F.sum(a.cast("long")).alias(f"n_{c}"), (100.0 * F.avg(F.when(a, empty.cast("double")))).alias(f"a_{c}"), (100.0 * F.avg(F.when(~a, (~empty).cast("double")))).alias(f"f_{c}")]
-    return stacked(df.agg(*aggs), [], [*applies], ["p", "n", "a", "f"], ["pct_null", "n_applicable", "pct_null_applicable", "pct_filled_elsewhere"])
+    for c, intention in PRICES.items():
+        empty, a = F.col(c).isNull(), applies_to(intention)
+        aggs += [pct(empty).alias(f"p_{c}"), F.coalesce(F.sum(a.cast("long")), F.lit(0)).alias(f"n_{c}"), (100.0 * F.avg(F.when(a, empty.cast("double")))).alias(f"a_{c}"), (100.0 * F.avg(F.when(~a, (~empty).cast("double")))).alias(f"f_{c}")]
+    return stacked(df.agg(*aggs), [], [*PRICES], ["p", "n", "a", "f"], ["pct_null", "n_applicable", "pct_null_applicable", "pct_filled_elsewhere"])
 
 
 def hierarchical_recoverability(df: DataFrame, child: str, parent: str) -> DataFrame:
@@ -51,18 +61,25 @@ def hierarchical_recoverability(df: DataFrame, child: str, parent: str) -> DataF
     return one.join(orphans, F.lit(True)).select((F.coalesce("m", F.lit(0)) + F.col("orphans")).alias("missing"), F.coalesce("recoverable", F.lit(0)).alias("recoverable"), F.coalesce("ambiguous_children", F.lit(0)).alias("ambiguous_children"))
 
 
-def taxonomy_audit(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
-    """code, label, n: observed codes against the dictionary (code, label), both ways."""
-    seen = df.where(f"{column} is not null").groupBy(F.col(column).alias("code")).agg(F.count("*").alias("n"))
-    return seen.join(known, "code", "full").select("code", "label", F.coalesce("n", F.lit(0)).alias("n"))
+TAXONOMY = {"sector_id": SECTORS, "type_id": SPACE_TYPES}
 
 
-def space_structure(df: DataFrame, types: tuple[int, ...] = (1, 2, 3), complex_type: int = 2) -> DataFrame:
-    """A row for each sector with the rows of each type, all, and the percentage of complexes."""
-    out = df.groupBy("sector_id").pivot("type_id", list(types)).agg(F.count("sector_id"))
-    counts = [F.coalesce(F.col(str(t)), F.lit(0)).alias(f"type_{t}") for t in types]
-    out = out.select("sector_id", *counts)
-    total = sum((F.col(f"type_{t}") for t in types[1:]), F.col(f"type_{types[0]}"))
+def taxonomy_audit(df: DataFrame, known: dict[str, dict[int, str]] = TAXONOMY, other: str = "SIN DOCUMENTAR") -> DataFrame:
+    """column_name, code, label, n, pct (of all rows), documented: observed codes against the dictionaries, both ways."""
+    literal = [F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("code"), F.lit(v).alias("known")) for c, names in known.items() for k, v in names.items()]
+    rows = df.sparkSession.range(1).select(F.inline(F.array(*literal)))
+    seen = df.selectExpr(f"stack({len(known)}, {', '.join(f"'{c}', cast({c} as int)" for c in known)}) as (column_name, code)").groupBy("column_name", "code").agg(F.count("*").alias("n"))
+    met = seen.where("code is not null").join(rows, ["column_name", "code"], "full").join(df.agg(F.count("*").alias("all_")), F.lit(True))
+    n = F.coalesce("n", F.lit(0))
+    return met.select("column_name", "code", F.coalesce("known", F.lit(other)).alias("label"), n.alias("n"), (100.0 * n / F.col("all_")).alias("pct"), F.col("known").isNotNull().alias("documented"))
+
+
+def space_structure(df: DataFrame, types: dict[int, str] = SPACE_TYPES, complex_type: int = 2) -> DataFrame:
+    """A row for each sector, with its name, the rows of each type, all of these, and the percentage of complexes."""
+    out = df.where("sector_id is not null").groupBy("sector_id").pivot("type_id", list(types)).agg(F.count("sector_id"))
+    out = out.select("sector_id", label_sector(F.col("sector_id")).alias("sector"), *[F.coalesce(F.col(str(t)), F.lit(0)).alias(f"type_{t}") for t in types])
+    first, *rest = [F.col(f"type_{t}") for t in types]
+    total = sum(rest, first)
     return out.withColumn("total", total).withColumn("pct_complex", 100.0 * F.col(f"type_{complex_type}") / F.nullif("total", F.lit(0)))
 
 
@@ -73,21 +90,25 @@ def tab_coverage_by_sector(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def usable_dims_by_sector(df: DataFrame, columns: list[str], target: int = 5) -> DataFrame:
-    cov = tab_coverage_by_sector(df, columns)
-    return cov.groupBy("sector_id").agg(F.sum(F.col("usable").cast("long")).alias("n_usable"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("usable"), F.col("column_name")))), ",").alias("usable_columns")).withColumn("meets_target", F.col("n_usable") >= target)
+    """Of each sector that has any: how many attributes can be used, which (the best filled first), and whether they are enough."""
+    cov = tab_coverage_by_sector(df, columns).where("usable")
+    names = F.transform(F.array_sort(F.collect_list(F.struct(-F.col("pct_filled"), "column_name"))), lambda x: x["column_name"])
+    return cov.groupBy("sector_id").agg(F.count("*").alias("n_usable"), F.array_join(names, ", ").alias("usable_columns")).withColumn("meets_target", F.col("n_usable") >= target)
 
 
 def tab_coverage(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per attribute: percent filled, distinct values, constant, and the coefficient of variation."""
-    one = df.agg(*[x for c in columns for x in (pct(F.col(c).isNotNull()).alias(f"p_{c}"), F.countDistinct(c).alias(f"d_{c}"), (F.stddev_samp(F.col(c).cast("double")) / F.nullif(F.avg(F.col(c).cast("double")), F.lit(0.0))).alias(f"v_{c}"))])
-    return stacked(one, [], columns, ["p", "d", "v"], ["pct_filled", "n_distinct", "cv"]).withColumn("constant", F.col("n_distinct") <= 1)
+    """Per attribute: percent filled, distinct values, constant, numeric, the coefficient of variation of numbers, and whether it can be used."""
+    number = {c: dict(df.dtypes)[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") for c in columns}
+    spread = lambda c: F.stddev_samp(F.col(c).cast("double")) / F.nullif(F.avg(F.col(c).cast("double")), F.lit(0.0)) if number[c] else F.lit(None).cast("double")
+    one = df.agg(*[x for c in columns for x in (pct(F.col(c).isNotNull()).alias(f"p_{c}"), F.countDistinct(c).alias(f"d_{c}"), spread(c).alias(f"v_{c}"), F.lit(number[c]).alias(f"n_{c}"))])
+    out = stacked(one, [], columns, ["p", "d", "v", "n"], ["pct_filled", "n_distinct", "cv", "numeric"]).withColumn("constant", F.col("n_distinct") <= 1)
+    return out.withColumn("usable", (F.col("pct_filled") >= 50) & ~F.col("constant"))
 
 
-def partition_matrix(blocks: DataFrame, least: int = TOP) -> DataFrame:
-    """Of each sector and intention: inventory, candidates for one of its spots, viable, percent of all."""
-    counts = blocks.groupBy(*PARTITION).agg(F.count("*").alias("inventory"))
-    total = counts.agg(F.sum("inventory").alias("all_"))  # few partitions, one number
-    return counts.join(total, F.lit(True)).select(*PARTITION, "inventory", (F.col("inventory") - 1).alias("max_candidates"), (F.col("inventory") - 1 >= least).alias("viable"), (100.0 * F.col("inventory") / F.col("all_")).alias("pct_inventory"))
+def partition_matrix(spots: DataFrame, least: int = TOP) -> DataFrame:
+    """Of each sector and intention: inventory, candidates for one of its spots, viable, percent of all spots."""
+    counts = expand_intention(spots).groupBy(*PARTITION).agg(F.count("*").alias("inventory"))
+    return counts.join(spots.agg(F.count("*").alias("all_")), F.lit(True)).select(*PARTITION, "inventory", (F.col("inventory") - 1).alias("max_candidates"), (F.col("inventory") - 1 >= least).alias("viable"), (100.0 * F.col("inventory") / F.col("all_")).alias("pct_inventory"))
 
 
 def inviable_partitions(matrix: DataFrame) -> DataFrame:
@@ -99,32 +120,41 @@ def level1_coverage(matrix: DataFrame) -> DataFrame:
 
 
 def coordinate_audit(df: DataFrame, latitude_text: str = "latitude_text") -> DataFrame:
-    """One row: rows, percent null and outside of the box, distinct pairs, percent shared, median decimals, resolution."""
-    inside = F.coalesce(F.col("latitude").between(14, 33) & F.col("longitude").between(-119, -86), F.lit(False))
+    """One row: rows, percent null and outside of the box, distinct pairs (a missing one is a value), percent of rows beyond them, median decimals, resolution."""
+    inside = F.coalesce(F.expr(INSIDE), F.lit(False))
     missing = F.col("latitude").isNull() | F.col("longitude").isNull()
-    pairs = df.where(~missing).groupBy("latitude", "longitude").agg(F.count("*").alias("n")).agg(F.count("*").alias("pairs"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("shared"))
-    one = df.agg(F.count("*").alias("n_rows"), pct(missing).alias("pct_null"), pct(~inside).alias("pct_outside"), F.percentile(decimals(F.col(latitude_text)), 0.5).alias("median_decimals"))
-    return one.join(pairs, F.lit(True)).select("n_rows", "pct_null", "pct_outside", "pairs", (100.0 * F.col("shared") / F.col("n_rows")).alias("pct_shared"), "median_decimals", (F.lit(111.32) * F.pow(F.lit(10.0), -F.col("median_decimals"))).alias("resolution_km"))
+    pairs = df.select("latitude", "longitude").distinct().agg(F.count("*").alias("pairs"))
+    one = df.agg(F.count("*").alias("n_rows"), pct(missing).alias("pct_null"), pct(~inside).alias("pct_outside"), F.percentile(F.coalesce(decimals(F.col(latitude_text)), F.lit(0)), 0.5).alias("median_decimals"))
+    return one.join(pairs, F.lit(True)).select("n_rows", "pct_null", "pct_outside", "pairs", (100.0 * (1 - F.col("pairs") / F.nullif("n_rows", F.lit(0)))).alias("pct_shared"), "median_decimals", (F.lit(111.32) * F.pow(F.lit(10.0), -F.col("median_decimals"))).alias("resolution_km"))
 
 
 def neighbor_density(blocks: DataFrame, radii: tuple[int, ...] = (5, 10, 15)) -> DataFrame:
-    """spot_id, sector_id, intention and how many others of the partition lie within each radius; none is counted as 0."""
+    """spot_id, sector_id, intention, n_partition and how many others of the partition lie within each radius (none: 0), of rows with coordinates."""
+    blocks = blocks.where("latitude is not null and longitude is not null")
     left = blocks.withColumnRenamed("spot_id", "a")
     right = blocks.withColumnRenamed("spot_id", "b")
     met = near_pairs(left, right, float(max(radii)), PARTITION, "a", "b", earth_km=EDA_EARTH_KM)
     counts = met.groupBy(F.col("a").alias("spot_id"), *PARTITION).agg(*[F.sum((F.col("km") <= r).cast("long")).alias(f"within_{r}") for r in radii])
-    return blocks.select("spot_id", *PARTITION).join(counts, ["spot_id", *PARTITION], "left").select("spot_id", *PARTITION, *[F.coalesce(f"within_{r}", F.lit(0)).alias(f"within_{r}") for r in radii])
+    sizes = blocks.groupBy(*PARTITION).agg(F.count("*").alias("n_partition"))
+    out = blocks.select("spot_id", *PARTITION).join(counts, ["spot_id", *PARTITION], "left").join(sizes, PARTITION)
+    return out.select("spot_id", *PARTITION, "n_partition", *[F.coalesce(f"within_{r}", F.lit(0)).alias(f"within_{r}") for r in radii])
 
 
 def radius_coverage(density: DataFrame, radii: tuple[int, ...] = (5, 10, 15), least: int = TOP, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """Of each radius (and partition): percent of rows that reach enough neighbours, percent with none, median."""
+    """Of each radius (and partition): rows, percent of rows that reach enough neighbours, percent with none, median."""
     long = density.selectExpr(*by, f"stack({len(radii)}, {', '.join(f'{r}, within_{r}' for r in radii)}) as (radius_km, n)")
-    return long.groupBy(*by, "radius_km").agg(pct(F.col("n") >= least).alias("pct_enough"), pct(F.col("n") == 0).alias("pct_none"), F.percentile("n", 0.5).alias("median"))
+    return long.groupBy(*by, "radius_km").agg(F.count("*").alias("n_queries"), pct(F.col("n") >= least).alias("pct_enough"), pct(F.col("n") == 0).alias("pct_none"), F.percentile("n", 0.5).alias("median"))
+
+
+def stripped(c: str) -> Column:
+    """Without white space at both ends; null is empty."""
+    return F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^\s+|\s+$", "")
 
 
 def text_coverage(blocks: DataFrame, short: int = 40) -> DataFrame:
-    text = F.concat_ws(" ", F.col("title"), F.col("description"))
-    return blocks.groupBy(*PARTITION).agg(F.count("*").alias("n"), pct(F.col("description").isNull()).alias("pct_no_description"), pct(F.length(text) < short).alias("pct_short"), F.percentile(F.length(text), 0.5).alias("median_length"))
+    """Of each partition: rows, percent without a description (blank ones count), percent with short text, median length of title, blank and description."""
+    length = F.length(F.concat(stripped("title"), F.lit(" "), stripped("description")))
+    return blocks.groupBy(*PARTITION).agg(F.count("*").alias("n"), pct(stripped("description") == "").alias("pct_no_description"), pct(length < short).alias("pct_short"), F.percentile(length, 0.5).alias("median_length"))
 
 
 def text_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -134,20 +164,25 @@ def text_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.groupBy("column_name").agg(F.sum("n").alias("with_text"), F.count("*").alias("n_distinct"), (100.0 * F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("pct_repeated"), F.max("n").alias("most_repeats"))
 
 
-def price_consistency(df: DataFrame, total: str, unit: str, area: str, tolerance: float = 0.01) -> DataFrame:
-    """One row: rows with all three, percent whose total is price times area within the tolerance, median relative error."""
-    rows = df.where(f"{total} is not null and {unit} is not null and {area} is not null")
-    error = F.abs(F.col(total) - F.col(unit) * F.col(area)) / F.nullif(F.col(total), F.lit(0.0))
-    return rows.agg(F.count("*").alias("n"), pct(error <= tolerance).alias("pct_consistent"), F.percentile(error, 0.5).alias("median_error"))
+def price_consistency(df: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Of each intention, over its listings with area and both prices: rows, percent whose total is price times area within the tolerance, median relative error.
+
+    A total of 0 has no error and isn't consistent.
+    """
+    kinds = [F.struct(F.lit(i).alias("intention"), applies_to(i).alias("applies"), F.col(f"{i.lower()}_price_sqm").alias("unit"), F.col(f"{i.lower()}_price_total").alias("total"), F.col("area_sqm").alias("area")) for i in INTENTIONS]
+    rows = df.select(F.inline(F.array(*kinds))).where("applies and unit is not null and total is not null and area is not null")
+    error = F.abs(F.col("total") - F.col("unit") * F.col("area")) / F.nullif("total", F.lit(0.0))
+    return rows.groupBy("intention").agg(F.count("*").alias("n"), pct(F.coalesce(error <= tolerance, F.lit(False))).alias("pct_consistent"), F.percentile(error, 0.5).alias("median_error"))
 
 
 QUANTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
 
 
 def price_range(blocks: DataFrame) -> DataFrame:
-    q = F.percentile("price", F.array(*[F.lit(x) for x in QUANTILES]))
-    out = blocks.groupBy("intention").agg(F.count("price").alias("n"), F.avg("price").alias("mean"), F.stddev_samp("price").alias("std"), F.min("price").alias("min"), q.alias("q"), F.max("price").alias("max"))
-    return out.select("intention", "n", "mean", "std", "min", *[F.col("q")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(QUANTILES)], "max")
+    """Of each intention: prices, their mean, deviation, least, quantiles and greatest."""
+    out = blocks.groupBy("intention").agg(F.avg("price").alias("mean"), F.stddev_samp("price").alias("std"), F.min("price").alias("min"), F.max("price").alias("max"))
+    q = quantiles(blocks, ["intention"], "price", QUANTILES)
+    return out.join(q, "intention").select("intention", "n", "mean", "std", "min", *[F.col("q")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(QUANTILES)], "max")
 
 
 def price_outlier_report(blocks: DataFrame) -> DataFrame:
@@ -165,12 +200,15 @@ def price_ratio_pairs(blocks: DataFrame, km: float = 10.0) -> DataFrame:
     return near_pairs(left, right, km, PARTITION, "a", "b", ["pa"], ["pb"], EDA_EARTH_KM).select("a", "b", *PARTITION, (F.col("pb") / F.col("pa")).alias("ratio"))
 
 
-def price_ratio_distribution(pairs: DataFrame, approx: bool = False) -> DataFrame:
-    """Pairs, quantiles of the ratio, percent outside of [0.5, 2]. approx for partitions with very many distinct ratios."""
-    of = F.percentile_approx if approx else F.percentile
-    q = of("ratio", F.array(*[F.lit(x) for x in QUANTILES]))
-    out = pairs.groupBy(*PARTITION).agg(F.count("*").alias("n_pairs"), q.alias("q"), pct((F.col("ratio") < 0.5) | (F.col("ratio") > 2)).alias("pct_outside"))
-    return out.select(*PARTITION, "n_pairs", *[F.col("q")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(QUANTILES)], "pct_outside")
+RATIO_QUANTILES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
+
+
+def price_ratio_distribution(pairs: DataFrame, km: float = 10.0) -> DataFrame:
+    """One row over the pairs of all partitions: pairs, radius, quantiles of the ratio, percent outside of [0.5, 2]. All pairs, not a sample."""
+    ratios = pairs.select("ratio")
+    outside = ratios.agg(pct((F.col("ratio") < 0.5) | (F.col("ratio") > 2)).alias("pct_outside"))
+    q = quantiles(ratios, [], "ratio", RATIO_QUANTILES)
+    return q.join(outside, F.lit(True)).select(F.col("n").alias("n_pairs"), F.lit(km).alias("radius_km"), *[F.col("q")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(RATIO_QUANTILES)], "pct_outside")
 
 
 def clone_pairs(blocks: DataFrame, km: float = 1.0, area_tolerance: float = 0.05) -> DataFrame:
@@ -181,27 +219,35 @@ def clone_pairs(blocks: DataFrame, km: float = 1.0, area_tolerance: float = 0.05
     return met.where(F.abs(F.col("area_a") - F.col("area_b")) / F.greatest(F.col("area_a"), F.lit(1e-9)) <= area_tolerance).select("a", "b", *PARTITION)
 
 
+def measured(blocks: DataFrame) -> DataFrame:
+    """Rows with coordinates and an area, which near copies are looked for among."""
+    return blocks.where("latitude is not null and longitude is not null and area_sqm is not null")
+
+
 def clone_rate(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of partitions of two rows or more: rows, rows with a near copy, their percentage, most copies of a row."""
+    """Of partitions of two measured rows or more: these rows, those with a near copy, their percentage, most copies of a row."""
     copies = pairs.groupBy(F.col("a").alias("spot_id"), *PARTITION).agg(F.count("*").alias("copies"))
-    out = blocks.select("spot_id", *PARTITION).join(copies, ["spot_id", *PARTITION], "left").groupBy(*PARTITION)
+    out = measured(blocks).select("spot_id", *PARTITION).join(copies, ["spot_id", *PARTITION], "left").groupBy(*PARTITION)
     return out.agg(F.count("*").alias("n"), F.sum(F.col("copies").isNotNull().cast("long")).alias("with_clone"), pct(F.col("copies").isNotNull()).alias("pct_with_clone"), F.coalesce(F.max("copies"), F.lit(0)).alias("max_clones")).where("n >= 2")
 
 
-def cascade_verdict(matrix: DataFrame, density: DataFrame, features: DataFrame, ratios: DataFrame, clones: DataFrame, spots: DataFrame) -> DataFrame:
-    """level, metric, value, blocking: one figure for each level of the cascade."""
+def cascade_verdict(matrix: DataFrame, density: DataFrame, spots: DataFrame, dims: DataFrame, prices: DataFrame, clones: DataFrame) -> DataFrame:
+    """level, metric, value, blocking of each level of the cascade, from the reports on it.
+
+    matrix, density: of all spots; spots: with description; dims: usable_dims_by_sector; prices: price_consistency; clones: clone_rate.
+    """
 
-    def row(df: DataFrame, level: int, metric: str, value: Column, blocking: Column) -> DataFrame:
-        return df.agg(value.cast("double").alias("value")).select(F.lit(level).alias("level"), F.lit(metric).alias("metric"), "value", F.coalesce(blocking, F.lit(False)).alias("blocking"))
+    def row(df: DataFrame, level: str, metric: str, value: Column, blocking: Column) -> DataFrame:
+        return df.agg(value.cast("double").alias("value"), blocking.alias("blocking")).select(F.lit(level).alias("level"), F.lit(metric).alias("metric"), "value", F.coalesce("blocking", F.lit(False)).alias("blocking"))
 
-    v = F.col("value")
-    out = row(matrix, 1, "inviable_partitions", F.sum((~F.col("viable")).cast("long")), v > 0)
+    enough, bare = pct(F.col("within_15") >= TOP), pct(F.col("description").isNull())
+    out = row(matrix, "1", "pct_leads_servable", 100.0 * F.sum(F.when(F.col("viable"), F.col("inventory")).otherwise(0)) / F.sum("inventory"), F.max((~F.col("viable")).cast("int")) > 0)
     for part in (
-        row(density, 2, "pct_with_10_at_15_km", pct(F.col("within_15") >= TOP), v < 50),
-        row(features, 3, "pct_with_text_vector", pct(F.col("nlp_vector").isNotNull()), v < 50),
-        row(ratios, 4, "pct_ratio_outside", pct((F.col("ratio") < 0.5) | (F.col("ratio") > 2)), v > 50),
-        row(clones, 5, "clone_pairs", F.count("*"), F.lit(False)),
-        row(spots, 6, "pct_missing_coordinate", pct(F.col("latitude").isNull() | F.col("longitude").isNull()), v > 5),
+        row(density, "2", "pct_with_10_at_15_km", enough, enough < 90),
+        row(spots, "3A text", "pct_no_description", bare, bare > 10),
+        row(dims, "3A tab", "usable_dims_of_worst_sector", F.min("n_usable"), F.min("n_usable") < 5),
+        row(prices, "3B", "pct_consistent_of_worst_intention", F.min("pct_consistent"), F.min("pct_consistent") < 95),
+        row(clones, "3C", "pct_with_clone", 100.0 * F.sum("with_clone") / F.sum("n"), F.lit(False)),
     ):
         out = out.unionByName(part)
     return out

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcela.contract import SILVER, ContractError
+from parcela.functions.quantiles import quantiles
 from parcela.functions.text import name_key
 
+# Fixed values of cleaning.
 ALIASES = {"solidaridad": "playa del carmen"}
 #: Groups with fewer candidates get no bounds; how many quartile distances beyond the quartiles are still right.
 LEAST_ROWS, FENCE = 20, 1.5
@@ -43,26 +46,40 @@ def nearest_centroid_state(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Centroids are of the spots whose declared pair is in the catalog; distance on a plane with the spot's parallel; ties by name.
     """
-    valid = keyed.join(F.broadcast(pairs.select("m_key", F.col("state_name").alias("state"))), ["m_key", "state"], "left_semi")
+    valid = keyed.join(pairs.select("m_key", F.col("state_name").alias("state")), ["m_key", "state"], "left_semi")
     centroids = valid.groupBy("m_key", F.col("state").alias("nearest_state")).agg(F.avg("latitude").alias("c_lat"), F.avg("longitude").alias("c_lon"))
     several = pairs.where("n_states > 1").select("m_key").distinct()
-    asked = keyed.where("state is null").join(F.broadcast(several), "m_key", "left_semi")
-    far = F.sqrt(F.pow(F.col("latitude") - F.col("c_lat"), 2) + F.pow((F.col("longitude") - F.col("c_lon")) * F.cos(F.radians("latitude")), 2))
+    asked = keyed.where("state is null").join(several, "m_key", "left_semi")
+    far = F.pow(F.col("latitude") - F.col("c_lat"), 2) + F.pow((F.col("longitude") - F.col("c_lon")) * F.cos(F.radians("latitude")), 2)
     # A municipality has a few states, so a spot meets a few centroids; min_by of the pair keeps this a map-side aggregate.
-    met = asked.join(centroids, "m_key").withColumn("far", F.round(far, 9))
+    met = asked.join(centroids, "m_key").withColumn("far", far)
     return met.groupBy("spot_id").agg(F.min(F.struct("far", "nearest_state")).alias("best")).select("spot_id", F.col("best.nearest_state").alias("nearest_state"))
 
 
 def fill_state(df: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Adds state_filled (declared, else the municipality's only one, else the nearest) and state_mismatch."""
+    """state: as declared, else the municipality's only one, else the nearest. Adds state_mismatch: a declared state that the catalog doesn't pair with the municipality."""
     pairs = catalog_pairs(catalog)
     keyed = df.withColumn("m_key", municipality_key(F.col("municipality")))
-    single = pairs.where("n_states = 1").select("m_key", F.col("state_name").alias("only_state"))
-    known = pairs.select("m_key", F.lit(True).alias("in_catalog")).distinct()
+    known = pairs.groupBy("m_key").agg(F.max("n_states").alias("n_states"), F.min("state_name").alias("only_state"))
     pair = pairs.select("m_key", F.col("state_name").alias("state"), F.lit(True).alias("pair_known"))
     nearest = nearest_centroid_state(keyed, pairs)
-    out = keyed.join(F.broadcast(single), "m_key", "left").join(F.broadcast(known), "m_key", "left").join(F.broadcast(pair), ["m_key", "state"], "left").join(nearest, "spot_id", "left")
-    return out.withColumn("state_filled", F.coalesce("state", "only_state", "nearest_state")).withColumn("state_mismatch", F.col("state").isNotNull() & F.coalesce("in_catalog", F.lit(False)) & F.col("pair_known").isNull()).drop("m_key", "only_state", "in_catalog", "pair_known", "nearest_state")
+    out = keyed.join(known, "m_key", "left").join(pair, ["m_key", "state"], "left").join(nearest, "spot_id", "left")
+    mismatch = F.col("state").isNotNull() & F.col("n_states").isNotNull() & F.col("pair_known").isNull()
+    filled = F.coalesce("state", F.when(F.col("n_states") == 1, F.col("only_state")), "nearest_state")
+    return out.withColumn("state_mismatch", mismatch).withColumn("state", filled).select(*df.columns, "state_mismatch")
+
+
+def silver(bronze: DataFrame, catalog: DataFrame) -> DataFrame:
+    """All of cleaning, in the order of the silver contract."""
+    return flag_outliers(fill_state(flag_candidates(recode_sector(bronze)), catalog)).select(*SILVER.fieldNames())
+
+
+def check_silver(df: DataFrame, bronze_rows: int) -> list[str]:
+    """Raises if rows were lost or made or a sector is unknown; warnings about states."""
+    s = silver_stats(df).first()
+    if s.n_rows != bronze_rows or s.ids != bronze_rows or s.bad_sector:
+        raise ContractError(f"silver has {s.n_rows} rows and {s.ids} ids for {bronze_rows} rows of bronze, {s.bad_sector} in unknown sectors")
+    return [f"state: {n} rows {what}" for n, what in ((s.no_state, "still null"), (s.mismatches, "that disagree with their municipality")) if n]
 
 
 def expand_intention(df: DataFrame) -> DataFrame:
@@ -81,7 +98,7 @@ def outlier_bounds(df: DataFrame, keys: list[str], value: str, candidates_only:
     """keys, n, low, high: quartiles of ln(value) of the group's candidates, widened; groups with few rows have none."""
     rows = df.where(F.col(value) > 0)
     rows = rows.where("is_candidate") if candidates_only else rows
-    q = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(F.ln(value), F.array(F.lit(0.25), F.lit(0.75))).alias("q")).where(F.col("n") >= least_rows)
+    q = quantiles(rows.withColumn("_ln", F.ln(value)), keys, "_ln", (0.25, 0.75)).where(F.col("n") >= least_rows)
     wide = (F.col("q")[1] - F.col("q")[0]) * fence
     return q.select(*keys, "n", (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
 
@@ -106,5 +123,5 @@ def silver_stats(df: DataFrame, sectors: tuple[int, ...] = (9, 11, 12, 15)) -> D
     """One row: rows, ids, rows with another sector, without a state, with a state that isn't the municipality's."""
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     return df.agg(
-        F.count("*").alias("n_rows"), F.countDistinct("spot_id").alias("ids"), n(~F.coalesce(F.col("sector_id").isin(*sectors), F.lit(False))).alias("bad_sector"), n(F.col("state_filled").isNull()).alias("no_state"), n(F.col("state_mismatch")).alias("mismatches")
+        F.count("*").alias("n_rows"), F.countDistinct("spot_id").alias("ids"), n(~F.coalesce(F.col("sector_id").isin(*sectors), F.lit(False))).alias("bad_sector"), n(F.col("state").isNull()).alias("no_state"), n(F.col("state_mismatch")).alias("mismatches")
     )

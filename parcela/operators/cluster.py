@@ -161,10 +161,17 @@ def weighted_silhouette(scores: DataFrame) -> DataFrame:
     return scores.where("silhouette is not null").agg((F.sum(F.col("silhouette") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("silhouette"))
 
 
-def promotion_report(new: DataFrame, champion: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """sector_id, new, champion, wins: the new model wins without a comparable champion, or if it is better by more than the margin."""
-    old = champion.select("sector_id", F.col("silhouette").alias("champion"))
-    out = new.select("sector_id", F.col("silhouette").alias("new")).join(old, "sector_id", "left")
-    return out.withColumn("wins", F.col("champion").isNull() | (F.col("new") > F.col("champion") + margin))
-
+def promotion_report(new: DataFrame, champion: DataFrame | None = None, margin: float = MARGIN) -> DataFrame:
+    """sector_id, new, champion, n, new_weighted, champion_weighted, margin, wins: a row for each sector, with the one decision on all of them.
 
+    Both models' silhouettes are averaged over the same candidates (n of `new`). The new model wins if it is better by more than the margin, or
+    if there is no champion to compare with: none at all, or one without a score in some sector.
+    """
+    if champion is None:
+        out = new.select("sector_id", F.col("silhouette").alias("new"), F.lit(None).cast("double").alias("champion"), "n")
+    else:
+        out = new.select("sector_id", F.col("silhouette").alias("new"), "n").join(champion.select("sector_id", F.col("silhouette").alias("champion")), "sector_id", "left")
+    mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))
+    one = out.agg(mean("new").alias("new_weighted"), F.when(F.count("champion") == F.count("*"), mean("champion")).alias("champion_weighted")).withColumn("margin", F.lit(margin))
+    one = one.withColumn("wins", F.col("champion_weighted").isNull() | (F.col("new_weighted") > F.col("champion_weighted") + margin))
+    return out.join(one, F.lit(True)).select("sector_id", "new", "champion", "n", "new_weighted", "champion_weighted", "margin", "wins")

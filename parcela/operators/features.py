@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcela.contract import ContractError
+from parcela.contract import FEATURES, ContractError
+from parcela.functions.scoring import modality_mask
+from parcela.operators.prep import encoder_text
 
-#: Per sector: columns taken as log(1 + x), columns taken as they are, and binary blocks.
+# Fixed values of the vectors, in their order. Per sector: columns taken as log(1 + x), columns taken as they are, and binary blocks.
 TAB_COLUMNS = {
-    9: (("area_sqm", "charging_ports", "maintenance_cost"), (), ("status", "light")),
-    11: (("area_sqm", "parking_spaces"), ("number_of_elevators",), ("security",)),
-    12: (("area_sqm", "parking_spaces", "maintenance_cost"), (), ("status",)),
+    9: (("area_sqm", "maintenance_cost", "charging_ports"), (), ("status", "light")),
+    11: (("area_sqm", "maintenance_cost"), ("number_of_elevators",), ("security",)),
+    12: (("area_sqm", "maintenance_cost", "parking_spaces"), (), ("status",)),
 }
 
 
@@ -85,25 +87,34 @@ def hashing_encoder(size: int = 768) -> Callable[[list[str]], np.ndarray]:
 
 def encode_text(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_encoder, column: str = "encoder_text") -> DataFrame:
     """spot_id, nlp_vector (length 1) of rows with a description. Equal texts are encoded once; the encoder is made once per task."""
-    rows = df.where(F.col("has_description") & F.col(column).isNotNull()).select("spot_id", F.col(column).alias("t"))
+    rows = df.where(F.col("has_description") & F.col(column).isNotNull()).select("spot_id", F.md5(column).alias("key"), F.col(column).alias("t"))
 
     def run(batches):
         encoder = make_encoder()
         for b in batches:
-            v = encoder(list(b["t"]))
+            v = np.asarray(encoder(list(b["t"])), np.float64)
             n = np.linalg.norm(v, axis=1, keepdims=True)
-            yield pd.DataFrame({"t": b["t"], "nlp_vector": list(np.where(n > 0, v / np.where(n > 0, n, 1), np.nan).astype(np.float32)), "zero": (n == 0).ravel()})
+            yield pd.DataFrame({"key": b["key"], "nlp_vector": list(np.where(n > 0, v / np.where(n > 0, n, 1), np.nan).astype(np.float32)), "zero": (n == 0).ravel()})
 
-    vectors = rows.select("t").distinct().mapInPandas(run, "t string, nlp_vector array<float>, zero boolean").where("not zero").drop("zero")
-    return rows.join(vectors, "t").select("spot_id", "nlp_vector")
+    # One of equal texts is encoded; texts are joined back by their 128-bit hash.
+    texts = rows.groupBy("key").agg(F.min("t").alias("t"))
+    vectors = texts.mapInPandas(run, "key string, nlp_vector array<float>, zero boolean").where("not zero").drop("zero")
+    return rows.select("spot_id", "key").join(vectors, "key").select("spot_id", "nlp_vector")
 
 
 def assemble(gold: DataFrame, tab: DataFrame, nlp: DataFrame) -> DataFrame:
     """The feature table in its contract's order; clusters come later."""
     out = gold.join(tab.select("spot_id", "tab_vector"), "spot_id", "left").join(nlp.select("spot_id", "nlp_vector"), "spot_id", "left")
-    return out.select("spot_id", "sector_id", "modality_mask", "latitude", "longitude", "tab_vector", "nlp_vector", "rent_price_sqm", "sale_price_sqm", "is_candidate", F.lit(None).cast("int").alias("cluster_id"))
+    return out.withColumn("cluster_id", F.lit(None).cast("int")).select(*FEATURES.fieldNames())
 
 
 def assign_clusters(features: DataFrame, clusters: DataFrame) -> DataFrame:
     """The same columns, with the clusters of a table (spot_id, cluster_id); absent: null."""
     return features.drop("cluster_id").join(clusters.select("spot_id", "cluster_id"), "spot_id", "left").select(*features.columns)
+
+
+def features(gold: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_encoder) -> DataFrame:
+    """The feature table of gold rows."""
+    rows = tab_vectors(gold).withColumn("modality_mask", modality_mask(F.col("modality")))
+    out = rows.join(encode_text(encoder_text(gold), make_encoder), "spot_id", "left").withColumn("cluster_id", F.lit(None).cast("int"))
+    return out.select(*FEATURES.fieldNames())

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcela.contract import ContractError
 from parcela.functions.vectors import far_apart, norm
 
-TAB_SIZES = {9: 8, 11: 7, 12: 7}
+# Fixed values of the vectors.
+TAB_SIZES, NLP_SIZE, NORM_TOLERANCE = {9: 8, 11: 7, 12: 7}, 768, 1e-6
 
 
 def count_of(condition: Column) -> Column:
@@ -33,7 +35,7 @@ def feature_gate(df: DataFrame) -> DataFrame:
     )
 
 
-def feature_stats(df: DataFrame, nlp_size: int = 768, tolerance: float = 1e-6) -> DataFrame:
+def feature_stats(df: DataFrame, nlp_size: int = NLP_SIZE, tolerance: float = NORM_TOLERANCE) -> DataFrame:
     """The features' contract: sizes of the vectors by sector, lengths of the text vectors, complete candidates."""
     want = F.lit(None).cast("int")
     for sector, size in TAB_SIZES.items():
@@ -42,12 +44,22 @@ def feature_stats(df: DataFrame, nlp_size: int = 768, tolerance: float = 1e-6) -
     return findings(
         df,
         {
-            "rows_": F.count("*"), "ids": F.countDistinct("spot_id"), "tab_wrong_size": count_of(tab.isNotNull() & want.isNotNull() & (F.size(tab) != want)), "tab_unexpected": count_of(tab.isNotNull() & want.isNull()),
+            "rows_": F.count("*"), "ids": F.countDistinct("spot_id"), "null_ids": count_of(F.col("spot_id").isNull()), "tab_wrong_size": count_of(want.isNotNull() & ~F.coalesce(F.size(tab) == want, F.lit(False))), "tab_unexpected": count_of(tab.isNotNull() & want.isNull()),
             "nlp_rows": count_of(nlp.isNotNull()), "nlp_wrong_size": count_of(nlp.isNotNull() & (F.size(nlp) != nlp_size)), "nlp_wrong_norm": count_of(F.abs(norm(nlp) - 1) > tolerance), "candidates_without_mask": count_of(F.col("is_candidate") & F.col("modality_mask").isNull()),
         },
     )
 
 
+def check_features(df: DataFrame, gold_rows: int, described: int) -> list[str]:
+    """Raises where the feature table breaks its rules; warnings."""
+    n = {r.finding: r.n for r in feature_stats(df).collect()}  # a row for each finding
+    bad = {k: n[k] for k in ("null_ids", "tab_wrong_size", "tab_unexpected", "nlp_wrong_size", "nlp_wrong_norm") if n[k]}
+    bad |= {k: n[k] for k, want in (("rows_", gold_rows), ("ids", gold_rows), ("nlp_rows", described)) if n[k] != want}
+    if bad:
+        raise ContractError(f"the feature table: {bad}, of {gold_rows} rows, {described} with a description")
+    return [f"modality_mask: {n['candidates_without_mask']} candidates have none"] if n["candidates_without_mask"] else []
+
+
 def parity(offline: DataFrame, online: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     """spot_id, mismatch of all rows whose published form differs: missing on a side, cluster, size or values of the text vector."""
     a = offline.select("spot_id", F.col("cluster_id").alias("c1"), F.col("nlp_vector").alias("v1"), F.lit(True).alias("off"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcela.contract import DOMAINS, SECTORS, ContractError
+from parcela.contract import DOMAINS, GOLD, SECTORS, ContractError
 from parcela.functions.text import clean, joined
 
 
@@ -62,6 +62,13 @@ def label_sector(sector: Column, other: str = "SIN DOCUMENTAR") -> Column:
     return F.coalesce(F.try_element_at(names, sector), F.lit(other))
 
 
+def gold(silver: DataFrame) -> DataFrame:
+    """All of preparation, in the order of the gold contract; raises at a security list that can't be read."""
+    check_security(silver)
+    out = clean_text(silver).withColumn("floor_material", clean(F.col("floor_material")))
+    return apply_domains(parse_security(out)).select(*GOLD.fieldNames())
+
+
 def row_counts(silver: DataFrame, gold: DataFrame) -> DataFrame:
     """One row: rows of both layers and whether they agree."""
     a, b = silver.agg(F.count("*").alias("silver_rows")), gold.agg(F.count("*").alias("gold_rows"))

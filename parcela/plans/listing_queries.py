@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcela import contract
-from parcela.contract import Field
 from parcela.functions import geo, parsing, scoring, text, vectors
 from parcela.operators import cascade, clean, features, gate, ingest, metrics, prep, radius
+from parcela.plans import build
 from parcela.plans.registry import query, rounded
 from parcela.session import new_folder
 from parcela.sources import tables
 
-P = scoring.Params(min_candidates=10)
+P = scoring.Params()
 
 
 def folder(d) -> str:
@@ -22,7 +23,7 @@ def folder(d) -> str:
 
 # Sources and sinks ---------------------------------------------------------------------------------------------------
 
-RAW = (Field("Spot ID", "spot_id", "long", "number", False), Field("Area", "area_sqm", "double", "number"), Field("Longitude", "longitude", "double", "coordinate"), Field("Created", "created", "date", "date"))
+RAW = T.StructType([contract.raw("spot_id", contract.LONG, "Spot ID", "number", False), contract.raw("area_sqm", contract.DOUBLE, "Area", "number"), contract.raw("longitude", contract.DOUBLE, "Longitude", "coordinate"), contract.raw("created", contract.DATE, "Created", "date")])
 
 
 def raw_text(d):
@@ -30,7 +31,7 @@ def raw_text(d):
     s = d.spots_sv
     day = F.date_add(F.lit("2024-01-05").cast("date"), (F.col("spot_id") % 300).cast("int"))
     return s.select(
-        F.col("spot_id").cast("string").alias("Spot ID"), F.format_number("area_sqm", 1).alias("Area"), F.concat(F.format_string("%.8f", -F.col("longitude")), F.lit("° W")).alias("Longitude"), F.date_format(day, "MMMM d, yyyy").alias("Created"), s.spot_id.alias("id_")
+        F.col("spot_id").cast("string").alias("Spot ID"), F.format_number("area_sqm", 1).alias("Area"), F.when(F.col("longitude").isNotNull(), F.concat(F.format_string("%.8f", -F.col("longitude")), F.lit("° W"))).alias("Longitude"), F.date_format(day, "MMMM d, yyyy").alias("Created"), s.spot_id.alias("id_")
     )
 
 
@@ -38,14 +39,14 @@ def raw_text(d):
 def src_csv_contract(d):
     path = folder(d)
     raw_text(d).select("Spot ID", "Area").write.option("header", True).csv(path)
-    return ingest.parse(tables.read_csv_contract(d.spark, path, ("Spot ID", "Area")), RAW[:2])
+    return ingest.parse(tables.read_csv_contract(d.spark, path, ("Spot ID", "Area")), T.StructType(RAW[:2]))
 
 
-@query("SELECT municipality_name, state_name FROM {catalog_sv}")
+@query("SELECT * FROM {catalog_sv}")
 def src_catalog(d):
     path = folder(d)
     d.catalog_sv.write.option("header", True).csv(path)
-    return tables.read_csv_contract(d.spark, path, contract.CATALOG_COLUMNS)
+    return tables.read_csv_contract(d.spark, path, contract.CATALOG_HEADERS)
 
 
 @query("SELECT spot_id, recommended_spot_id, relevance FROM {judgments_sv}")
@@ -67,7 +68,7 @@ def src_file_digest(d):
     return tables.file_digests(d.spark, f"{d.sf_dir}/part.parquet").select("length", "md5")
 
 
-@query("SELECT spot_id, CASE WHEN o AND u THEN 'out_of_bbox,unknown_sector' WHEN o THEN 'out_of_bbox' ELSE 'unknown_sector' END AS reason FROM (SELECT spot_id, latitude IS NULL OR latitude NOT BETWEEN 14 AND 33 AS o, sector_id IS NULL OR sector_id NOT IN (9, 11, 13, 15) AS u FROM {raw_spots_sv}) WHERE o OR u")
+@query("SELECT spot_id, CASE WHEN o AND u THEN 'out_of_bbox,unknown_sector' WHEN o THEN 'out_of_bbox' ELSE 'unknown_sector' END AS reason FROM (SELECT spot_id, (latitude IS NULL OR latitude NOT BETWEEN 14 AND 33 OR longitude IS NULL OR longitude < -118.5e0 OR longitude > -86e0) AS o, sector_id IS NULL OR sector_id NOT IN (9, 11, 13, 15) AS u FROM {raw_spots_sv}) WHERE o OR u")
 def sink_quarantine(d):
     bad = ingest.split_quarantine(d.raw_spots_sv)[1]
     return d.spark.read.parquet(tables.write_run(bad.select("spot_id", "reason"), folder(d), "r1", "quarantine"))
@@ -135,7 +136,7 @@ def project_bronze(d):
     return rounded(ingest.parse(raw_text(d), RAW), "longitude")
 
 
-@query("SELECT spot_id, concat_ws(',', CASE WHEN latitude IS NULL OR latitude NOT BETWEEN 14 AND 33 THEN 'out_of_bbox' END, CASE WHEN sector_id IS NULL OR sector_id NOT IN (9, 11, 13, 15) THEN 'unknown_sector' END) AS reason FROM {raw_spots_sv}")
+@query("SELECT spot_id, concat_ws(',', CASE WHEN latitude IS NULL OR latitude NOT BETWEEN 14 AND 33 OR longitude IS NULL OR longitude < -118.5e0 OR longitude > -86e0 THEN 'out_of_bbox' END, CASE WHEN sector_id IS NULL OR sector_id NOT IN (9, 11, 13, 15) THEN 'unknown_sector' END) AS reason FROM {raw_spots_sv}")
 def split_quarantine(d):
     good, bad = ingest.split_quarantine(d.raw_spots_sv)
     return good.select("spot_id", F.lit("").alias("reason")).unionByName(bad.select("spot_id", "reason"))
@@ -170,7 +171,7 @@ def parse_security(d):
     return out.select("spot_id", F.when(F.col("security_type").isNotNull(), F.array_join(F.col("security_type").cast("array<string>"), ",")).alias("security"))
 
 
-@query("SELECT spot_id, CASE WHEN natural_light BETWEEN 0 AND 100 THEN natural_light END AS natural_light, CASE WHEN building_status IN (1, 2, 3) THEN building_status END AS building_status FROM {spots_sv}")
+@query("SELECT spot_id, CASE WHEN natural_light BETWEEN 1 AND 100 THEN natural_light END AS natural_light, CASE WHEN building_status IN (1, 2, 3) THEN building_status END AS building_status FROM {spots_sv}")
 def apply_domains(d):
     return prep.apply_domains(d.spots_sv).select("spot_id", "natural_light", "building_status")
 
@@ -180,7 +181,7 @@ def modality_mask(d):
     return d.spots_sv.select("spot_id", scoring.modality_mask(F.col("modality")).alias("modality_mask"))
 
 
-@query("WITH s AS (SELECT *, CASE WHEN building_status IN (1, 2, 3) THEN building_status ELSE 0 END AS b, spot_id % 5 AS m FROM {spots_sv}) SELECT spot_id, " + ", ".join(f"CAST(b = {i} AS DOUBLE) AS status_{i}" for i in range(4)) + ", CAST(m IN (3, 4) AS DOUBLE) AS security_0, CAST(m IN (0, 1, 2) AS DOUBLE) AS security_1, CAST(m IN (0, 2) AS DOUBLE) AS security_2, CAST(m = 1 AS DOUBLE) AS security_3, CASE WHEN natural_light BETWEEN 0 AND 100 THEN natural_light / 100e0 ELSE 0e0 END AS light FROM s")
+@query("WITH s AS (SELECT *, CASE WHEN building_status IN (1, 2, 3) THEN building_status ELSE 0 END AS b, spot_id % 5 AS m FROM {spots_sv}) SELECT spot_id, " + ", ".join(f"CAST(b = {i} AS DOUBLE) AS status_{i}" for i in range(4)) + ", CAST(m IN (3, 4) AS DOUBLE) AS security_0, CAST(m IN (0, 1, 2) AS DOUBLE) AS security_1, CAST(m IN (0, 2) AS DOUBLE) AS security_2, CAST(m = 1 AS DOUBLE) AS security_3, CASE WHEN natural_light BETWEEN 1 AND 100 THEN natural_light / 100e0 ELSE 0e0 END AS light FROM s")
 def onehot_multihot(d):
     s = prep.parse_security(prep.apply_domains(d.spots_sv))
     return s.select("spot_id", *[c.alias(f"status_{i}") for i, c in enumerate(features.binaries("status"))], *[c.alias(f"security_{i}") for i, c in enumerate(features.binaries("security"))], features.binaries("light")[0].alias("light"))
@@ -219,11 +220,18 @@ def join_attributes(d):
     return ingest.join_report(s, attributes)
 
 
-NEAREST = """n AS (SELECT municipality_name AS m, count(DISTINCT state_name) AS k, min(state_name) AS only_state FROM {catalog_sv} GROUP BY 1),
-valid AS (SELECT l.* FROM {located_sv} l JOIN (SELECT DISTINCT * FROM {catalog_sv}) c ON c.municipality_name = l.municipality AND c.state_name = l.state),
+def nearest_sql(table: str) -> str:
+    """CTEs of the states: n (municipalities of the catalog), cent (observed centroids), near (the nearest state of rows in ambiguous ones)."""
+    return f"""n AS (SELECT municipality_name AS m, count(DISTINCT state_name) AS k, min(state_name) AS only_state FROM {{catalog_sv}} GROUP BY 1),
+valid AS (SELECT l.* FROM {table} l JOIN (SELECT DISTINCT municipality_name, state_name FROM {{catalog_sv}}) c ON c.municipality_name = l.municipality AND c.state_name = l.state),
 cent AS (SELECT municipality, state, avg(latitude) AS la, avg(longitude) AS lo FROM valid GROUP BY 1, 2),
-near AS (SELECT spot_id, nearest_state FROM (SELECT l.spot_id, c.state AS nearest_state, row_number() OVER (PARTITION BY l.spot_id ORDER BY round(sqrt(pow(l.latitude - c.la, 2) + pow((l.longitude - c.lo) * cos(radians(l.latitude)), 2)), 9), c.state) AS r
-  FROM {located_sv} l JOIN n ON n.m = l.municipality AND n.k > 1 JOIN cent c ON c.municipality = l.municipality WHERE l.state IS NULL) WHERE r = 1)"""
+near AS (SELECT spot_id, nearest_state FROM (SELECT l.spot_id, c.state AS nearest_state, row_number() OVER (PARTITION BY l.spot_id ORDER BY pow(l.latitude - c.la, 2) + pow((l.longitude - c.lo) * cos(radians(l.latitude)), 2) NULLS FIRST, c.state) AS r
+  FROM {table} l JOIN n ON n.m = l.municipality AND n.k > 1 JOIN cent c ON c.municipality = l.municipality WHERE l.state IS NULL) WHERE r = 1)"""
+
+
+STATE = "coalesce(l.state, CASE WHEN n.k = 1 THEN n.only_state END, near.nearest_state)"
+MISMATCH = "l.state IS NOT NULL AND n.m IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {catalog_sv} c WHERE c.municipality_name = l.municipality AND c.state_name = l.state)"
+NEAREST = nearest_sql("{located_sv}")
 
 
 @query(f"WITH {NEAREST} SELECT spot_id, nearest_state FROM near")
@@ -232,14 +240,14 @@ def nearest_centroid_state(d):
     return clean.nearest_centroid_state(keyed, clean.catalog_pairs(d.catalog_sv))
 
 
-@query(f"WITH {NEAREST} SELECT l.spot_id, coalesce(l.state, CASE WHEN n.k = 1 THEN n.only_state END, near.nearest_state) AS state_filled, l.state IS NOT NULL AND n.m IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {{catalog_sv}} c WHERE c.municipality_name = l.municipality AND c.state_name = l.state) AS state_mismatch FROM {{located_sv}} l LEFT JOIN n ON n.m = l.municipality LEFT JOIN near ON near.spot_id = l.spot_id")
+@query(f"WITH {NEAREST} SELECT l.spot_id, {STATE} AS state_filled, {MISMATCH} AS state_mismatch FROM {{located_sv}} l LEFT JOIN n ON n.m = l.municipality LEFT JOIN near ON near.spot_id = l.spot_id")
 def fill_state(d):
-    return clean.fill_state(d.located_sv, d.catalog_sv).select("spot_id", "state_filled", "state_mismatch")
+    return clean.fill_state(d.located_sv, d.catalog_sv).select("spot_id", F.col("state").alias("state_filled"), "state_mismatch")
 
 
 def hav(a: str, b: str, r: str = "6371.0088e0") -> str:
     """Distance in SQL."""
-    return f"2e0 * {r} * asin(sqrt(least(1e0, pow(sin((radians({b}.latitude) - radians({a}.latitude)) / 2e0), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin((radians({b}.longitude) - radians({a}.longitude)) / 2e0), 2))))"
+    return f"CASE WHEN {a}.latitude + {a}.longitude + {b}.latitude + {b}.longitude IS NOT NULL THEN 2e0 * {r} * asin(sqrt(least(1e0, pow(sin((radians({b}.latitude) - radians({a}.latitude)) / 2e0), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin((radians({b}.longitude) - radians({a}.longitude)) / 2e0), 2)))) END"
 
 
 @query(f"SELECT a.spot_id AS spot_a, b.spot_id AS spot_b, round({hav('a', 'b')}, 6) AS km FROM {{spots_sv}} a JOIN {{spots_sv}} b ON b.spot_id = a.spot_id + 5")
@@ -251,7 +259,7 @@ def haversine_km(d):
 
 PAIRS = f"""pairs AS (SELECT a.spot_id AS click_id, b.spot_id, {hav('a', 'b')} AS km FROM {{features_sv}} a JOIN {{features_sv}} b ON a.sector_id = b.sector_id AND a.spot_id <> b.spot_id AND b.is_candidate AND (a.modality_mask & b.modality_mask) <> 0 AND abs(a.latitude - b.latitude) < 0.2),
 near AS (SELECT *, count(*) FILTER (km <= 5) OVER (PARTITION BY click_id) AS n5, count(*) FILTER (km <= 10) OVER (PARTITION BY click_id) AS n10 FROM pairs WHERE km <= 15),
-wide AS (SELECT *, CASE WHEN n5 >= 10 THEN 5e0 WHEN n10 >= 10 THEN 10e0 ELSE 15e0 END AS radius_km FROM near),
+wide AS (SELECT *, CASE WHEN n5 >= 50 THEN 5e0 WHEN n10 >= 50 THEN 10e0 ELSE 15e0 END AS radius_km FROM near),
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY km, spot_id) AS place FROM wide WHERE km <= radius_km) WHERE place <= 300)"""
 
 
@@ -365,6 +373,89 @@ def train_prod_parity(d):
     return gate.score_parity(t, p)
 
 
+# Vectors, and the path from raw files ---------------------------------------------------------------------------------
+
+# Written from the definition: per sector the columns in their order; log(1 + x) of those marked so; standardised by the candidates.
+TAB_ORDER = {9: [("area_sqm", True), ("maintenance_cost", True), ("charging_ports", True)], 11: [("area_sqm", True), ("maintenance_cost", True), ("number_of_elevators", False)], 12: [("area_sqm", True), ("maintenance_cost", True), ("parking_spaces", True)]}
+STATUS = [f"CAST(coalesce(CASE WHEN building_status IN (1, 2, 3) THEN building_status END, 0) = {i} AS DOUBLE)" for i in range(4)]
+SECURITY = ["CAST(coalesce(security_type, '[]') = '[]' AS DOUBLE)", *[f"CAST(coalesce(contains(security_type, '{i}'), false) AS DOUBLE)" for i in (1, 2, 3)]]
+TAB_BINARY = {9: [*STATUS, "coalesce(CASE WHEN natural_light BETWEEN 1 AND 100 THEN natural_light / 100e0 END, 0e0)"], 11: SECURITY, 12: STATUS}
+
+
+def tab_sql(table: str) -> str:
+    """CTEs: tab has all columns of a table and the components v1 to v8 of its tab vectors (null where a vector is shorter)."""
+    logged = lambda c, log: f"(CASE WHEN {c} > -1 THEN ln(1 + {c}) END)" if log else f"CAST({c} AS DOUBLE)"
+    stats, parts = [], {}
+    for sector, columns in TAB_ORDER.items():
+        mine = f"FILTER (is_candidate AND sector_id = {sector})"
+        for c, log in columns:
+            x = logged(c, log)
+            stats.append(f"avg({x}) {mine} AS m_{sector}_{c}, sqrt(var_pop({x}) {mine} * count({x}) {mine} / nullif(count(*) {mine} - 1, 0)) AS s_{sector}_{c}")
+            parts.setdefault(sector, []).append(f"coalesce(({x} - m_{sector}_{c}) / nullif(s_{sector}_{c}, 0e0), 0e0)")
+        parts[sector] += TAB_BINARY[sector]
+    values = ", ".join("round(CAST(CAST(CASE sector_id " + " ".join(f"WHEN {sector} THEN {p[i]}" for sector, p in parts.items() if i < len(p)) + f" END AS FLOAT) AS DOUBLE), 3) AS v{i + 1}" for i in range(8))
+    return f"stats AS (SELECT {', '.join(stats)} FROM {table}), tab AS (SELECT q.*, {values} FROM {table} q CROSS JOIN stats)"
+
+
+def components(df, size: int = 8):
+    """v1, v2, .. of the tab vectors."""
+    return rounded(df.withColumns({f"v{i + 1}": F.try_element_at("tab_vector", F.lit(i + 1)) for i in range(size)}), *[f"v{i + 1}" for i in range(size)], digits=3)
+
+
+VECTOR = ", ".join(f"v{i}" for i in range(1, 9))
+
+
+@query(f"WITH {tab_sql('{candidates_sv}')} SELECT spot_id, CAST(CASE sector_id WHEN 9 THEN 8 ELSE 7 END AS INT) AS size, {VECTOR} FROM tab WHERE sector_id <> 15")
+def tab_vectors(d):
+    v = features.tab_vectors(prep.parse_security(prep.apply_domains(d.candidates_sv))).where("tab_vector is not null")
+    return components(v).select("spot_id", F.size("tab_vector").alias("size"), *[f"v{i}" for i in range(1, 9)])
+
+
+def raw_files(d):
+    """The surrogate listings as raw CSV files: with thousands separators, degrees with a letter, dates in words, line breaks, listings without attributes and attributes without listings."""
+    root, s = folder(d), d.listing_sv
+    plain, none = lambda c: F.col(c).cast("string"), F.lit(None).cast("string")
+    money = lambda c, n=0: F.format_number(c, n)
+    degrees = lambda c, sign, letter: F.concat(F.format_string("%.8f", sign * F.col(c)), F.lit(f"00° {letter}"))
+    day = F.date_format(F.date_add(F.lit("2024-01-05").cast("date"), (F.col("spot_id") % 300).cast("int")), "MMMM d, yyyy")
+    spots = {
+        "Spot ID": plain("spot_id"), "Spot Sector ID": plain("sector_id"), "Spot Type ID": plain("type_id"), "Spot Municipality": F.initcap("municipality"), "Spot State": plain("state"), "Spot Title": plain("title"), "Spot Description": plain("description"),
+        "Spot Latitude": F.when(F.col("latitude").isNotNull(), degrees("latitude", 1, "N")), "Spot Longitude": F.when(F.col("longitude").isNotNull(), degrees("longitude", -1, "W")), "Spot Area In Sqm": money("area_sqm", 1),
+        "Spot Price Sqm Mxn Rent": money("rent_price_sqm", 2), "Spot Price Total Mxn Rent": money("rent_price_total"), "Spot Price Sqm Mxn Sale": money("sale_price_sqm"), "Spot Price Total Mxn Sale": money("sale_price_total"),
+        "Spot Maintenance Cost Mxn ($)": money("maintenance_cost"), "Spot Modality": plain("modality"), "User ID": plain("user_id"), "Spot Created Date": day,
+    }
+    own = {"spot_id", "natural_light", "charging_ports", "security_type", "number_of_elevators", "parking_spaces", "building_status", "floor_material"}
+    attributes = s.select(*[(plain(h) if h in own else none).alias(h) for h in contract.ATTRIBUTE_HEADERS], "attributed")
+    known = attributes.where("attributed").unionByName(attributes.where("not attributed").withColumn("spot_id", F.concat(F.lit("9"), F.lpad("spot_id", 12, "0"))))
+    for name, df in (("spots", s.select(*[spots.get(h, none).alias(h) for h in contract.SPOT_HEADERS])), ("attributes", known.drop("attributed")), ("catalog", d.catalog_sv)):
+        df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/{name}")
+    return build.from_files(d.spark, f"{root}/spots", f"{root}/attributes", f"{root}/catalog")
+
+
+ATTRIBUTE_NAMES = ("security_type", "floor_material", "charging_ports", "number_of_elevators", "parking_spaces", "building_status", "natural_light")
+GOOD = "bronze AS (SELECT spot_id, sector_id, type_id, modality, modality_mask, latitude, longitude, municipality, state, title, description, area_sqm, rent_price_sqm, sale_price_sqm, maintenance_cost, " + ", ".join(f"CASE WHEN attributed THEN {c} END AS {c}" for c in ATTRIBUTE_NAMES) + """
+FROM {listing_sv} WHERE latitude BETWEEN 14 AND 33 AND longitude BETWEEN -118.5e0 AND -86e0 AND sector_id IN (9, 11, 13, 15))"""
+SILVER_SQL = f"""{GOOD}, {nearest_sql('bronze')},
+s1 AS (SELECT l.*, l.sector_id AS original, CASE WHEN l.sector_id = 13 THEN 12 ELSE l.sector_id END AS sector, type_id IS DISTINCT FROM 2 AS single, {STATE} AS state_filled, {MISMATCH} AS state_mismatch FROM bronze l LEFT JOIN n ON n.m = l.municipality LEFT JOIN near ON near.spot_id = l.spot_id),
+pr AS (SELECT spot_id, sector, single, 'Rent' AS intention, rent_price_sqm AS price FROM s1 WHERE modality IN ('Rent', 'Rent & Sale') AND rent_price_sqm IS NOT NULL UNION ALL SELECT spot_id, sector, single, 'Sale', sale_price_sqm FROM s1 WHERE modality IN ('Sale', 'Rent & Sale') AND sale_price_sqm IS NOT NULL),
+pb AS (SELECT sector, intention, quantile_cont(ln(price), 0.25) AS q1, quantile_cont(ln(price), 0.75) AS q3 FROM pr WHERE price > 0 AND single GROUP BY 1, 2 HAVING count(*) >= 20),
+ab AS (SELECT sector, quantile_cont(ln(area_sqm), 0.25) AS q1, quantile_cont(ln(area_sqm), 0.75) AS q3 FROM s1 WHERE area_sqm > 0 AND single GROUP BY 1 HAVING count(*) >= 20),
+po AS (SELECT pr.spot_id, bool_or(coalesce(price <= 0 OR ln(price) < q1 - 1.5e0 * (q3 - q1) OR ln(price) > q3 + 1.5e0 * (q3 - q1), false)) AS o FROM pr LEFT JOIN pb ON pb.sector = pr.sector AND pb.intention = pr.intention GROUP BY 1),
+silver AS (SELECT s1.* EXCLUDE (sector_id), s1.sector AS sector_id, coalesce(o, false) AS price_out, coalesce(area_sqm <= 0 OR ln(area_sqm) < q1 - 1.5e0 * (q3 - q1) OR ln(area_sqm) > q3 + 1.5e0 * (q3 - q1), false) AS area_out FROM s1 LEFT JOIN po ON po.spot_id = s1.spot_id LEFT JOIN ab ON ab.sector = s1.sector),
+gold AS (SELECT *, single AND NOT price_out AND NOT area_out AS is_candidate FROM silver)"""
+
+
+@query(f"WITH {SILVER_SQL} SELECT spot_id, CAST(original AS INT) AS sector_id_original, CAST(sector_id AS INT) AS sector_id, state_filled AS state, state_mismatch, price_out AS is_price_outlier, area_out AS is_area_outlier, is_candidate FROM gold")
+def raw_to_silver(d):
+    return raw_files(d).silver.select("spot_id", "sector_id_original", "sector_id", "state", "state_mismatch", "is_price_outlier", "is_area_outlier", "is_candidate")
+
+
+@query(f"WITH {SILVER_SQL}, {tab_sql('gold')} SELECT spot_id, CAST(sector_id AS INT) AS sector_id, modality_mask, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, {VECTOR}, CASE WHEN description IS NOT NULL AND trim(description) <> '' THEN CAST(768 AS INT) END AS nlp_size, rent_price_sqm, sale_price_sqm, is_candidate, CAST(NULL AS INT) AS cluster_id FROM tab")
+def raw_to_features(d):
+    out = components(raw_files(d).features).withColumn("nlp_size", F.when(F.col("nlp_vector").isNotNull(), F.size("nlp_vector")))
+    return rounded(out.drop("tab_vector", "nlp_vector"), "latitude", "longitude")
+
+
 # Order, sets, scalar functions ---------------------------------------------------------------------------------------
 
 
@@ -383,10 +474,12 @@ def intention_union(d):
     return rounded(clean.priced(d.spots_sv).select("spot_id", "intention", "price"), "price", digits=4)
 
 
-@query("SELECT spot_id, sector_id FROM {spots_sv} WHERE sector_id IN (9, 11, 12)")
+@query(f"WITH {tab_sql('{candidates_sv}')} SELECT sector_id, CAST(count(*) AS BIGINT) AS n, CAST(max(CASE sector_id WHEN 9 THEN 8 ELSE 7 END) AS INT) AS size, round(sum(v1), 2) AS sum_first, round(sum(CASE sector_id WHEN 9 THEN v8 ELSE v7 END), 2) AS sum_last FROM tab WHERE sector_id IN (9, 11, 12) GROUP BY 1")
 def sector_union(d):
-    v = features.tab_vectors(prep.parse_security(prep.apply_domains(d.candidates_sv)))
-    return v.where("tab_vector is not null").select("spot_id", "sector_id")
+    v = components(features.tab_vectors(prep.parse_security(prep.apply_domains(d.candidates_sv))).where("tab_vector is not null"))
+    last = F.when(F.size("tab_vector") == 8, F.col("v8")).otherwise(F.col("v7"))
+    out = v.groupBy("sector_id").agg(F.count("*").alias("n"), F.max(F.size("tab_vector")).alias("size"), F.sum("v1").alias("sum_first"), F.sum(last).alias("sum_last"))
+    return rounded(out, "sum_first", "sum_last", digits=2)
 
 
 @query("SELECT DISTINCT lower(municipality_name) AS m_key, state_name FROM {catalog_sv}")

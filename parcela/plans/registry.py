@@ -10,8 +10,6 @@ from parcela.plans.surrogates import Data, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: The functions and SQL bodies that were registered.
-BODIES: dict[str, tuple[Callable[[Data], DataFrame], str | None]] = {}
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -19,7 +17,6 @@ def query(sql: str | None = None, name: str | None = None):
 
     def put(f: Callable[[Data], DataFrame]):
         key = name or f.__name__
-        BODIES[key] = (f, sql)
         QUERIES[key] = lambda spark, sf_dir: f(Data(spark, sf_dir))
         if sql:
             ORACLE[key] = oracle(sql)
@@ -28,24 +25,12 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
-def over_whole(names: list[str], view: str, whole: str, part: str, every: str) -> None:
-    """Registers whole_<name> beside each query: the same function with the view `whole` for `view`, and its SQL with `every` for `part`."""
-
-    def put(f: Callable[[Data], DataFrame], key: str) -> None:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            d = Data(spark, sf_dir)
-            d.made[view] = getattr(d, whole)
-            return f(d)
-
-        QUERIES[key] = run
-
+def also_named(prefix: str, names: list[str]) -> None:
+    """Registers queries under a second name."""
     for name in names:
-        f, sql = BODIES[name]
-        put(f, f"whole_{name}")
-        if sql:
-            if part not in sql:
-                raise ValueError(f"{name}: its SQL doesn't name {part}")
-            ORACLE[f"whole_{name}"] = oracle(sql.replace(part, every))
+        QUERIES[prefix + name] = QUERIES[name]
+        if name in ORACLE:
+            ORACLE[prefix + name] = ORACLE[name]
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:

@@ -33,7 +33,7 @@ def write_weekly_scores(clicks: DataFrame, judgments: DataFrame, root: str, chec
 
 def weekly_window(log: DataFrame, end: str) -> DataFrame:
     """The seven days before the day of `end` (UTC), from its start on."""
-    to = F.to_timestamp(F.lit(end))
+    to = F.date_trunc("day", F.to_timestamp(F.lit(end))).cast(dict(log.dtypes)["ts"])
     return log.where((F.col("ts") >= to - F.expr("interval 7 days")) & (F.col("ts") < to))
 
 

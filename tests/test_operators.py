@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from parcela import contract
 from parcela.contract import ContractError
-from parcela.functions import parsing, text, vectors
+from parcela.functions import geo, parsing, text, vectors
+from parcela.functions.quantiles import quantiles
 from parcela.functions.scoring import Params, price_factor, price_factors, similarity
-from parcela.operators import cascade, clean, cluster, features, gate, ingest, metrics, prep, radius
-from parcela.plans import registry, report_queries  # noqa: F401
+from parcela.operators import audit, cascade, clean, cluster, features, gate, ingest, metrics, prep, radius
+from parcela.plans import build, registry, report_queries  # noqa: F401
 from parcela.sources import tables
 
 SPOT = "spot_id long, sector_id int, modality_mask int, latitude double, longitude double, tab_vector array<double>, nlp_vector array<double>, rent_price_sqm double, sale_price_sqm double, is_candidate boolean, cluster_id int"
@@ -119,7 +121,7 @@ def test_empty_tables_and_nulls(spark):
     empty = spark.createDataFrame([], SPOT)
     assert radius.widening_candidates(empty, empty).count() == 0
     assert values(gate.feature_gate(empty), "finding", "n")[0] == ("no_rows", 1)
-    assert gate.feature_stats(empty).count() == 8
+    assert gate.feature_stats(empty).count() == 9
     assert values(spark.createDataFrame([("",), (None,), ("x",)], "v string").select(parsing.number(F.col("v"), "int").alias("n")), "n") == [(None,)] * 3
     assert values(spark.createDataFrame([("ｆｉ  x ",), (None,), (" ",)], "v string").select(text.clean(F.col("v")).alias("t")), "t") == [("fi x",), (None,), (None,)]
     assert spark.createDataFrame([([0.0, 0.0],)], "v array<double>").select(vectors.l2_normalize(F.col("v"))).first()[0] is None
@@ -153,9 +155,24 @@ def test_separated_groups_are_found(spark):
 def test_weighted_silhouette_and_promotion(spark):
     scores = spark.createDataFrame([(9, 0.3, 300), (15, 0.1, 100)], "sector_id int, silhouette double, n long")
     assert cluster.weighted_silhouette(scores).first()[0] == pytest.approx(0.25)
-    new = spark.createDataFrame([(1, 0.30), (2, 0.30), (3, 0.26), (4, 0.20)], "sector_id int, silhouette double")
-    old = spark.createDataFrame([(2, 0.25), (3, 0.25), (4, 0.25)], "sector_id int, silhouette double")
-    assert dict(values(cluster.promotion_report(new, old), "sector_id", "wins")) == {1: True, 2: True, 3: False, 4: False}
+    kind = "sector_id int, silhouette double, n long"
+    new = spark.createDataFrame([(9, 0.30, 300), (15, 0.10, 100)], kind)
+    report = cluster.promotion_report(new, spark.createDataFrame([(9, 0.20, 1), (15, 0.10, 1)], kind)).collect()
+    assert len(report) == 2 and all((r.new_weighted, r.champion_weighted, r.wins) == (pytest.approx(0.25), pytest.approx(0.175), True) for r in report)
+
+
+@pytest.mark.parametrize(("new", "champion", "want"), [(0.30, None, True), (0.30, 0.25, True), (0.26, 0.25, False), (0.20, 0.25, False), (0.30, 0.295, False)])
+def test_a_new_model_wins_beyond_the_margin(spark, new, champion, want):
+    kind = "sector_id int, silhouette double, n long"
+    old = None if champion is None else spark.createDataFrame([(9, champion, 10)], kind)
+    assert cluster.promotion_report(spark.createDataFrame([(9, new, 10)], kind), old).first().wins is want
+
+
+def test_a_champion_without_a_sector_cannot_compete(spark):
+    kind = "sector_id int, silhouette double, n long"
+    new = spark.createDataFrame([(9, 0.1, 10), (15, 0.1, 10)], kind)
+    assert {r.wins for r in cluster.promotion_report(new, spark.createDataFrame([(9, 0.9, 10)], kind)).collect()} == {True}
+    assert {r.wins for r in cluster.promotion_report(new, spark.createDataFrame([(9, 0.9, 10), (15, None, 0)], kind)).collect()} == {True}
 
 
 def best_partitions(x, ks):
@@ -227,3 +244,168 @@ def test_cluster_queries_take_all_candidates_and_defaults(spark, monkeypatch):
 def test_models_of_all_sectors_are_scored(spark):
     out = values(registry.QUERIES["score_models"](spark, "/root/testdata/sf0.001"), "sector_id", "silhouette", "n")
     assert [(s, n) for s, _, n in sorted(out)] == [(9, 35), (11, 29), (12, 31), (15, 30)] and all(x is not None for _, x, _ in out)
+
+
+# Contracts and the path from raw files ---------------------------------------------------------------------------------
+
+
+def test_contracts_have_all_columns():
+    assert [len(x) for x in (contract.SPOT_HEADERS, contract.ATTRIBUTE_HEADERS, contract.SPOTS, contract.BRONZE, contract.SILVER, contract.GOLD, contract.FEATURES, contract.CATALOG_HEADERS)] == [22, 11, 18, 25, 30, 32, 11, 5]
+    assert {f.metadata["header"] for f in contract.SPOTS} < {*contract.SPOT_HEADERS} and {f.metadata["header"] for f in contract.ATTRIBUTES} < {*contract.ATTRIBUTE_HEADERS}
+    assert contract.NULL_RATES[9]["floor_material"] == 0.494 and contract.NULL_RATES[13]["parking_spaces"] == 0.005 and [len(x) for x in contract.NULL_RATES.values()] == [6, 5, 4, 1]
+
+
+@pytest.mark.parametrize(("lat", "lon", "sector", "want"), [(19.4, -99.1, 9, None), (19.4, -118.5, 9, None), (19.4, -118.8, 9, "out_of_bbox"), (19.4, None, 9, "out_of_bbox"), (33.01, -99.0, 12, "out_of_bbox,unknown_sector"), (14.0, -86.0, None, "unknown_sector")])
+def test_quarantine(spark, lat, lon, sector, want):
+    row = spark.createDataFrame([(lat, lon, sector)], "latitude double, longitude double, sector_id int")
+    assert row.select(ingest.reason().alias("r")).first().r == want
+
+
+def test_domains(spark):
+    rows = spark.createDataFrame([(0, 0, -1), (1, 1, -1), (100, 3, 2), (101, 4, None), (None, None, 0)], "natural_light int, building_status int, parking_spaces int")
+    assert [tuple(r) for r in prep.apply_domains(rows).collect()] == [(None, None, -1), (1, 1, -1), (100, 3, 2), (None, None, None), (None, None, 0)]
+    assert dict(values(prep.domain_nulls(rows), "column_name", "n")) == {"building_status": 2, "natural_light": 2}
+
+
+GOLD_ROW = {
+    "sector_id": 9, "is_candidate": True, "modality": "Rent", "latitude": 19.4, "longitude": -99.1, "area_sqm": 100.0, "maintenance_cost": 10.0, "charging_ports": 2, "parking_spaces": 3,
+    "number_of_elevators": 2, "building_status": 1, "security_type": [1], "natural_light": 50, "has_description": True,
+}
+
+
+def gold_rows(spark):
+    rows = [
+        {"spot_id": 1, "floor_material": "concreto"}, {"spot_id": 2, "area_sqm": 300.0, "maintenance_cost": None, "building_status": None, "natural_light": None}, {"spot_id": 3, "area_sqm": 1e9, "is_candidate": False},
+        {"spot_id": 4, "sector_id": 11, "security_type": [1, 3], "modality": "Sale"}, {"spot_id": 5, "sector_id": 11, "security_type": None, "number_of_elevators": 4, "modality": "Rent & Sale"},
+        {"spot_id": 6, "sector_id": 12, "parking_spaces": None, "has_description": False}, {"spot_id": 7, "sector_id": 12, "parking_spaces": 10}, {"spot_id": 8, "sector_id": 15, "area_sqm": 5000.0},
+    ]
+    full = [GOLD_ROW | {"text": f"spot {r['spot_id']}"} | r for r in rows]
+    return spark.createDataFrame([tuple(r.get(n) for n in contract.GOLD.fieldNames()) for r in full], contract.GOLD)
+
+
+def test_features_of_gold_rows(spark):
+    gold = gold_rows(spark)
+    table = features.features(gold)
+    assert ingest.schema_differences(table, contract.FEATURES) == [] and gate.check_features(table, 8, 7) == []
+    row = {r.spot_id: r for r in table.collect()}
+    assert [len(row[i].tab_vector) for i in (1, 4, 6)] == [8, 7, 7] and row[8].tab_vector is None and row[6].nlp_vector is None and len(row[1].nlp_vector) == 768
+    logs = np.log1p([100.0, 300.0])
+    assert row[1].tab_vector[0] == pytest.approx((logs[0] - logs.mean()) / logs.std(ddof=1), abs=1e-5)
+    assert row[2].tab_vector[1] == 0 and row[2].tab_vector[3:] == [1, 0, 0, 0, 0] and row[1].tab_vector[3:] == [0, 1, 0, 0, 0.5]
+    assert row[4].tab_vector[3:] == [0, 1, 0, 1] and row[5].tab_vector[3:] == [1, 0, 0, 0] and row[5].tab_vector[2] == pytest.approx(math.sqrt(0.5))
+    assert [row[i].modality_mask for i in (1, 4, 5)] == [1, 2, 3] and all(r.cluster_id is None for r in row.values())
+    assert row[1].nlp_vector != row[2].nlp_vector and {r.encoder_text for r in prep.encoder_text(gold).where("spot_id in (1, 4)").collect()} == {"spot 1. concreto", "spot 4"}
+    with pytest.raises(ContractError):
+        gate.check_features(table.unionByName(table.limit(1)), 8, 7)
+    with pytest.raises(ContractError):
+        gate.check_features(table.withColumn("tab_vector", F.when(F.col("spot_id") != 1, F.col("tab_vector"))), 8, 7)
+
+
+def test_vectors_of_the_office_read_maintenance_not_parking(spark):
+    gold = gold_rows(spark)
+    other = gold.withColumn("parking_spaces", F.lit(99)).withColumn("maintenance_cost", F.when(F.col("sector_id") == 11, F.col("spot_id").cast("double")).otherwise(F.col("maintenance_cost")))
+    before, after = ({r.spot_id: r.tab_vector for r in features.tab_vectors(df).where("sector_id = 11").collect()} for df in (gold, other))
+    assert before[4][1] == 0 and after[4][1] == pytest.approx(-math.sqrt(0.5), abs=1e-6) and after[5][1] == pytest.approx(math.sqrt(0.5), abs=1e-6)
+
+
+def test_equal_texts_are_encoded_once_and_all_have_their_vector(spark):
+    rows = spark.createDataFrame([(1, "a b c", True), (2, "a b c", True), (3, "b", True), (4, "x", False), (5, None, True)], "spot_id long, encoder_text string, has_description boolean")
+    got = {r.spot_id: r.nlp_vector for r in features.encode_text(rows).collect()}
+    encode = features.hashing_encoder()
+    assert {*got} == {1, 2, 3} and got[1] == got[2]
+    for i, t in ((1, "a b c"), (3, "b")):
+        v = encode([t])[0]
+        assert got[i] == pytest.approx((v / np.linalg.norm(v)).astype(np.float32).tolist())
+
+
+def test_raw_files_become_features(spark, tmp_path):
+    spot = dict.fromkeys(contract.SPOT_HEADERS)
+    more = dict.fromkeys(contract.ATTRIBUTE_HEADERS)
+    spots = [
+        spot | {"Spot ID": "1", "Spot Sector ID": "9", "Spot Municipality": "Léon", "Spot Title": "Nave  uno", "Spot Description": "con\nandén", "Spot Latitude": "21.10000000° N", "Spot Longitude": "101.60000000° W", "Spot Area In Sqm": "1,200.5", "Spot Price Sqm Mxn Rent": "95", "Spot Maintenance Cost Mxn ($)": "1,000", "Spot Modality": "Rent", "Spot Created Date": "January 5, 2024"},
+        spot | {"Spot ID": "2", "Spot Sector ID": "13", "Spot Municipality": "Solidaridad", "Spot Title": "Local", "Spot Latitude": "20.6° N", "Spot Longitude": "87.1° O", "Spot Area In Sqm": "80", "Spot Modality": "Rent & Sale"},
+        spot | {"Spot ID": "3", "Spot Sector ID": "11", "Spot Latitude": "19° N", "Spot Longitude": "118.8° W", "Spot Modality": "Sale"},
+    ]
+    attributes = [more | {"spot_id": "1", "building_status": "2", "natural_light": "0", "security_type": '["1", 3]', "floor_material": "concreto"}, more | {"spot_id": "77"}]
+    catalog = [("11020", "11", "Guanajuato", "020", "León"), ("23008", "23", "Quintana Roo", "008", "Playa del Carmen")]
+    for name, rows, headers in (("s", [tuple(r[h] for h in contract.SPOT_HEADERS) for r in spots], contract.SPOT_HEADERS), ("a", [tuple(r[h] for h in contract.ATTRIBUTE_HEADERS) for r in attributes], contract.ATTRIBUTE_HEADERS), ("c", catalog, contract.CATALOG_HEADERS)):
+        spark.createDataFrame(rows, ", ".join(f"`{h}` string" for h in headers)).write.option("header", True).option("escape", '"').csv(str(tmp_path / name))
+    # Columns that no candidate of a sector has can't be scaled, so the sectors' other rows come as a second batch would.
+    raw = lambda n, h: tables.read_csv_contract(spark, str(tmp_path / n), h)
+    good, bad, warnings = build.bronze(raw("s", contract.SPOT_HEADERS), raw("a", contract.ATTRIBUTE_HEADERS), ingest.null_baseline(spark))
+    assert ingest.schema_differences(good, contract.BRONZE) == [] and values(bad, "spot_id", "reason") == [(3, "out_of_bbox")]
+    assert any("33.3" in w for w in warnings) and any("1 attribute rows" in w for w in warnings) and any("parking_spaces of sector 13" in w for w in warnings)
+    silver = clean.silver(good, raw("c", contract.CATALOG_HEADERS))
+    assert ingest.schema_differences(silver, contract.SILVER) == [] and clean.check_silver(silver, 2) == []
+    assert sorted(values(silver, "spot_id", "sector_id", "sector_id_original", "state", "is_candidate")) == [(1, 9, 9, "Guanajuato", True), (2, 12, 13, "Quintana Roo", True)]
+    gold = prep.gold(silver)
+    assert ingest.schema_differences(gold, contract.GOLD) == []
+    one = gold.where("spot_id = 1").first()
+    assert (one.text, one.has_description, one.security_type, one.natural_light, one.area_sqm, str(one.created_date)) == ("Nave uno. con andén", True, [1, 3], None, 1200.5, "2024-01-05")
+    with pytest.raises(ContractError, match="header"):
+        tables.read_csv_contract(spark, str(tmp_path / "c"), contract.CATALOG_HEADERS[:2])
+    with pytest.raises(ContractError, match="unparsed"):
+        build.bronze(raw("s", contract.SPOT_HEADERS).withColumn("Spot Area In Sqm", F.lit("many")), raw("a", contract.ATTRIBUTE_HEADERS), ingest.null_baseline(spark))
+    with pytest.raises(ContractError):
+        clean.check_silver(silver, 3)
+
+
+def test_null_baseline_from_a_file(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"9": {"area_sqm": 0.0,\n "charging_ports": 0.22}, "15": {"area_sqm": 0.0}}')
+    assert sorted(values(ingest.read_null_baseline(spark, str(tmp_path / "b.json")), "sector_id", "column_name", "expected")) == [(9, "area_sqm", 0.0), (9, "charging_ports", 0.22), (15, "area_sqm", 0.0)]
+
+
+# Reports ----------------------------------------------------------------------------------------------------------------
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g in ("a", None, "c") for v in rng.integers(0, 40, 300 if g == "a" else 7) / 3] + [("d", 5.0), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.n, r.q) for r in quantiles(df, ["g"], "v", (0.0, 0.01, 0.25, 0.5, 0.99, 1.0)).collect()}
+    for g in ("a", None, "c", "d"):
+        mine = [v for h, v in rows if h == g]
+        assert got[g][0] == len(mine) and got[g][1] == pytest.approx(np.percentile(mine, [0, 1, 25, 50, 99, 100]))
+    assert "e" not in got
+    assert quantiles(df, [], "v", (0.5,)).first().q == pytest.approx([np.median([v for _, v in rows if v is not None])])
+    assert quantiles(df.where("false"), ["g"], "v", (0.5,)).count() == 0
+
+
+def test_shared_coordinates(spark):
+    rows = spark.createDataFrame([(19.0, -99.0, "19.00° N"), (19.0, -99.0, "19.10° N"), (20.0, -118.8, "20.12° N")], "latitude double, longitude double, latitude_text string")
+    r = audit.coordinate_audit(rows).first()
+    assert (r.pairs, r.pct_shared, r.pct_outside, r.median_decimals) == (2, pytest.approx(100 / 3), pytest.approx(100 / 3), 1)
+
+
+def test_inventory_is_a_share_of_the_spots(spark):
+    rows = spark.createDataFrame([(1, 9, "Rent & Sale"), (2, 9, "Rent"), (3, 11, "Sale"), (4, 11, "Other")], "spot_id long, sector_id int, modality string")
+    assert sorted(values(audit.partition_matrix(rows), "sector_id", "intention", "inventory", "pct_inventory")) == [(9, "Rent", 2, 50.0), (9, "Sale", 1, 25.0), (11, "Sale", 1, 25.0)]
+
+
+def test_clones_are_counted_among_measured_rows(spark):
+    kind = "spot_id long, sector_id int, intention string, latitude double, longitude double, area_sqm double, user_id long"
+    rows = spark.createDataFrame([(1, 9, "Rent", 19.0, -99.0, 100.0, 7), (2, 9, "Rent", 19.001, -99.0, 104.0, 7), (3, 9, "Rent", None, -99.0, 100.0, 7), (4, 9, "Rent", 19.0, -99.0, None, 7), (5, 11, "Rent", 19.0, -99.0, 1.0, 7)], kind)
+    assert values(audit.clone_rate(rows, audit.clone_pairs(rows)), "sector_id", "n", "with_clone", "pct_with_clone", "max_clones") == [(9, 2, 2, 100.0, 1)]
+
+
+def test_text_coverage_counts_blank_descriptions(spark):
+    rows = spark.createDataFrame([(9, "Rent", " ab ", "  "), (9, "Rent", "ab", None), (9, "Rent", "ab", " cde"), (9, "Rent", None, "x" * 50)], "sector_id int, intention string, title string, description string")
+    r = audit.text_coverage(rows).first()
+    assert (r.n, r.pct_no_description, r.pct_short, r.median_length) == (4, 50.0, 75.0, 4.5)
+
+
+def test_price_consistency_by_intention(spark):
+    kind = "modality string, area_sqm double, rent_price_sqm double, rent_price_total double, sale_price_sqm double, sale_price_total double"
+    rows = spark.createDataFrame([("Rent", 10.0, 2.0, 20.0, 5.0, 1.0), ("Rent & Sale", 10.0, 2.0, 25.0, 3.0, 30.2), ("Rent", 10.0, 2.0, 0.0, None, None), ("Sale", None, None, None, 3.0, 30.0)], kind)
+    got = {r.intention: (r.n, r.pct_consistent, r.median_error) for r in audit.price_consistency(rows).collect()}
+    assert got == {"Rent": (3, pytest.approx(100 / 3), pytest.approx(0.1)), "Sale": (1, 100.0, pytest.approx(0.2 / 30.2))}
+
+
+def test_taxonomy_both_ways(spark):
+    rows = spark.createDataFrame([(9, 1), (9, 2), (13, None), (None, 2)], "sector_id int, type_id int")
+    got = {(r.column_name, r.code): (r.label, r.n, r.pct, r.documented) for r in audit.taxonomy_audit(rows).collect()}
+    assert got["sector_id", 9] == ("Industrial", 2, 50.0, True) and got["sector_id", 13] == ("SIN DOCUMENTAR", 1, 25.0, False) and got["sector_id", 15] == ("Land", 0, 0.0, True) and got["type_id", 2] == ("Complex", 2, 50.0, True) and len(got) == 8
+
+
+def test_distance_to_nowhere_is_null(spark):
+    assert spark.range(1).select(geo.haversine_km(F.lit(1.0), F.lit(2.0), F.lit(None).cast("double"), F.lit(2.0))).first()[0] is None
