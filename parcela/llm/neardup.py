@@ -6,7 +6,7 @@ empty). Two are linked if 100 * |intersection| >= percent * |union|.
 1. Signatures. Each shingle has a permutation of the slots and, for each of its ranks, a fraction; a
    slot holds the least rank + fraction of any shingle. Shingles are taken rank by rank for many documents
    at once, and a document stops as soon as its greatest slot is below the next rank.
-2. Equal sets become one node, the least doc_id. Nodes meet in buckets, one for each band of ROWS slots.
+2. Equal sets become one node, named by one of their rows. Nodes meet in buckets, one for each band of ROWS slots.
    A linked pair misses all BANDS buckets with a chance of (1 - 0.85 ** 4) ** 32 < 1e-10 at 85 percent, 1e-7 at 80.
 3. Each bucket has a pivot: the node with most copies, then that of the least hash. All nodes of a bucket are compared with the
    pivot on full sets: as many pairs as rows. Components of the links found close most buckets.
@@ -16,19 +16,27 @@ empty). Two are linked if 100 * |intersection| >= percent * |union|.
    components leave a block. No pair is ever a row, and no block holds more than 2 * BLOCK sets.
 5. Components by alternating star contractions, on edges in Spark.
 
-Defined cases: documents with empty sets are linked with nothing; a null text is empty. A node is
-named by its least doc_id; different sets with the same one are one node. A null doc_id has component null unless an equal set has
-an id, and is kept in the former case. An empty table gives no rows; other columns are ignored.
+Rows, not ids, are what is linked: rows without an id, or with the same one, are told apart. A component is
+named by its least doc_id, and one of its rows is chosen to stand for it, that of the least doc_id.
+
+Step 4 costs, within a bucket, as many copies of sets as the nodes that aren't near the pivot fill blocks. Where very
+many pages are made of one template, share more than half of their shingles and aren't linked, buckets grow with
+the family and so does this factor.
+
+Defined cases: documents with empty sets are linked with nothing, and each stays; a null text is empty. A row
+without an id gets the component of the rows that it is linked with, null if none of them has an id, and is kept only
+if it is chosen. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parcela.llm.common import BASE, cut, mix, slices, texts_of, utf8, words
+from parcela.llm.common import BASE, cut, mix, slices, utf8, words
 
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 32, 4
@@ -105,8 +113,21 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
+def record_hash(docs: DataFrame) -> tuple[Column, Column]:
+    """128 bits of all columns of a row (maps left out)."""
+    cols = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    nulls = F.array(*[c.isNull() for c in cols])
+    return F.xxhash64(nulls, *cols), F.xxhash64(F.lit(1), *cols, nulls)
+
+
+def records(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), and the hash of the whole row."""
+    r1, r2 = record_hash(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), r1.alias("r1"), r2.alias("r2"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), k1, k2 (of the set: 128 bits), bands."""
+    """doc_id, r1, r2, n (shingles), k1, k2 (of the set: 128 bits), bands."""
 
     def run(batches):
         for b in batches:
@@ -117,6 +138,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "doc_id": b["doc_id"].iloc[lo:hi].array,
+                        "r1": b["r1"].iloc[lo:hi].array,
+                        "r2": b["r2"].iloc[lo:hi].array,
                         "n": [len(s) for s in sets],
                         "k1": np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
                         "k2": np.array([mix(s + np.uint64(INTERLUDE)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
@@ -124,18 +147,22 @@ def signatures(docs: DataFrame) -> DataFrame:
                     }
                 )
 
-    return texts_of(docs).mapInPandas(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    return records(docs).mapInPandas(run, "doc_id long, r1 long, r2 long, n long, k1 long, k2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, shingles (binary, rising 64-bit hashes) of the documents in wanted (id)."""
+    """id, shingles (binary, rising 64-bit hashes) of wanted (id, r1, r2, times: how many rows are this record)."""
 
     def run(batches):
         for b in batches:
             for lo, hi in slices(list(b["text"]), 1 << 20):
-                yield pd.DataFrame({"id": b["doc_id"].iloc[lo:hi].array, "shingles": [s.tobytes() for s in shingle_sets(list(b["text"][lo:hi]))]})
+                yield pd.DataFrame({"id": b["id"].iloc[lo:hi].array, "shingles": [s.tobytes() for s in shingle_sets(list(b["text"][lo:hi]))]})
 
-    return texts_of(docs).join(wanted.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").mapInPandas(run, "id long, shingles binary")
+    met = lambda w: records(docs).join(w.select("id", "r1", "r2").hint("shuffle_hash"), ["r1", "r2"]).select("id", "text")
+    rows = met(wanted.where("times = 1"))
+    if not (again := wanted.where("times > 1")).isEmpty():
+        rows = rows.unionByName(met(again).groupBy("id").agg(F.first("text").alias("text")))  # the texts of a record are equal
+    return rows.mapInPandas(run, "id long, shingles binary")
 
 
 def linked(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCENT):
@@ -233,15 +260,20 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("comp").alias("node"), "comp").distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each document."""
-    signed = cut(signatures(docs))
-    nodes = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null")
-    reps = signed.join(nodes, ["k1", "k2"]).where("doc_id = rep").select("rep", F.struct(-F.col("copies"), F.xxhash64("rep"), F.col("rep").alias("id")).alias("order"), F.explode("bands").alias("band"))
+def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, r1, r2 (of records()), n_shingles, component_id and chosen (whether the row stands for its component) of each row."""
+    # A row's number is a property of the row once it is written.
+    signed = cut(signatures(docs).withColumn("row", F.monotonically_increasing_id()))
+    once = signed.where("n > 0").groupBy("k1", "k2", "doc_id", "r1", "r2").agg(F.count("*").alias("times"), F.min("row").alias("row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "r1", "r2", "times"))
+    nodes = cut(once.groupBy("k1", "k2").agg(first.alias("f"), F.sum("times").alias("copies")).select("k1", "k2", F.col("f.row").alias("node"), F.col("f.doc_id").alias("doc_id"), "f.r1", "f.r2", "f.times", "copies"))
+    keyed = nodes.select("k1", "k2", "node", "copies")
+    reps = signed.join(keyed, ["k1", "k2"]).where("row = node").select("node", F.struct(-F.col("copies"), F.xxhash64("node"), F.col("node").alias("id")).alias("order"), F.explode("bands").alias("band"))
     tops = reps.groupBy("band").agg(F.min("order").alias("top"), F.max("order").alias("last")).where("top <> last").select("band", F.col("top.id").alias("p"))
-    members = cut(reps.join(tops, "band").select("band", "p", F.col("rep").alias("a")).distinct())
+    members = cut(reps.join(tops, "band").select("band", "p", F.col("node").alias("a")).distinct())
     pairs = members.where("a <> p").select("p", "a").distinct()
-    sets = cut(full_sets(docs, members.select(F.col("a").alias("id")).distinct()))
+    wanted = nodes.select(F.col("node").alias("id"), "r1", "r2", "times").join(members.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    sets = cut(full_sets(docs, wanted))
     stars = cut(check_pairs(pairs, sets, percent))
     first = components(stars)
     comp = members.join(first.withColumnRenamed("node", "a"), "a", "left").select("band", "p", "a", F.coalesce("comp", "a").alias("comp"))
@@ -250,6 +282,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = cut(comp.join(wide, "band").select("p", "a", "comp").distinct().join(pivots, "p").select("p", "a", "comp", (F.col("comp") == F.col("pc")).alias("near")))
     more = cut(block_links(groups, sets, percent))
     second = components(stars.unionByName(more)) if not more.isEmpty() else first
-    named = nodes.join(second.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("of_set"))
-    out = signed.join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("of_set")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    named = nodes.select("k1", "k2", "node", "doc_id").join(second, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node"))
+    heads = named.groupBy("comp").agg(least.alias("h")).select("comp", F.col("h.doc_id").alias("head_id"), F.col("h.node").alias("head"))
+    of_set = named.join(heads, "comp").select("k1", "k2", "head_id", "head")
+    out = signed.drop("bands").join(of_set, ["k1", "k2"], "left")
+    bare = F.col("n") == 0
+    return out.select("doc_id", "r1", "r2", F.col("n").alias("n_shingles"), F.when(bare, F.col("doc_id")).otherwise(F.col("head_id")).alias("component_id"), (bare | F.coalesce(F.col("row") == F.col("head"), F.lit(False))).alias("chosen"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each document."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("chosen"))
+    return grouped(docs, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, as they are, that stand for their components; of a record that is there several times one is taken if one is chosen."""
+    by = grouped(docs, percent).groupBy("r1", "r2").agg(F.sum(F.col("chosen").cast("long")).alias("chosen"), F.count("*").alias("times")).where("chosen > 0")
+    by = cut(by.select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), (F.col("chosen") < F.col("times")).alias("_once")))
+    r1, r2 = record_hash(docs)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), r1.alias("_r1"), r2.alias("_r2"))
+    rows = lambda which: keyed.join(by.where(which).hint("shuffle_hash"), ["_r1", "_r2"])
+    out = rows("not _once").select("_row")
+    if not by.where("_once").isEmpty():
+        out = out.unionByName(rows("_once").groupBy("_r1", "_r2").agg(F.first("_row").alias("_row")).select("_row"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
