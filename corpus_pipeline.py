@@ -1,4 +1,10 @@
-"""A corpus from documents to packed sequences: language, toxicity, near duplicates, packing."""
+"""A corpus from documents to packed sequences: language, toxicity, near duplicates, packing.
+
+Defined cases: an empty table passes through every stage and gives no pieces; a document without text or letters
+has no language and goes in the first stage; rows that repeat are judged alike by the first two stages, and one of
+them stays in the third; rows without an id are told apart by their texts and other columns; other columns are kept
+as they are, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,7 @@ from pyspark.sql import functions as F
 from parcela.llm import common, langid, neardup, packing, toxicity
 
 
-#: Of five-word shingles in common, from which on documents are near duplicates.
+#: Of five-word shingles in common, in percent, from which on documents are near duplicates: the value for stages without a contract of their own.
 SIMILAR_PERCENT = 80
 
 
@@ -28,10 +34,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates, once; documents without an id stay unless an equal one has one."""
+    """One document of each group of near duplicates, that of the least id; documents without words stay, and so do repeated rows of them."""
     common.small_batches(spark)
-    kept = neardup.near_duplicates(docs, SIMILAR_PERCENT).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return neardup.one_of_each(docs, SIMILAR_PERCENT)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
