@@ -1,21 +1,25 @@
 """Scoring texts with an n-gram model kept as Elias-Fano tries.
 
-Tokens are words ([^\\x20\\x09-\\x0D]+, A-Z in lower case) and one end per text. The model is a trigram
-model with Dirichlet smoothing: p1(w) = (c(w) + 1) / (N + V + 1), and with a context h and its suffix h'
-p(w|h) = (c(h w) + MU * p(w|h')) / (c(h) + MU), where N and V are the tokens and distinct tokens learnt from.
-Each is a distribution over the known words and one unknown word.
-
-1. Texts become chunks, rows that hold the tokens of about CHUNK tokens' texts as numbers into the chunk's own
-   list of words. Chunks are written to the shared folder, so they keep their rows.
-2. Each chunk asks for the n-grams that occur in it: sorted hashes as Elias-Fano lists, dealt by ranges of the
-   hash, with the counts of its own learnt texts. In each range the counts of all chunks are added, and the
-   what the other chunks have goes back in the order in which it was asked for. So the counts cover the whole corpus, an n-gram
-   moves once for each chunk that holds it, and no task holds more than a range or a chunk.
-   All n-grams have 64 bits of hash, of which the range is a part.
-3. A chunk's part of the model becomes a trie: a level for each order, sorted by context, as monotone Elias-Fano lists
-   in a memory-mapped file, with 16-bit quantised log probabilities and back-off weights. Level 3 names a word by its place
-   among the successors of the middle word. A look-up is a successor search among the context's children; where it
-   fails the back-off weight is added and the shorter context asked.
+Tokens are words ([^\\x20\\x09-\\x0D]+, A-Z in lower case) and one end per text. The model is an interpolated trigram
+model: p1(w) = (c(w) + 1) / (N + V + 1), where N and V are the tokens and distinct tokens learnt from; then
+p2(w|v) = (c(v w) + MU * p1(w)) / (c(v) + MU); and p3(x|v w) takes a discount off the count of each word that
+followed v w (DISCOUNTS: of counts 1, 2, and 3 or more) and gives what was taken to p2(x|w). Each is a distribution over the
+known words and one unknown word. A text that is there twice thus lies far from one that is there once.
+
+1. Chunks: rows that hold about CHUNK tokens' texts as numbers into the chunk's own list of words, written as
+   a table in the shared folder that is bucketed by chunk, so that they are never shuffled again.
+2. Words: each chunk sends the hashes (64 bits) of its words with the counts of its learnt texts, dealt by ranges of the hash. A word's
+   place in its range, after all ranges before, is its number; numbers and counts over the whole corpus go back.
+3. N-grams: each chunk sends the pairs and triples that occur in it, dealt by ranges of the pair (sampled splitters). A pair is named by its two
+   numbers, a triple by the place of its first two words among the pairs sent and the number of the third, all as
+   Elias-Fano lists; nothing is hashed from here on. A range has all that follows its pairs.
+4. Each range sums up the chunks' counts and becomes a trie of the whole corpus: levels of contexts, of the words
+   that follow them and of those that follow these, each a monotone Elias-Fano list, with Elias-Fano pointers from a word to
+   its successors and 16-bit quantised log probabilities and back-off weights, in a memory-mapped file. What the chunks
+   asked is looked up there by successor search between the pointers of the context, and the codes found go back.
+5. Each chunk adds up its tokens' probabilities.
+
+The cells of 3, a row for each chunk and range, grow as the square of the input; beyond a TB CHUNK should grow with it.
 
 Defined cases: a null text is the empty one and has the end alone; without texts to learn from all
 counts are 0; rows that repeat are each scored; an empty table gives no rows; other columns are ignored.
@@ -26,6 +30,7 @@ from __future__ import annotations
 import tempfile
 import zlib
 from math import log2
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -33,14 +38,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcela.llm.common import BASE, cut, mix, slices, texts_of, utf8, words
+from parcela.llm.common import buckets, cut, mix, slices, texts_of, utf8, words
+from parcela.session import new_folder
 
-#: Tokens of a chunk.
-CHUNK = 1_000_000
-#: Weight of the shorter context, by order.
-MU = {2: 500.0, 3: 1.0}
-#: Steps of the quantised log10 in a unit.
-STEPS = 2048.0
+#: Tokens of a chunk; tokens of all texts for each range of words and for each range of n-grams.
+CHUNK, WORD_RANGE, RANGE = 1_000_000, 16_000_000, 1_500_000
+#: Keys drawn for each range of n-grams (expected).
+SAMPLES = 24
+#: Weight of the single words beside what followed a word.
+MU = 500.0
+#: What is taken off the counts 1, 2, and 3 or more of triples.
+DISCOUNTS = np.array([0.0, 0.9, 1.1, 1.3])
+#: Steps of the quantised log10 in a unit, and the code of what wasn't learnt.
+STEPS, UNKNOWN = 2048.0, 65535
 
 END = np.uint64(0x5BF03635F0A31E4D)
 
@@ -85,26 +95,30 @@ class EliasFano:
         high = (np.flatnonzero(marks) - np.arange(self.n)).astype(np.uint64)
         return (high << np.uint64(self.bits)) | self.lows(np.arange(self.n)) if self.n else high
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each x, or -1: a binary search for the successor among the values with the same high part."""
-        if not self.n or not len(x):
-            return np.full(len(x), -1)
+    def successor(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the first value of at least x among those from begin to end, and whether it is x."""
         high = (x >> self.bits).astype(np.int64)
         want = x.astype(np.uint64) & np.uint64((1 << self.bits) - 1)
-        at, stop = self.first()[high], self.first()[high + 1]
-        end = stop.copy()
-        live = np.flatnonzero(at < end)
+        at, stop = np.clip(self.first()[high], begin, end), np.clip(self.first()[high + 1], begin, end)
+        over = stop.copy()
+        live = np.flatnonzero(at < over)
         while len(live):
-            middle = (at[live] + end[live]) >> 1
+            middle = (at[live] + over[live]) >> 1
             less = self.lows(middle) < want[live]
             at[live] = np.where(less, middle + 1, at[live])
-            end[live] = np.where(less, end[live], middle)
-            live = live[at[live] < end[live]]
-        out = np.full(len(x), -1)
+            over[live] = np.where(less, over[live], middle)
+            live = live[at[live] < over[live]]
+        hit = np.zeros(len(x), bool)
         inside = np.flatnonzero(at < stop)
-        hit = inside[self.lows(at[inside]) == want[inside]]
-        out[hit] = at[hit]
-        return out
+        hit[inside] = self.lows(at[inside]) == want[inside]
+        return at, hit
+
+    def find(self, x: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> np.ndarray:
+        """The place of each x among the values from begin to end, or -1."""
+        if not self.n or not len(x):
+            return np.full(len(x), -1)
+        at, hit = self.successor(x, np.broadcast_to(begin, len(x)), np.broadcast_to(self.n if end is None else end, len(x)))
+        return np.where(hit, at, -1)
 
     def pack(self) -> bytes:
         return np.array([self.n, self.universe, len(self.low)], "<u8").tobytes() + self.low.tobytes() + self.high.tobytes()
@@ -117,7 +131,7 @@ class EliasFano:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """chunk, doc_ids, learns, counts (tokens of each text), words (hashes of the distinct ones, a list for each order of frequency), tokens (numbers into them)."""
+    """chunk, size (tokens), doc_ids, learns, counts (tokens of each text), words (hashes of the distinct ones, a list for each order of frequency), tokens (numbers into them)."""
 
     def run(batches):
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -133,11 +147,12 @@ def chunks(docs: DataFrame) -> DataFrame:
             out = pd.DataFrame(
                 {
                     "chunk": [(part << 32) + seq],
+                    "size": [len(numbers)],
                     "doc_ids": [[None if pd.isna(d) else int(d) for ids, _, _, _ in held for d in ids]],
                     "learns": [[bool(x) for _, learns, _, _ in held for x in learns]],
                     "counts": [np.concatenate([c for _, _, c, _ in held]).astype(np.int32)],
                     "words": [[EliasFano.of(w, (1 << 64) - 1).pack() for w in lists]],
-                    "tokens": [zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)],
+                    "tokens": [planes(numbers, 4)],
                 }
             )
             seq, held, size = seq + 1, [], 0
@@ -154,55 +169,16 @@ def chunks(docs: DataFrame) -> DataFrame:
             yield row()
 
     kept = texts_of(docs, "learns")
-    return kept.mapInPandas(run, "chunk long, doc_ids array<long>, learns array<boolean>, counts array<int>, words array<binary>, tokens binary")
-
-
-class Chunk:
-    """What occurs in a chunk: tokens, and the distinct n-grams of each order sorted by context."""
-
-    def __init__(self, learns, counts, word_lists, token_bytes: bytes):
-        self.words = np.concatenate([EliasFano.unpack(w).values() for w in word_lists])
-        self.t = np.frombuffer(zlib.decompress(token_bytes), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64)
-        self.counts = np.asarray(counts, np.int64)
-        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.learn = np.repeat(np.asarray(learns, bool), self.counts)
-        v = len(self.words)
-        self.same2 = self.doc[1:] == self.doc[:-1]
-        self.same3 = self.same2[1:] & self.same2[:-1]
-        self.c1 = np.bincount(self.t[self.learn], minlength=v)
-        code = self.t[:-1] * v + self.t[1:]
-        self.at2 = np.flatnonzero(self.same2)
-        self.g2, self.i2 = np.unique(code[self.at2], return_inverse=True)
-        self.c2 = np.bincount(self.i2[self.learn[self.at2]], minlength=len(self.g2))
-        pair = np.full(len(code), -1)
-        pair[self.at2] = self.i2
-        self.at3 = np.flatnonzero(self.same3)
-        self.g3, self.i3 = np.unique(pair[self.at3] * v + self.t[self.at3 + 2], return_inverse=True)
-        self.c3 = np.bincount(self.i3[self.learn[self.at3]], minlength=len(self.g3))
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the words, and of the pairs and triples."""
-        v = len(self.words)
-        two = mix(self.words[self.g2 // v] * np.uint64(BASE) + self.words[self.g2 % v])
-        three = mix(two[self.g3 // v] * np.uint64(BASE) + self.words[self.g3 % v] + np.uint64(3))
-        return mix(self.words + np.uint64(1)), np.concatenate([two, three])
-
-
-def dealt(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of keys by range and hash, each one's range, and where the ranges begin."""
-    order = np.argsort(keys)
-    part = ((keys[order] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    return order, part, np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
+    return kept.mapInPandas(run, "chunk long, size long, doc_ids array<long>, learns array<boolean>, counts array<int>, words array<binary>, tokens binary")
 
 
-def begin(part: int, ranges: int) -> int:
-    """The least key of a range."""
-    return -(-(part << 32) // ranges) << 32
+def planes(x: np.ndarray, width: int) -> bytes:
+    """Unsigned numbers of so many bytes, the lowest bytes of all first, deflated."""
+    return zlib.compress(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), 1)
 
 
-def within(keys: np.ndarray, part: int, ranges: int) -> EliasFano:
-    """Sorted keys of a range as a list of their distances from its least key; no bit is lost."""
-    return EliasFano.of(keys - np.uint64(begin(part, ranges)), -(-(1 << 64) // ranges) + (1 << 32))
+def read_planes(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T.copy().view(f"<u{width}").reshape(-1)
 
 
 def small_numbers(x: np.ndarray) -> bytes:
@@ -218,137 +194,267 @@ def read_numbers(data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def asked(staged: DataFrame, ranges: int) -> DataFrame:
-    """range, chunk and the n-grams of the chunk in that range with the chunk's own counts."""
+class Chunk:
+    """What occurs in a chunk: tokens, and the distinct pairs and triples in the order of the words' numbers.
+
+    of: the numbers of the chunk's words in the whole corpus.
+    """
+
+    def __init__(self, row, of: np.ndarray):
+        t = read_planes(row.tokens, 4).astype(np.int64)
+        order = np.argsort(of)
+        place = np.empty(len(of), np.int64)
+        place[order] = np.arange(len(of))
+        self.number, self.t, self.v = of[order], place[t], len(of)
+        self.counts = np.asarray(row.counts, np.int64)
+        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        learn = np.repeat(np.asarray(row.learns, bool), self.counts)
+        same2 = self.doc[1:] == self.doc[:-1]
+        self.at2 = np.flatnonzero(same2)
+        self.g2, self.i2 = np.unique(self.t[self.at2] * self.v + self.t[self.at2 + 1], return_inverse=True)
+        self.c2 = np.bincount(self.i2[learn[self.at2]], minlength=len(self.g2))
+        self.pair = np.full(len(t), -1)  # of the token and the next one
+        self.pair[self.at2] = self.i2
+        self.at3 = np.flatnonzero(same2[1:] & same2[:-1])
+        self.g3, self.i3 = np.unique(self.pair[self.at3] * self.v + self.t[self.at3 + 2], return_inverse=True)
+        self.c3 = np.bincount(self.i3[learn[self.at3]], minlength=len(self.g3))
+
+    def cells(self, bounds: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs by number, and where ranges begin among pairs and triples."""
+        codes = self.number[self.g2 // self.v] * known + self.number[self.g2 % self.v]
+        cut2 = np.concatenate([[0], np.searchsorted(codes, bounds), [len(codes)]])
+        return codes, cut2, np.searchsorted(self.g3, cut2 * self.v)
+
+
+def hash_ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where ranges of sorted 64-bit keys begin."""
+    return np.append(np.searchsorted(keys, np.array([hash_begin(p, ranges) for p in range(ranges)], np.uint64)), len(keys))
+
+
+def hash_begin(part: int, ranges: int) -> int:
+    return -(-(part << 32) // ranges) << 32
+
+
+def word_keys(row) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk's words' keys (a bijection of their hashes), sorted, and their places in the chunk's list."""
+    keys = mix(np.concatenate([EliasFano.unpack(w).values() for w in row.words]) + np.uint64(1))
+    order = np.argsort(keys)
+    return keys[order], order
+
+
+def ask_words(staged: DataFrame, ranges: int) -> DataFrame:
+    """range, chunk, the keys of the chunk's words there and the counts of its learnt texts."""
 
     def run(batches):
         for b in batches:
             for r in b.itertuples():
-                c = Chunk(r.learns, r.counts, r.words, r.tokens)
-                one, more = c.keys()
-                own = (c.c1, np.concatenate([c.c2, c.c3]))
-                (o1, _, s1), (o2, _, s2) = dealt(one, ranges), dealt(more, ranges)
-                one, more, n1, n2 = one[o1], more[o2], own[0][o1], own[1][o2]
-                out = []
-                for p in range(ranges):
-                    x, y = slice(s1[p], s1[p + 1]), slice(s2[p], s2[p + 1])
-                    if x.start < x.stop or y.start < y.stop:
-                        out.append((p, r.chunk, within(one[x], p, ranges).pack(), small_numbers(n1[x]), within(more[y], p, ranges).pack(), small_numbers(n2[y])))
-                yield pd.DataFrame(out, columns=["range", "chunk", "k1", "n1", "k2", "n2"])
-
-    return staged.select("chunk", "learns", "counts", "words", "tokens").mapInPandas(run, "range int, chunk long, k1 binary, n1 binary, k2 binary, n2 binary")
-
-
-def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
-    """For each list of keys the sums over all lists of equal keys' counts; and how many keys have a count."""
-    every, n = np.concatenate(keys), np.concatenate(counts)
-    if not len(every):
-        return [n[:0] for _ in keys], 0
-    order = np.argsort(every, kind="stable")
-    begins = np.ones(len(every), bool)
-    begins[1:] = every[order][1:] != every[order][:-1]
-    totals = np.add.reduceat(n[order], np.flatnonzero(begins))
-    out = np.empty_like(n)
-    out[order] = totals[np.cumsum(begins) - 1]
-    return np.split(out, np.cumsum([len(k) for k in keys])[:-1]), int((totals > 0).sum())
-
-
-def answered(requests: DataFrame) -> DataFrame:
-    """chunk, range, the other chunks' counts of the chunk's n-grams in its order; types and tokens of the range on one of its rows."""
+                keys, order = word_keys(r)
+                learn = np.repeat(np.asarray(r.learns, bool), np.asarray(r.counts, np.int64))
+                n = np.bincount(read_planes(r.tokens, 4).astype(np.int64)[learn], minlength=len(keys))[order]
+                at, universe = hash_ranges(keys, ranges), -(-(1 << 64) // ranges) + (1 << 32)
+                out = [(p, r.chunk, EliasFano.of(keys[i:j] - np.uint64(hash_begin(p, ranges)), universe).pack(), small_numbers(n[i:j])) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if i < j]
+                yield pd.DataFrame(out, columns=["range", "chunk", "k", "n"])
+
+    return staged.select("chunk", "learns", "counts", "words", "tokens").mapInPandas(run, "range int, chunk long, k binary, n binary")
+
+
+def number_words(asked: DataFrame) -> DataFrame:
+    """chunk, range, places of the chunk's words in the range (rising) and their counts over all chunks; of the range, on one of its rows: words, learnt words, learnt tokens."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        k1 = [EliasFano.unpack(k).values() for k in b["k1"]]
-        k2 = [EliasFano.unpack(k).values() for k in b["k2"]]
-        n1 = [read_numbers(n, len(k)) for n, k in zip(b["n1"], k1, strict=True)]
-        n2 = [read_numbers(n, len(k)) for n, k in zip(b["n2"], k2, strict=True)]
-        (s1, types), (s2, _) = summed(k1, n1), summed(k2, n2)
+        keys = [EliasFano.unpack(k).values() for k in b["k"]]
+        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.concatenate([read_numbers(x, len(k)) for x, k in zip(b["n"], keys, strict=True)])
+        total = np.zeros(len(every), np.int64)
+        np.add.at(total, place, n)
+        mine = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
         first = np.arange(len(b)) == 0
         return pd.DataFrame(
-            {"chunk": b["chunk"], "range": b["range"], "s1": [small_numbers(s - n) for s, n in zip(s1, n1, strict=True)], "s2": [small_numbers(s - n) for s, n in zip(s2, n2, strict=True)], "types": np.where(first, types, 0), "tokens": np.where(first, sum(int(n.sum()) for n in n1), 0)}
-        )
+            {
+                "chunk": b["chunk"], "range": b["range"], "k": [EliasFano.of(m, len(every)).pack() for m in mine], "n": [small_numbers(total[m]) for m in mine],
+                "known": np.where(first, len(every), 0), "types": np.where(first, (total > 0).sum(), 0), "learnt": np.where(first, total.sum(), 0),
+            }
+        )
 
-    return requests.groupBy("range").applyInPandas(run, "chunk long, range int, s1 binary, s2 binary, types long, tokens long")
+    return asked.groupBy("range").applyInPandas(run, "chunk long, range int, k binary, n binary, known long, types long, learnt long")
+
+
+def numbers_of(row, answers, ranges: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number and the count of each word in the chunk's list."""
+    keys, order = word_keys(row)
+    at = hash_ranges(keys, ranges)
+    of, n = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+    for a in answers:
+        i, j = at[a.range], at[a.range + 1]
+        of[order[i:j]] = EliasFano.unpack(a.k).values().astype(np.int64) + before[a.range]
+        n[order[i:j]] = read_numbers(a.n, j - i)
+    return of, n
+
+
+def draw(staged: DataFrame, numbered: DataFrame, ranges: int, before: np.ndarray, known: int, share: float) -> DataFrame:
+    """code of a share of the pairs, and of the first pairs of triples, that are distinct within their chunks; drawn by a hash."""
+    most = np.uint64(min(1.0, share) * ((1 << 64) - 1025))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [np.empty(0, np.int64)]
+        for r in left.itertuples():
+            of, _ = numbers_of(r, right.itertuples(), ranges, before)
+            g, doc = of[read_planes(r.tokens, 4)], np.repeat(np.arange(len(r.counts)), r.counts)
+            code = (g[:-1] * known + g[1:])[doc[1:] == doc[:-1]]
+            out.append(np.unique(code[mix(code) <= most]))
+            three, in3 = g[:-2] * known + g[1:-1], doc[2:] == doc[:-2]
+            drawn = mix(mix(three) + g[2:].astype(np.uint64)) <= most
+            both = np.unique(np.stack([three[in3 & drawn], g[2:][in3 & drawn]], 1), axis=0)
+            out.append(both[:, 0])
+        return pd.DataFrame({"code": np.concatenate(out)})
+
+    return staged.groupBy("chunk").cogroup(numbered.groupBy("chunk")).applyInPandas(run, "code long")
+
+
+def ask_ngrams(staged: DataFrame, numbered: DataFrame, ranges: int, before: np.ndarray, known: int, bounds: np.ndarray) -> DataFrame:
+    """range, chunk, pairs and triples of the chunk there with the counts of its learnt texts, and the counts of the pairs' first words."""
+    low, high = np.concatenate([[0], bounds]), np.concatenate([bounds, [known * known]])
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in left.itertuples():
+            of, n = numbers_of(r, right.itertuples(), ranges, before)
+            c = Chunk(r, of)
+            n = n[np.argsort(of)]
+            codes, cut2, cut3 = c.cells(bounds, known)
+            for p, (i, j, k, m) in enumerate(zip(cut2, cut2[1:], cut3, cut3[1:], strict=False)):
+                if i < j:
+                    first = c.g2[i:j] // c.v
+                    g3 = c.g3[k:m]
+                    triples = (g3 // c.v - i) * known + c.number[g3 % c.v]
+                    out.append((p, r.chunk, EliasFano.of(codes[i:j] - low[p], int(high[p] - low[p])).pack(), small_numbers(c.c2[i:j]), EliasFano.of(triples, int(j - i) * known).pack(), small_numbers(c.c3[k:m]), small_numbers(n[first[np.flatnonzero(np.diff(first, prepend=-1))]])))
+        return pd.DataFrame(out, columns=["range", "chunk", "k2", "n2", "k3", "n3", "n1"])
+
+    return staged.groupBy("chunk").cogroup(numbered.groupBy("chunk")).applyInPandas(run, "range int, chunk long, k2 binary, n2 binary, k3 binary, n3 binary, n1 binary")
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(-np.log10(np.minimum(p, 1)) * STEPS), 0, 65535).astype("<u2")
+    """-log10 in steps; 0 and what is too small to be told from it is UNKNOWN."""
+    with np.errstate(divide="ignore"):
+        return np.minimum(np.round(-np.log10(np.clip(p, 0, 1)) * STEPS), UNKNOWN).astype("<u2")
+
+
+def restored(code: np.ndarray) -> np.ndarray:
+    return np.where(code == UNKNOWN, 0.0, 10 ** (-code.astype(np.float64) / STEPS))
 
 
 class Trie:
-    """A chunk's part of the model. Levels lie in a file that is mapped, and go with it."""
-
-    def __init__(self, c: Chunk, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, total: int, types: int):
-        v = len(c.words)
-        self.v = max(v, 1)
-        p1 = (n1 + 1) / (total + types + 1)
-        has2 = n2 > 0
-        g2, f2 = c.g2[has2], n2[has2]
-        left, right = g2 // self.v, g2 % self.v
-        p2 = (f2 + MU[2] * p1[right]) / (n1[left] + MU[2])
-        pointer = np.searchsorted(left, np.arange(v + 1))
-        # Triples are named by their pair's place and by the last word's place among the middle word's successors.
-        # A triple counts only where its pair and its lower pair do.
-        place = np.cumsum(has2) - 1
-        pair, last = c.g3 // self.v, c.g3 % self.v
-        middle = c.g2[pair] % self.v
-        lower = np.searchsorted(c.g2, middle * self.v + last)
-        has3 = (n3 > 0) & has2[pair] & has2[lower]
-        pair, middle, lower = pair[has3], middle[has3], place[lower[has3]]
-        self.most = max(1, int(np.diff(pointer).max(initial=1)))
-        g3 = place[pair] * self.most + lower - pointer[middle]
-        p3 = (n3[has3] + MU[3] * p2[lower]) / (n2[pair] + MU[3])
-        order = np.argsort(g3)
-        back1 = MU[2] / (n1 + MU[2])
-        back2 = MU[3] / (f2 + MU[3])
-        lists = [EliasFano.of(pointer, len(g2) + 1), EliasFano.of(g2, self.v * self.v), EliasFano.of(g3[order], len(g2) * self.most + 1)]
-        plain = [quantised(p) for p in (p1, back1, p2, back2, p3[order])]
+    """The model of a range of pairs. Its levels lie in a file that is mapped and goes with the trie.
+
+    pairs: sorted codes first * known + second, with counts; triples: sorted place of the pair * known + third, with counts.
+    firsts: the numbers that begin pairs, with their counts in the corpus.
+    """
+
+    def __init__(self, known: int, pairs, n2, triples, n3, firsts, n1):
+        self.known = known
+        n2, n3 = n2.astype(np.int64), n3.astype(np.int64)
+        v, begins = np.unique(pairs // known, return_index=True)
+        of_pair = np.repeat(np.arange(len(v)), np.diff(np.append(begins, len(pairs))))
+        p2 = n2 / (n1[np.searchsorted(firsts, v)][of_pair] + MU)
+        parent = triples // known
+        taken = DISCOUNTS[np.minimum(n3, 3)]
+        followed = np.bincount(parent, weights=n3, minlength=len(pairs))  # as often as the pair but for those at an end
+        p3 = (n3 - taken) / followed[parent]
+        back = np.bincount(parent, weights=taken, minlength=len(pairs)) / np.maximum(followed, 1)
+        back[followed == 0] = 1.0
+        lists = [
+            EliasFano.of(v, known + 1),
+            EliasFano.of(np.append(begins, len(pairs)), len(pairs) + 1),
+            EliasFano.of(of_pair * known + pairs % known, max(1, len(v)) * known + 1),
+            EliasFano.of(np.searchsorted(parent, np.arange(len(pairs) + 1)), len(triples) + 1),
+            EliasFano.of(triples, max(1, len(pairs)) * known + 1),
+        ]
+        arrays = [a for x in lists for a in (x.low, x.high)] + [quantised(x) for x in (p2, back, p3)]
         self.file = tempfile.TemporaryFile()
-        arrays = [a for x in lists for a in (x.low, x.high)] + plain
         for a in arrays:
             a.tofile(self.file)
+        self.file.write(b"\0")
         self.file.flush()
         size = np.cumsum([0, *(a.nbytes for a in arrays)])
         whole = np.memmap(self.file, np.uint8, "r")
         views = [whole[i:j] for i, j in zip(size, size[1:], strict=False)]
-        self.pointer, self.level2, self.level3 = (EliasFano(x.n, x.universe, views[2 * i], views[2 * i + 1]) for i, x in enumerate(lists))
-        self.p1, self.back1, self.p2, self.back2, self.p3 = (v.view("<u2") for v in views[6:])
-
-    def scores(self, c: Chunk) -> np.ndarray:
-        """log10 of each token's probability."""
-        out = self.p1[c.t].astype(np.int64)
-        t = c.t
-        if len(c.at2):
-            found = np.full(len(t) - 1, -1)
-            found[c.at2] = self.level2.find(t[c.at2] * self.v + t[c.at2 + 1])
-            hit = c.at2[found[c.at2] >= 0]
-            miss = c.at2[found[c.at2] < 0]
-            out[miss + 1] += self.back1[t[miss]]
-            out[hit + 1] = self.p2[found[hit]]
-            ask = c.at3[found[c.at3] >= 0]  # a context that wasn't seen has weight 1
-            begins = self.pointer.values().astype(np.int64)
-            known = found[ask + 1] >= 0
-            lower = np.where(known, found[ask + 1] - begins[t[ask + 1]], 0)
-            at = np.full(len(ask), -1)
-            at[known] = self.level3.find(found[ask[known]] * self.most + lower[known])
-            out[ask[at < 0] + 2] += self.back2[found[ask[at < 0]]]
-            out[ask[at >= 0] + 2] = self.p3[at[at >= 0]]
-        return -out / STEPS
-
-
-def scored(staged: DataFrame, answers: DataFrame, ranges: int, total: int, types: int) -> DataFrame:
+        self.firsts, self.pointer2, self.seconds, self.pointer3, self.thirds = (EliasFano(x.n, x.universe, views[2 * i], views[2 * i + 1]) for i, x in enumerate(lists))
+        self.p2, self.back, self.p3 = (w.view("<u2") for w in views[10:])
+        self.begin2, self.begin3 = self.pointer2.values().astype(np.int64), self.pointer3.values().astype(np.int64)
+
+    def look_up(self, pairs: np.ndarray, parent: np.ndarray, thirds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of pairs, of their back-off weights, and of triples (place among `pairs`, third)."""
+        v, w = pairs // self.known, pairs % self.known
+        context = self.firsts.find(v)
+        inner = np.maximum(context, 0)
+        at = np.where(context >= 0, self.seconds.find(inner * self.known + w, self.begin2[inner], self.begin2[np.minimum(inner + 1, len(self.begin2) - 1)]), -1)
+        p2, back = np.full(len(pairs), UNKNOWN, "<u2"), np.zeros(len(pairs), "<u2")
+        seen = at >= 0
+        p2[seen], back[seen] = self.p2[at[seen]], self.back[at[seen]]
+        p3 = np.full(len(parent), UNKNOWN, "<u2")
+        ask = np.flatnonzero(seen[parent])
+        node = at[parent[ask]]
+        third = self.thirds.find(node * self.known + thirds[ask], self.begin3[node], self.begin3[node + 1])
+        p3[ask[third >= 0]] = self.p3[third[third >= 0]]
+        return p2, back, p3
+
+
+def model_of(b: pd.DataFrame, known: int, low: int) -> tuple[Trie, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The trie of a range from what all chunks sent, and each chunk's pairs and triples."""
+    asked, n2, n3, n1, firsts = [], [], [], [], []
+    for r in b.itertuples():
+        pairs, triples = EliasFano.unpack(r.k2).values().astype(np.int64) + low, EliasFano.unpack(r.k3).values().astype(np.int64)
+        asked.append((pairs, triples // known, triples % known))
+        n2.append(read_numbers(r.n2, len(pairs)))
+        n3.append(read_numbers(r.n3, len(triples)))
+        first = pairs // known
+        firsts.append(first[np.flatnonzero(np.diff(first, prepend=-1))])
+        n1.append(read_numbers(r.n1, len(firsts[-1])))
+    every, place = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    total2 = np.bincount(place, weights=np.concatenate(n2), minlength=len(every)).astype(np.int64)
+    begins = np.cumsum([0, *(len(a[0]) for a in asked)])
+    codes, place3 = np.unique(np.concatenate([place[begins[i] + a[1]] * known + a[2] for i, a in enumerate(asked)]), return_inverse=True)
+    total3 = np.bincount(place3, weights=np.concatenate(n3), minlength=len(codes)).astype(np.int64)
+    learnt = total2 > 0
+    rank, has3 = np.cumsum(learnt) - 1, total3 > 0
+    codes, total3 = codes[has3], total3[has3]
+    first, at = np.unique(np.concatenate(firsts), return_index=True)
+    trie = Trie(known, every[learnt], total2[learnt], rank[codes // known] * known + codes % known, total3, first, np.concatenate(n1)[at])
+    return trie, asked
+
+
+def answer(asked: DataFrame, known: int, bounds: np.ndarray) -> DataFrame:
+    """chunk, range and the codes of what the chunk asked, in its order."""
+    low = np.concatenate([[0], bounds])
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        trie, wanted = model_of(b, known, int(low[b["range"].iloc[0]]))
+        found = [trie.look_up(*w) for w in wanted]
+        trie.file.close()
+        return pd.DataFrame({"chunk": b["chunk"], "range": b["range"], "k": [planes(np.concatenate([p2, back]), 2) for p2, back, _ in found], "n": [planes(p3, 2) for _, _, p3 in found], "words": False})
+
+    return asked.groupBy("range").applyInPandas(run, "chunk long, range int, k binary, n binary, words boolean")
+
+
+def scored(staged: DataFrame, answers: DataFrame, ranges: int, before: np.ndarray, known: int, bounds: np.ndarray, total: int, types: int) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         frames = []
         for r in left.itertuples():
-            c = Chunk(r.learns, r.counts, r.words, r.tokens)
-            one, more = c.keys()
-            n1, n2 = c.c1.copy(), np.concatenate([c.c2, c.c3])
-            (o1, _, s1), (o2, _, s2) = dealt(one, ranges), dealt(more, ranges)
-            for a in right.itertuples():
-                x, y = o1[s1[a.range] : s1[a.range + 1]], o2[s2[a.range] : s2[a.range + 1]]
-                n1[x] += read_numbers(a.s1, len(x))
-                n2[y] += read_numbers(a.s2, len(y))
-            trie = Trie(c, n1, n2[: len(c.g2)], n2[len(c.g2) :], total, types)
-            add = lambda x: np.bincount(c.doc, weights=x, minlength=len(c.counts))
+            of, n1 = numbers_of(r, right[right["words"]].itertuples(), ranges, before)
+            c = Chunk(r, of)
+            n1 = n1[np.argsort(of)]
+            _, cut2, cut3 = c.cells(bounds, known)
+            a2, back, a3 = np.zeros(len(c.g2)), np.ones(len(c.g2)), np.zeros(len(c.g3))
+            for a in right[~right["words"]].itertuples():
+                i, j = cut2[a.range], cut2[a.range + 1]
+                a2[i:j], back[i:j] = restored(read_planes(a.k, 2)).reshape(2, -1)
+                a3[cut3[a.range] : cut3[a.range + 1]] = restored(read_planes(a.n, 2))
+            p1 = (n1 + 1) / (total + types + 1)
+            p2 = a2 + MU / (n1[c.g2 // c.v] + MU) * p1[c.g2 % c.v]
+            p = p1[c.t]
+            p[c.at2 + 1] = p2[c.i2]
+            p[c.at3 + 2] = a3[c.i3] + back[c.pair[c.at3]] * p2[c.pair[c.at3 + 1]]
+            add = lambda x: np.bincount(c.doc, weights=x, minlength=len(c.counts))  # noqa: E731, B023
             frames.append(
                 pd.DataFrame(
                     {
@@ -357,21 +463,36 @@ def scored(staged: DataFrame, answers: DataFrame, ranges: int, total: int, types
                         "n_tokens": c.counts,
                         "n_known": add(n1[c.t] > 0).astype(np.int64),
                         "train_tokens": total,
-                        "base_score": add(np.log10((n1[c.t] + 1) / (total + types + 1))),
-                        "score": add(trie.scores(c)),
+                        "base_score": add(np.log10(p1[c.t])),
+                        "score": add(np.log10(np.minimum(p, 1))),
                     }
                 )
             )
-            trie.file.close()
         return pd.concat(frames)
 
     return staged.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, "doc_id long, learns boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def bucketed(df: DataFrame) -> DataFrame:
+    """Written to the shared folder as a table of as many buckets as shuffles have partitions, so that grouping by chunk moves nothing."""
+    spark, name = df.sparkSession, f"chunks_{uuid4().hex}"
+    df.write.bucketBy(buckets(spark), "chunk").option("path", f"{new_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, learns, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text, learns: whether to learn from it)."""
-    staged = cut(chunks(docs))
-    ranges = max(8, staged.count())
-    answers = cut(answered(asked(staged, ranges)))
-    types, total = answers.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    return scored(staged, answers.drop("types", "tokens"), ranges, total, types)
+    staged = bucketed(chunks(docs))
+    size = staged.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    ranges, parts = max(4, -(-size // WORD_RANGE)), max(8, -(-size // RANGE))
+    numbered = cut(number_words(ask_words(staged, ranges)))
+    known = np.zeros(ranges + 1, np.int64)
+    types = total = 0
+    for r in numbered.groupBy("range").agg(F.sum("known").alias("known"), F.sum("types").alias("types"), F.sum("learnt").alias("learnt")).collect():  # a row for each range of words
+        known[r["range"] + 1], types, total = r["known"], types + r["types"], total + r["learnt"]
+    before, words_known = np.cumsum(known), max(1, int(known.sum()))
+    answers = numbered.select("chunk", "range", "k", "n")
+    drawn = np.sort([r["code"] for r in draw(staged, answers, ranges, before, words_known, SAMPLES * parts / max(1, 2 * size)).collect()])  # about SAMPLES keys for each range
+    bounds = np.unique(drawn[[i * len(drawn) // parts for i in range(1, parts)]]).astype(np.int64) if len(drawn) else np.empty(0, np.int64)
+    found = answer(ask_ngrams(staged, answers, ranges, before, words_known, bounds), words_known, bounds)
+    return scored(staged, answers.withColumn("words", F.lit(True)).unionByName(found), ranges, before, words_known, bounds, total, types)

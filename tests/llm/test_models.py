@@ -62,10 +62,17 @@ def slow_scores(rows):
             one.update(t)
             two.update(zip(t, t[1:], strict=False))
             three.update(zip(t, t[1:], t[2:], strict=False))
-    n, v, (a, b) = sum(one.values()), len(one), (ngrams.MU[2], ngrams.MU[3])
+    n, v, taken = sum(one.values()), len(one), lambda c: float(ngrams.DISCOUNTS[min(c, 3)])
+    after = {}
+    for (x, y, w), c in three.items():
+        after.setdefault((x, y), []).append(c)
     p1 = lambda w: (one[w] + 1) / (n + v + 1)
-    p2 = lambda x, w: (two[x, w] + a * p1(w)) / (one[x] + a)
-    p3 = lambda x, y, w: (three[x, y, w] + b * p2(y, w)) / (two[x, y] + b)
+    p2 = lambda x, w: (two[x, w] + ngrams.MU * p1(w)) / (one[x] + ngrams.MU)
+
+    def p3(x, y, w):
+        follow = after.get((x, y))
+        return (three[x, y, w] - taken(three[x, y, w]) + sum(map(taken, follow)) * p2(y, w)) / sum(follow) if follow else p2(y, w)
+
     out = {}
     for i, t in tokens.items():
         score = sum(math.log10(p1(w) if k == 0 else p2(t[k - 1], w) if k == 1 else p3(t[k - 2], t[k - 1], w)) for k, w in enumerate(t))
@@ -73,9 +80,11 @@ def slow_scores(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [40, 10**6])
-def test_scores_equal_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "size"), [(40, 100), (10**6, 10**6), (200, 30)])
+def test_scores_equal_brute_force(spark, monkeypatch, chunk, size):
     monkeypatch.setattr(ngrams, "CHUNK", chunk)
+    monkeypatch.setattr(ngrams, "RANGE", size)
+    monkeypatch.setattr(ngrams, "WORD_RANGE", size)
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "The", "cat", "dog", "ran", "été"]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", None, "unseen words only"]
     rows = [(i, t, i % 7 != 2 and i != 62) for i, t in enumerate(texts)]
@@ -86,33 +95,59 @@ def test_scores_equal_brute_force(spark, monkeypatch, chunk):
         assert r.base_score == pytest.approx(base) and abs(r.score - score) <= 1.5e-3 * n
 
 
-@pytest.mark.parametrize("ranges", [8, 9, 6000])
-def test_neighbouring_keys_keep_their_own_counts(ranges):
-    for part in (0, ranges // 2, ranges - 1):
-        least = np.uint64(ngrams.begin(part, ranges))
-        keys = least + np.array([0, 1, 2, 1 << 20], np.uint64)
-        mine, others = (ngrams.EliasFano.unpack(ngrams.within(k, part, ranges).pack()).values() for k in (keys, keys[1:2]))
-        assert (mine + least).tolist() == keys.tolist()
-        assert ngrams.summed([mine, others], [np.array([1, 1, 1, 1]), np.array([5])])[0][0].tolist() == [1, 6, 1, 1]
-
-
-def test_model_stays_a_model_whatever_is_counted():
-    assert ngrams.quantised(np.array([1.5, 1.0, 0.1])).tolist() == [0, 0, 2048]
-    hashes, counts = common.words(*common.utf8(["a b c"]))
-    words = np.unique(np.append(hashes, ngrams.END))
-    tokens = np.searchsorted(words, np.append(hashes, ngrams.END)).astype("<u4")
-    lists = [ngrams.EliasFano.of(words, (1 << 64) - 1).pack()]
-    c = ngrams.Chunk([True], counts + 1, lists, zlib.compress(tokens.view(np.uint8).reshape(-1, 4).T.tobytes()))
-    one, two, three = np.ones(4, np.int64), np.ones(len(c.g2), np.int64), np.ones(len(c.g3), np.int64)
-    assert (ngrams.Trie(c, one, two, three + 3, 4, 4).scores(c) <= 0).all() and (ngrams.Trie(c, one, two, three + 3, 4, 4).scores(c) > -5).all()
-    bare = ngrams.Trie(c, one, two * 0, three, 4, 4)
-    assert len(bare.p3) == 0 and (bare.scores(c) > -5).all()
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9), st.integers(0, 9), st.integers(1, 4)), max_size=60))
+def test_a_trie_holds_a_model(triples):
+    """Of any counts: what is looked up is what was put in, and each context's probabilities and its weight sum up to 1."""
+    known, two, three = 10, Counter(), Counter()
+    for a, b, c, n in triples:
+        two[a, b] += n
+        three[a, b, c] += n
+    pairs = sorted(two)
+    codes = np.array([a * known + b for a, b in pairs], np.int64)
+    inner = sorted((pairs.index((a, b)) * known + c, n) for (a, b, c), n in three.items())
+    firsts = np.unique(codes // known)
+    n1 = np.array([sum(n for (a, _), n in two.items() if a == f) for f in firsts.tolist()], np.int64)
+    trie = ngrams.Trie(known, codes, np.array([two[p] for p in pairs]), np.array([c for c, _ in inner], np.int64), np.array([n for _, n in inner]), firsts, n1)
+    every = np.arange(known * known)
+    p2, back, p3 = trie.look_up(every, np.repeat(every, known), np.tile(np.arange(known), known * known))
+    assert ((p2 != ngrams.UNKNOWN) == np.isin(every, codes)).all()
+    sums = ngrams.restored(p3).reshape(-1, known).sum(1) + ngrams.restored(back)
+    assert np.abs(sums - 1).max() < 2e-3
+    assert {tuple(map(int, (i // 100, i // 10 % 10, i % 10))) for i in np.flatnonzero(p3 != ngrams.UNKNOWN)} <= {*three}
+    for f, n in zip(firsts.tolist(), n1.tolist(), strict=True):
+        assert ngrams.restored(p2)[f * known : f * known + known].sum() + ngrams.MU / (n + ngrams.MU) == pytest.approx(1, abs=2e-3)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.sets(st.integers(0, 3000), min_size=1, max_size=150), st.lists(st.tuples(st.integers(0, 3000), st.integers(0, 150), st.integers(0, 150)), max_size=40))
+def test_search_stays_between_its_bounds(values, asked):
+    values = np.array(sorted(values), np.int64)
+    ef = ngrams.EliasFano.unpack(ngrams.EliasFano.of(values, 3001).pack())
+    for x, i, j in asked:
+        i, j = sorted((min(i, len(values)), min(j, len(values))))
+        at = ef.find(np.array([x]), np.array([i]), np.array([j]))[0]
+        inside = np.flatnonzero(values[i:j] == x)
+        assert at == (i + inside[0] if len(inside) else -1)
+
+
+def test_a_copy_in_another_chunk_scores_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "CHUNK", 300)
+    rng = random.Random(11)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(60)) for _ in range(200)]
+    rows = [(i, t, True) for i, t in enumerate(texts + texts[:10])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learns boolean").repartition(6)
+    got = {r.doc_id: r for r in ngrams.score(docs).collect()}
+    twice, once = [got[i].score / got[i].n_tokens for i in range(10)], [got[i].score / got[i].n_tokens for i in range(10, 200)]
+    assert min(twice) > max(once) and all(got[i].score == pytest.approx(got[200 + i].score) for i in range(10))
+    want = slow_scores(rows)
+    assert all(abs(got[i].score - want[i][4]) <= 1.5e-3 * want[i][0] for i in got)
 
 
 def test_scores_of_odd_tables(spark):
     kind = "doc_id long, text string, learns boolean"
     assert ngrams.score(spark.createDataFrame([], kind)).count() == 0
-    out = ngrams.score(spark.createDataFrame([(None, "a b", False), (3, "a b", False), (3, "a b", False)], kind)).collect()
+    out = ngrams.score(spark.createDataFrame([(None, "a b", False, 1, "x", 2), (3, "a b", False, 1, "x", 2), (3, "a b", False, 1, "x", 2)], kind + ", chunk int, words string, range int")).collect()
     assert len(out) == 3 and all(r.train_tokens == 0 and r.base_score == 0 for r in out)
 
 
