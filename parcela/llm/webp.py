@@ -2,13 +2,15 @@
 
 The decoder reads prefix codes (also one set for each region), back-references and the colour cache, and
 inverts the predictor, cross-colour, subtract-green and palette transforms. Where all of an image's
-information is in the green channel, without back-references, as in what the encoder writes, the
-symbols are decoded for all bit positions at once: every position's code length says where the next
+information is in the green channel and the back-references, as in what the encoder writes, the
+symbols are decoded for all bit positions of a stretch at once: every position's code says where the next
 symbol would begin, and the chain of actual beginnings is followed in jumps of 16 symbols.
 
-A payload is stored as a grey image of WIDTH columns (each byte a pixel, the green sample coded, red and blue
-equal by the subtract-green transform); payloads of more than STRIP bytes as several such images, one file after
-the other.
+A payload is stored as one grey image (each byte a pixel) in one file. Bytes that repeat at least SHORTEST bytes of
+what came up to REACH before are written as back-references. A payload of up to 16 different bytes is written by a palette, with
+as many pixels to a byte as fit; others have the green sample coded, and red and blue equal by the subtract-green transform. The image is
+WIDTH columns wide, or the least multiple of it with which it is no higher than the format allows; what the last row then holds beyond the
+payload is told by a chunk of its own in the file's extended form.
 
 Defined cases of the DataFrame operator: a null text is the empty one, whose payload is 64 zero bytes; rows that repeat
 give repeated results; an empty table gives no rows; other columns are ignored.
@@ -17,7 +19,6 @@ give repeated results; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,11 @@ from pyspark.sql import DataFrame
 
 from parcela.llm.common import texts_of
 
-WIDTH, STRIP = 64, 64 * 4096
+WIDTH, MOST_ROWS = 64, 1 << 14
+#: The shortest back-reference written, how far one reaches, and how much of a payload is searched at once.
+SHORTEST, REACH = 8, 1 << 18
+#: Bytes of a stream whose bit positions are decoded at once.
+STRETCH = 1 << 15
 
 # Fixed values of the format: the order of code length codes, and the (x, y) of the short distance codes.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -150,34 +155,84 @@ def read_code(r: Reader, size: int) -> Code:
     return Code(lengths)
 
 
-def green_only(r: Reader, code: Code, n: int) -> np.ndarray:
-    """n symbols of one code without back-references."""
-    if code.only is not None:
-        return np.full(n, code.only, np.uint8)
-    data = np.frombuffer(r.data, np.uint8, offset=r.at >> 3)[: (n * code.bits + 7) // 8 + 2]
-    word = np.zeros(len(data), np.uint32)
-    word |= data
-    word[:-1] |= data[1:].astype(np.uint32) << 8
-    word[:-2] |= data[2:].astype(np.uint32) << 16
-    seen = ((word[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << code.bits) - 1)).reshape(-1)
-    end = len(seen)
-    step = np.append(np.minimum(np.arange(end, dtype=np.int32) + code.length[seen], end), np.int32(end)).astype(np.int32)
-    jump = step
-    for _ in range(4):
-        jump = jump[jump]
-    starts, p, follow = [], r.at & 7, memoryview(jump)
-    for _ in range(-(-n // 16)):
-        starts.append(p)
-        p = follow[p]
-    at = np.empty((len(starts), 16), np.int32)
-    at[:, 0] = starts
-    for k in range(1, 16):
-        at[:, k] = step[at[:, k - 1]]
-    at = at.reshape(-1)[:n]
-    if int(at[-1]) >= end:
-        raise ValueError("the data end within an image")
-    r.at = (r.at & ~7) + int(step[at[-1]])
-    return code.symbol[seen[at]].astype(np.uint8)
+#: Of each length or distance prefix: how many bits follow, and the value without them.
+EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(40)])
+LEAST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)])
+
+
+def green_only(r: Reader, green: Code, far: Code, width: int, n: int) -> np.ndarray:
+    """n values of one code with back-references, a stretch of the stream at a time."""
+    if green.only is not None and green.only < LITERALS:
+        return np.full(n, green.only, np.uint8)
+    out, have, near = bytearray(n), 0, np.array([0, *[max(1, x + y * width) for x, y in NEAR]])
+    mask, far_mask = np.uint64((1 << green.bits) - 1), np.uint64((1 << far.bits) - 1)
+    while have < n:
+        base = r.at >> 3
+        data = np.frombuffer(r.data[base : base + STRETCH + 16] + bytes(24), np.uint8)
+        word = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+        end = 8 * min(STRETCH, max(0, len(r.data) - base))
+        bits = lambda at, m: (word[at >> 3] >> (at & 7).astype(np.uint64)) & m  # noqa: E731, B023
+        seen = ((word[: end >> 3, None] >> np.arange(8, dtype=np.uint64)) & mask).reshape(-1).astype(np.int32)
+        symbol = green.symbol[seen]
+        step = np.arange(end, dtype=np.int32) + green.length[seen]
+        copies = np.flatnonzero(symbol >= LITERALS)
+        if len(copies):
+            kind = symbol[copies] - LITERALS
+            if int(kind.max()) >= LENGTHS:
+                raise ValueError("a cache symbol without a cache")
+            at = copies + green.length[seen[copies]]
+            at = np.minimum(at + EXTRA[kind], end + 64)
+            code = bits(at, far_mask).astype(np.int64)
+            step[copies] = at + far.length[code] + EXTRA[far.symbol[code]]
+        reach = np.append(np.minimum(step, end), end).astype(np.int32)
+        jump = reach
+        for _ in range(4):
+            jump = jump[jump]
+        starts, p, follow = [], r.at & 7, memoryview(jump)
+        while p < end:
+            starts.append(p)
+            p = follow[p]
+        if not starts:
+            raise ValueError("the data end within an image")
+        chain = np.empty((len(starts), 16), np.int32)
+        chain[:, 0] = starts
+        for k in range(1, 16):
+            chain[:, k] = reach[chain[:, k - 1]]
+        chain = chain.reshape(-1)
+        chain = chain[: int(np.searchsorted(chain, end))].astype(np.int64)
+        found, size = symbol[chain], np.ones(len(chain), np.int64)
+        back = np.flatnonzero(found >= LITERALS)
+        if len(back):
+            kind, at = found[back] - LITERALS, chain[back] + green.length[seen[chain[back]]]
+            size[back] = LEAST[kind] + bits(at, (np.uint64(1) << EXTRA[kind].astype(np.uint64)) - np.uint64(1)).astype(np.int64)
+            at = np.minimum(at + EXTRA[kind], end + 64)
+            code = bits(at, far_mask).astype(np.int64)
+            of = far.symbol[code]
+            at = np.minimum(at + far.length[code], end + 64)
+            distance = LEAST[of] + bits(at, (np.uint64(1) << EXTRA[of].astype(np.uint64)) - np.uint64(1)).astype(np.int64)
+            distance = np.where(distance > len(NEAR), distance - len(NEAR), near[np.minimum(distance, len(NEAR))])
+        ends = have + np.cumsum(size)
+        many = int(np.searchsorted(ends, n)) + 1  # tokens that are part of the image
+        if many <= len(ends):
+            found, size, ends, chain = found[:many], size[:many], ends[:many], chain[:many]
+        plain = np.flatnonzero(found < LITERALS)
+        np.frombuffer(out, np.uint8)[ends[plain] - 1] = found[plain]
+        if len(back):
+            back = back[: int(np.searchsorted(back, len(ends)))]
+            distance = distance[: len(back)]
+            begin = ends[back] - size[back]
+            if (distance > begin).any() or (len(ends) and ends[-1] > n):
+                raise ValueError("a back-reference beyond the image")
+            for at, length, far_back in zip(begin.tolist(), size[back].tolist(), distance.tolist(), strict=True):
+                if length <= far_back:
+                    out[at : at + length] = out[at - far_back : at - far_back + length]
+                else:
+                    out[at : at + length] = (out[at - far_back : at] * (length // far_back + 1))[:length]
+        have = int(ends[-1])
+        r.at = 8 * base + int(step[chain[-1]])
+        if r.at > r.end:
+            raise ValueError("the data end within an image")
+    return np.frombuffer(out, np.uint8)
 
 
 def prefix_value(r: Reader, prefix: int) -> int:
@@ -199,9 +254,9 @@ def pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (LITERALS + LENGTHS + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
     groups = [[read_code(r, s) for s in sizes] for _ in range(int(kinds.max()) + 1)]
     n = width * height
-    green, red, blue, alpha, _ = groups[0]
-    if len(groups) == 1 and not cache_bits and green.used[-1] < LITERALS and all(c.only is not None for c in (red, blue, alpha)):
-        return (green_only(r, green, n).astype(np.int64) << 8) | (alpha.only << 24 | red.only << 16 | blue.only)
+    green, red, blue, alpha, far = groups[0]
+    if len(groups) == 1 and not cache_bits and all(c.only is not None for c in (red, blue, alpha)):
+        return (green_only(r, green, far, width, n).astype(np.int64) << 8) | (alpha.only << 24 | red.only << 16 | blue.only)
     out, cache, at = [0] * n, [0] * (1 << cache_bits), 0
     shift = 32 - cache_bits
 
@@ -264,21 +319,35 @@ def predicted(mode: int, left, top, right, corner):
     }.get(mode, lambda: np.array([255, 0, 0, 0]))()
 
 
+#: Modes whose prediction doesn't look at the pixel to the left.
+NO_LEFT = (0, 2, 3, 4, 8, 9, 14, 15)
+
+
 def undo_predictor(argb: np.ndarray, width: int, modes: np.ndarray, bits: int) -> np.ndarray:
-    c = channels(argb).reshape(-1, 4)
+    """Row by row, and within a row by runs of one mode; only modes that mix the left pixel with others go pixel by pixel."""
+    c = channels(argb).reshape(-1, width, 4).astype(np.int64)
     across = (width + (1 << bits) - 1) >> bits
-    for i in range(len(c)):
-        y, x = divmod(i, width)
-        if not i:
-            p = np.array([255, 0, 0, 0])
-        elif not y:
-            p = c[i - 1]
-        elif not x:
-            p = c[i - width]
-        else:
-            p = predicted(int(modes[(y >> bits) * across + (x >> bits)] >> 8) & 15, c[i - 1], c[i - width], c[i - width + 1], c[i - width - 1])
-        c[i] = (c[i] + p) & 255
-    return joined(c)
+    modes = (modes.reshape(-1, across) >> 8) & 15
+    c[0, 0] += [255, 0, 0, 0]
+    c[0] = np.cumsum(c[0], 0) & 255
+    for y in range(1, len(c)):
+        row, above = c[y], c[y - 1]
+        row[0] = (row[0] + above[0]) & 255
+        kinds = modes[y >> bits]
+        edges = np.flatnonzero(np.diff(kinds, prepend=-1))
+        for tile, after in zip(edges, np.append(edges[1:], across), strict=True):
+            x, end, mode = max(1, int(tile) << bits), min(width, int(after) << bits), int(kinds[tile])
+            if x >= end:
+                continue
+            right = np.vstack([above[x + 1 : end + 1], row[:1]])[: end - x]  # beyond the last column lies the row's own first pixel
+            if mode == 1:
+                row[x:end] = (row[x - 1] + np.cumsum(row[x:end], 0)) & 255
+            elif mode in NO_LEFT:
+                row[x:end] = (row[x:end] + predicted(mode, None, above[x:end], right, above[x - 1 : end - 1])) & 255
+            else:
+                for i in range(x, end):
+                    row[i] = (row[i] + predicted(mode, row[i - 1], above[i], right[i - x], above[i - 1])) & 255
+    return joined(c.reshape(-1, 4))
 
 
 def undo_cross(argb: np.ndarray, width: int, elements: np.ndarray, bits: int) -> np.ndarray:
@@ -346,20 +415,16 @@ def decode_image(data: bytes) -> np.ndarray:
     return out.reshape(height, width)
 
 
-def files(media: bytes) -> Iterator[bytes]:
-    """The VP8L streams of files that follow each other."""
-    at = 0
-    while at < len(media):
-        mark, size, form = struct.unpack_from("<4sI4s", media, at)
-        if mark != b"RIFF" or form != b"WEBP":
-            raise ValueError("not a WebP file")
-        p, end = at + 12, at + 8 + size
-        while p + 8 <= end:
-            kind, n = struct.unpack_from("<4sI", media, p)
-            if kind == b"VP8L":
-                yield media[p + 8 : p + 8 + n]
-            p += 8 + n + (n & 1)
-        at = end + (size & 1)
+def chunks(media: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """The names and contents of a file's chunks."""
+    mark, size, form = struct.unpack_from("<4sI4s", media, 0)
+    if mark != b"RIFF" or form != b"WEBP":
+        raise ValueError("not a WebP file")
+    p, end = 12, 8 + size
+    while p + 8 <= end:
+        kind, n = struct.unpack_from("<4sI", media, p)
+        yield kind, media[p + 8 : p + 8 + n]
+        p += 8 + n + (n & 1)
 
 
 class Writer:
@@ -374,19 +439,31 @@ class Writer:
 
 
 def code_lengths(counts: list[int]) -> list[int]:
-    """Huffman code lengths of at most 15 bits, for two symbols or more; equal counts give equal codes."""
+    """Huffman code lengths of at most 15 bits, for two symbols or more, by two queues: the symbols and the pairs made, both rising."""
+    used = sorted((n, i) for i, n in enumerate(counts) if n)
     while True:
-        heap = [(n, i, (i,)) for i, n in enumerate(counts) if n]
-        lengths = [0] * len(counts)
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in (both := a[2] + b[2]):
-                lengths[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), both))
-        if max(lengths) <= MOST_BITS:
-            return lengths
-        counts = [(n + 1) // 2 for n in counts]
+        weight = [n for n, _ in used]
+        leaves, parent, a, b = len(weight), [0] * (2 * len(weight) - 1), 0, len(weight)
+        for made in range(leaves, 2 * leaves - 1):
+            total = 0
+            for _ in (0, 1):
+                if a < leaves and (b >= made or weight[a] <= weight[b]):
+                    k, a = a, a + 1
+                else:
+                    k, b = b, b + 1
+                parent[k] = made
+                total += weight[k]
+            weight.append(total)
+        depth = [0] * (2 * leaves - 1)
+        for k in range(2 * leaves - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth) <= MOST_BITS:
+            break
+        used = [((n + 1) // 2, i) for n, i in used]
+    lengths = [0] * len(counts)
+    for (_, i), d in zip(used, depth, strict=False):
+        lengths[i] = d
+    return lengths
 
 
 #: The code for code lengths: those up to 13 have 4 bits, 14, 15 and the runs of zeros (17, 18) have 5.
@@ -432,7 +509,7 @@ def packed(head: Writer, codes: np.ndarray, lengths: np.ndarray) -> bytes:
     """The head's bits and then codes of these lengths."""
     end = head.size + np.cumsum(lengths)
     total = int(end[-1]) if len(end) else head.size
-    out = np.zeros(total // 8 + 4, np.uint8)
+    out = np.zeros(total // 8 + 8, np.uint8)
     start = head.value.to_bytes(head.size // 8 + 1, "little")
     out[: len(start)] |= np.frombuffer(start, np.uint8)
     if len(end):
@@ -441,30 +518,120 @@ def packed(head: Writer, codes: np.ndarray, lengths: np.ndarray) -> bytes:
         byte = at >> 3
         first = np.flatnonzero(np.diff(byte, prepend=-1))
         sums, byte = np.add.reduceat(value, first), byte[first]  # no two codes share a bit
-        for k in range(3):
+        for k in range(4):
             out[byte + k] |= ((sums >> np.uint32(8 * k)) & np.uint32(255)).astype(np.uint8)
     return out[: (total + 7) // 8].tobytes()
 
 
+def repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where samples repeat what came before: beginnings, lengths and distances, in order and apart from each other."""
+    n, parts = len(samples), []
+    for lo in range(0, n, REACH):
+        begin, end = max(0, lo - REACH), min(n, lo + REACH)
+        if end - begin < SHORTEST + 1:
+            continue
+        part = np.ascontiguousarray(samples[begin:end])
+        eight = np.ndarray((len(part) - 7,), "<u8", part, 0, (1,)).copy()
+        order = np.argsort(eight, kind="stable")
+        same = np.flatnonzero(eight[order[1:]] == eight[order[:-1]])
+        back = np.zeros(len(eight), np.int64)  # to the last place with the same eight bytes
+        back[order[same + 1]] = order[same + 1] - order[same]
+        back[: lo - begin] = 0
+        edge = np.flatnonzero(np.diff(back, prepend=0))
+        run = edge[back[edge] > 0]
+        stop = np.append(edge, len(back))[np.searchsorted(edge, run) + 1] + 7  # a run's last eight bytes reach so far
+        parts.append((run + begin, stop + begin, back[run]))
+    if not parts:
+        return tuple(np.empty(0, np.int64) for _ in range(3))
+    run, stop, back = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    run = np.maximum(run, np.append(0, np.maximum.accumulate(stop))[:-1])
+    good = stop - run >= SHORTEST
+    return run[good], (stop - run)[good], back[good]
+
+
+def prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of values from 1 on: the prefix, how many bits follow it, and these."""
+    v = values - 1
+    top = np.log2(np.maximum(v, 1)).astype(np.int64)
+    top += (v >> top) > 1  # where the logarithm was rounded
+    prefix = np.where(v < 4, v, 2 * top + ((v >> np.maximum(top - 1, 0)) & 1))
+    extra = EXTRA[prefix]
+    return prefix, extra, v & ((1 << extra) - 1)
+
+
+def put_pixels(w: Writer, samples: np.ndarray, only: tuple[int, int, int] = (0, 0, 255)) -> bytes:
+    """An image of green samples, all else being the same in all pixels; closes the stream."""
+    w.put(0, 2)  # no cache, one set of codes
+    begin, length, back = repeats(samples)
+    split = -(-length // 4096)
+    if (split > 1).any():
+        nth = np.arange(split.sum()) - np.repeat(np.cumsum(split) - split, split)
+        begin, length, back = np.repeat(begin, split) + 4096 * nth, np.minimum(4096, np.repeat(length, split) - 4096 * nth), np.repeat(back, split)
+    covered = np.zeros(len(samples) + 1, np.int32)
+    np.add.at(covered, begin, 1)
+    np.add.at(covered, begin + length, -1)
+    plain = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    p1, e1, x1 = prefixed(length)
+    p2, e2, x2 = prefixed(back + len(NEAR))
+    green = np.bincount(samples[plain], minlength=LITERALS + LENGTHS) + np.bincount(LITERALS + p1, minlength=LITERALS + LENGTHS)
+    lengths = [put_counts(w, green.tolist(), LITERALS + LENGTHS)]
+    for o in only:
+        put_only(w, o)
+    lengths.append(put_counts(w, np.bincount(p2, minlength=40).tolist(), 40) if len(p2) else put_only(w, 0))
+    codes = [canonical(x) if x is not None else None for x in lengths]
+    # Fields in the order of the stream: a plain sample has one, a back-reference four.
+    at = np.concatenate([plain, np.repeat(begin, 4)])
+    order = np.argsort(at, kind="stable")
+    code, size = [codes[0][samples[plain]]], [lengths[0][samples[plain]]]
+    if len(begin):
+        code.append(np.stack([codes[0][LITERALS + p1], x1, codes[1][p2], x2], 1).reshape(-1))
+        size.append(np.stack([lengths[0][LITERALS + p1], e1, lengths[1][p2], e2], 1).reshape(-1))
+    return packed(w, np.concatenate(code)[order], np.concatenate(size)[order])
+
+
+def put_counts(w: Writer, counts: list[int], size: int) -> np.ndarray:
+    """Writes the code for these counts; its lengths, 0 for an only symbol."""
+    several = sum(n > 0 for n in counts) > 1
+    lengths = code_lengths(counts) if several else [int(n > 0) for n in counts]
+    put_code(w, lengths, size)
+    return np.array(lengths, np.int64) if several else np.zeros(len(counts), np.int64)
+
+
+def put_palette(w: Writer, colours: np.ndarray) -> None:
+    """A palette of greys, as differences from one to the next."""
+    w.put(1 | PALETTE << 1, 3)
+    w.put(len(colours) - 1, 8)
+    w.put(0, 1)  # no cache
+    steps = np.diff(colours.astype(np.int64), prepend=0).tolist()
+    alphas = [255, *[0] * (len(steps) - 1)]
+    tables = []
+    for values, size in ((steps, LITERALS + LENGTHS), (steps, 256), (steps, 256), (alphas, 256)):
+        lengths = put_counts(w, np.bincount(values, minlength=size).tolist(), size)
+        tables.append((canonical(lengths), lengths))
+    put_only(w, 0)
+    for step, alpha in zip(steps, alphas, strict=True):
+        for (codes, lengths), v in zip(tables, (step, step, step, alpha), strict=True):
+            w.put(int(codes[v]), int(lengths[v]))
+
+
 def encode_image(samples: np.ndarray, width: int) -> bytes:
-    """A file with a grey image of these bytes, row by row; their number is a multiple of the width."""
+    """A VP8L stream of a grey image of these bytes, row by row; their number is a multiple of the width."""
+    height = len(samples) // width
     w = Writer()
     w.put(0x2F, 8)
     w.put(width - 1, 14)
-    w.put(len(samples) // width - 1, 14)
+    w.put(height - 1, 14)
     w.put(0, 4)
-    w.put(1 | SUBTRACT_GREEN << 1, 3)
-    w.put(0, 3)  # no more transforms, no cache, one set of codes
-    counts = np.bincount(samples, minlength=256).tolist()
-    several = sum(n > 0 for n in counts) > 1
-    lengths = code_lengths(counts) if several else [int(n > 0) for n in counts]
-    put_code(w, lengths, LITERALS + LENGTHS)
-    for only in (0, 0, 255, 0):
-        put_only(w, only)
-    of = np.array(lengths, np.int64) if several else np.zeros(256, np.int64)
-    body = packed(w, canonical(of)[samples], of[samples]) if several else packed(w, of[:0], of[:0])
-    body += b"\0" * (len(body) & 1)
-    return struct.pack("<4sI4s4sI", b"RIFF", len(body) + 12, b"WEBP", b"VP8L", len(body)) + body
+    colours = np.flatnonzero(np.bincount(samples, minlength=256))
+    if len(colours) <= 16:
+        put_palette(w, colours)
+        bits = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+        index = np.pad(np.searchsorted(colours, samples).reshape(height, width), ((0, 0), (0, -width % (1 << bits))))
+        samples = (index.reshape(height, -1, 1 << bits) << (np.arange(1 << bits) * (8 >> bits))).sum(2).reshape(-1).astype(np.uint8)
+    else:
+        w.put(1 | SUBTRACT_GREEN << 1, 3)
+    w.put(0, 1)  # no more transforms
+    return put_pixels(w, samples)
 
 
 def payload_of(text: str) -> bytes:
@@ -474,12 +641,27 @@ def payload_of(text: str) -> bytes:
 
 def store(payload: bytes) -> bytes:
     data = np.frombuffer(payload, np.uint8)
-    return b"".join(encode_image(data[i : i + STRIP], WIDTH) for i in range(0, len(data), STRIP))
+    width = WIDTH * max(1, -(-len(data) // (WIDTH * MOST_ROWS)))
+    rows = -(-len(data) // width)
+    told = struct.pack("<Q", len(data)) if rows * width > len(data) else b""
+    stream = encode_image(np.pad(data, (0, rows * width - len(data))), width)
+    parts = [(b"VP8L", stream)]
+    if told:
+        parts = [(b"VP8X", bytes(4) + (width - 1).to_bytes(3, "little") + (rows - 1).to_bytes(3, "little")), *parts, (b"SIZE", told)]
+    body = b"".join(struct.pack("<4sI", k, len(c)) + c + b"\0" * (len(c) & 1) for k, c in parts)
+    return struct.pack("<4sI4s", b"RIFF", len(body) + 4, b"WEBP") + body
 
 
 def load(media: bytes) -> list[np.ndarray]:
-    """The images' ARGB numbers."""
-    return [decode_image(f) for f in files(media)]
+    """The ARGB numbers of a file's images."""
+    return [decode_image(c) for k, c in chunks(media) if k == b"VP8L"]
+
+
+def restore(media: bytes) -> np.ndarray:
+    """The payload that was stored."""
+    told = [struct.unpack("<Q", c)[0] for k, c in chunks(media) if k == b"SIZE"]
+    samples = ((load(media)[0] >> 8) & 255).astype(np.uint8).reshape(-1)
+    return samples[: told[0]] if told else samples
 
 
 def feature_of(grey: np.ndarray) -> str:
@@ -501,8 +683,7 @@ def round_trip(docs: DataFrame, media: bool = False) -> DataFrame:
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 payload = payload_of(text)
                 stored = store(payload)
-                images = [((image >> 8) & 255).astype(np.uint8) for image in load(stored)]
-                grey = images[0] if len(images) == 1 else np.vstack(images)
+                grey = restore(stored).reshape(-1, WIDTH)
                 back = grey.tobytes()
                 row = (doc_id, len(text.encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(grey))
                 out.append((*row, stored) if media else row)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -246,17 +247,67 @@ def test_payloads_come_back(data, kind):
     assert back == payload
 
 
-def test_long_payloads_are_several_files_and_damage_is_told(monkeypatch):
-    monkeypatch.setattr(webp, "STRIP", 256)
-    payload = bytes(range(256)) * 4 + bytes(64)
+@pytest.mark.parametrize("stretch", [64, 1 << 15])
+def test_long_payloads_are_one_file_and_damage_is_told(monkeypatch, stretch):
+    monkeypatch.setattr(webp, "MOST_ROWS", 3)
+    monkeypatch.setattr(webp, "STRETCH", stretch)
+    monkeypatch.setattr(webp, "REACH", 300)
+    rng = np.random.default_rng(0)
+    payload = bytes(range(256)) * 4 + bytes(64) + b"once more, " * 40 + rng.integers(0, 256, 328, np.uint8).tobytes() + b"once more, " * 8
+    payload += bytes(-len(payload) % 64)
     stored = webp.store(payload)
-    assert len(list(webp.files(stored))) == 5
-    assert b"".join(((i >> 8) & 255).astype(np.uint8).tobytes() for i in webp.load(stored)) == payload
+    assert [k for k, _ in webp.chunks(stored)] == [b"VP8X", b"VP8L", b"SIZE"] and struct.unpack_from("<I", stored, 4)[0] == len(stored) - 8
+    assert webp.restore(stored).tobytes() == payload and webp.load(stored)[0].shape[1] % 64 == 0
     with pytest.raises(ValueError):
         webp.load(b"RIFX" + stored[4:])
-    image = next(webp.files(stored))
+    image = next(c for k, c in webp.chunks(stored) if k == b"VP8L")
     with pytest.raises(ValueError):
-        webp.decode_image(image[:100])
+        webp.decode_image(image[:150])
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from([b"the cat sat ", b"on the mat ", b"xyz", b"\x00" * 20, bytes(range(40))]), max_size=200), st.sampled_from([40, 1 << 18]))
+def test_repeats_come_back(parts, reach):
+    payload = b"".join(parts)
+    payload += bytes(max(64, -(-len(payload) // 64) * 64) - len(payload))
+    old, webp.REACH = webp.REACH, reach
+    try:
+        assert webp.restore(webp.store(payload)).tobytes() == payload
+        begin, length, back = webp.repeats(np.frombuffer(payload, np.uint8))
+    finally:
+        webp.REACH = old
+    assert (begin[1:] >= (begin + length)[:-1]).all()
+    for i, n, d in zip(begin.tolist(), length.tolist(), back.tolist(), strict=True):
+        assert n >= webp.SHORTEST and 0 < d <= i and all(payload[k] == payload[k - d] for k in range(i, i + n))
+
+
+@pytest.mark.parametrize("mixed", [(1, 2, 11), (12, 1, 13), (0, 4, 9)])
+def test_predictors_by_tiles(mixed):
+    width, height = 23, 10
+    want = picture(4, width, height)
+    modes = np.array([[mixed[(y + x) % 3] for x in range(6)] for y in range(3)])
+    c, left = webp.channels(want), np.zeros((width * height, 4), np.int64)
+    for i in range(width * height):
+        y, x = divmod(i, width)
+        near = (c[i - 1], c[i - width], c[i - width + 1], c[i - width - 1])
+        left[i] = c[i] - (np.array([255, 0, 0, 0]) if not i else c[i - 1] if not y else c[i - width] if not x else webp.predicted(int(modes[y >> 2, x >> 2]), *near))
+    assert (webp.undo_predictor(webp.joined(left), width, modes.reshape(-1) << 8, 2) == want).all()
+
+
+def test_the_query_passes_through_back_references_and_palettes(spark, monkeypatch):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    count = {"back": 0, "palette": 0, "green": 0}
+    for t in texts:
+        samples = np.frombuffer(webp.payload_of(t), np.uint8)
+        count["palette" if len(np.unique(samples)) <= 16 else "green"] += 1
+        count["back"] += bool(len(webp.repeats(samples)[0]))
+    assert count["back"] > 0.5 * len(texts) and count["palette"] > 0 and count["green"] > 0
+    from parcela.llm.queries import op5_lossless_webp
+
+    for r in op5_lossless_webp(spark, "/root/testdata/sf0.001").collect():
+        assert r.media_bytes < r.payload_bytes + 200
+    want = {(len(t.encode()), hashlib.sha256(webp.payload_of(t)).hexdigest(), zlib.crc32(webp.payload_of(t)[-64:])) for t in texts}
+    assert {(r.n_bytes, r.payload_sha256, r.tail_crc32) for r in op5_lossless_webp(spark, "/root/testdata/sf0.001").collect()} == want
 
 
 def test_code_lengths_are_limited():
