@@ -1,69 +1,289 @@
-"""Clusters of candidates for diversity: PCA of text vectors, K-means, silhouette, promotion."""
+"""Clusters of candidates for diversity: PCA of text vectors, a grid of K-means, silhouettes, promotion.
+
+The grid (variances of the PCA, numbers of clusters, restarts, in every sector) is searched in one go: a pass over the
+candidates assigns each row in all models of its sector and adds up what their centres need, so the passes are as many as
+the slowest model takes, not as many as there are models. Centres are few (k of a model), and they alone come to the driver.
+"""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcela.contract import ContractError
-from parcela.functions.vectors import l2_normalize
+from parcela.session import cut
 
 VARIANCES, KS, RESTARTS, MARGIN = (0.7, 0.8, 0.9, 0.95), tuple(range(4, 13)), 10, 0.01
 #: Rows of a block of the exact silhouette.
 BLOCK = 1024
-#: Fits that the driver asks for at once.
-AT_ONCE = 8
+#: Rows of a sector (expected) that first centres are chosen from; passes at most; the centres' movement, relative to the variance, at which a model stands.
+FIRST_ROWS, MOST_PASSES, STILL = 2000, 300, 1e-4
+
+
+@dataclass(frozen=True)
+class Model:
+    """Of a sector: the PCA of its text (mean, axes as columns) and centres in tab vector and reduced text."""
 
+    sector: int
+    variance: float
+    mean: np.ndarray
+    axes: np.ndarray
+    centres: np.ndarray
+    cost: float = np.inf
 
-def vectors(df: DataFrame, column: str) -> DataFrame:
-    """spot_id and the column as a vector, in an order of its own so that fits repeat."""
-    return df.where(F.col(column).isNotNull()).select("spot_id", array_to_vector(F.transform(column, lambda x: x.cast("double"))).alias("v")).repartition("spot_id").sortWithinPartitions("spot_id")
+    def rows(self, tab: np.ndarray, text: np.ndarray) -> np.ndarray:
+        return np.hstack([tab, unit((text - self.mean) @ self.axes)])
 
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centre of each row (ties: the first) and the squared distance."""
+        far = (x * x).sum(1)[:, None] + (self.centres * self.centres).sum(1)[None] - 2 * x @ self.centres.T
+        at = far.argmin(1)
+        return at, np.maximum(far[np.arange(len(x)), at], 0)
 
-def pca_text(df: DataFrame, variance: float, column: str = "nlp_vector", most: int | None = None) -> DataFrame:
-    """spot_id, pca (length 1; zero stays zero): as many components as keep this share of the variance."""
-    rows = vectors(df, column)
-    size = len(rows.first()["v"])
-    centred = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(rows).transform(rows)
-    model = PCA(k=min(size, most or size), inputCol="c", outputCol="p").fit(centred)
-    kept = int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), variance - 1e-12) + 1)
-    part = F.slice(vector_to_array("p"), 1, min(kept, size))
-    return model.transform(centred).select("spot_id", F.coalesce(l2_normalize(part), part.cast("array<float>")).alias("pca"))
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a zero row stays."""
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1)
 
-def kmeans(rows: DataFrame, k: int, seed: int = 0, restarts: int = RESTARTS):
-    """The model with the least cost of several seeds."""
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, featuresCol="v", predictionCol="cluster_id").fit(rows), range(restarts)))
-    return min(fits, key=lambda m: m.summary.trainingCost)
+
+def matrix(column: pd.Series, rows: int) -> np.ndarray:
+    """A row for each vector; no columns where there are none."""
+    return np.stack(column.to_numpy()).astype(np.float64) if rows and column.iloc[0] is not None else np.zeros((rows, 0))
+
+
+def by_sector(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray, np.ndarray]]:
+    """sector, rows, their tab vectors (without columns where a sector has none) and text vectors."""
+    for b in batches:
+        for sector, rows in b.groupby("sector_id"):
+            yield int(sector), rows, matrix(rows["tab"], len(rows)), matrix(rows["text"], len(rows))
+
+
+def added_up(rows: DataFrame, key: str, names: list[str]) -> list:
+    """The sums of binary arrays of doubles by key; one row for each key comes to the driver."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        sums = {n: sum(np.frombuffer(v) for v in b[n]) for n in names}
+        return pd.DataFrame({key: b[key][:1], **{n: [x.tobytes()] for n, x in sums.items()}})
+
+    kind = dict(rows.dtypes)[key]
+    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, " + ", ".join(f"{n} binary" for n in names)).collect()
+
+
+def moments(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """sector -> mean and covariance of the text vectors, in one pass."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for sector, _, _, text in by_sector(batches):
+            one = [np.array([float(len(text))]), text.sum(0), text.T @ text]
+            held[sector] = one if sector not in held else [a + b for a, b in zip(held[sector], one, strict=True)]
+        yield pd.DataFrame([(s, *(x.tobytes() for x in v)) for s, v in held.items()], columns=["sector_id", "n", "total", "outer"])
+
+    out = {}
+    for r in added_up(rows.mapInPandas(run, "sector_id int, n binary, total binary, outer binary"), "sector_id", ["n", "total", "outer"]):
+        n, mean = np.frombuffer(r["n"])[0], np.frombuffer(r["total"])
+        mean = mean / n
+        out[r["sector_id"]] = mean, np.frombuffer(r["outer"]).reshape(len(mean), -1) / n - np.outer(mean, mean)
+    return out
+
+
+def axes_of(covariance: np.ndarray, variance: float) -> np.ndarray:
+    """As many main axes as keep more than this share of the variance."""
+    size, axes = np.linalg.eigh(covariance)
+    size, axes = np.maximum(size[::-1], 0), axes[:, ::-1]
+    share = np.cumsum(size) / max(size.sum(), 1e-300)
+    return axes[:, : int(np.searchsorted(share, variance, side="right") + 1)]
+
+
+def prepared(df: DataFrame, tab: str | None, text: str, sector: str | None = "sector_id") -> DataFrame:
+    """spot_id, sector_id, tab, text (doubles) of rows with text, written once."""
+    none = F.lit(None).cast("array<double>")
+    rows = df.where(F.col(text).isNotNull())
+    return cut(rows.select("spot_id", (F.col(sector) if sector else F.lit(0)).cast("int").alias("sector_id"), (F.col(tab).cast("array<double>") if tab else none).alias("tab"), F.col(text).cast("array<double>").alias("text")))
+
+
+def pca_text(df: DataFrame, variance: float, column: str = "nlp_vector") -> DataFrame:
+    """spot_id, pca (length 1; zero stays zero): the centred vectors on as many axes as keep this share of the variance."""
+    rows = prepared(df, None, column, None)
+    found = moments(rows)
+    if not found:
+        return rows.select("spot_id", F.lit(None).cast("array<float>").alias("pca"))
+    mean, covariance = found[0]
+    axes = axes_of(covariance, variance)
+
+    def run(batches):
+        for _, b, _, text in by_sector(batches):
+            yield pd.DataFrame({"spot_id": b["spot_id"], "pca": list(unit((text - mean) @ axes).astype(np.float32))})
+
+    return rows.mapInPandas(run, "spot_id long, pca array<float>")
+
+
+def first_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows, each the likelier the farther it is from those chosen before."""
+    at = [int(rng.integers(len(x)))]
+    far = ((x - x[at[0]]) ** 2).sum(1)
+    while len(at) < k:
+        at.append(int(rng.choice(len(x), p=far / far.sum())) if far.sum() > 0 else int(rng.integers(len(x))))
+        far = np.minimum(far, ((x - x[at[-1]]) ** 2).sum(1))
+    return x[at]
+
+
+def fitted(rows: DataFrame, models: list[Model], still: dict[int, float]) -> list[Model]:
+    """All models after as many passes as each takes to stand."""
+    live, spark = {*range(len(models))}, rows.sparkSession
+    for _ in range(MOST_PASSES):
+        shared = spark.sparkContext.broadcast({i: models[i] for i in live})
+
+        def run(batches, shared=shared):
+            held: dict[int, list] = {}
+            for sector, _, tab, text in by_sector(batches):
+                spaces: dict[float, np.ndarray] = {}
+                for i, m in shared.value.items():
+                    if m.sector == sector:
+                        if m.variance not in spaces:
+                            spaces[m.variance] = m.rows(tab, text)
+                        x = spaces[m.variance]
+                        at, far = m.assign(x)
+                        mine = np.eye(len(m.centres))[at]
+                        one = [mine.T @ x, mine.sum(0), np.array([far.sum()])]
+                        held[i] = one if i not in held else [a + b for a, b in zip(held[i], one, strict=True)]
+            yield pd.DataFrame([(i, *(v.tobytes() for v in x)) for i, x in held.items()], columns=["model", "total", "n", "cost"])
+
+        moved = set()
+        for r in added_up(rows.mapInPandas(run, "model int, total binary, n binary, cost binary"), "model", ["total", "n", "cost"]):
+            m, n = models[r["model"]], np.frombuffer(r["n"])
+            total = np.frombuffer(r["total"]).reshape(m.centres.shape)
+            centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], m.centres)
+            if ((centres - m.centres) ** 2).sum() > still[m.sector]:
+                moved.add(r["model"])
+            models[r["model"]] = replace(m, centres=centres, cost=float(np.frombuffer(r["cost"])[0]))
+        shared.destroy()
+        live = moved
+        if not live:
+            break
+    return models
+
+
+def silhouettes(rows: DataFrame, models: list[Model]) -> list[float | None]:
+    """Of each model the mean silhouette of its sector's rows in tab vector and whole text, by squared distances; null with less than two clusters.
+
+    A mean squared distance to a cluster hangs on the cluster's mean and mean square alone, so two passes do for all models.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def labels(sector, tab, text):
+        spaces: dict[float, np.ndarray] = {}
+        for i, m in enumerate(shared.value):
+            if m.sector == sector:
+                if m.variance not in spaces:
+                    spaces[m.variance] = m.rows(tab, text)
+                yield i, m, m.assign(spaces[m.variance])[0]
+
+    def sums(batches):
+        held: dict[int, list] = {}
+        for sector, _, tab, text in by_sector(batches):
+            y = np.hstack([tab, text])
+            square = (y * y).sum(1)
+            for i, m, at in labels(sector, tab, text):
+                mine = np.eye(len(m.centres))[at]
+                one = [mine.T @ y, mine.sum(0), mine.T @ square]
+                held[i] = one if i not in held else [a + b for a, b in zip(held[i], one, strict=True)]
+        yield pd.DataFrame([(i, *(v.tobytes() for v in x)) for i, x in held.items()], columns=["model", "total", "n", "square"])
+
+    stats = {}
+    for r in added_up(rows.mapInPandas(sums, "model int, total binary, n binary, square binary"), "model", ["total", "n", "square"]):
+        n = np.frombuffer(r["n"])
+        stats[r["model"]] = np.frombuffer(r["total"]).reshape(len(n), -1), n, np.frombuffer(r["square"])
+    told = rows.sparkSession.sparkContext.broadcast(stats)
+
+    def score(batches):
+        held: dict[int, np.ndarray] = {}
+        for sector, _, tab, text in by_sector(batches):
+            y = np.hstack([tab, text])
+            square = (y * y).sum(1)
+            for i, _, at in labels(sector, tab, text):
+                total, n, of = told.value[i]
+                far = square[:, None] * n[None] + of[None] - 2 * y @ total.T  # sums of squared distances to each cluster
+                own = np.eye(len(n), dtype=bool)[at]
+                a = far[own] / np.maximum(n[at] - 1, 1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    b = np.where(own | (n[None] == 0), np.inf, far / n[None]).min(1)
+                    s = np.where(n[at] == 1, 0.0, (b - a) / np.maximum(a, b))
+                held[i] = held.get(i, np.zeros(2)) + np.array([np.nan_to_num(s).sum(), len(s)])
+        yield pd.DataFrame([(i, x.tobytes()) for i, x in held.items()], columns=["model", "s"])
+
+    out: list[float | None] = [None] * len(models)
+    for r in added_up(rows.mapInPandas(score, "model int, s binary"), "model", ["s"]):
+        s, n = np.frombuffer(r["s"])
+        if (stats[r["model"]][1] > 0).sum() > 1:
+            out[r["model"]] = float(s / n)
+    return out
+
+
+def searched(rows: DataFrame, variances: tuple[float, ...], ks: tuple[int, ...], restarts: int, seed: int, reduce: bool = True) -> dict[int, tuple[Model, float]]:
+    """Of each sector the model with the best silhouette (ties: the lower variance, then the smaller k) and that silhouette."""
+    found = moments(rows)
+    if not found:
+        raise ContractError("no row has a vector")
+    sizes = {r["sector_id"]: r["n"] for r in rows.groupBy("sector_id").agg(F.count("*").alias("n")).collect()}
+    chance = F.element_at(F.create_map(*[F.lit(v) for s, n in sizes.items() for v in (s, min(1.0, FIRST_ROWS / n))]), F.col("sector_id"))
+    drawn = rows.where(F.pmod(F.xxhash64("spot_id"), F.lit(1 << 30)) < chance * (1 << 30)).orderBy("sector_id", "spot_id").toPandas()
+    models, still = [], {}
+    for sector, _, tab, text in by_sector([drawn]):
+        mean, covariance = found[sector]
+        still[sector] = STILL * float(np.hstack([tab, text]).var(0).mean())
+        for variance in variances:
+            base = Model(sector, variance, mean, axes_of(covariance, variance), np.empty((0, 0))) if reduce else Whole(sector, variance, np.empty(0), np.empty(0), np.empty((0, 0)))
+            x = base.rows(tab, text)
+            for k in ks:
+                for i in range(restarts) if k < sizes[sector] else ():
+                    models.append(replace(base, centres=first_centres(x, k, np.random.default_rng((seed, sector, k, i)))))
+    models = fitted(rows, models, still)
+    best: dict[tuple, Model] = {}
+    for m in models:
+        key = (m.sector, m.variance, len(m.centres))
+        if key not in best or m.cost < best[key].cost:
+            best[key] = m
+    chosen: dict[int, tuple[Model, float]] = {}
+    order = sorted(best)
+    for key, s in zip(order, silhouettes(rows, [best[k] for k in order]), strict=True):
+        if s is not None and (key[0] not in chosen or s > chosen[key[0]][1]):
+            chosen[key[0]] = best[key], s
+    if missing := sorted({*sizes} - {*chosen}):
+        raise ContractError(f"no k of {list(ks)} gives two clusters in {missing}")
+    return chosen
+
+
+@dataclass(frozen=True)
+class Whole(Model):
+    """A model of vectors as they are."""
+
+    def rows(self, tab: np.ndarray, text: np.ndarray) -> np.ndarray:
+        return np.hstack([tab, text])
+
+
+def labelled(rows: DataFrame, models: dict[int, Model]) -> DataFrame:
+    """spot_id, cluster_id of rows (of prepared()) by the models of their sectors."""
+
+    def run(batches):
+        for sector, b, tab, text in by_sector(batches):
+            if sector in models:
+                yield pd.DataFrame({"spot_id": b["spot_id"], "cluster_id": models[sector].assign(models[sector].rows(tab, text))[0].astype(np.int32)})
+
+    return rows.mapInPandas(run, "spot_id long, cluster_id int")
 
 
 def kmeans_grid(df: DataFrame, column: str, ks: tuple[int, ...] = KS, restarts: int = RESTARTS, seed: int = 0) -> tuple[DataFrame, float, int]:
     """spot_id, cluster_id of the k with the best silhouette (ties: the smaller k), that silhouette, and k."""
-    rows = vectors(df, column).persist()
-    n, best = rows.count(), None
-    judge = ClusteringEvaluator(featuresCol="v", predictionCol="cluster_id")
-    for k in ks:
-        if k >= n:
-            break
-        out = kmeans(rows, k, seed, restarts).transform(rows).select("spot_id", "v", "cluster_id")
-        if out.select("cluster_id").distinct().count() < 2:
-            continue
-        s = judge.evaluate(out)
-        if best is None or s > best[1]:
-            best = (out.select("spot_id", "cluster_id"), s, k)
-    if best is None:
-        raise ContractError("no k gives two clusters")
-    return best
+    rows = prepared(df, None, column, None)
+    model, s = searched(rows, (1.0,), ks, restarts, seed, reduce=False)[0]
+    return labelled(rows, {0: model}), s, len(model.centres)
 
 
 def nearest_centroid(rows: DataFrame, centroids: DataFrame, column: str = "tab_vector") -> DataFrame:
@@ -80,50 +300,58 @@ def centroids_of(df: DataFrame, column: str = "tab_vector") -> DataFrame:
     return means.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centroid"))
 
 
-def cluster_candidates(candidates: DataFrame, variances: tuple[float, ...] = VARIANCES, ks: tuple[int, ...] = KS, restarts: int = RESTARTS) -> tuple[DataFrame, DataFrame]:
-    """(spot_id, cluster_id) and (sector_id, silhouette, n, variance, k): a grid of variances and k in each sector.
+@dataclass(frozen=True)
+class Clusters:
+    clusters: DataFrame  # spot_id, cluster_id of every candidate
+    scores: DataFrame  # sector_id, silhouette, n, variance, k
+    models: dict[int, Model]
+
 
-    Sectors are few, and each one's fits are distributed. Rows without text take the nearest centroid of the tab vectors; those with
+def checked(candidates: DataFrame) -> dict[int, tuple[int, int]]:
+    """sector -> rows, rows with a tab vector; raises where a sector's candidates can't be clustered."""
+    out = {}
+    for r in candidates.groupBy("sector_id").agg(F.count("*").alias("n"), F.count("tab_vector").alias("tabs"), F.count("nlp_vector").alias("texts"), F.sum((F.col("tab_vector").isNull() & F.col("nlp_vector").isNull()).cast("long")).alias("bare")).orderBy("sector_id").collect():
+        if 0 < r["tabs"] < r["n"]:
+            raise ContractError(f"sector {r['sector_id']}: {r['n'] - r['tabs']} candidates without a tab vector")
+        if not r["texts"]:
+            raise ContractError(f"sector {r['sector_id']}: no candidate has text to train on")
+        out[r["sector_id"]] = r["n"], r["tabs"]
+    return out
+
+
+def cluster_candidates(candidates: DataFrame, variances: tuple[float, ...] = VARIANCES, ks: tuple[int, ...] = KS, restarts: int = RESTARTS, seed: int = 0) -> Clusters:
+    """The grid of variances and k in each sector, judged in tab vector and whole text, for k and variance alike.
+
+    Only rows with text train. Rows without text take the nearest centre by the tab vector; those with
     neither stay without a cluster.
     """
-    found, scores = None, []
-    spark = candidates.sparkSession
-    for sector in sorted(r[0] for r in candidates.select("sector_id").distinct().collect()):
-        mine = candidates.where(F.col("sector_id") == sector).drop("cluster_id")
-        n, tabs, texts = mine.agg(F.count("*"), F.count("tab_vector"), F.count("nlp_vector")).first()
-        if 0 < tabs < n:
-            raise ContractError(f"sector {sector}: some candidates lack their tab vector")
-        if not texts:
-            raise ContractError(f"sector {sector}: no candidate has text" + ("" if tabs else " or attributes"))
-        best = None
-        for variance in variances:
-            joined = mine.where("nlp_vector is not null").join(pca_text(mine, variance), "spot_id")
-            both = joined.withColumn("both", F.concat(F.col("tab_vector").cast("array<double>"), F.col("pca").cast("array<double>")) if tabs else F.col("pca").cast("array<double>"))
-            out, _, k = kmeans_grid(both, "both", ks, restarts)
-            original = mine.join(out, "spot_id").withColumn("v", array_to_vector(F.concat(F.col("tab_vector").cast("array<double>"), F.col("nlp_vector").cast("array<double>")) if tabs else F.transform("nlp_vector", lambda x: x.cast("double"))))
-            s = ClusteringEvaluator(featuresCol="v", predictionCol="cluster_id").evaluate(original)
-            if best is None or s > best[1]:
-                best = (out, s, variance, k)
-        out = best[0]
-        if texts < n:
-            means = centroids_of(mine.join(out, "spot_id").select("tab_vector", "cluster_id"))
-            bare = mine.where("nlp_vector is null")
-            out = out.unionByName(nearest_centroid(bare, means)).unionByName(bare.where("tab_vector is null").select("spot_id", F.lit(None).cast("int").alias("cluster_id")))
-        found = out if found is None else found.unionByName(out)
-        scores.append((sector, float(best[1]), n, best[2], best[3]))
-    return found, spark.createDataFrame(scores, "sector_id int, silhouette double, n long, variance double, k int")
-
-
-def score_models(candidates: DataFrame, models: dict[int, PipelineModel]) -> DataFrame:
-    """sector_id, silhouette, n of earlier models (vector column v -> cluster_id) on today's candidates, of which those without v are counted only; no model: null; one cluster: -1."""
-    rows = []
-    for sector in sorted(r[0] for r in candidates.select("sector_id").distinct().collect()):
-        mine, s = candidates.where(F.col("sector_id") == sector), None
-        if sector in models:
-            out = models[sector].transform(mine.where("v is not null"))
-            many = out.select("cluster_id").distinct().count() > 1
-            s = ClusteringEvaluator(featuresCol="v", predictionCol="cluster_id").evaluate(out) if many else -1.0
-        rows.append((sector, s, mine.count()))
+    counts = checked(candidates)
+    rows = prepared(candidates, "tab_vector", "nlp_vector")
+    chosen = searched(rows, variances, ks, restarts, seed)
+    models = {s: m for s, (m, _) in chosen.items()}
+    bare = candidates.where("nlp_vector is null")
+
+    def near(batches):
+        for b in batches:
+            for sector, part in b.groupby("sector_id"):
+                tab = matrix(part["tab"], len(part))
+                at = pd.array([None] * len(part), "Int32")
+                if tab.shape[1]:
+                    centres = models[int(sector)].centres[:, : tab.shape[1]]
+                    at = pd.array(((tab[:, None] - centres[None]) ** 2).sum(2).argmin(1), "Int32")
+                yield pd.DataFrame({"spot_id": part["spot_id"], "cluster_id": at})
+
+    others = bare.select("spot_id", F.col("sector_id").cast("int").alias("sector_id"), F.col("tab_vector").cast("array<double>").alias("tab")).mapInPandas(near, "spot_id long, cluster_id int")
+    scores = [(s, sil, counts[s][0], m.variance, len(m.centres)) for s, (m, sil) in chosen.items()]
+    return Clusters(labelled(rows, models).unionByName(others), candidates.sparkSession.createDataFrame(scores, "sector_id int, silhouette double, n long, variance double, k int"), models)
+
+
+def score_models(candidates: DataFrame, models: dict[int, Model]) -> DataFrame:
+    """sector_id, silhouette, n of earlier models on today's candidates, measured like new ones: rows with text, in tab vector and whole text; no model: null; one cluster: -1."""
+    counts = checked(candidates)
+    mine = [models[s] for s in counts if s in models]
+    found = dict(zip([m.sector for m in mine], silhouettes(prepared(candidates, "tab_vector", "nlp_vector"), mine), strict=True)) if mine else {}
+    rows = [(s, (-1.0 if found[s] is None else found[s]) if s in found else None, n) for s, (n, _) in counts.items()]
     return candidates.sparkSession.createDataFrame(rows, "sector_id int, silhouette double, n long")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from parcela.functions import vectors
@@ -339,8 +338,7 @@ def encode_text(d):
 
 @query()
 def pca_text(d):
-    out = cluster.pca_text(d.vectors_sv, 0.9)
-    return out.select("spot_id", F.size("pca").alias("size"))
+    return cluster.pca_text(d.vectors_sv, 0.9).select("spot_id", "pca")
 
 
 @query()
@@ -355,8 +353,7 @@ def sector_candidates(d):
 
 @query()
 def cluster_candidates(d):
-    out, _ = cluster.cluster_candidates(sector_candidates(d))
-    return out
+    return cluster.cluster_candidates(sector_candidates(d)).clusters
 
 
 CENT = """c AS (SELECT cluster_id, avg(tab_vector[1]) AS x, avg(tab_vector[2]) AS y, avg(tab_vector[3]) AS z FROM {features_sv} WHERE tab_vector IS NOT NULL AND cluster_id IS NOT NULL AND nlp_vector IS NOT NULL GROUP BY 1)"""
@@ -381,13 +378,10 @@ def silhouette_exact(d):
 
 @query()
 def score_models(d):
-    from pyspark.ml import PipelineModel
-
-    both = F.concat(F.coalesce(F.col("tab_vector").cast("array<double>"), F.array().cast("array<double>")), F.col("nlp_vector").cast("array<double>"))
-    rows = sector_candidates(d).select("spot_id", "sector_id", F.when(F.col("nlp_vector").isNotNull(), array_to_vector(both)).alias("v")).persist()
-    known = rows.where("v is not null")
-    models = {s: PipelineModel([cluster.kmeans(known.where(F.col("sector_id") == s), 4)]) for (s,) in known.select("sector_id").distinct().collect()}
-    return rounded(cluster.score_models(rows, models), "silhouette")
+    """A plain earlier run's models, scored on all candidates."""
+    rows = sector_candidates(d)
+    earlier = cluster.cluster_candidates(rows, variances=(0.8,), ks=(4,), restarts=1).models
+    return rounded(cluster.score_models(rows, earlier), "silhouette")
 
 
 SECTOR_SCORES = "t AS (SELECT sector_id, avg(CAST(spot_id % 10 AS DOUBLE)) / 10e0 AS silhouette, count(*) AS n FROM {candidates_sv} WHERE is_candidate GROUP BY 1)"

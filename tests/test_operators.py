@@ -212,16 +212,21 @@ def test_every_sector_is_clustered_as_by_brute_force(spark):
             # The operator projects the centred rows.
             pca = centred @ axes[:kept].T
             x = np.hstack([tab, pca / np.linalg.norm(pca, axis=1, keepdims=True)])
-            chosen = max(((slow_silhouette(x, p), -k, p) for k, p in best_partitions(x, ks).items()), key=lambda c: c[:2])
-            s = slow_silhouette(np.hstack([tab, text]), chosen[2])
-            if best is None or s > best[0] + 1e-9:
-                best = (s, variance, -chosen[1], chosen[2])
+            whole = np.hstack([tab, text])
+            for k, p in best_partitions(x, ks).items():
+                s = slow_silhouette(whole, p)
+                if best is None or s > best[0] + 1e-9:
+                    best = (s, variance, k, p)
         want[sector] = best
         for i in range(7):
             rows.append((100 * sector + i, sector, None if sector == 15 else tab[i].tolist(), text[i].tolist()))
     rows += [(950, 9, [0.0, 1.0, 0.0], None), (1550, 15, None, None)]
     df = spark.createDataFrame(rows, "spot_id long, sector_id int, tab_vector array<double>, nlp_vector array<double>")
-    out, scores = cluster.cluster_candidates(df, variances, ks, 4)
+    found = cluster.cluster_candidates(df, variances, ks, 4)
+    out, scores = found.clusters, found.scores
+    again = dict(values(cluster.score_models(df, found.models), "sector_id", "silhouette"))
+    assert again == {s: pytest.approx(x) for s, x in values(scores, "sector_id", "silhouette")}
+    assert dict(values(cluster.score_models(df, {9: found.models[9]}), "sector_id", "silhouette"))[15] is None
     got = dict(values(out, "spot_id", "cluster_id"))
     assert len(got) == len(rows) == out.count() and got[1550] is None and got[950] == got[901]
     for sector, s, n, variance, k in values(scores, "sector_id", "silhouette", "n", "variance", "k"):
@@ -234,7 +239,7 @@ def test_every_sector_is_clustered_as_by_brute_force(spark):
 def test_cluster_queries_take_all_candidates_and_defaults(spark, monkeypatch):
     asked = {}
     monkeypatch.setattr(cluster, "kmeans_grid", lambda *a, **k: asked.update(kmeans_grid=(a, k)) or (a[0], None, 4))
-    monkeypatch.setattr(cluster, "cluster_candidates", lambda *a, **k: asked.update(cluster_candidates=(a, k)) or (a[0], None))
+    monkeypatch.setattr(cluster, "cluster_candidates", lambda *a, **k: asked.update(cluster_candidates=(a, k)) or cluster.Clusters(a[0], None, {}))
     for name in ("cluster_candidates", "kmeans_grid"):
         registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert {r[0] for r in asked["cluster_candidates"][0][0].select("sector_id").distinct().collect()} == {9, 11, 12, 15}
@@ -246,6 +251,39 @@ def test_models_of_all_sectors_are_scored(spark):
     assert [(s, n) for s, _, n in sorted(out)] == [(9, 35), (11, 29), (12, 31), (15, 30)] and all(x is not None for _, x, _ in out)
 
 
+def test_one_cluster_scores_worst(spark):
+    df = spark.createDataFrame([(i, 15, None, [float(i), 1.0, 0.0]) for i in range(8)], "spot_id long, sector_id int, tab_vector array<double>, nlp_vector array<double>")
+    model = cluster.Model(15, 0.9, np.zeros(3), np.eye(3), np.array([[0.0, 0.0, 0.0], [99.0, 99.0, 99.0]]))
+    assert values(cluster.score_models(df, {15: model}), "silhouette", "n") == [(-1.0, 8)]
+    with pytest.raises(ContractError):
+        cluster.cluster_candidates(df.withColumn("nlp_vector", F.lit(None).cast("array<double>")))
+    with pytest.raises(ContractError):
+        cluster.cluster_candidates(df, ks=(9, 10))
+
+
+def test_silhouettes_equal_a_slow_version(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(c, 1.0, (n, 4)) for c, n in ((0, 15), (3, 9), (6, 1))])
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "spot_id long, sector_id int, v array<double>")
+    model = cluster.Whole(0, 1.0, np.empty(0), np.empty(0), np.array([[0.0] * 4, [3.0] * 4, [6.0] * 4, [50.0] * 4]))
+    want = slow_silhouette(x, model.assign(x)[0])
+    assert cluster.silhouettes(cluster.prepared(df, None, "v"), [model]) == [pytest.approx(want)]
+
+
+def test_pca_equals_numpy(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 6)) + rng.normal(0, 0.05, (60, 6)) + 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "spot_id long, nlp_vector array<double>")
+    got = np.array([r.pca for r in cluster.pca_text(df, 0.9).orderBy("spot_id").collect()])
+    centred = x - x.mean(0)
+    _, size, axes = np.linalg.svd(centred, full_matrices=False)
+    kept = int(np.searchsorted(np.cumsum(size**2) / (size**2).sum(), 0.9, side="right") + 1)
+    want = centred @ axes[:kept].T
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert got.shape == want.shape and np.abs(np.abs(got) - np.abs(want)).max() < 1e-5
+    assert np.abs(got @ got.T - want @ want.T).max() < 1e-5  # whatever the axes' signs
+
+
 # Contracts and the path from raw files ---------------------------------------------------------------------------------
 
 
