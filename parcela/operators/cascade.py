@@ -2,29 +2,86 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcela.functions.scoring import Params, price_factors, similarity
-from parcela.functions.vectors import unit
+from parcela.functions.geo import cell
+from parcela.functions.scoring import Params, price_factors
 from parcela.operators.radius import widening_candidates
+from parcela.session import cut
 
-ATTACHED = ["tab_vector", "nlp_vector", "modality_mask", "rent_price_sqm", "sale_price_sqm"]
+PRICES = ["modality_mask", "rent_price_sqm", "sale_price_sqm"]
+#: Clicks of a block (expected): clicks of one grid cell, whose candidates are mostly the same.
+BLOCK_CLICKS = 256
 
 
-def with_features(pairs: DataFrame, spots: DataFrame) -> DataFrame:
-    """Attaches the features of both sides, after the pairs have been cut to the nearest; vectors at length 1."""
-    spots = spots.withColumns({c: unit(F.col(c)) for c in ("tab_vector", "nlp_vector")})
-    side = lambda mark, key: spots.select(F.col("spot_id").alias(key), *[F.col(c).alias(f"{c}_{mark}") for c in ATTACHED], *([F.col("cluster_id")] if mark == "b" else []))
-    return pairs.join(side("a", "click_id"), "click_id").join(side("b", "spot_id"), "spot_id")
+def click_blocks(clicks: DataFrame, km: float) -> DataFrame:
+    """click_id, sector_id, cell, split of clicks (spot_id, sector_id, latitude, longitude): blocks of neighbours, a crowded cell's clicks dealt out by hash."""
+    placed = clicks.select(F.col("spot_id").alias("click_id"), "sector_id", cell(F.col("latitude"), F.col("longitude"), km).alias("cell"))
+    sizes = placed.groupBy("sector_id", "cell").agg(F.ceil(F.count("*") / BLOCK_CLICKS).alias("splits"))
+    return placed.join(sizes, ["sector_id", "cell"]).select("click_id", "sector_id", "cell", F.pmod(F.xxhash64("click_id"), "splits").alias("split"))
+
+
+def units(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1 (a zero one stays), and which rows have one. Vectors of one block have one length."""
+    have = column.notna().to_numpy()
+    if not have.any():
+        return np.zeros((len(column), 1)), have
+    x = np.zeros((len(column), len(column[have].iloc[0])))
+    x[have] = np.stack(column[have].to_numpy())
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(n > 0, n, 1), have
+
+
+def with_features(pairs: DataFrame, clicks: DataFrame, spots: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
+    """Adds similarity, the candidate's cluster, and masks and prices of both sides to pairs (click_id, spot_id).
+
+    A vector travels once to each block that needs it, not with every pair; a block's pairs and vectors meet in one task, and
+    only numbers leave it.
+    """
+    names = ["sector_id", "cell", "split"]
+    blocks = click_blocks(clicks, max(p.radii_km))
+    asked = cut(pairs.select("click_id", "spot_id").join(blocks, "click_id"))
+    needed = asked.select("spot_id", *names).union(asked.select("click_id", *names)).distinct()
+    vectors = needed.join(spots.select("spot_id", F.col("tab_vector").alias("tab"), F.col("nlp_vector").alias("nlp"), "cluster_id", *PRICES), "spot_id")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=out)
+        ids = right["spot_id"].to_numpy()
+        order = np.argsort(ids)
+        at = {c: order[np.searchsorted(ids, left[c], sorter=order)] for c in ("click_id", "spot_id")}
+        total, weight = np.zeros(len(left)), np.zeros(len(left))
+        firsts = np.argsort(at["click_id"], kind="stable")
+        edges = np.flatnonzero(np.diff(at["click_id"][firsts], prepend=-1))
+        for column, w in (("tab", p.w_tab), ("nlp", p.w_nlp)):
+            x, have = units(right[column])
+            for i, j in zip(edges, np.append(edges[1:], len(firsts)), strict=True):  # a click's pairs
+                rows = firsts[i:j]
+                a, b = at["click_id"][rows[0]], at["spot_id"][rows]
+                if have[a]:
+                    total[rows] += w * np.where(have[b], x[b] @ x[a], 0.0)
+                    weight[rows] += w * have[b]
+        sides = {f"{c}_{m}": right[c].to_numpy()[at[k]] for m, k in (("a", "click_id"), ("b", "spot_id")) for c in PRICES}
+        similarity = np.clip(total / np.where(weight > 0, weight, 1), 0, 1)
+        return pd.DataFrame({"click_id": left["click_id"], "spot_id": left["spot_id"], "similarity": similarity, "cluster_id": right["cluster_id"].astype("Int32").to_numpy()[at["spot_id"]], **sides})[out]
+
+    kinds = dict(spots.dtypes)
+    schema = ["click_id long", "spot_id long", "similarity double", "cluster_id int", *[f"{c}_{m} {kinds[c]}" for m in "ab" for c in PRICES]]
+    out = [c.split()[0] for c in schema]
+    own = vectors.select(F.col("spot_id").alias("spot_id"), "tab", "nlp", "cluster_id", *PRICES, *[F.col(n).alias(f"of_{n}") for n in names])
+    met = asked.groupBy(*names).cogroup(own.groupBy(*[f"of_{n}" for n in names])).applyInPandas(run, ", ".join(schema))
+    # Missing prices come back from Python as NaN.
+    return met.withColumns({f"{c}_{m}": F.nanvl(f"{c}_{m}", F.lit(None).cast("double")) for m in "ab" for c in PRICES if kinds[c] == "double"})
 
 
 def rerank_score(pairs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
-    """Adds similarity, price_factor and their product, score, to pairs with_features()."""
+    """Adds price_factor and its product with similarity, score, to pairs with_features()."""
     c = F.col
-    sim = similarity(c("tab_vector_a"), c("tab_vector_b"), c("nlp_vector_a"), c("nlp_vector_b"), p.w_tab, p.w_nlp, units=True)
     f = price_factors(c("modality_mask_a"), c("rent_price_sqm_a"), c("sale_price_sqm_a"), c("modality_mask_b"), c("rent_price_sqm_b"), c("sale_price_sqm_b"), p.low, p.high)
-    return pairs.withColumn("similarity", sim).withColumn("price_factor", f).withColumn("score", c("similarity") * c("price_factor"))
+    return pairs.withColumn("price_factor", f).withColumn("score", c("similarity") * c("price_factor"))
 
 
 def diversify(scored: DataFrame, delta: float = 0.85, n: int = 10) -> DataFrame:
@@ -45,8 +102,9 @@ def diversify(scored: DataFrame, delta: float = 0.85, n: int = 10) -> DataFrame:
 def recommend(clicks: DataFrame, spots: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
     """click_id, rank, spot_id, score. Clicks (spot_id) may be any spots; only candidates are recommended."""
     known = spots.join(clicks.select("spot_id").distinct(), "spot_id", "left_semi").where("sector_id is not null and modality_mask is not null")
-    pairs = widening_candidates(known.select("spot_id", "sector_id", "modality_mask", "latitude", "longitude"), spots, p)
-    return diversify(rerank_score(with_features(pairs, spots), p), p.delta, p.n).select("click_id", "rank", "spot_id", "score")
+    placed = known.select("spot_id", "sector_id", "modality_mask", "latitude", "longitude").where("latitude is not null and longitude is not null")
+    pairs = widening_candidates(placed, spots, p)
+    return diversify(rerank_score(with_features(pairs, placed, spots, p), p), p.delta, p.n).select("click_id", "rank", "spot_id", "score")
 
 
 def click_status(clicks: DataFrame, spots: DataFrame, answers: DataFrame) -> DataFrame:

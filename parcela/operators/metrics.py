@@ -44,23 +44,23 @@ def click_groups(log: DataFrame) -> DataFrame:
     return log.groupBy("run_id", "spot_id", "n", "spot_ids").agg(F.count("*").alias("clicks"))
 
 
-def rankings_of(groups: DataFrame) -> DataFrame:
+def rankings_of(groups: DataFrame, by: list[str] = ["run_id"]) -> DataFrame:  # noqa: B006
     ids = F.split(F.nullif(F.col("spot_ids"), F.lit("")), ",")
-    return groups.select("run_id", "spot_id", "n", "spot_ids", F.posexplode(ids).alias("at", "id")).select("run_id", "spot_id", "n", "spot_ids", (F.col("at") + 1).alias("rank"), F.col("id").cast("long").alias("recommended_spot_id"))
+    return groups.select(*by, "spot_id", "n", "spot_ids", F.posexplode(ids).alias("at", "id")).select(*by, "spot_id", "n", "spot_ids", (F.col("at") + 1).alias("rank"), F.col("id").cast("long").alias("recommended_spot_id"))
 
 
-def group_scores(groups: DataFrame, judgments: DataFrame, k: int = 10) -> DataFrame:
+def group_scores(groups: DataFrame, judgments: DataFrame, k: int = 10, by: list[str] = ["run_id"]) -> DataFrame:  # noqa: B006
     """Scores of each distinct answer."""
     keyed = groups.withColumn("spot_ids", F.coalesce("spot_ids", F.lit("")))
-    return ranking_scores(rankings_of(keyed), keyed, judgments, k, ["run_id", "n", "spot_ids"])
+    return ranking_scores(rankings_of(keyed, by), keyed, judgments, k, [*by, "n", "spot_ids"])
 
 
-def weekly_scores(groups: DataFrame, judgments: DataFrame, k: int = 10) -> DataFrame:
-    """A row for each run: clicks, those on judged spots, distinct scored spots, coverage, and recall and ndcg weighted by clicks (null if none)."""
-    groups = groups.withColumn("spot_ids", F.coalesce("spot_ids", F.lit(""))).groupBy("run_id", "spot_id", "n", "spot_ids").agg(F.sum("clicks").alias("clicks"))
-    scored = groups.join(group_scores(groups, judgments, k), ["run_id", "spot_id", "n", "spot_ids"], "left")
+def weekly_scores(groups: DataFrame, judgments: DataFrame, k: int = 10, by: list[str] = ["run_id"]) -> DataFrame:  # noqa: B006
+    """A row for each run (or what `by` names): clicks, those on judged spots, distinct scored spots, coverage, and recall and ndcg weighted by clicks (null if none)."""
+    groups = groups.withColumn("spot_ids", F.coalesce("spot_ids", F.lit(""))).groupBy(*by, "spot_id", "n", "spot_ids").agg(F.sum("clicks").alias("clicks"))
+    scored = groups.join(group_scores(groups, judgments, k, by), [*by, "spot_id", "n", "spot_ids"], "left")
     w = F.when(F.col("recall").isNotNull(), F.col("clicks"))
-    return scored.groupBy("run_id").agg(
+    return scored.groupBy(*by).agg(
         F.sum("clicks").alias("clicks"), F.coalesce(F.sum(w), F.lit(0)).alias("clicks_in_benchmark"), F.countDistinct(F.when(F.col("recall").isNotNull(), F.col("spot_id"))).alias("spots_scored"),
         (F.coalesce(F.sum(w), F.lit(0)) / F.sum("clicks")).alias("coverage"), (F.sum(F.col("recall") * w) / F.sum(w)).alias("recall"), (F.sum(F.col("ndcg") * w) / F.sum(w)).alias("ndcg"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcela.functions.geo import EARTH_KM, cell, cells_around, haversine_km
 from parcela.functions.scoring import Params
+from parcela.session import cut
 
 
 def near_pairs(left: DataFrame, right: DataFrame, km: float, keys: list[str], left_id: str, right_id: str, keep_left: list[str] = [], keep_right: list[str] = [], earth_km: float = EARTH_KM) -> DataFrame:  # noqa: B006
@@ -32,16 +33,18 @@ def radius_join(clicks: DataFrame, spots: DataFrame, km: float) -> DataFrame:
 def widening_candidates(clicks: DataFrame, spots: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
     """click_id, spot_id, km, radius_km: the candidates within the first radius that has enough, else the last; of these the nearest.
 
-    Radii are tried in order, and only clicks without enough go on to the next, wider grid.
+    Radii are tried in order, and only clicks without enough go on to the next, wider grid. What a radius settles is written, so that no
+    radius is joined again for the next one.
     """
+    nearest = Window.partitionBy("click_id").orderBy("km", "spot_id")
     left, out = clicks, None
     for i, km in enumerate(p.radii_km):
-        met = radius_join(left, spots, km).withColumn("n", F.count("*").over(Window.partitionBy("click_id")))
         last = i + 1 == len(p.radii_km)
+        met = radius_join(left, spots, km).withColumn("n", F.count("*").over(Window.partitionBy("click_id")))
         found = met if last else met.where(F.col("n") >= p.min_candidates)
-        found = found.withColumn("radius_km", F.lit(km))
+        kept = found.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= p.max_candidates)
+        found = cut(kept.select("click_id", "spot_id", "km", F.lit(km).alias("radius_km")))
         out = found if out is None else out.unionByName(found)
         if not last:
             left = left.join(found.select(F.col("click_id").alias("spot_id")).distinct(), "spot_id", "left_anti")
-    nearest = Window.partitionBy("click_id").orderBy("km", "spot_id")
-    return out.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= p.max_candidates).select("click_id", "spot_id", "km", "radius_km")
+    return out

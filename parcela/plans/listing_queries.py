@@ -296,8 +296,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY round(adj
 
 def scored_pairs(d):
     f = d.features_sv
-    pairs = radius.widening_candidates(f.select("spot_id", "sector_id", "modality_mask", "latitude", "longitude"), f, P)
-    return cascade.rerank_score(cascade.with_features(pairs, f), P)
+    clicks = f.select("spot_id", "sector_id", "modality_mask", "latitude", "longitude").where("latitude is not null and longitude is not null")
+    return cascade.rerank_score(cascade.with_features(radius.widening_candidates(clicks, f, P), clicks, f, P), P)
 
 
 @query(f"WITH {SCORED} SELECT click_id, spot_id, round(similarity, 6) AS similarity FROM scored")

@@ -26,7 +26,7 @@ def write_weekly_scores(clicks: DataFrame, judgments: DataFrame, root: str, chec
     """Scores each batch of closed weeks into a folder of its own, so that a repeated batch overwrites itself."""
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        weekly_scores(batch.drop("week_start"), judgments).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        weekly_scores(batch, judgments, by=["week_start", "run_id"]).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     return clicks.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(score)
 

@@ -1,13 +1,20 @@
 """Every registered listing query against its SQL in DuckDB, on the smallest tables."""
 
+import hashlib
 import math
+from datetime import datetime, timedelta
+from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from parcela.operators import metrics
 from parcela.plans import listing_queries, registry, report_queries  # noqa: F401
 from parcela.plans.surrogates import Data
+from parcela.streaming import requests
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -43,20 +50,78 @@ def test_query_equals_sql(spark, duck, name):
         assert all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-5 * max(1, abs(x))) for x, y in zip(a, b, strict=True)), (a, b)
 
 
-@pytest.mark.parametrize("name", ["src_file_digest", "encode_text", "pca_text", "stream_request_metrics"])
-def test_other_queries_have_rows(spark, name):
-    assert registry.QUERIES[name](spark, FOLDER).count() > 0
+def test_file_digests_are_md5_of_the_bytes(spark):
+    data = Path(f"{FOLDER}/part.parquet").read_bytes()
+    assert [tuple(r) for r in registry.QUERIES["src_file_digest"](spark, FOLDER).collect()] == [(len(data), hashlib.md5(data).hexdigest())]
 
 
-def test_stream_equals_batch(spark):
+def test_encoded_texts_of_the_tables(spark):
+    d = Data(spark, FOLDER)
+    described = d.spot_text_sv.where("trim(description) <> ''").count()
+    out = registry.QUERIES["encode_text"](spark, FOLDER).collect()
+    assert len(out) == described == len({r.spot_id for r in out}) and {r.size for r in out} == {768}
+
+
+def test_reduced_vectors_of_the_tables(spark):
+    x = {r.spot_id: r.nlp_vector for r in Data(spark, FOLDER).vectors_sv.collect()}
+    out = {r.spot_id: np.array(r.pca) for r in registry.QUERIES["pca_text"](spark, FOLDER).collect()}
+    ids = sorted(x)
+    centred = np.array([x[i] for i in ids], np.float64)
+    centred -= centred.mean(0)
+    _, size, axes = np.linalg.svd(centred, full_matrices=False)
+    kept = int(np.searchsorted(np.cumsum(size**2) / (size**2).sum(), 0.9, side="right") + 1)
+    want = centred @ axes[:kept].T
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    got = np.array([out[i] for i in ids])
+    assert got.shape == want.shape and np.abs(got @ got.T - want @ want.T).max() < 1e-4
+
+
+def test_stream_equals_batch_in_closed_windows(spark):
     told = registry.QUERIES["stream_request_metrics"](spark, FOLDER).toPandas()
-    batch = registry.QUERIES["request_metrics_5m"](spark, FOLDER).toPandas()
-    assert len(batch) - 2 <= len(told) <= len(batch) and told["requests"].sum() <= batch["requests"].sum()
+    batch = metrics.request_metrics(Data(spark, FOLDER).request_log_sv.withColumn("ts", F.col("ts").cast("timestamp"))).select("window_start", "requests", "errors").toPandas()
+    closed = batch.sort_values("window_start").iloc[:-1]
+    told = told.sort_values("window_start")
+    assert len(batch) - 2 <= len(told) <= len(batch)
+    met = told.merge(closed, on="window_start", suffixes=("", "_b"))
+    assert len(met) >= len(told) - 1 and (met["requests"] == met["requests_b"]).all() and (met["errors"] == met["errors_b"]).all()
+
+
+def log_rows(spark, minutes):
+    kind = "ts timestamp, event string, path string, status int, latency_ms double, run_id string, spot_id long, n int, spot_ids string"
+    start = datetime(2024, 1, 7)
+    return spark.createDataFrame([(start + timedelta(minutes=m), "request", "/recommendations/1", 200, 10.0, "r", 1, 10, "2") for m in minutes], kind).coalesce(1)
+
+
+def run_stream(spark, root, out):
+    stream = spark.readStream.schema(log_rows(spark, [0]).schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    out(stream, str(root)).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_late_rows_are_dropped_from_the_stream(spark, tmp_path):
+    def write(s, root):
+        return requests.stream_request_metrics(s).writeStream.outputMode("append").option("checkpointLocation", f"{root}/ck").format("parquet").option("path", f"{root}/out")
+
+    for minutes in ([0, 1, 6, 30], [2, 3, 31, 60], [61, 120]):  # the second file's first rows are of a window that is closed
+        log_rows(spark, minutes).write.mode("append").parquet(f"{tmp_path}/log")
+        run_stream(spark, tmp_path, write)
+    got = {r.window_start.hour * 60 + r.window_start.minute: r.requests for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {0: 2, 5: 1, 30: 2, 60: 2}
+
+
+def test_weeks_are_scored_once_and_late_clicks_dropped(spark, tmp_path):
+    judged = spark.createDataFrame([(1, 2, 3)], "spot_id long, recommended_spot_id long, relevance int")
+    week = 7 * 24 * 60
+    for minutes in ([0, 10, week + 120], [20, week + 121], [3 * week]):
+        log_rows(spark, minutes).write.mode("append").parquet(f"{tmp_path}/log")
+        run_stream(spark, tmp_path, lambda s, root: requests.write_weekly_scores(requests.stream_weekly_clicks(s), judged, f"{root}/out", f"{root}/ck"))
+    got = sorted((r.clicks, r.clicks_in_benchmark, r.recall, r.ndcg) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(2, 2, 1.0, 1.0), (2, 2, 1.0, 1.0)]
 
 
-def test_streamed_weeks_are_scored(spark):
+def test_streamed_weeks_are_those_of_the_batch(spark):
     out = registry.QUERIES["stream_weekly_clicks"](spark, FOLDER).toPandas()
-    assert (out["clicks_in_benchmark"] <= out["clicks"]).all()
+    log = Data(spark, FOLDER).request_log_sv.where("status = 200")
+    assert (out["clicks_in_benchmark"] <= out["clicks"]).all() and 0 < out["clicks"].sum() <= log.count()
 
 
 def test_whole_matrix_counts_every_row(spark):
