@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcela.functions.geo import cell
+from parcela.functions.geo import DEGREE_KM, cell
 from parcela.functions.scoring import Params, price_factors
 from parcela.operators.radius import widening_candidates
 from parcela.session import cut
@@ -18,10 +18,17 @@ BLOCK_CLICKS = 256
 
 
 def click_blocks(clicks: DataFrame, km: float) -> DataFrame:
-    """click_id, sector_id, cell, split of clicks (spot_id, sector_id, latitude, longitude): blocks of neighbours, a crowded cell's clicks dealt out by hash."""
-    placed = clicks.select(F.col("spot_id").alias("click_id"), "sector_id", cell(F.col("latitude"), F.col("longitude"), km).alias("cell"))
-    sizes = placed.groupBy("sector_id", "cell").agg(F.ceil(F.count("*") / BLOCK_CLICKS).alias("splits"))
-    return placed.join(sizes, ["sector_id", "cell"]).select("click_id", "sector_id", "cell", F.pmod(F.xxhash64("click_id"), "splits").alias("split"))
+    """click_id, sector_id, y, x, split of clicks (spot_id, sector_id, latitude, longitude): blocks of neighbours.
+
+    A crowded cell is cut into smaller squares, where clicks still share their candidates; a crowded square, such as a point that very many
+    have, is dealt out by hash.
+    """
+    placed = clicks.select(F.col("spot_id").alias("click_id"), "sector_id", "latitude", "longitude", cell(F.col("latitude"), F.col("longitude"), km).alias("cell"))
+    crowd = placed.groupBy("sector_id", "cell").agg((F.sqrt(F.count("*") / BLOCK_CLICKS) * (DEGREE_KM / km)).alias("fine"))
+    fine = F.greatest(F.col("fine"), F.lit(DEGREE_KM / km))
+    squares = placed.join(crowd, ["sector_id", "cell"]).select("click_id", "sector_id", F.floor(F.col("latitude") * fine).alias("y"), F.floor(F.col("longitude") * fine).alias("x"))
+    sizes = squares.groupBy("sector_id", "y", "x").agg(F.ceil(F.count("*") / BLOCK_CLICKS).alias("splits"))
+    return squares.join(sizes, ["sector_id", "y", "x"]).select("click_id", "sector_id", "y", "x", F.pmod(F.xxhash64("click_id"), "splits").alias("split"))
 
 
 def units(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +48,7 @@ def with_features(pairs: DataFrame, clicks: DataFrame, spots: DataFrame, p: Para
     A vector travels once to each block that needs it, not with every pair; a block's pairs and vectors meet in one task, and
     only numbers leave it.
     """
-    names = ["sector_id", "cell", "split"]
+    names = ["sector_id", "y", "x", "split"]
     blocks = click_blocks(clicks, max(p.radii_km))
     asked = cut(pairs.select("click_id", "spot_id").join(blocks, "click_id"))
     needed = asked.select("spot_id", *names).union(asked.select("click_id", *names)).distinct()

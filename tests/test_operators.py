@@ -88,6 +88,25 @@ def test_recommend_invariants(spark):
     assert status == {0: "answered", 99: "unknown"}
 
 
+def test_blocks_are_small_and_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, 9, 3, 19.0 + float(y), -99.0 + float(x), [float(v) for v in t] if i % 5 else None, [float(v) for v in n] if i % 7 else None, 10.0 + i, None, i % 3 > 0, i % 4) for i, (y, x, t, n) in enumerate(zip(np.where(np.arange(90) < 40, 0.01, rng.random(90) / 20), np.where(np.arange(90) < 40, 0.01, rng.random(90) / 20), rng.normal(size=(90, 3)), rng.normal(size=(90, 5)), strict=True))]
+    s, p = spark.createDataFrame(rows, SPOT), Params(min_candidates=20, max_candidates=30)
+    whole = sorted(values(cascade.recommend(s.select("spot_id"), s, p), "click_id", "rank", "spot_id", "score"))
+    monkeypatch.setattr(cascade, "BLOCK_CLICKS", 4)
+    blocks = cascade.click_blocks(s, 15.0)
+    assert blocks.count() == 90 and blocks.groupBy("sector_id", "y", "x", "split").count().agg(F.max("count")).first()[0] <= 15
+    again = sorted(values(cascade.recommend(s.select("spot_id"), s, p), "click_id", "rank", "spot_id", "score"))
+    assert [r[:3] for r in again] == [r[:3] for r in whole] and [r[3] for r in again] == pytest.approx([r[3] for r in whole])
+    by = {r[0]: r for r in rows}
+    for c, _, i, score in whole[:80]:
+        both = [(w, np.array(a), np.array(b)) for w, a, b in ((0.6, by[c][5], by[i][5]), (0.4, by[c][6], by[i][6])) if a is not None and b is not None]
+        sim = sum(w * a @ b / np.linalg.norm(a) / np.linalg.norm(b) for w, a, b in both) / sum(w for w, _, _ in both) if both else 0
+        r = by[i][7] / by[c][7]
+        f = 1.1 if r <= 0.5 else 1.1 - (r - 0.5) / 0.5 * 0.1 if r <= 1 else 1 - 0.3 * (r - 1) if r <= 2 else 0.7
+        assert score == pytest.approx(min(1, max(0, sim)) * f)
+
+
 def test_ranking_metrics(spark):
     j = spark.createDataFrame([(7, 1, 3), (7, 2, 2), (7, 3, 1), (7, 9, 0), (8, 1, 0)], "spot_id long, recommended_spot_id long, relevance int")
     r = spark.createDataFrame([(7, 1, 1), (7, 5, 2), (7, 3, 3)], "spot_id long, recommended_spot_id long, rank int")
