@@ -4,7 +4,7 @@ The decoder reads prefix codes (also one set for each region), back-references a
 inverts the predictor, cross-colour, subtract-green and palette transforms. Where all of an image's
 information is in the green channel and the back-references, as in what the encoder writes, the
 symbols are decoded for all bit positions of a stretch at once: every position's code says where the next
-symbol would begin, and the chain of actual beginnings is followed in jumps of 16 symbols.
+symbol would begin, and the chain of actual beginnings is followed in jumps of 8 symbols.
 
 A payload is stored as one grey image (each byte a pixel) in one file. Bytes that repeat at least SHORTEST bytes of
 what came up to REACH before are written as back-references. A payload of up to 16 different bytes is written by a palette, with
@@ -90,8 +90,8 @@ class Code:
         times = np.int64(1) << (bits - lengths[order])
         if times.sum() != 1 << bits:
             raise ValueError("a prefix code that isn't complete")
-        self.symbol = np.repeat(order, times)[MIRROR[: 1 << bits] >> (MOST_BITS - bits)].astype(np.int32)
-        self.length = lengths[self.symbol].astype(np.int32)
+        self.symbol = np.repeat(order.astype(np.int32), times)[MIRROR[: 1 << bits] >> (MOST_BITS - bits)]
+        self.length = lengths.astype(np.int32)[self.symbol]
 
     def lists(self) -> tuple[list[int], list[int]]:
         if self.plain is None:
@@ -139,24 +139,40 @@ def read_code(r: Reader, size: int) -> Code:
         of_lengths[k] = r.read(3)
     code = code_of(of_lengths.tobytes())
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else size
+    symbols, sizes, mask = *code.lists(), (1 << code.bits) - 1
     at, last = 0, 8
     while at < size and left:
-        left -= 1
-        s = r.symbol(code)
-        if s < 16:
-            lengths[at] = s
-            at, last = at + 1, s or last
-            continue
-        n = 3 + r.read(2) if s == 16 else 3 + r.read(3) if s == 17 else 11 + r.read(7)
-        if at + n > size:
-            raise ValueError("code lengths beyond the alphabet")
-        lengths[at : at + n] = last if s == 16 else 0
-        at += n
+        # A symbol and its extra bits take 22 bits at most; so many are taken out of the stream at once.
+        some = min(left, 128)
+        ahead, used = int.from_bytes(r.data[r.at >> 3 : (r.at >> 3) + 3 * some + 2], "little") >> (r.at & 7), 0
+        for _ in range(some):
+            i = (ahead >> used) & mask
+            used += sizes[i]
+            s = symbols[i]
+            if s < 16:
+                lengths[at] = s
+                at, last = at + 1, s or last
+            else:
+                more = (2, 3, 7)[s - 16]
+                n = (11 if s == 18 else 3) + ((ahead >> used) & ((1 << more) - 1))
+                used += more
+                if at + n > size:
+                    raise ValueError("code lengths beyond the alphabet")
+                if s == 16:
+                    lengths[at : at + n] = last
+                at += n
+            left -= 1
+            if at >= size:
+                break
+        r.at += used
+        if r.at > r.end:
+            raise ValueError("the data end within an image")
     return Code(lengths)
 
 
 #: Of each length or distance prefix: how many bits follow, and the value without them.
 EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(40)])
+EXTRA_MASK = (np.uint64(1) << EXTRA.astype(np.uint64)) - np.uint64(1)
 LEAST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)])
 
 
@@ -165,28 +181,27 @@ def green_only(r: Reader, green: Code, far: Code, width: int, n: int) -> np.ndar
     if green.only is not None and green.only < LITERALS:
         return np.full(n, green.only, np.uint8)
     out, have, near = bytearray(n), 0, np.array([0, *[max(1, x + y * width) for x, y in NEAR]])
-    mask, far_mask = np.uint64((1 << green.bits) - 1), np.uint64((1 << far.bits) - 1)
+    mask, far_mask = np.int32((1 << green.bits) - 1), np.uint64((1 << far.bits) - 1)
+    table, far_steps = green.length | green.symbol << 4, far.length + EXTRA[far.symbol].astype(np.int32)
     while have < n:
         base = r.at >> 3
         data = np.frombuffer(r.data[base : base + STRETCH + 16] + bytes(24), np.uint8)
-        word = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+        word, near_word = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,)), np.ndarray((len(data) - 7,), "<i4", data, 0, (1,))
         end = 8 * min(STRETCH, max(0, len(r.data) - base))
         bits = lambda at, m: (word[at >> 3] >> (at & 7).astype(np.uint64)) & m  # noqa: E731, B023
-        seen = ((word[: end >> 3, None] >> np.arange(8, dtype=np.uint64)) & mask).reshape(-1).astype(np.int32)
-        symbol = green.symbol[seen]
-        step = np.arange(end, dtype=np.int32) + green.length[seen]
-        copies = np.flatnonzero(symbol >= LITERALS)
+        seen = ((near_word[: end >> 3, None] >> np.arange(8, dtype=np.int32)) & mask).reshape(-1)  # a code has 15 bits at most
+        known = table[seen]  # length and, above it, symbol
+        step = (known & 15) + np.arange(end, dtype=np.int32)
+        copies = np.flatnonzero(known >= LITERALS << 4)
         if len(copies):
-            kind = symbol[copies] - LITERALS
+            kind = (known[copies] >> 4) - LITERALS
             if int(kind.max()) >= LENGTHS:
                 raise ValueError("a cache symbol without a cache")
-            at = copies + green.length[seen[copies]]
-            at = np.minimum(at + EXTRA[kind], end + 64)
-            code = bits(at, far_mask).astype(np.int64)
-            step[copies] = at + far.length[code] + EXTRA[far.symbol[code]]
-        reach = np.append(np.minimum(step, end), end).astype(np.int32)
-        jump = reach
-        for _ in range(4):
+            at = np.minimum(step[copies] + EXTRA[kind], end + 64)
+            step[copies] = at + far_steps[bits(at, far_mask).astype(np.int64)]
+        reach = np.append(np.minimum(step, end), np.int32(end))
+        jump = reach[reach]
+        for _ in range(2):
             jump = jump[jump]
         starts, p, follow = [], r.at & 7, memoryview(jump)
         while p < end:
@@ -194,22 +209,24 @@ def green_only(r: Reader, green: Code, far: Code, width: int, n: int) -> np.ndar
             p = follow[p]
         if not starts:
             raise ValueError("the data end within an image")
-        chain = np.empty((len(starts), 16), np.int32)
+        chain = np.empty((len(starts), 8), np.int32)
         chain[:, 0] = starts
-        for k in range(1, 16):
+        for k in range(1, 8):
             chain[:, k] = reach[chain[:, k - 1]]
         chain = chain.reshape(-1)
         chain = chain[: int(np.searchsorted(chain, end))].astype(np.int64)
-        found, size = symbol[chain], np.ones(len(chain), np.int64)
+        known = known[chain]
+        symbol, taken = known >> 4, known & 15
+        found, size = symbol, np.ones(len(chain), np.int64)
         back = np.flatnonzero(found >= LITERALS)
         if len(back):
-            kind, at = found[back] - LITERALS, chain[back] + green.length[seen[chain[back]]]
-            size[back] = LEAST[kind] + bits(at, (np.uint64(1) << EXTRA[kind].astype(np.uint64)) - np.uint64(1)).astype(np.int64)
+            kind, at = found[back] - LITERALS, chain[back] + taken[back]
+            size[back] = LEAST[kind] + bits(at, EXTRA_MASK[kind]).astype(np.int64)
             at = np.minimum(at + EXTRA[kind], end + 64)
             code = bits(at, far_mask).astype(np.int64)
             of = far.symbol[code]
             at = np.minimum(at + far.length[code], end + 64)
-            distance = LEAST[of] + bits(at, (np.uint64(1) << EXTRA[of].astype(np.uint64)) - np.uint64(1)).astype(np.int64)
+            distance = LEAST[of] + bits(at, EXTRA_MASK[of]).astype(np.int64)
             distance = np.where(distance > len(NEAR), distance - len(NEAR), near[np.minimum(distance, len(NEAR))])
         ends = have + np.cumsum(size)
         many = int(np.searchsorted(ends, n)) + 1  # tokens that are part of the image
@@ -488,21 +505,20 @@ def put_code(w: Writer, lengths: list[int], size: int) -> None:
         w.put(int(RUN_LENGTHS[k]), 3)
     w.put(0, 1)
     at = 0
-    lengths = [*lengths, *[0] * (size - len(lengths))]
-    while at < size:
-        n = lengths[at]
-        run = 1
-        if not n:
-            while at + run < size and run < 138 and not lengths[at + run]:
-                run += 1
-        if run >= 3:
-            kind = 18 if run >= 11 else 17
-            w.put(RUN_CODES[kind], 5)
-            w.put(run - (11 if kind == 18 else 3), 7 if kind == 18 else 3)
-        else:
-            run = 1
-            w.put(RUN_CODES[n], int(RUN_LENGTHS[n]))
-        at += run
+    for k in [*used, size]:
+        while at < k:  # zeros
+            run = min(k - at, 138)
+            if run >= 11:
+                w.put(RUN_CODES[18] | (run - 11) << 5, 12)
+            elif run >= 3:
+                w.put(RUN_CODES[17] | (run - 3) << 5, 8)
+            else:
+                run = 1
+                w.put(RUN_CODES[0], 4)
+            at += run
+        if k < size:
+            w.put(RUN_CODES[lengths[k]], 4 if lengths[k] < 14 else 5)
+            at += 1
 
 
 def packed(head: Writer, codes: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -523,6 +539,13 @@ def packed(head: Writer, codes: np.ndarray, lengths: np.ndarray) -> bytes:
     return out[: (total + 7) // 8].tobytes()
 
 
+PLACES = np.uint64(2 * REACH - 1)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    return (x ^ x >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where samples repeat what came before: beginnings, lengths and distances, in order and apart from each other."""
     n, parts = len(samples), []
@@ -532,7 +555,8 @@ def repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             continue
         part = np.ascontiguousarray(samples[begin:end])
         eight = np.ndarray((len(part) - 7,), "<u8", part, 0, (1,)).copy()
-        order = np.argsort(eight, kind="stable")
+        # Places in the order of a hash of their eight bytes, and of the place: a sort of plain numbers.
+        order = (np.sort(mixed(eight) & ~PLACES | np.arange(len(eight), dtype=np.uint64)) & PLACES).astype(np.int64)
         same = np.flatnonzero(eight[order[1:]] == eight[order[:-1]])
         back = np.zeros(len(eight), np.int64)  # to the last place with the same eight bytes
         back[order[same + 1]] = order[same + 1] - order[same]
@@ -551,26 +575,20 @@ def repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of values from 1 on: the prefix, how many bits follow it, and these."""
-    v = values - 1
-    top = np.log2(np.maximum(v, 1)).astype(np.int64)
-    top += (v >> top) > 1  # where the logarithm was rounded
-    prefix = np.where(v < 4, v, 2 * top + ((v >> np.maximum(top - 1, 0)) & 1))
-    extra = EXTRA[prefix]
-    return prefix, extra, v & ((1 << extra) - 1)
+    prefix = np.searchsorted(LEAST, values, "right") - 1
+    return prefix, EXTRA[prefix], values - LEAST[prefix]
 
 
 def put_pixels(w: Writer, samples: np.ndarray, only: tuple[int, int, int] = (0, 0, 255)) -> bytes:
     """An image of green samples, all else being the same in all pixels; closes the stream."""
     w.put(0, 2)  # no cache, one set of codes
     begin, length, back = repeats(samples)
-    split = -(-length // 4096)
-    if (split > 1).any():
+    if length.max(initial=0) > 4096:
+        split = -(-length // 4096)
         nth = np.arange(split.sum()) - np.repeat(np.cumsum(split) - split, split)
         begin, length, back = np.repeat(begin, split) + 4096 * nth, np.minimum(4096, np.repeat(length, split) - 4096 * nth), np.repeat(back, split)
-    covered = np.zeros(len(samples) + 1, np.int32)
-    np.add.at(covered, begin, 1)
-    np.add.at(covered, begin + length, -1)
-    plain = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    covered = np.cumsum(np.bincount(begin, minlength=len(samples) + 1) - np.bincount(begin + length, minlength=len(samples) + 1))
+    plain = np.flatnonzero(covered[:-1] == 0)
     p1, e1, x1 = prefixed(length)
     p2, e2, x2 = prefixed(back + len(NEAR))
     green = np.bincount(samples[plain], minlength=LITERALS + LENGTHS) + np.bincount(LITERALS + p1, minlength=LITERALS + LENGTHS)
@@ -580,13 +598,14 @@ def put_pixels(w: Writer, samples: np.ndarray, only: tuple[int, int, int] = (0,
     lengths.append(put_counts(w, np.bincount(p2, minlength=40).tolist(), 40) if len(p2) else put_only(w, 0))
     codes = [canonical(x) if x is not None else None for x in lengths]
     # Fields in the order of the stream: a plain sample has one, a back-reference four.
-    at = np.concatenate([plain, np.repeat(begin, 4)])
-    order = np.argsort(at, kind="stable")
-    code, size = [codes[0][samples[plain]]], [lengths[0][samples[plain]]]
+    at = np.arange(len(plain)) + 4 * np.searchsorted(begin, plain)
+    code, size = np.empty(len(plain) + 4 * len(begin), np.int64), np.empty(len(plain) + 4 * len(begin), np.int64)
+    code[at], size[at] = codes[0][samples[plain]], lengths[0][samples[plain]]
     if len(begin):
-        code.append(np.stack([codes[0][LITERALS + p1], x1, codes[1][p2], x2], 1).reshape(-1))
-        size.append(np.stack([lengths[0][LITERALS + p1], e1, lengths[1][p2], e2], 1).reshape(-1))
-    return packed(w, np.concatenate(code)[order], np.concatenate(size)[order])
+        at = 4 * np.arange(len(begin)) + np.searchsorted(plain, begin)
+        for k, (c, n) in enumerate(((codes[0][LITERALS + p1], lengths[0][LITERALS + p1]), (x1, e1), (codes[1][p2], lengths[1][p2]), (x2, e2))):
+            code[at + k], size[at + k] = c, n
+    return packed(w, code, size)
 
 
 def put_counts(w: Writer, counts: list[int], size: int) -> np.ndarray:
