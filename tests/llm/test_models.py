@@ -346,6 +346,27 @@ def test_pipeline_stage_by_stage(spark):
     assert whole.select("doc_id").distinct().count() > 0.6 * docs.count() and c.ORACLE_SQL is None
 
 
+def test_pipeline_stages_of_odd_tables(spark):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as c
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({"band": F.lit("x"), "lang_pred": F.lit(7), "toxic": F.lit("no"), "r1": F.lit(None).cast("string"), "_row": F.lit(1)})
+    for _, stage in c.STAGES[:-1]:
+        none = stage(spark, docs.where("false"), folder)
+        assert none.columns == docs.columns and none.count() == 0
+    assert c.best_fit_packing(spark, docs.where("false"), folder).count() == 0
+    long = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.repeat(F.concat("text", F.lit(" ")), 300))
+    rows = docs.unionByName(long).unionByName(long).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    told = c.language_id(spark, rows, folder)
+    assert told.columns == docs.columns and told.dtypes == docs.dtypes and told.where("doc_id is null").count() == 2 and told.where("text is null").count() == 0
+    clean = c.toxicity_filter(spark, told, folder)
+    kept = c.near_dedup(spark, clean, folder)
+    assert kept.dtypes == docs.dtypes and kept.where("doc_id is null").count() <= 1 and kept.count() < clean.count()
+    packed = c.best_fit_packing(spark, kept, folder)
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
+
+
 def test_held_out_accuracy(spark):
     from parcela.llm.queries import op2_language_id, op7_toxicity
 
