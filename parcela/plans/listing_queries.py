@@ -131,11 +131,6 @@ def schema_contract_check(d):
     return row("good", s).unionByName(row("bad", s.withColumn("user_id", F.col("user_id").cast("string"))))
 
 
-@query("SELECT spot_id, area_sqm, round(longitude, 6) AS longitude, CAST(DATE '2024-01-05' + CAST(spot_id % 300 AS INT) AS DATE) AS created FROM {spots_sv}")
-def project_bronze(d):
-    return rounded(ingest.parse(raw_text(d), RAW), "longitude")
-
-
 @query("SELECT spot_id, concat_ws(',', CASE WHEN latitude IS NULL OR latitude NOT BETWEEN 14 AND 33 OR longitude IS NULL OR longitude < -118.5e0 OR longitude > -86e0 THEN 'out_of_bbox' END, CASE WHEN sector_id IS NULL OR sector_id NOT IN (9, 11, 13, 15) THEN 'unknown_sector' END) AS reason FROM {raw_spots_sv}")
 def split_quarantine(d):
     good, bad = ingest.split_quarantine(d.raw_spots_sv)
@@ -411,9 +406,9 @@ def tab_vectors(d):
     return components(v).select("spot_id", F.size("tab_vector").alias("size"), *[f"v{i}" for i in range(1, 9)])
 
 
-def raw_files(d):
-    """The surrogate listings as raw CSV files: with thousands separators, degrees with a letter, dates in words, line breaks, listings without attributes and attributes without listings."""
-    root, s = folder(d), d.listing_sv
+def raw_frames(d):
+    """The surrogate listings and attributes as the raw files have them: thousands separators, degrees with a letter, dates in words, line breaks, listings without attributes and attributes without listings."""
+    s = d.listing_sv
     plain, none = lambda c: F.col(c).cast("string"), F.lit(None).cast("string")
     money = lambda c, n=0: F.format_number(c, n)
     degrees = lambda c, sign, letter: F.concat(F.format_string("%.8f", sign * F.col(c)), F.lit(f"00° {letter}"))
@@ -427,7 +422,13 @@ def raw_files(d):
     own = {"spot_id", "natural_light", "charging_ports", "security_type", "number_of_elevators", "parking_spaces", "building_status", "floor_material"}
     attributes = s.select(*[(plain(h) if h in own else none).alias(h) for h in contract.ATTRIBUTE_HEADERS], "attributed")
     known = attributes.where("attributed").unionByName(attributes.where("not attributed").withColumn("spot_id", F.concat(F.lit("9"), F.lpad("spot_id", 12, "0"))))
-    for name, df in (("spots", s.select(*[spots.get(h, none).alias(h) for h in contract.SPOT_HEADERS])), ("attributes", known.drop("attributed")), ("catalog", d.catalog_sv)):
+    return s.select(*[spots.get(h, none).alias(h) for h in contract.SPOT_HEADERS]), known.drop("attributed")
+
+
+def raw_files(d):
+    """All layers of the surrogate listings, from CSV files."""
+    root, (spots, attributes) = folder(d), raw_frames(d)
+    for name, df in (("spots", spots), ("attributes", attributes), ("catalog", d.catalog_sv)):
         df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/{name}")
     return build.from_files(d.spark, f"{root}/spots", f"{root}/attributes", f"{root}/catalog")
 
@@ -445,6 +446,16 @@ silver AS (SELECT s1.* EXCLUDE (sector_id), s1.sector AS sector_id, coalesce(o,
 gold AS (SELECT *, single AND NOT price_out AND NOT area_out AS is_candidate FROM silver)"""
 
 
+PLAIN = "spot_id, sector_id, type_id, modality, state, title, description, area_sqm, rent_price_sqm, sale_price_sqm, rent_price_total, sale_price_total, maintenance_cost, user_id"
+
+
+@query(f"SELECT {PLAIN}, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, upper(municipality) AS municipality, CAST(DATE '2024-01-05' + CAST(spot_id % 300 AS INT) AS DATE) AS created_date, " + ", ".join(f"CASE WHEN attributed THEN {c} END AS {c}" for c in ATTRIBUTE_NAMES) + " FROM {listing_sv}")
+def project_bronze(d):
+    spots, attributes = raw_frames(d)
+    out = ingest.with_attributes(ingest.parse(spots, contract.SPOTS), ingest.parse(attributes, contract.ATTRIBUTES))
+    return rounded(out.withColumn("municipality", F.upper("municipality")), "latitude", "longitude")
+
+
 @query(f"WITH {SILVER_SQL} SELECT spot_id, CAST(original AS INT) AS sector_id_original, CAST(sector_id AS INT) AS sector_id, state_filled AS state, state_mismatch, price_out AS is_price_outlier, area_out AS is_area_outlier, is_candidate FROM gold")
 def raw_to_silver(d):
     return raw_files(d).silver.select("spot_id", "sector_id_original", "sector_id", "state", "state_mismatch", "is_price_outlier", "is_area_outlier", "is_candidate")
