@@ -68,7 +68,11 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, l2: float = 1e-5, steps: int = 1000, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising thresholds, by gradient steps of adapted size (Adam) over all rows."""
-    weight = weight / weight.sum()
+    # Few features are in a row, so both products go over what isn't 0.
+    row, column = np.nonzero(x)
+    value, weight = x[row, column].astype(np.float64), weight / weight.sum()
+    times = lambda w: np.bincount(row, value * w[column], len(x))
+    back = lambda u: np.bincount(column, value * u[row], x.shape[1])
     top = int(grade.max())
     share = np.array([np.clip(weight[grade <= k].sum(), 1e-4, 1 - 1e-4) for k in range(top)])
     first = np.log(share / (1 - share))
@@ -78,7 +82,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, l2: float
     for step in range(1, steps + 1):
         gaps = np.exp(p[n + 1 :])
         t = p[n] + np.concatenate([[0.0], np.cumsum(gaps)])
-        below = 1 / (1 + np.exp(np.clip(x @ p[:n] - t[:, None], -50, 50)))  # P(grade <= k), a row for each k
+        below = 1 / (1 + np.exp(np.clip(times(p[:n]) - t[:, None], -50, 50)))  # P(grade <= k), a row for each k
         low = np.vstack([np.zeros(len(x)), below])[grade, np.arange(len(x))]
         high = np.vstack([below, np.ones(len(x))])[grade, np.arange(len(x))]
         scale = weight / np.maximum(high - low, 1e-12)
@@ -87,7 +91,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, l2: float
         np.add.at(by_t, np.minimum(grade, top - 1), -np.where(grade < top, slope_high, 0))
         np.add.at(by_t, np.maximum(grade - 1, 0), np.where(grade > 0, slope_low, 0))
         by_gap = np.array([by_t[k + 1 :].sum() for k in range(top - 1)]) * gaps
-        g = np.concatenate([x.T @ (slope_high - slope_low) + l2 * p[:n], [by_t.sum()], by_gap])
+        g = np.concatenate([back(slope_high - slope_low) + l2 * p[:n], [by_t.sum()], by_gap])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return p[:n], p[n] + np.concatenate([[0.0], np.cumsum(np.exp(p[n + 1 :]))])
