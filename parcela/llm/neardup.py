@@ -241,22 +241,32 @@ def block_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return spread.groupBy("p", "x", "y").applyInPandas(run, "p long, a long")
 
 
+#: Edges to which a partition of a graph is aimed.
+PART_EDGES = 250_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the least node that it is connected with) of the nodes of edges (p, a)."""
-    edges = edges.select(F.greatest("p", "a").alias("u"), F.least("p", "a").alias("v")).where("u <> v").distinct()
-    state = None
+    """node, comp (the least node that it is connected with) of the nodes of edges (p, a).
+
+    A graph has as many partitions as its edges fill, so that a small one costs no shuffles of empty partitions.
+    """
+    edges = cut(edges.select(F.greatest("p", "a").alias("u"), F.least("p", "a").alias("v")).where("u <> v").distinct())
+    state, n = None, edges.count()
     while True:
+        few = lambda df: df.coalesce(1 + n // PART_EDGES)  # noqa: E731, B023
+        edges = few(edges)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
+        both = few(both)
+        least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = few(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        edges = cut(few(few(small).distinct()))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 32))).first())
         if now == state:
             break
-        state = now
-    found = edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
+        state, n = now, now[0]
+    found = few(edges).groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
     return found.unionByName(found.select(F.col("comp").alias("node"), "comp").distinct())
 
 
