@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parcela.functions.vectors import cosine, dot
-
 
 @dataclass(frozen=True)
 class Params:
@@ -23,18 +21,6 @@ class Params:
     n: int = 10
 
 
-def similarity(tab_a: Column, tab_b: Column, nlp_a: Column, nlp_b: Column, w_tab: float = 0.6, w_nlp: float = 0.4, units: bool = False) -> Column:
-    """Mean cosine, weighted, over the signals that both have; none: 0; cut to [0, 1]. A zero vector has cosine 0 and keeps its weight.
-
-    units: the vectors have length 1 (or 0) already.
-    """
-    of = dot if units else cosine
-    tab, nlp = of(tab_a, tab_b), of(nlp_a, nlp_b)
-    total = F.when(tab.isNotNull(), F.lit(w_tab)).otherwise(0.0) + F.when(nlp.isNotNull(), F.lit(w_nlp)).otherwise(0.0)
-    mean = (F.coalesce(tab, F.lit(0.0)) * w_tab + F.coalesce(nlp, F.lit(0.0)) * w_nlp) / F.nullif(total, F.lit(0.0))
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(mean, F.lit(0.0))))
-
-
 def price_factor(ratio: Column, low: float = 0.7, high: float = 1.1) -> Column:
     """Straight lines through (0.5, high), (1, 1) and (2, low), flat beyond."""
     return (

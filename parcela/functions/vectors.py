@@ -18,20 +18,3 @@ def l2_normalize(a: Column) -> Column:
     """Of length 1 as floats; a zero vector has no direction and becomes null."""
     n = norm(a)
     return F.when(n > 0, F.transform(a, lambda x: (x.cast("double") / n).cast("float")))
-
-
-def unit(a: Column) -> Column:
-    """Of length 1 as doubles; a zero vector stays. Made once for each row, so that a pair's cosine is one product."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """0 where a vector is zero."""
-    n = norm(a) * norm(b)
-    return F.when(a.isNotNull() & b.isNotNull(), F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0)))
-
-
-def far_apart(a: Column, b: Column, tolerance: float) -> Column:
-    """Whether any component differs by more than the tolerance."""
-    return F.exists(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")) > tolerance), lambda x: F.coalesce(x, F.lit(True)))

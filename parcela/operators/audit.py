@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from parcela.contract import INSIDE, INTENTIONS, SECTORS, SPACE_TYPES
 from parcela.functions.parsing import decimals
 from parcela.functions.quantiles import quantiles
+from parcela.operators import pairs
 from parcela.operators.clean import FENCE, expand_intention, outlier_bounds
 from parcela.operators.prep import label_sector
 from parcela.operators.radius import near_pairs
+from parcela.session import cut
 
 EDA_EARTH_KM = 6371.0
 PARTITION = ["sector_id", "intention"]
@@ -131,13 +133,10 @@ def coordinate_audit(df: DataFrame, latitude_text: str = "latitude_text") -> Dat
 def neighbor_density(blocks: DataFrame, radii: tuple[int, ...] = (5, 10, 15)) -> DataFrame:
     """spot_id, sector_id, intention, n_partition and how many others of the partition lie within each radius (none: 0), of rows with coordinates."""
     blocks = blocks.where("latitude is not null and longitude is not null")
-    left = blocks.withColumnRenamed("spot_id", "a")
-    right = blocks.withColumnRenamed("spot_id", "b")
-    met = near_pairs(left, right, float(max(radii)), PARTITION, "a", "b", earth_km=EDA_EARTH_KM)
-    counts = met.groupBy(F.col("a").alias("spot_id"), *PARTITION).agg(*[F.sum((F.col("km") <= r).cast("long")).alias(f"within_{r}") for r in radii])
+    counts = pairs.neighbour_counts(blocks, PARTITION, radii, EDA_EARTH_KM)
     sizes = blocks.groupBy(*PARTITION).agg(F.count("*").alias("n_partition"))
-    out = blocks.select("spot_id", *PARTITION).join(counts, ["spot_id", *PARTITION], "left").join(sizes, PARTITION)
-    return out.select("spot_id", *PARTITION, "n_partition", *[F.coalesce(f"within_{r}", F.lit(0)).alias(f"within_{r}") for r in radii])
+    out = blocks.select("spot_id", *PARTITION, "latitude", "longitude").join(counts, [*PARTITION, "latitude", "longitude"]).join(sizes, PARTITION)
+    return out.select("spot_id", *PARTITION, "n_partition", *[f"within_{r}" for r in radii])
 
 
 def radius_coverage(density: DataFrame, radii: tuple[int, ...] = (5, 10, 15), least: int = TOP, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -172,7 +171,10 @@ def price_consistency(df: DataFrame, tolerance: float = 0.01) -> DataFrame:
     kinds = [F.struct(F.lit(i).alias("intention"), applies_to(i).alias("applies"), F.col(f"{i.lower()}_price_sqm").alias("unit"), F.col(f"{i.lower()}_price_total").alias("total"), F.col("area_sqm").alias("area")) for i in INTENTIONS]
     rows = df.select(F.inline(F.array(*kinds))).where("applies and unit is not null and total is not null and area is not null")
     error = F.abs(F.col("total") - F.col("unit") * F.col("area")) / F.nullif("total", F.lit(0.0))
-    return rows.groupBy("intention").agg(F.count("*").alias("n"), pct(F.coalesce(error <= tolerance, F.lit(False))).alias("pct_consistent"), F.percentile(error, 0.5).alias("median_error"))
+    told = cut(rows.select("intention", error.alias("error")))
+    share = told.groupBy("intention").agg(F.count("*").alias("n"), pct(F.coalesce(F.col("error") <= tolerance, F.lit(False))).alias("pct_consistent"))
+    median = quantiles(told, ["intention"], "error", (0.5,)).select("intention", F.col("q")[0].alias("median_error"))
+    return share.join(median, "intention", "left")
 
 
 QUANTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
@@ -203,12 +205,10 @@ def price_ratio_pairs(blocks: DataFrame, km: float = 10.0) -> DataFrame:
 RATIO_QUANTILES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 
 
-def price_ratio_distribution(pairs: DataFrame, km: float = 10.0) -> DataFrame:
-    """One row over the pairs of all partitions: pairs, radius, quantiles of the ratio, percent outside of [0.5, 2]. All pairs, not a sample."""
-    ratios = pairs.select("ratio")
-    outside = ratios.agg(pct((F.col("ratio") < 0.5) | (F.col("ratio") > 2)).alias("pct_outside"))
-    q = quantiles(ratios, [], "ratio", RATIO_QUANTILES)
-    return q.join(outside, F.lit(True)).select(F.col("n").alias("n_pairs"), F.lit(km).alias("radius_km"), *[F.col("q")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(RATIO_QUANTILES)], "pct_outside")
+def price_ratio_distribution(blocks: DataFrame, km: float = 10.0) -> DataFrame:
+    """One row over the pairs of price_ratio_pairs() of all partitions: pairs, radius, exact quantiles of the ratio, percent outside of [0.5, 2]. All pairs, not a sample, and none is a row."""
+    q = pairs.ratio_quantiles(blocks, PARTITION, "price", km, RATIO_QUANTILES, (0.5, 2.0), EDA_EARTH_KM).where("n > 0")
+    return q.select(F.col("n").alias("n_pairs"), F.lit(km).alias("radius_km"), *[F.col("q")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(RATIO_QUANTILES)], (100.0 * F.col("outside") / F.col("n")).alias("pct_outside"))
 
 
 def clone_pairs(blocks: DataFrame, km: float = 1.0, area_tolerance: float = 0.05) -> DataFrame:
@@ -224,9 +224,9 @@ def measured(blocks: DataFrame) -> DataFrame:
     return blocks.where("latitude is not null and longitude is not null and area_sqm is not null")
 
 
-def clone_rate(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+def clone_rate(blocks: DataFrame, found: DataFrame) -> DataFrame:
     """Of partitions of two measured rows or more: these rows, those with a near copy, their percentage, most copies of a row."""
-    copies = pairs.groupBy(F.col("a").alias("spot_id"), *PARTITION).agg(F.count("*").alias("copies"))
+    copies = found.groupBy(F.col("a").alias("spot_id"), *PARTITION).agg(F.count("*").alias("copies"))
     out = measured(blocks).select("spot_id", *PARTITION).join(copies, ["spot_id", *PARTITION], "left").groupBy(*PARTITION)
     return out.agg(F.count("*").alias("n"), F.sum(F.col("copies").isNotNull().cast("long")).alias("with_clone"), pct(F.col("copies").isNotNull()).alias("pct_with_clone"), F.coalesce(F.max("copies"), F.lit(0)).alias("max_clones")).where("n >= 2")
 
@@ -253,9 +253,9 @@ def cascade_verdict(matrix: DataFrame, density: DataFrame, spots: DataFrame, dim
     return out
 
 
-def cascade_coverage(candidates: DataFrame, pairs: DataFrame, least: int = TOP) -> DataFrame:
+def cascade_coverage(candidates: DataFrame, left: DataFrame, least: int = TOP) -> DataFrame:
     """Of each sector, over all candidate clicks: candidates, the median left by the filters, percent with few, percent with none."""
-    n = pairs.groupBy(F.col("click_id").alias("spot_id")).agg(F.count("*").alias("n"))
+    n = left.groupBy(F.col("click_id").alias("spot_id")).agg(F.count("*").alias("n"))
     out = candidates.select("spot_id", "sector_id").join(n, "spot_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.groupBy("sector_id").agg(F.count("*").alias("candidates"), F.percentile("n", 0.5).alias("median_left"), pct(F.col("n") < least).alias("pct_few"), pct(F.col("n") == 0).alias("pct_none"))
 

@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcela.functions.geo import DEGREE_KM, cell
-from parcela.functions.scoring import Params, price_factors
-from parcela.operators.radius import widening_candidates
-from parcela.session import cut
-
-PRICES = ["modality_mask", "rent_price_sqm", "sale_price_sqm"]
-#: Clicks of a block (expected): clicks of one grid cell, whose candidates are mostly the same.
-BLOCK_CLICKS = 256
-
+from parcela.functions.scoring import Params
+from parcela.operators.radius import candidate_blocks, nearest
 
-def click_blocks(clicks: DataFrame, km: float) -> DataFrame:
-    """click_id, sector_id, y, x, split of clicks (spot_id, sector_id, latitude, longitude): blocks of neighbours.
-
-    A crowded cell is cut into smaller squares, where clicks still share their candidates; a crowded square, such as a point that very many
-    have, is dealt out by hash.
-    """
-    placed = clicks.select(F.col("spot_id").alias("click_id"), "sector_id", "latitude", "longitude", cell(F.col("latitude"), F.col("longitude"), km).alias("cell"))
-    crowd = placed.groupBy("sector_id", "cell").agg((F.sqrt(F.count("*") / BLOCK_CLICKS) * (DEGREE_KM / km)).alias("fine"))
-    fine = F.greatest(F.col("fine"), F.lit(DEGREE_KM / km))
-    squares = placed.join(crowd, ["sector_id", "cell"]).select("click_id", "sector_id", F.floor(F.col("latitude") * fine).alias("y"), F.floor(F.col("longitude") * fine).alias("x"))
-    sizes = squares.groupBy("sector_id", "y", "x").agg(F.ceil(F.count("*") / BLOCK_CLICKS).alias("splits"))
-    return squares.join(sizes, ["sector_id", "y", "x"]).select("click_id", "sector_id", "y", "x", F.pmod(F.xxhash64("click_id"), "splits").alias("split"))
+PRICES = ["rent_price_sqm", "sale_price_sqm"]
+KEPT = ["tab_vector", "nlp_vector", *PRICES]
+#: Decimals that scores are compared by: sums of the same numbers in another order differ beyond them.
+DIGITS = 12
 
 
 def units(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -42,53 +29,76 @@ def units(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return x / np.where(n > 0, n, 1), have
 
 
-def with_features(pairs: DataFrame, clicks: DataFrame, spots: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
-    """Adds similarity, the candidate's cluster, and masks and prices of both sides to pairs (click_id, spot_id).
+def similarities(asking: pd.DataFrame, points: pd.DataFrame, pairs: list[tuple[int, np.ndarray]], p: Params) -> Iterator[np.ndarray]:
+    """Of each row that asks and its points: the mean cosine, weighted, over the vectors that both have; none: 0; cut to [0, 1].
 
-    A vector travels once to each block that needs it, not with every pair; a block's pairs and vectors meet in one task, and
-    only numbers leave it.
+    A zero vector has cosine 0 and keeps its weight. Only vectors that some pair needs are looked at.
     """
-    names = ["sector_id", "y", "x", "split"]
-    blocks = click_blocks(clicks, max(p.radii_km))
-    asked = cut(pairs.select("click_id", "spot_id").join(blocks, "click_id"))
-    needed = asked.select("spot_id", *names).union(asked.select("click_id", *names)).distinct()
-    vectors = needed.join(spots.select("spot_id", F.col("tab_vector").alias("tab"), F.col("nlp_vector").alias("nlp"), "cluster_id", *PRICES), "spot_id")
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=out)
-        ids = right["spot_id"].to_numpy()
-        order = np.argsort(ids)
-        at = {c: order[np.searchsorted(ids, left[c], sorter=order)] for c in ("click_id", "spot_id")}
-        total, weight = np.zeros(len(left)), np.zeros(len(left))
-        firsts = np.argsort(at["click_id"], kind="stable")
-        edges = np.flatnonzero(np.diff(at["click_id"][firsts], prepend=-1))
-        for column, w in (("tab", p.w_tab), ("nlp", p.w_nlp)):
-            x, have = units(right[column])
-            for i, j in zip(edges, np.append(edges[1:], len(firsts)), strict=True):  # a click's pairs
-                rows = firsts[i:j]
-                a, b = at["click_id"][rows[0]], at["spot_id"][rows]
-                if have[a]:
-                    total[rows] += w * np.where(have[b], x[b] @ x[a], 0.0)
-                    weight[rows] += w * have[b]
-        sides = {f"{c}_{m}": right[c].to_numpy()[at[k]] for m, k in (("a", "click_id"), ("b", "spot_id")) for c in PRICES}
-        similarity = np.clip(total / np.where(weight > 0, weight, 1), 0, 1)
-        return pd.DataFrame({"click_id": left["click_id"], "spot_id": left["spot_id"], "similarity": similarity, "cluster_id": right["cluster_id"].astype("Int32").to_numpy()[at["spot_id"]], **sides})[out]
-
-    kinds = dict(spots.dtypes)
-    schema = ["click_id long", "spot_id long", "similarity double", "cluster_id int", *[f"{c}_{m} {kinds[c]}" for m in "ab" for c in PRICES]]
-    out = [c.split()[0] for c in schema]
-    own = vectors.select(F.col("spot_id").alias("spot_id"), "tab", "nlp", "cluster_id", *PRICES, *[F.col(n).alias(f"of_{n}") for n in names])
-    met = asked.groupBy(*names).cogroup(own.groupBy(*[f"of_{n}" for n in names])).applyInPandas(run, ", ".join(schema))
-    # Missing prices come back from Python as NaN.
-    return met.withColumns({f"{c}_{m}": F.nanvl(f"{c}_{m}", F.lit(None).cast("double")) for m in "ab" for c in PRICES if kinds[c] == "double"})
-
-
-def rerank_score(pairs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
-    """Adds price_factor and its product with similarity, score, to pairs with_features()."""
-    c = F.col
-    f = price_factors(c("modality_mask_a"), c("rent_price_sqm_a"), c("sale_price_sqm_a"), c("modality_mask_b"), c("rent_price_sqm_b"), c("sale_price_sqm_b"), p.low, p.high)
-    return pairs.withColumn("price_factor", f).withColumn("score", c("similarity") * c("price_factor"))
+    used = np.unique(np.concatenate([at for _, at in pairs])) if pairs else np.empty(0, np.int64)
+    sides = [(w, *units(asking[c]), *units(points[c].iloc[used])) for c, w in (("tab_vector", p.w_tab), ("nlp_vector", p.w_nlp))]
+    for i, at in pairs:
+        k = np.searchsorted(used, at)
+        total, weight = np.zeros(len(at)), np.zeros(len(at))
+        for w, x, have, y, has in sides:
+            if have[i]:
+                total += w * np.where(has[k], y[k] @ x[i] if y.shape[1] == x.shape[1] else 0.0, 0.0)
+                weight += w * has[k]
+        yield np.clip(total / np.where(weight > 0, weight, 1), 0, 1)
+
+
+def answers(clicks: DataFrame, spots: DataFrame, p: Params, run, schema: str) -> DataFrame:
+    """What `run` makes of each block of clicks (with all of their own columns) and the spots that may be their candidates."""
+    asking = clicks if {*KEPT} <= {*clicks.columns} else clicks.join(spots.select("spot_id", *KEPT), "spot_id", "left")
+    names = [c.split()[0] for c in schema.split(", ")]
+    wanted = spots.withColumn("cluster_id", F.col("cluster_id").cast("double"))  # null is NaN in a block
+    return candidate_blocks(asking, wanted, p, KEPT, [*KEPT, "cluster_id"]).apply(lambda a, b: run(a, b.sort_values("id", ignore_index=True))[names], schema)
+
+
+def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
+def scored_pairs(clicks: DataFrame, spots: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
+    """click_id, spot_id, km, radius_km, similarity, price_factor, score (their product), cluster_id of all candidates of the clicks.
+
+    clicks: spot_id, sector_id, modality_mask, latitude, longitude. What a click needs of its own and of its candidates meets in its block, so no vector
+    travels with a pair.
+    """
+
+    def run(asking: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        found = list(nearest(asking, points, p)) if len(points) else []
+        like = list(similarities(asking, points, [(i, at) for i, at, _, _ in found], p))
+        a, b = joined([np.full(len(at), i) for i, at, _, _ in found], np.int64), joined([at for _, at, _, _ in found], np.int64)
+        factor = factors(asking, points, a, b, p)
+        cluster = pd.array(points["cluster_id"], "Float64")[b].astype("Int32") if len(b) else pd.array([], "Int32")
+        return pd.DataFrame({"click_id": asking["id"].to_numpy()[a], "spot_id": points["id"].to_numpy()[b], "km": joined([km for _, _, km, _ in found], float), "radius_km": joined([np.full(len(at), r) for _, at, _, r in found], float), "similarity": joined(like, float), "price_factor": factor, "score": joined(like, float) * factor, "cluster_id": cluster})
+
+    return answers(clicks, spots, p, run, "click_id long, spot_id long, km double, radius_km double, similarity double, price_factor double, score double, cluster_id int")
+
+
+def factors(asking: pd.DataFrame, points: pd.DataFrame, a: np.ndarray, b: np.ndarray, p: Params) -> np.ndarray:
+    """price_factors() of the pairs of places a and b."""
+    total, n = np.zeros(len(a)), np.zeros(len(a))
+    both = asking["modality_mask"].to_numpy()[a] & points["modality_mask"].to_numpy()[b]
+    for bit, c in ((1, PRICES[0]), (2, PRICES[1])):
+        x, y = (side[c].to_numpy(dtype=float, na_value=np.nan)[k] for side, k in ((asking, a), (points, b)))
+        some = ((both & bit) != 0) & np.isfinite(x) & np.isfinite(y) & (x != 0) & (y != 0)
+        total[some] += np.interp(y[some] / x[some], [0.5, 1.0, 2.0], [p.high, 1.0, p.low])
+        n[some] += 1
+    return np.where(n > 0, total / np.maximum(n, 1), 1.0)
+
+
+def chosen(score: np.ndarray, cluster: np.ndarray, p: Params) -> np.ndarray:
+    """diversify() of one click's candidates, which are ordered by id: the places of the first n. cluster: NaN where there is none."""
+    score = np.round(score, DIGITS)
+    falling = np.argsort(-score, kind="stable")
+    of = cluster[falling]
+    by = np.argsort(of, kind="stable")  # within a cluster the order stays; NaN comes last
+    first = np.flatnonzero(np.append(True, of[by][1:] != of[by][:-1])) if len(by) else np.empty(0, np.int64)
+    taken = np.empty(len(by), np.int64)
+    taken[by] = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+    adjusted = np.round(score[falling] * np.where(np.isnan(of), 1.0, p.delta**taken), DIGITS)
+    return falling[np.argsort(-adjusted, kind="stable")[: p.n]]
 
 
 def diversify(scored: DataFrame, delta: float = 0.85, n: int = 10) -> DataFrame:
@@ -107,11 +117,26 @@ def diversify(scored: DataFrame, delta: float = 0.85, n: int = 10) -> DataFrame:
 
 
 def recommend(clicks: DataFrame, spots: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
-    """click_id, rank, spot_id, score. Clicks (spot_id) may be any spots; only candidates are recommended."""
+    """click_id, rank, spot_id, score. Clicks (spot_id) may be any spots; only candidates are recommended.
+
+    All that a click needs meets in its block, and only its answer leaves it.
+    """
+    if not 0 <= p.delta <= 1:
+        raise ValueError("delta lies outside of [0, 1]")
     known = spots.join(clicks.select("spot_id").distinct(), "spot_id", "left_semi").where("sector_id is not null and modality_mask is not null")
-    placed = known.select("spot_id", "sector_id", "modality_mask", "latitude", "longitude").where("latitude is not null and longitude is not null")
-    pairs = widening_candidates(placed, spots, p)
-    return diversify(rerank_score(with_features(pairs, placed, spots, p), p), p.delta, p.n).select("click_id", "rank", "spot_id", "score")
+    placed = known.select("spot_id", "sector_id", "modality_mask", "latitude", "longitude", *KEPT).where("latitude is not null and longitude is not null")
+
+    def run(asking: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        found = [(i, np.sort(at)) for i, at, _, _ in nearest(asking, points, p)] if len(points) else []
+        ids, own, cluster = points["id"].to_numpy(), asking["id"].to_numpy(), points["cluster_id"].to_numpy(dtype=float, na_value=np.nan)
+        rows = []
+        for (i, at), like in zip(found, similarities(asking, points, found, p), strict=True):
+            score = like * factors(asking, points, np.full(len(at), i), at, p)
+            best = chosen(score, cluster[at], p)
+            rows.append((np.full(len(best), own[i]), np.arange(1, len(best) + 1), ids[at[best]], score[best]))
+        return pd.DataFrame({c: joined([r[k] for r in rows], kind) for k, (c, kind) in enumerate((("click_id", np.int64), ("rank", np.int64), ("spot_id", np.int64), ("score", float)))})
+
+    return answers(placed, spots, p, run, "click_id long, rank int, spot_id long, score double")
 
 
 def click_status(clicks: DataFrame, spots: DataFrame, answers: DataFrame) -> DataFrame:

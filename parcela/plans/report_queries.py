@@ -273,7 +273,7 @@ RATIO_QUANTILES = {"p1": 0.01, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75,
 
 @query(f"WITH {DENSE}, rt AS (SELECT *, pb / pa AS ratio FROM met WHERE km <= 10 AND pa > 0 AND pb > 0) SELECT CAST(count(*) AS BIGINT) AS n_pairs, 10e0 AS radius_km, " + ", ".join(f"round(quantile_cont(ratio, {q}), 4) AS {k}" for k, q in RATIO_QUANTILES.items()) + f", round({pct('ratio < 0.5e0 OR ratio > 2e0')}, 4) AS pct_outside FROM rt")
 def price_ratio_distribution(d):
-    return rounded(audit.price_ratio_distribution(audit.price_ratio_pairs(d.blocks_sv)), *RATIO_QUANTILES, "pct_outside", digits=4)
+    return rounded(audit.price_ratio_distribution(d.blocks_sv), *RATIO_QUANTILES, "pct_outside", digits=4)
 
 
 #: Near copies at the values of production: within 1 km, areas within 5 percent of the row's own, one user (or none).

@@ -10,8 +10,8 @@ from parcela import contract
 from parcela.contract import ContractError
 from parcela.functions import geo, parsing, text, vectors
 from parcela.functions.quantiles import quantiles
-from parcela.functions.scoring import Params, price_factor, price_factors, similarity
-from parcela.operators import audit, cascade, clean, cluster, features, gate, ingest, metrics, prep, radius
+from parcela.functions.scoring import Params, price_factor, price_factors
+from parcela.operators import audit, blocks, cascade, clean, cluster, features, gate, ingest, metrics, pairs, prep, radius
 from parcela.plans import build, registry, report_queries  # noqa: F401
 from parcela.sources import tables
 
@@ -41,8 +41,10 @@ def test_price_factors(spark, a, b, want):
     [([1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0], 0.6), ([1.0, 0.0], [1.0, 0.0], [1.0, 0.0], None, 1.0), (None, [1.0], [1.0], None, 0.0), ([1.0, 0.0], [-1.0, 0.0], [1.0], [-1.0], 0.0), ([0.0, 0.0], [1.0, 0.0], [1.0], [1.0], 0.4)],
 )
 def test_similarity(spark, ta, tb, na, nb, want):
-    df = spark.createDataFrame([(ta, tb, na, nb)], "a array<double>, b array<double>, c array<double>, d array<double>")
-    assert df.select(similarity(*[F.col(c) for c in "abcd"])).first()[0] == pytest.approx(want)
+    rows = [(0, 9, 3, 19.0, -99.0, ta, na, None, None, False, None), (1, 9, 3, 19.0, -99.0, tb, nb, None, None, True, None)]
+    s = spark.createDataFrame(rows, SPOT)
+    got = cascade.scored_pairs(s.select("spot_id", "sector_id", "modality_mask", "latitude", "longitude").where("spot_id = 0"), s).collect()
+    assert [(r.spot_id, r.similarity, r.price_factor, r.km) for r in got] == [(1, pytest.approx(want), 1.0, 0.0)]
 
 
 @pytest.mark.parametrize(
@@ -93,11 +95,16 @@ def test_blocks_are_small_and_change_nothing(spark, monkeypatch):
     rows = [(i, 9, 3, 19.0 + float(y), -99.0 + float(x), [float(v) for v in t] if i % 5 else None, [float(v) for v in n] if i % 7 else None, 10.0 + i, None, i % 3 > 0, i % 4) for i, (y, x, t, n) in enumerate(zip(np.where(np.arange(90) < 40, 0.01, rng.random(90) / 20), np.where(np.arange(90) < 40, 0.01, rng.random(90) / 20), rng.normal(size=(90, 3)), rng.normal(size=(90, 5)), strict=True))]
     s, p = spark.createDataFrame(rows, SPOT), Params(min_candidates=20, max_candidates=30)
     whole = sorted(values(cascade.recommend(s.select("spot_id"), s, p), "click_id", "rank", "spot_id", "score"))
-    monkeypatch.setattr(cascade, "BLOCK_CLICKS", 4)
-    blocks = cascade.click_blocks(s, 15.0)
-    assert blocks.count() == 90 and blocks.groupBy("sector_id", "y", "x", "split").count().agg(F.max("count")).first()[0] <= 15
+    monkeypatch.setattr(blocks, "ASKING", 4)
+    monkeypatch.setattr(blocks, "SQUARE", 5)
+    placed = s.select("spot_id", "sector_id", "modality_mask", "latitude", "longitude")
+    made = radius.candidate_blocks(placed, s, p)
+    assert made.asking.count() == 90 and made.asking.groupBy("block", "part").count().agg(F.max("count")).first()[0] <= 15
     again = sorted(values(cascade.recommend(s.select("spot_id"), s, p), "click_id", "rank", "spot_id", "score"))
     assert [r[:3] for r in again] == [r[:3] for r in whole] and [r[3] for r in again] == pytest.approx([r[3] for r in whole])
+    # The answers are what diversify() makes of the scored pairs.
+    told = cascade.diversify(cascade.scored_pairs(placed, s, p), p.delta, p.n)
+    assert sorted(values(told, "click_id", "rank", "spot_id")) == [r[:3] for r in whole]
     by = {r[0]: r for r in rows}
     for c, _, i, score in whole[:80]:
         both = [(w, np.array(a), np.array(b)) for w, a, b in ((0.6, by[c][5], by[i][5]), (0.4, by[c][6], by[i][6])) if a is not None and b is not None]
@@ -107,6 +114,66 @@ def test_blocks_are_small_and_change_nothing(spark, monkeypatch):
         assert score == pytest.approx(min(1, max(0, sim)) * f)
 
 
+def slow_km(a, b, earth=geo.EARTH_KM):
+    p, q = math.radians(a[0]), math.radians(b[0])
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * earth * math.asin(min(1.0, math.sqrt(h)))
+
+
+def scattered(n, seed):
+    """Points around a centre, some in one place, some in the far north and at the date line, some without coordinates."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        lat, lon = ((19.0, -99.0), (75.0, 20.0), (-10.0, 179.99))[i % 3]
+        near = float(rng.choice([0.001, 0.02, 0.1]))
+        y, x = (0.0, 0.0) if i % 4 == 0 else (float(rng.normal() * near), float(rng.normal() * near / math.cos(math.radians(lat))))
+        out.append((i, 9 + i % 2, 1 + i % 3, lat + y, (lon + x + 180) % 360 - 180) if i % 37 else (i, 9, 3, None, 1.0))
+    return out
+
+
+@pytest.mark.parametrize("square", [3, 20, 1024])
+def test_nearest_equal_a_slow_version(spark, monkeypatch, square):
+    monkeypatch.setattr(blocks, "SQUARE", square)
+    monkeypatch.setattr(blocks, "ASKING", 7)
+    rows, p = scattered(240, square), Params(min_candidates=6, max_candidates=9)
+    s = spark.createDataFrame([(*r, None, None, None, None, r[0] % 5 > 0, None) for r in rows], SPOT)
+    got = {}
+    for c, i, km, r in values(radius.widening_candidates(s, s, p), "click_id", "spot_id", "km", "radius_km"):
+        got.setdefault(c, []).append((r, round(km, 6), i))
+    for c, sector, mask, *at in rows:
+        near = sorted((round(slow_km(at, b), 6), i) for i, o, m, *b in rows if i % 5 and i != c and o == sector and m & mask and None not in (at[0], b[0]))
+        r = next((r for r in p.radii_km if sum(km <= r for km, _ in near) >= 6), 15.0)
+        assert sorted(got.get(c, [])) == [(r, *x) for x in near if x[0] <= r][:9]
+
+
+def test_a_crowded_place_makes_no_pairs(spark):
+    """4,000 listings on one point: no block gets more spots than a click can take, and no click more than its 300."""
+    crowd = spark.range(4000).select(F.col("id").alias("spot_id"), F.lit(9).alias("sector_id"), F.lit(3).alias("modality_mask"), F.lit(19.0).alias("latitude"), F.lit(-99.0).alias("longitude"), F.lit(True).alias("is_candidate"))
+    made = radius.candidate_blocks(crowd, crowd, Params())
+    assert made.points.groupBy("block", "part").count().agg(F.max("count")).first()[0] == 301
+    assert made.points.count() <= 301 * (4000 / blocks.ASKING + 1)
+    out = radius.widening_candidates(crowd, crowd).groupBy("click_id").agg(F.count("*").alias("n"), F.sum("spot_id").alias("s"))
+    assert {(r.n, r.s + min(r.click_id, 300)) for r in out.collect()} == {(300, 300 * 301 // 2)}
+    assert {r.within_5 for r in audit.neighbor_density(crowd.withColumn("intention", F.lit("Rent"))).collect()} == {3999}
+
+
+@pytest.mark.parametrize("square", [3, 50, 1024])
+def test_counts_and_ratios_of_pairs_equal_slow_versions(spark, monkeypatch, square):
+    monkeypatch.setattr(blocks, "SQUARE", square)
+    monkeypatch.setattr(blocks, "ASKING", 11)
+    rows = [(i, s, "Rent" if i % 2 else "Sale", lat, lon, None if i % 23 == 0 else 0.0 if i % 29 == 0 else float(1 + i % 7) ** 3) for i, s, _, lat, lon in scattered(200, square + 1)]
+    df = spark.createDataFrame(rows, "spot_id long, sector_id int, intention string, latitude double, longitude double, price double")
+    near = [(a, b, slow_km(a[3:5], b[3:5], 6371.0)) for a in rows for b in rows if a[0] != b[0] and a[1:3] == b[1:3] and None not in (a[3], b[3])]
+    got = {r.spot_id: (r.within_5, r.within_10, r.within_15) for r in audit.neighbor_density(df).collect()}
+    assert got == {r[0]: tuple(sum(a[0] == r[0] and km <= d for a, _, km in near) for d in (5, 10, 15)) for r in rows if r[3] is not None}
+    ratios = np.array([b[5] / a[5] for a, b, km in near if km <= 10 and (a[5] or 0) > 0 and (b[5] or 0) > 0])
+    out = audit.price_ratio_distribution(df).first()
+    assert out.n_pairs == len(ratios) and out.pct_outside == pytest.approx(100 * ((ratios < 0.5) | (ratios > 2)).mean())
+    assert list(out)[2:9] == pytest.approx(list(np.quantile(ratios, audit.RATIO_QUANTILES)), rel=1e-12)
+    assert audit.price_ratio_distribution(df.where("price is null")).count() == 0
+
+
 def test_ranking_metrics(spark):
     j = spark.createDataFrame([(7, 1, 3), (7, 2, 2), (7, 3, 1), (7, 9, 0), (8, 1, 0)], "spot_id long, recommended_spot_id long, relevance int")
     r = spark.createDataFrame([(7, 1, 1), (7, 5, 2), (7, 3, 3)], "spot_id long, recommended_spot_id long, rank int")
