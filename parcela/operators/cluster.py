@@ -3,6 +3,9 @@
 The grid (variances of the PCA, numbers of clusters, restarts, in every sector) is searched in one go: a pass over the
 candidates assigns each row in all models of its sector and adds up what their centres need, so the passes are as many as
 the slowest model takes, not as many as there are models. Centres are few (k of a model), and they alone come to the driver.
+
+First centres come from all rows (k-means||): a few passes each draw rows that are far from those drawn before, one more counts the rows
+next to each; the drawn rows with their counts stand for the sector when a model's k first centres are chosen.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcela.contract import ContractError
@@ -21,8 +24,12 @@ from parcela.session import cut
 VARIANCES, KS, RESTARTS, MARGIN = (0.7, 0.8, 0.9, 0.95), tuple(range(4, 13)), 10, 0.01
 #: Rows of a block of the exact silhouette.
 BLOCK = 1024
-#: Rows of a sector (expected) that first centres are chosen from; passes at most; the centres' movement, relative to the variance, at which a model stands.
-FIRST_ROWS, MOST_PASSES, STILL = 2000, 300, 1e-4
+#: Passes that draw rows, and rows drawn in each for the greatest k (times it).
+DRAWS, OVERSAMPLED = 4, 2
+#: Passes at most; the centres' movement, relative to the variance, at which a model stands.
+MOST_PASSES, STILL = 300, 1e-4
+#: Partial sums that are added up in one group.
+FAN = 16
 
 
 @dataclass(frozen=True)
@@ -65,14 +72,23 @@ def by_sector(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFra
 
 
 def added_up(rows: DataFrame, key: str, names: list[str]) -> list:
-    """The sums of binary arrays of doubles by key; one row for each key comes to the driver."""
+    """The sums of binary arrays of doubles by key; one row for each key comes to the driver.
+
+    Partial sums are merged in levels, of neighbouring partitions first, so that a group never holds more than FAN of them, however many partitions there are.
+    """
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         sums = {n: sum(np.frombuffer(v) for v in b[n]) for n in names}
-        return pd.DataFrame({key: b[key][:1], **{n: [x.tobytes()] for n, x in sums.items()}})
+        return pd.DataFrame({key: b[key][:1], "part": b["part"][:1] // FAN, **{n: [x.tobytes()] for n, x in sums.items()}})
 
     kind = dict(rows.dtypes)[key]
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, " + ", ".join(f"{n} binary" for n in names)).collect()
+    schema = f"{key} {kind}, part long, " + ", ".join(f"{n} binary" for n in names)
+    left, merged = rows.rdd.getNumPartitions(), rows.withColumn("part", F.spark_partition_id().cast("long"))
+    while True:
+        merged = merged.groupBy(key, F.floor(F.col("part") / FAN).alias("of")).applyInPandas(run, schema)
+        left = -(-left // FAN)
+        if left <= 1:
+            return merged.drop("part").collect()
 
 
 def moments(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -124,50 +140,122 @@ def pca_text(df: DataFrame, variance: float, column: str = "nlp_vector") -> Data
     return rows.mapInPandas(run, "spot_id long, pca array<float>")
 
 
-def first_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k rows, each the likelier the farther it is from those chosen before."""
-    at = [int(rng.integers(len(x)))]
+def first_centres(x: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows, each the likelier the more rows it stands for and the farther it is from those chosen before."""
+    share = lambda w: w / w.sum() if w.sum() > 0 else weight / weight.sum()
+    at = [int(rng.choice(len(x), p=share(weight)))]
     far = ((x - x[at[0]]) ** 2).sum(1)
     while len(at) < k:
-        at.append(int(rng.choice(len(x), p=far / far.sum())) if far.sum() > 0 else int(rng.integers(len(x))))
+        at.append(int(rng.choice(len(x), p=share(weight * far))))
         far = np.minimum(far, ((x - x[at[-1]]) ** 2).sum(1))
     return x[at]
 
 
-def fitted(rows: DataFrame, models: list[Model], still: dict[int, float]) -> list[Model]:
-    """All models after as many passes as each takes to stand."""
-    live, spark = {*range(len(models))}, rows.sparkSession
-    for _ in range(MOST_PASSES):
-        shared = spark.sparkContext.broadcast({i: models[i] for i in live})
+def drawn(rows: DataFrame, bases: list[Model], size: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each base (a sector and its PCA) rows that stand for all rows of the sector, and how many each stands for.
+
+    Each pass draws `size` rows, with chances as their squared distance to the nearest one drawn so far (in the first pass alike). Chances
+    are drawn by keys, u ** (1 / w), whose greatest are taken, so partitions need to know nothing of each other.
+    """
+    spark = rows.sparkSession
+    pools: list[np.ndarray] = [np.empty((0, 0)) for _ in bases]
+    for turn in range(DRAWS):
+        shared = spark.sparkContext.broadcast((bases, pools))
+
+        def run(batches, shared=shared, turn=turn):
+            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for sector, b, tab, text in by_sector(batches):
+                for i, m in enumerate(shared.value[0]):
+                    if m.sector != sector:
+                        continue
+                    x = m.rows(tab, text)
+                    pool = shared.value[1][i]
+                    w = replace(m, centres=pool).assign(x)[1] if len(pool) else np.ones(len(x))
+                    w = np.where(w > 1e-12 * (1 + (x * x).sum(1)), w, 0)  # what is drawn already isn't drawn again
+                    hashed = pd.util.hash_array(b["spot_id"].to_numpy().astype(np.uint64) ^ np.uint64((seed * 1_000_003 + turn * 1009 + i) % (1 << 62)))
+                    u = (hashed >> np.uint64(11)).astype(float) / (1 << 53)
+                    with np.errstate(divide="ignore"):
+                        keys = np.where(w > 0, np.log(np.maximum(u, 1e-300)) / w, -np.inf)
+                    have = held.get(i, (np.empty(0), np.empty((0, x.shape[1]))))
+                    keys, x = np.append(have[0], keys), np.vstack([have[1], x])
+                    best = np.argsort(-keys, kind="stable")[:size]
+                    best = best[np.isfinite(keys[best])]
+                    held[i] = keys[best], x[best]
+            for i, (keys, x) in held.items():
+                if len(keys):
+                    yield pd.DataFrame({"pool": i, "key": keys, "x": list(x)})
+
+        best = Window.partitionBy("pool").orderBy(F.col("key").desc())
+        told = rows.mapInPandas(run, "pool int, key double, x array<double>").withColumn("n", F.row_number().over(best)).where(F.col("n") <= size).orderBy("pool", "n")
+        new: dict[int, list] = {}
+        for r in told.collect():  # `size` rows for each base
+            new.setdefault(r["pool"], []).append(r["x"])
+        for i, x in new.items():
+            x = np.unique(np.array(x), axis=0)
+            pools[i] = np.vstack([pools[i], x]) if len(pools[i]) else x
+        shared.destroy()
+    shared = spark.sparkContext.broadcast((bases, pools))
+
+    def count(batches):
+        held: dict[int, np.ndarray] = {}
+        for sector, _, tab, text in by_sector(batches):
+            for i, m in enumerate(shared.value[0]):
+                if m.sector == sector:
+                    pool = shared.value[1][i]
+                    held[i] = held.get(i, np.zeros(len(pool))) + np.bincount(replace(m, centres=pool).assign(m.rows(tab, text))[0], minlength=len(pool))
+        yield pd.DataFrame([(i, x.tobytes()) for i, x in held.items()], columns=["pool", "n"])
+
+    counts = {r["pool"]: np.frombuffer(r["n"]) for r in added_up(rows.mapInPandas(count, "pool int, n binary"), "pool", ["n"])}
+    return [(pools[i], counts[i]) for i in range(len(bases))]
+
+
+def fitted(rows: DataFrame, models: list[Model], still: dict[int, float]) -> tuple[list[Model], int, bool]:
+    """All models after as many passes as each takes to stand; the passes; whether all of them stand."""
+    live, spark, passes = {*range(len(models))}, rows.sparkSession, 0
+    while live and passes < MOST_PASSES:
+        passes += 1
+        by_space: dict[tuple[int, float], list[int]] = {}
+        for i in sorted(live):
+            by_space.setdefault((models[i].sector, models[i].variance), []).append(i)
+        # All centres of a space as one matrix: two products assign and add up for all its models.
+        spaces = [(replace(models[of[0]], centres=np.vstack([models[i].centres for i in of])), of, [len(models[i].centres) for i in of]) for of in by_space.values()]
+        shared = spark.sparkContext.broadcast(spaces)
 
         def run(batches, shared=shared):
             held: dict[int, list] = {}
             for sector, _, tab, text in by_sector(batches):
-                spaces: dict[float, np.ndarray] = {}
-                for i, m in shared.value.items():
-                    if m.sector == sector:
-                        if m.variance not in spaces:
-                            spaces[m.variance] = m.rows(tab, text)
-                        x = spaces[m.variance]
-                        at, far = m.assign(x)
-                        mine = np.eye(len(m.centres))[at]
-                        one = [mine.T @ x, mine.sum(0), np.array([far.sum()])]
-                        held[i] = one if i not in held else [a + b for a, b in zip(held[i], one, strict=True)]
-            yield pd.DataFrame([(i, *(v.tobytes() for v in x)) for i, x in held.items()], columns=["model", "total", "n", "cost"])
+                for at, (m, _, sizes) in enumerate(shared.value):
+                    if m.sector != sector:
+                        continue
+                    x = m.rows(tab, text)
+                    square = (x * x).sum(1)
+                    far = square[:, None] + (m.centres * m.centres).sum(1)[None] - 2 * x @ m.centres.T
+                    mine, costs, lo = np.zeros(far.shape), [], 0
+                    for k in sizes:
+                        best = far[:, lo : lo + k].argmin(1) + lo
+                        mine[np.arange(len(x)), best] = 1
+                        costs.append(np.maximum(far[np.arange(len(x)), best], 0).sum())
+                        lo += k
+                    one = [mine.T @ x, mine.sum(0), np.array(costs)]
+                    held[at] = one if at not in held else [a + b for a, b in zip(held[at], one, strict=True)]
+            yield pd.DataFrame([(i, *(v.tobytes() for v in x)) for i, x in held.items()], columns=["space", "total", "n", "cost"])
 
         moved = set()
-        for r in added_up(rows.mapInPandas(run, "model int, total binary, n binary, cost binary"), "model", ["total", "n", "cost"]):
-            m, n = models[r["model"]], np.frombuffer(r["n"])
+        for r in added_up(rows.mapInPandas(run, "space int, total binary, n binary, cost binary"), "space", ["total", "n", "cost"]):
+            m, of, sizes = spaces[r["space"]]
+            n, costs = np.frombuffer(r["n"]), np.frombuffer(r["cost"])
             total = np.frombuffer(r["total"]).reshape(m.centres.shape)
-            centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], m.centres)
-            if ((centres - m.centres) ** 2).sum() > still[m.sector]:
-                moved.add(r["model"])
-            models[r["model"]] = replace(m, centres=centres, cost=float(np.frombuffer(r["cost"])[0]))
+            every = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], m.centres)
+            lo = 0
+            for i, k, cost in zip(of, sizes, costs, strict=True):
+                centres = every[lo : lo + k]
+                if ((centres - models[i].centres) ** 2).sum() > still[m.sector]:
+                    moved.add(i)
+                models[i] = replace(models[i], centres=centres, cost=float(cost))
+                lo += k
         shared.destroy()
         live = moved
-        if not live:
-            break
-    return models
+    return models, passes, not live
 
 
 def silhouettes(rows: DataFrame, models: list[Model]) -> list[float | None]:
@@ -226,25 +314,48 @@ def silhouettes(rows: DataFrame, models: list[Model]) -> list[float | None]:
     return out
 
 
-def searched(rows: DataFrame, variances: tuple[float, ...], ks: tuple[int, ...], restarts: int, seed: int, reduce: bool = True) -> dict[int, tuple[Model, float]]:
-    """Of each sector the model with the best silhouette (ties: the lower variance, then the smaller k) and that silhouette."""
+def deviations(rows: DataFrame) -> dict[int, float]:
+    """sector -> the mean variance of the components of tab vector and whole text."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for sector, _, tab, text in by_sector(batches):
+            y = np.hstack([tab, text])
+            one = [np.array([float(len(y))]), y.sum(0), (y * y).sum(0)]
+            held[sector] = one if sector not in held else [a + b for a, b in zip(held[sector], one, strict=True)]
+        yield pd.DataFrame([(s, *(x.tobytes() for x in v)) for s, v in held.items()], columns=["sector_id", "n", "total", "square"])
+
+    out = {}
+    for r in added_up(rows.mapInPandas(run, "sector_id int, n binary, total binary, square binary"), "sector_id", ["n", "total", "square"]):
+        n, total, square = (np.frombuffer(r[c]) for c in ("n", "total", "square"))
+        out[r["sector_id"]] = float(np.maximum(square / n - (total / n) ** 2, 0).mean())
+    return out
+
+
+@dataclass(frozen=True)
+class Search:
+    chosen: dict[int, tuple[Model, float]]  # sector -> model and its silhouette
+    passes: int  # over the candidates, to fit all models
+    finished: bool  # whether every model stood still
+
+
+def searched(rows: DataFrame, variances: tuple[float, ...], ks: tuple[int, ...], restarts: int, seed: int, reduce: bool = True, measure: str = "squared") -> Search:
+    """Of each sector the model with the best silhouette (ties: the lower variance, then the smaller k) and that silhouette.
+
+    measure: silhouettes by `squared` distance (two passes for all models) or `euclidean` (exact; n squared for each variance and k).
+    """
     found = moments(rows)
     if not found:
         raise ContractError("no row has a vector")
     sizes = {r["sector_id"]: r["n"] for r in rows.groupBy("sector_id").agg(F.count("*").alias("n")).collect()}
-    chance = F.element_at(F.create_map(*[F.lit(v) for s, n in sizes.items() for v in (s, min(1.0, FIRST_ROWS / n))]), F.col("sector_id"))
-    drawn = rows.where(F.pmod(F.xxhash64("spot_id"), F.lit(1 << 30)) < chance * (1 << 30)).orderBy("sector_id", "spot_id").toPandas()
-    models, still = [], {}
-    for sector, _, tab, text in by_sector([drawn]):
-        mean, covariance = found[sector]
-        still[sector] = STILL * float(np.hstack([tab, text]).var(0).mean())
-        for variance in variances:
-            base = Model(sector, variance, mean, axes_of(covariance, variance), np.empty((0, 0))) if reduce else Whole(sector, variance, np.empty(0), np.empty(0), np.empty((0, 0)))
-            x = base.rows(tab, text)
-            for k in ks:
-                for i in range(restarts) if k < sizes[sector] else ():
-                    models.append(replace(base, centres=first_centres(x, k, np.random.default_rng((seed, sector, k, i)))))
-    models = fitted(rows, models, still)
+    bases = [Model(sector, v, mean, axes_of(covariance, v), np.empty((0, 0))) if reduce else Whole(sector, v, np.empty(0), np.empty(0), np.empty((0, 0))) for sector, (mean, covariance) in sorted(found.items()) for v in variances]
+    still = {s: STILL * v for s, v in deviations(rows).items()}
+    models = []
+    for base, (x, weight) in zip(bases, drawn(rows, bases, OVERSAMPLED * max(ks), seed), strict=True):
+        for k in ks:
+            for i in range(restarts) if k < sizes[base.sector] else ():
+                models.append(replace(base, centres=first_centres(x, weight, k, np.random.default_rng((seed, base.sector, k, i)))))
+    models, passes, finished = fitted(rows, models, still)
     best: dict[tuple, Model] = {}
     for m in models:
         key = (m.sector, m.variance, len(m.centres))
@@ -252,12 +363,23 @@ def searched(rows: DataFrame, variances: tuple[float, ...], ks: tuple[int, ...],
             best[key] = m
     chosen: dict[int, tuple[Model, float]] = {}
     order = sorted(best)
-    for key, s in zip(order, silhouettes(rows, [best[k] for k in order]), strict=True):
+    judged = silhouettes(rows, [best[k] for k in order]) if measure == "squared" else [exact_silhouette(rows, best[k]) for k in order]
+    for key, s in zip(order, judged, strict=True):
         if s is not None and (key[0] not in chosen or s > chosen[key[0]][1]):
             chosen[key[0]] = best[key], s
     if missing := sorted({*sizes} - {*chosen}):
         raise ContractError(f"no k of {list(ks)} gives two clusters in {missing}")
-    return chosen
+    return Search(chosen, passes, finished)
+
+
+def exact_silhouette(rows: DataFrame, model: Model) -> float | None:
+    """The mean silhouette by Euclidean distance of a model's rows, in tab vector and whole text; null with less than two clusters."""
+    mine = rows.where(F.col("sector_id") == model.sector)
+    at = cut(labelled(mine, {model.sector: model}))
+    if at.agg(F.min("cluster_id") == F.max("cluster_id")).first()[0] is not False:
+        return None
+    whole = F.concat(F.coalesce("tab", F.array().cast("array<double>")), F.col("text"))
+    return silhouette_exact(mine.select("spot_id", whole.alias("y")).join(at, "spot_id"), "y").agg(F.avg("silhouette")).first()[0]
 
 
 @dataclass(frozen=True)
@@ -282,7 +404,7 @@ def labelled(rows: DataFrame, models: dict[int, Model]) -> DataFrame:
 def kmeans_grid(df: DataFrame, column: str, ks: tuple[int, ...] = KS, restarts: int = RESTARTS, seed: int = 0) -> tuple[DataFrame, float, int]:
     """spot_id, cluster_id of the k with the best silhouette (ties: the smaller k), that silhouette, and k."""
     rows = prepared(df, None, column, None)
-    model, s = searched(rows, (1.0,), ks, restarts, seed, reduce=False)[0]
+    model, s = searched(rows, (1.0,), ks, restarts, seed, reduce=False).chosen[0]
     return labelled(rows, {0: model}), s, len(model.centres)
 
 
@@ -305,6 +427,28 @@ class Clusters:
     clusters: DataFrame  # spot_id, cluster_id of every candidate
     scores: DataFrame  # sector_id, silhouette, n, variance, k
     models: dict[int, Model]
+    passes: int = 0  # over the candidates, to fit all models
+    finished: bool = True  # whether every model stood still
+
+
+MODEL_SCHEMA = "sector_id int, variance double, k int, cost double, mean array<double>, axes array<double>, centres array<double>"
+
+
+def model_table(spark: SparkSession, models: dict[int, Model]) -> DataFrame:
+    """A row for each sector's model: matrices row by row. What writes it keeps a run's models for later sessions."""
+    flat = lambda x: [float(v) for v in np.asarray(x).reshape(-1)]
+    return spark.createDataFrame([(s, float(m.variance), len(m.centres), float(m.cost), flat(m.mean), flat(m.axes), flat(m.centres)) for s, m in sorted(models.items())], MODEL_SCHEMA)
+
+
+def models_of(table: DataFrame) -> dict[int, Model]:
+    """sector -> model of a model_table(), which has few rows."""
+    out = {}
+    for r in table.collect():
+        if r["sector_id"] in out:
+            raise ContractError(f"sector {r['sector_id']} has several models")
+        mean, centres = np.array(r["mean"]), np.array(r["centres"]).reshape(r["k"], -1)
+        out[r["sector_id"]] = Model(r["sector_id"], r["variance"], mean, np.array(r["axes"]).reshape(len(mean), -1), centres, r["cost"])
+    return out
 
 
 def checked(candidates: DataFrame) -> dict[int, tuple[int, int]]:
@@ -313,37 +457,36 @@ def checked(candidates: DataFrame) -> dict[int, tuple[int, int]]:
     for r in candidates.groupBy("sector_id").agg(F.count("*").alias("n"), F.count("tab_vector").alias("tabs"), F.count("nlp_vector").alias("texts"), F.sum((F.col("tab_vector").isNull() & F.col("nlp_vector").isNull()).cast("long")).alias("bare")).orderBy("sector_id").collect():
         if 0 < r["tabs"] < r["n"]:
             raise ContractError(f"sector {r['sector_id']}: {r['n'] - r['tabs']} candidates without a tab vector")
+        if r["bare"]:
+            raise ContractError(f"sector {r['sector_id']}: {r['bare']} candidates have neither a tab vector nor text")
         if not r["texts"]:
             raise ContractError(f"sector {r['sector_id']}: no candidate has text to train on")
         out[r["sector_id"]] = r["n"], r["tabs"]
     return out
 
 
-def cluster_candidates(candidates: DataFrame, variances: tuple[float, ...] = VARIANCES, ks: tuple[int, ...] = KS, restarts: int = RESTARTS, seed: int = 0) -> Clusters:
+def cluster_candidates(candidates: DataFrame, variances: tuple[float, ...] = VARIANCES, ks: tuple[int, ...] = KS, restarts: int = RESTARTS, seed: int = 0, measure: str = "squared") -> Clusters:
     """The grid of variances and k in each sector, judged in tab vector and whole text, for k and variance alike.
 
-    Only rows with text train. Rows without text take the nearest centre by the tab vector; those with
-    neither stay without a cluster.
+    Only rows with text train. Rows without text take the nearest centre by the tab vector; checked() refuses those with
+    neither.
     """
     counts = checked(candidates)
     rows = prepared(candidates, "tab_vector", "nlp_vector")
-    chosen = searched(rows, variances, ks, restarts, seed)
-    models = {s: m for s, (m, _) in chosen.items()}
+    search = searched(rows, variances, ks, restarts, seed, measure=measure)
+    models = {s: m for s, (m, _) in search.chosen.items()}
     bare = candidates.where("nlp_vector is null")
 
     def near(batches):
         for b in batches:
             for sector, part in b.groupby("sector_id"):
                 tab = matrix(part["tab"], len(part))
-                at = pd.array([None] * len(part), "Int32")
-                if tab.shape[1]:
-                    centres = models[int(sector)].centres[:, : tab.shape[1]]
-                    at = pd.array(((tab[:, None] - centres[None]) ** 2).sum(2).argmin(1), "Int32")
-                yield pd.DataFrame({"spot_id": part["spot_id"], "cluster_id": at})
+                centres = models[int(sector)].centres[:, : tab.shape[1]]
+                yield pd.DataFrame({"spot_id": part["spot_id"], "cluster_id": ((tab[:, None] - centres[None]) ** 2).sum(2).argmin(1).astype(np.int32)})
 
     others = bare.select("spot_id", F.col("sector_id").cast("int").alias("sector_id"), F.col("tab_vector").cast("array<double>").alias("tab")).mapInPandas(near, "spot_id long, cluster_id int")
-    scores = [(s, sil, counts[s][0], m.variance, len(m.centres)) for s, (m, sil) in chosen.items()]
-    return Clusters(labelled(rows, models).unionByName(others), candidates.sparkSession.createDataFrame(scores, "sector_id int, silhouette double, n long, variance double, k int"), models)
+    scores = [(s, sil, counts[s][0], m.variance, len(m.centres)) for s, (m, sil) in search.chosen.items()]
+    return Clusters(labelled(rows, models).unionByName(others), candidates.sparkSession.createDataFrame(scores, "sector_id int, silhouette double, n long, variance double, k int"), models, search.passes, search.finished)
 
 
 def score_models(candidates: DataFrame, models: dict[int, Model]) -> DataFrame:
@@ -365,7 +508,7 @@ def silhouette_exact(df: DataFrame, column: str, block: int = BLOCK) -> DataFram
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("spot_id"), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = dealt.select("*", F.explode(every).alias("other"))
-    right = dealt.select("spot_id", "cluster_id", "v", F.col("block").alias("other"), F.explode(every).alias("block"))
+    right = dealt.select(*[F.col(c).alias(c) for c in ("spot_id", "cluster_id", "v")], F.col("block").alias("other"), F.explode(every).alias("block"))
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

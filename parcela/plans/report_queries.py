@@ -10,6 +10,8 @@ from parcela.contract import NULL_RATES
 from parcela.plans.listing_queries import ANSWERS, MISMATCH, STATE, folder, grouped, hav, nearest_sql
 from parcela.plans.listing_queries import P
 from parcela.plans.registry import also_named, query, rounded
+from parcela.session import new_folder
+from parcela.sources import tables
 from parcela.streaming import requests
 
 N = "CAST({0} AS BIGINT)"
@@ -348,7 +350,8 @@ def kmeans_grid(d):
 
 
 def sector_candidates(d):
-    return d.features_sv.where("is_candidate")
+    """All candidates; land, which has no tab vector, has text throughout."""
+    return d.grouped_sv
 
 
 @query()
@@ -378,10 +381,11 @@ def silhouette_exact(d):
 
 @query()
 def score_models(d):
-    """A plain earlier run's models, scored on all candidates."""
-    rows = sector_candidates(d)
+    """A plain earlier run's models, written, read again and scored on all candidates."""
+    rows, root = sector_candidates(d), new_folder(d.spark)
     earlier = cluster.cluster_candidates(rows, variances=(0.8,), ks=(4,), restarts=1).models
-    return rounded(cluster.score_models(rows, earlier), "silhouette")
+    tables.write_run(cluster.model_table(d.spark, earlier), root, "earlier", "models")
+    return rounded(cluster.score_models(rows, cluster.models_of(d.spark.read.parquet(f"{root}/runs/earlier/models"))), "silhouette")
 
 
 SECTOR_SCORES = "t AS (SELECT sector_id, avg(CAST(spot_id % 10 AS DOUBLE)) / 10e0 AS silhouette, count(*) AS n FROM {candidates_sv} WHERE is_candidate GROUP BY 1)"

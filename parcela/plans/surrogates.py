@@ -94,6 +94,9 @@ UNION ALL
 SELECT spot_id + 1000000000, sector_id, intention, latitude + 0.004e0, longitude, area_sqm * 1.04e0, CASE WHEN spot_id % 2 = 0 THEN user_id END, price FROM {blocks_sv} WHERE spot_id % 9 < 2
 UNION ALL
 SELECT spot_id + 2000000000, sector_id, intention, latitude + 0.005e0, longitude, area_sqm * 1.05e0, CASE WHEN spot_id % 2 = 0 THEN user_id END, price FROM {blocks_sv} WHERE spot_id % 9 = 0""",
+    "grouped_sv": """
+SELECT f.spot_id, f.sector_id, f.tab_vector, CASE WHEN f.sector_id = 15 AND f.nlp_vector IS NULL THEN v.nlp_vector ELSE f.nlp_vector END AS nlp_vector
+FROM {features_sv} f JOIN {vectors_sv} v ON v.spot_id = f.spot_id % 500 WHERE f.is_candidate""",
     "candidates_sv": "SELECT *, type_id <> 2 AS is_candidate FROM {spots_sv}",
 }
 
