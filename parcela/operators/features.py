@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from parcela.contract import FEATURES, ContractError
 from parcela.functions.scoring import modality_mask
 from parcela.operators.prep import encoder_text
+from parcela.session import cut
+from parcela.sources import versions
 
 # Fixed values of the vectors, in their order. Per sector: columns taken as log(1 + x), columns taken as they are, and binary blocks.
 TAB_COLUMNS = {
@@ -85,8 +87,11 @@ def hashing_encoder(size: int = 768) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
-def encode_text(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_encoder, column: str = "encoder_text") -> DataFrame:
-    """spot_id, nlp_vector (length 1) of rows with a description. Equal texts are encoded once; the encoder is made once per task."""
+def encode_text(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_encoder, column: str = "encoder_text", store: str | None = None) -> DataFrame:
+    """spot_id, nlp_vector (length 1) of rows with a description. Equal texts are encoded once; the encoder is made once per task.
+
+    store: a folder, one for each encoder, that keeps vectors by the hash of their text from run to run; then only texts that it lacks are encoded.
+    """
     rows = df.where(F.col("has_description") & F.col(column).isNotNull()).select("spot_id", F.md5(column).alias("key"), F.col(column).alias("t"))
 
     def run(batches):
@@ -98,8 +103,18 @@ def encode_text(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]],
 
     # One of equal texts is encoded; texts are joined back by their 128-bit hash.
     texts = rows.groupBy("key").agg(F.min("t").alias("t"))
-    vectors = texts.mapInPandas(run, "key string, nlp_vector array<float>, zero boolean").where("not zero").drop("zero")
-    return rows.select("spot_id", "key").join(vectors, "key").select("spot_id", "nlp_vector")
+    encoded = lambda some: some.mapInPandas(run, "key string, nlp_vector array<float>, zero boolean").select("key", F.when(~F.col("zero"), F.col("nlp_vector")).alias("nlp_vector"))
+    if store is None:
+        vectors = encoded(texts)
+    else:
+        spark = df.sparkSession
+        if versions.versions(spark, store):
+            texts = texts.join(versions.read(spark, store).select("key"), "key", "left_anti")
+        new = cut(encoded(texts))
+        if not new.isEmpty():
+            versions.upsert(new, store, "key")
+        vectors = versions.read(spark, store) if versions.versions(spark, store) else new
+    return rows.select("spot_id", "key").join(vectors.where("nlp_vector is not null"), "key").select("spot_id", "nlp_vector")
 
 
 def assemble(gold: DataFrame, tab: DataFrame, nlp: DataFrame) -> DataFrame:
@@ -113,8 +128,8 @@ def assign_clusters(features: DataFrame, clusters: DataFrame) -> DataFrame:
     return features.drop("cluster_id").join(clusters.select("spot_id", "cluster_id"), "spot_id", "left").select(*features.columns)
 
 
-def features(gold: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_encoder) -> DataFrame:
-    """The feature table of gold rows."""
+def features(gold: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_encoder, store: str | None = None) -> DataFrame:
+    """The feature table of gold rows. store: see encode_text()."""
     rows = tab_vectors(gold).withColumn("modality_mask", modality_mask(F.col("modality")))
-    out = rows.join(encode_text(encoder_text(gold), make_encoder), "spot_id", "left").withColumn("cluster_id", F.lit(None).cast("int"))
+    out = rows.join(encode_text(encoder_text(gold), make_encoder, store=store), "spot_id", "left").withColumn("cluster_id", F.lit(None).cast("int"))
     return out.select(*FEATURES.fieldNames())

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcela.functions.quantiles import quantiles
+from parcela.session import cut
+
 
 def gain(grade: Column) -> Column:
     return F.pow(F.lit(2.0), grade) - 1
@@ -72,11 +75,55 @@ def production_ratio(weekly: DataFrame, training: DataFrame, alarm_below: float
     return met.select("run_id", (F.col("ndcg") / F.nullif("trained", F.lit(0.0))).alias("ratio")).withColumn("alarm", F.coalesce(F.col("ratio") < alarm_below, F.lit(False)))
 
 
-def request_metrics(log: DataFrame, minutes: int = 5, most_5xx_pct: float = 1.0, most_ms: float = 1000.0) -> DataFrame:
-    """Of tumbling windows: requests, 5xx, their share, p95 latency of recommendations, and whether each is too high."""
-    served = F.when(F.col("path").startswith("/recommendations"), F.col("latency_ms"))
-    out = log.groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("requests"), F.sum((F.col("status") >= 500).cast("long")).alias("errors"), F.percentile(served, 0.95).alias("p95_ms"))
-    return out.select(F.col("w.start").alias("window_start"), "requests", "errors", (100.0 * F.col("errors") / F.col("requests")).alias("error_pct"), "p95_ms").withColumn("alarm", (F.col("error_pct") > most_5xx_pct) | F.coalesce(F.col("p95_ms") > most_ms, F.lit(False)))
+#: What a run's week is told by, in the order of its file.
+WEEK = ("run_id", "week_start", "week_end", "clicks", "clicks_in_benchmark", "spots_in_benchmark", "coverage", "recall_at_10", "ndcg_at_10", "benchmark_recall_at_10", "benchmark_ndcg_at_10")
+
+
+def weekly_report(scores: DataFrame, trained: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The columns of WEEK: weekly_scores() of the days from start up to before end, and beside them the means that training measured.
+
+    trained: run_id, recall, ndcg of a run; null where a run has none.
+    """
+    of_run = trained.select("run_id", F.col("recall").alias("benchmark_recall_at_10"), F.col("ndcg").alias("benchmark_ndcg_at_10"))
+    named = scores.withColumnsRenamed({"spots_scored": "spots_in_benchmark", "recall": "recall_at_10", "ndcg": "ndcg_at_10"})
+    return named.join(of_run, "run_id", "left").withColumn("week_start", start).withColumn("week_end", end).select(*WEEK)
+
+
+# Fixed values of the alarms: percent of 5xx, milliseconds, and of which requests the latency counts.
+MOST_5XX_PCT, MOST_MS, TIMED = 1.0, 1000.0, "/recommendations/"
+
+
+def timed() -> Column:
+    """The latency of a recommendation; null for other requests."""
+    return F.when(F.col("path").startswith(TIMED), F.col("latency_ms"))
+
+
+def three_digits(x: Column) -> Column:
+    """To three significant digits: at most 900 values for each power of ten, so counts of values stay few whatever the traffic."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 2)
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x / unit) * unit)
+
+
+def alarms(told: DataFrame, before: Column, most_5xx_pct: float = MOST_5XX_PCT, most_ms: float = MOST_MS) -> DataFrame:
+    """Adds error_pct, whether it is too high, whether p95_ms is so in this window and the one before (a gap isn't), and whether either is."""
+    late = (F.col("p95_ms") > most_ms) & (before > most_ms)
+    out = told.withColumn("error_pct", 100.0 * F.col("errors") / F.col("requests"))
+    out = out.withColumn("error_alarm", F.col("error_pct") > most_5xx_pct).withColumn("latency_alarm", F.coalesce(late, F.lit(False)))
+    return out.select("window_start", "requests", "errors", "error_pct", "p95_ms", "error_alarm", "latency_alarm", (F.col("error_alarm") | F.col("latency_alarm")).alias("alarm"))
+
+
+def request_metrics(log: DataFrame, minutes: int = 5, rounded: bool = False, most_5xx_pct: float = MOST_5XX_PCT, most_ms: float = MOST_MS) -> DataFrame:
+    """Of tumbling windows with requests: requests, 5xx, their share, p95 latency of recommendations, and alarms().
+
+    The p95 is exact, or that of latencies to three_digits(), as the stream has it. No buffer holds a window's latencies.
+    """
+    rows = log.where("event = 'request'").withColumn("window_start", F.window("ts", f"{minutes} minutes")["start"])
+    counts = rows.groupBy("window_start").agg(F.count("*").alias("requests"), F.sum((F.col("status") >= 500).cast("long")).alias("errors"))
+    latency = three_digits(timed()) if rounded else timed()
+    p95 = cut(quantiles(rows.select("window_start", latency.alias("ms")), ["window_start"], "ms", (0.95,)).select("window_start", F.col("q")[0].alias("p95_ms")))
+    # Each window's p95 is also told to the next one, so no window of all windows is needed.
+    earlier = p95.select((F.col("window_start") + F.expr(f"interval {minutes} minutes")).alias("window_start"), F.col("p95_ms").alias("before"))
+    return alarms(counts.join(p95, "window_start", "left").join(earlier, "window_start", "left"), F.col("before"), most_5xx_pct, most_ms)
 
 
 def log_faults(log: DataFrame) -> DataFrame:

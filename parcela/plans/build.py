@@ -42,8 +42,8 @@ def bronze(spots_raw: DataFrame, attributes_raw: DataFrame, baseline: DataFrame)
     return good, bad, warnings
 
 
-def layers(spots_raw: DataFrame, attributes_raw: DataFrame, catalog: DataFrame, baseline: DataFrame | None = None, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] = features.hashing_encoder) -> Layers:
-    """Every layer, written to the checkpoint folder and checked against its contract before the next one is made."""
+def layers(spots_raw: DataFrame, attributes_raw: DataFrame, catalog: DataFrame, baseline: DataFrame | None = None, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] = features.hashing_encoder, store: str | None = None) -> Layers:
+    """Every layer, written to the checkpoint folder and checked against its contract before the next one is made. store: see features.encode_text()."""
     good, bad, warnings = bronze(spots_raw, attributes_raw, ingest.null_baseline(spots_raw.sparkSession) if baseline is None else baseline)
     ingest.check_schema(good, contract.BRONZE)
     rows = good.count()
@@ -56,7 +56,7 @@ def layers(spots_raw: DataFrame, attributes_raw: DataFrame, catalog: DataFrame,
     if gold_rows != rows:
         raise contract.ContractError(f"gold has {gold_rows} rows, silver {rows}")
     warnings += [f"{r.column_name}: {r.n} values off their domain" for r in prep.domain_nulls(silver).where("n > 0").collect()]
-    table = cut(features.features(gold, make_encoder))
+    table = cut(features.features(gold, make_encoder, store))
     ingest.check_schema(table, contract.FEATURES)
     warnings += gate.check_features(table, gold_rows, described)
     unknown = prep.unknown_codes(gold).count()

@@ -11,7 +11,7 @@ from parcela.operators import cascade, clean, features, gate, ingest, metrics, p
 from parcela.plans import build
 from parcela.plans.registry import query, rounded
 from parcela.session import new_folder
-from parcela.sources import tables
+from parcela.sources import tables, versions
 
 P = scoring.Params()
 
@@ -74,24 +74,34 @@ def sink_quarantine(d):
     return d.spark.read.parquet(tables.write_run(bad.select("spot_id", "reason"), folder(d), "r1", "quarantine"))
 
 
-@query("SELECT spot_id, sector_id, is_candidate, cluster_id FROM {features_sv}")
+@query("SELECT spot_id, sector_id, is_candidate, CASE WHEN v = 2 THEN cluster_id END AS cluster_id, v AS version FROM {features_sv} CROSS JOIN (VALUES (1), (2)) AS g(v)")
 def sink_feature_table(d):
-    return d.spark.read.parquet(tables.write_feature_table(d.features_sv, folder(d), "r1", d.features_sv.schema)).select("spot_id", "sector_id", "is_candidate", "cluster_id")
+    """Two versions; the first is read after the second has been written."""
+    root, schema = folder(d), d.features_sv.schema
+    old = tables.write_feature_table(d.features_sv.withColumn("cluster_id", F.lit(None).cast("int")), root, schema)
+    new = tables.write_feature_table(d.features_sv, root, schema, since=old)
+    read = lambda v: versions.read(d.spark, f"{root}/features", v).select("spot_id", "sector_id", "is_candidate", "cluster_id", F.lit(v).alias("version"))
+    return read(old).unionByName(read(new))
 
 
 @query("SELECT spot_id, modality_mask FROM {features_sv}")
 def sink_snapshot(d):
-    root = folder(d)
-    first = d.spark.read.parquet(tables.write_run(d.features_sv, root, "r1", "features"))
-    return d.spark.read.parquet(tables.write_run(first, root, "r1", "snapshot")).select("spot_id", "modality_mask")
+    """A copy of the first of two versions."""
+    root, schema = folder(d), d.features_sv.schema
+    first = tables.write_feature_table(d.features_sv, root, schema)
+    tables.write_feature_table(d.features_sv.withColumn("modality_mask", F.lit(0)), root, schema)
+    tables.snapshot(d.spark, root, "r1", first)
+    return d.spark.read.parquet(f"{root}/runs/r1/snapshot").select("spot_id", "modality_mask")
 
 
 @query("SELECT '[' || CAST(spot_id AS STRING) || ']' AS key, CASE WHEN spot_id % 2 = 0 THEN cluster_id ELSE -1 END AS cluster_id FROM {features_sv}")
 def sink_publish_online(d):
-    f = d.features_sv.select("spot_id", "cluster_id")
-    old = tables.published(d.spark.createDataFrame([], "key string, cluster_id int"), f.withColumn("cluster_id", F.lit(-1)))
-    once = tables.published(old, f.where("spot_id % 2 = 0"))
-    return tables.published(once, f.where("spot_id % 2 = 0"))
+    """All rows are published, then half of them anew, twice; what is read back."""
+    root, f = folder(d), d.features_sv.select("spot_id", "cluster_id")
+    tables.publish(f.withColumn("cluster_id", F.lit(-1)), root)
+    for _ in range(2):
+        tables.publish(f.where("spot_id % 2 = 0"), root)
+    return tables.online(d.spark, root)
 
 
 @query("SELECT spot_id, CAST(count(*) AS BIGINT) AS n FROM {judgments_sv} GROUP BY spot_id")
@@ -362,8 +372,9 @@ def assign_cluster_id(d):
 def online_offline_parity(d):
     f = d.features_sv.select("spot_id", "cluster_id", "nlp_vector")
     spoilt = f.where("spot_id % 50 <> 0").withColumn("cluster_id", F.when(F.col("spot_id") % 50 != 1, F.col("cluster_id"))).withColumn("nlp_vector", F.when(F.col("spot_id") % 50 != 2, F.col("nlp_vector")))
-    empty = spoilt.select(F.lit("").alias("key"), "cluster_id", "nlp_vector").limit(0)
-    return gate.parity(f, tables.published(empty, spoilt))
+    root = folder(d)
+    tables.publish(spoilt, root)
+    return gate.parity(f, tables.online(d.spark, root))
 
 
 @query("SELECT 'r0' AS run_id, spot_id FROM {features_sv} WHERE spot_id % 30 = 7")

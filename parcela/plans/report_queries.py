@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from parcela.functions import vectors
 from parcela.operators import audit, clean, cluster, features, gate, ingest, metrics, prep
+from parcela import contract
 from parcela.contract import NULL_RATES
+from parcela.plans import runs
 from parcela.plans.listing_queries import ANSWERS, MISMATCH, STATE, folder, grouped, hav, nearest_sql
 from parcela.plans.listing_queries import P
 from parcela.plans.registry import also_named, query, rounded
 from parcela.session import new_folder
-from parcela.sources import tables
+from parcela.sources import tables, versions
 from parcela.streaming import requests
 
 N = "CAST({0} AS BIGINT)"
@@ -334,8 +336,10 @@ def cluster_spread(d):
 @query()
 def encode_text(d):
     both = prep.clean_text(d.spot_text_sv).join(d.spots_sv.select("spot_id", "sector_id"), "spot_id")
-    v = features.encode_text(prep.encoder_text(both))
-    return v.select("spot_id", F.size("nlp_vector").alias("size"))
+    v = features.encode_text(prep.encoder_text(both), store=f"{new_folder(d.spark)}/vectors/hashing")
+    # A number that hangs on each component and its place tells one vector from another.
+    told = F.aggregate(F.transform("nlp_vector", lambda x, i: F.round(x.cast("double"), 5) * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return v.select("spot_id", F.size("nlp_vector").alias("size"), F.round(told, 3).alias("told"))
 
 
 @query()
@@ -423,9 +427,11 @@ WEEKLY = ANSWERS + """, cg AS (SELECT run_id, spot_id, n, spot_ids, count(*) AS
 wk AS (SELECT cg.run_id, sum(clicks) AS clicks, coalesce(sum(CASE WHEN recall IS NOT NULL THEN clicks END), 0) AS scored, count(DISTINCT CASE WHEN recall IS NOT NULL THEN cg.spot_id END) AS spots, sum(recall * clicks) AS r, sum(ndcg * clicks) AS g FROM cg LEFT JOIN gs ON gs.run_id = cg.run_id AND gs.spot_id = cg.spot_id AND gs.n = cg.n AND gs.spot_ids = cg.spot_ids GROUP BY 1)"""
 
 
-@query(f"WITH {WEEKLY} SELECT run_id, CAST(clicks AS BIGINT) AS clicks, CAST(scored AS BIGINT) AS clicks_in_benchmark, CAST(spots AS BIGINT) AS spots_scored, round(scored / clicks, 6) AS coverage, round(r / scored, 6) AS recall, round(g / scored, 6) AS ndcg FROM wk")
+@query(f"WITH {WEEKLY} SELECT run_id, '2024-01-01' AS week_start, '2024-01-08' AS week_end, CAST(clicks AS BIGINT) AS clicks, CAST(scored AS BIGINT) AS clicks_in_benchmark, CAST(spots AS BIGINT) AS spots_in_benchmark, round(scored / clicks, 6) AS coverage, round(r / scored, 6) AS recall_at_10, round(g / scored, 6) AS ndcg_at_10, CASE WHEN run_id <> 'r2' THEN 0.7e0 END AS benchmark_recall_at_10, CASE WHEN run_id <> 'r2' THEN 0.8e0 END AS benchmark_ndcg_at_10 FROM wk")
 def weekly_scores(d):
-    return rounded(metrics.weekly_scores(grouped(d), d.judgments_sv), "coverage", "recall", "ndcg")
+    trained = d.spark.range(2).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("run_id"), F.lit(0.7).alias("recall"), F.lit(0.8).alias("ndcg"))
+    out = metrics.weekly_report(metrics.weekly_scores(grouped(d), d.judgments_sv), trained, F.lit("2024-01-01"), F.lit("2024-01-08"))
+    return rounded(out, "coverage", "recall_at_10", "ndcg_at_10")
 
 
 @query("SELECT run_id, CAST(count(*) AS BIGINT) AS requests FROM {request_log_sv} WHERE ts >= TIMESTAMP '2024-01-14' AND ts < TIMESTAMP '2024-01-21' GROUP BY 1")
@@ -440,7 +446,13 @@ def production_ratio(d):
     return rounded(metrics.production_ratio(metrics.weekly_scores(grouped(d), d.judgments_sv), trained), "ratio")
 
 
-@query("SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M') AS window_start, CAST(count(*) AS BIGINT) AS requests, CAST(count(*) FILTER (status >= 500) AS BIGINT) AS errors, round(100e0 * count(*) FILTER (status >= 500) / count(*), 4) AS error_pct, round(quantile_cont(latency_ms, 0.95) FILTER (starts_with(path, '/recommendations')), 4) AS p95_ms, 100e0 * count(*) FILTER (status >= 500) / count(*) > 1 OR coalesce(quantile_cont(latency_ms, 0.95) FILTER (starts_with(path, '/recommendations')) > 1000, false) AS alarm FROM {request_log_sv} GROUP BY time_bucket(INTERVAL 5 MINUTE, ts)")
+# The p95 of a window counts only the latencies of /recommendations/; its alarm needs the window before as well, and a gap isn't too slow.
+WINDOWS = """ws AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS w, count(*) AS requests, count(*) FILTER (status >= 500) AS errors, quantile_cont(latency_ms, 0.95) FILTER (starts_with(path, '/recommendations/')) AS p95
+  FROM {request_log_sv} WHERE event = 'request' GROUP BY 1),
+al AS (SELECT ws.*, 100e0 * ws.errors / ws.requests AS pct, coalesce(ws.p95 > 1000 AND b.p95 > 1000, false) AS late FROM ws LEFT JOIN ws b ON b.w = ws.w - INTERVAL 5 MINUTE)"""
+
+
+@query(f"WITH {WINDOWS} SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, CAST(requests AS BIGINT) AS requests, CAST(errors AS BIGINT) AS errors, round(pct, 4) AS error_pct, round(p95, 4) AS p95_ms, pct > 1 AS error_alarm, late AS latency_alarm, pct > 1 OR late AS alarm FROM al")
 def request_metrics_5m(d):
     out = metrics.request_metrics(d.request_log_sv)
     return rounded(out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm")), "error_pct", "p95_ms", digits=4)
@@ -460,7 +472,7 @@ def streamed(d, frame, schema, out):
 def stream_request_metrics(d):
     log = d.request_log_sv.withColumn("ts", F.col("ts").cast("timestamp"))
     start = lambda s, root: requests.stream_request_metrics(s).writeStream.outputMode("append").option("checkpointLocation", f"{root}/ck").format("parquet").option("path", f"{root}/out").trigger(availableNow=True).start()
-    return d.spark.read.parquet(f"{streamed(d, log, log.schema, start)}/out").select("window_start", "requests", "errors")
+    return d.spark.read.parquet(f"{streamed(d, log, log.schema, start)}/out")
 
 
 @query()
@@ -468,7 +480,47 @@ def stream_weekly_clicks(d):
     log = d.request_log_sv.withColumn("ts", F.col("ts").cast("timestamp"))
     judged = d.judgments_sv
     start = lambda s, root: requests.write_weekly_scores(requests.stream_weekly_clicks(s), judged, f"{root}/out", f"{root}/ck").trigger(availableNow=True).start()
-    return d.spark.read.parquet(f"{streamed(d, log, log.schema, start)}/out").select("run_id", "clicks", "clicks_in_benchmark")
+    return d.spark.read.parquet(f"{streamed(d, log, log.schema, start)}/out").drop("batch")
+
+
+# Whole runs ----------------------------------------------------------------------------------------------------------
+
+
+def served(d, root, run_id="r1"):
+    """A version of the feature table, trained and brought into service."""
+    table = d.served_sv.withColumn("cluster_id", F.lit(None).cast("int")).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in contract.FEATURES])
+    tables.write_feature_table(table, root, contract.FEATURES)
+    trained = runs.train(d.spark, root, run_id, d.judgments_sv, variances=(0.8,), ks=(4, 5), restarts=2)
+    return trained, runs.materialise(d.spark, root, run_id)
+
+
+@query("SELECT CAST(sector_id AS INT) AS sector_id, CAST(count(*) AS BIGINT) AS published, CAST(count(*) FILTER (is_candidate) AS BIGINT) AS clustered, CAST(count(nlp_vector) AS BIGINT) AS with_text, CAST(0 AS BIGINT) AS mismatches, true AS promoted, CAST(1 AS BIGINT) AS features_version, CAST(1 AS BIGINT) AS online_version FROM {served_sv} GROUP BY 1")
+def training_run(d):
+    """Features to clusters, gate, snapshot, published rows and parity; what is read back from the published table."""
+    root = folder(d)
+    _, done = served(d, root)
+    rows, online = versions.read(d.spark, f"{root}/features"), tables.online(d.spark, f"{root}/runs/r1")
+    differ = gate.parity(rows, online).join(rows.select("spot_id", "sector_id"), "spot_id").groupBy("sector_id").agg(F.count("*").alias("mismatches"))
+    out = online.groupBy("sector_id").agg(F.count("*").alias("published"), F.count("cluster_id").alias("clustered"), F.count("nlp_vector").alias("with_text")).join(differ, "sector_id", "left")
+    return out.select("sector_id", "published", "clustered", "with_text", F.coalesce("mismatches", F.lit(0)).cast("long").alias("mismatches"), F.lit(done.promoted).alias("promoted"), F.lit(done.source - 1).cast("long").alias("features_version"), F.lit(done.online).cast("long").alias("online_version"))
+
+
+WEEK_ANSWERS = ANSWERS.replace("status = 200)", "status = 200 AND ts >= TIMESTAMP '2024-01-07' AND ts < TIMESTAMP '2024-01-14')", 1)
+WEEK_OF = WEEK_ANSWERS + """, cg AS (SELECT run_id, spot_id, n, spot_ids, count(*) AS clicks FROM {request_log_sv} WHERE status = 200 AND ts >= TIMESTAMP '2024-01-07' AND ts < TIMESTAMP '2024-01-14' GROUP BY ALL),
+wk AS (SELECT cg.run_id, sum(clicks) AS clicks, coalesce(sum(CASE WHEN recall IS NOT NULL THEN clicks END), 0) AS scored, count(DISTINCT CASE WHEN recall IS NOT NULL THEN cg.spot_id END) AS spots, sum(recall * clicks) AS r, sum(ndcg * clicks) AS g FROM cg LEFT JOIN gs ON gs.run_id = cg.run_id AND gs.spot_id = cg.spot_id AND gs.n = cg.n AND gs.spot_ids = cg.spot_ids GROUP BY 1)"""
+
+
+@query(f"WITH {WEEK_OF}, tr AS (SELECT avg(CAST(spot_id % 10 AS DOUBLE)) / 10e0 AS tr, avg(CAST(spot_id % 7 AS DOUBLE)) / 7e0 AS tg FROM {{spots_sv}}) SELECT run_id, '2024-01-07' AS week_start, '2024-01-14' AS week_end, CAST(clicks AS BIGINT) AS clicks, CAST(scored AS BIGINT) AS clicks_in_benchmark, CAST(spots AS BIGINT) AS spots_in_benchmark, round(scored / clicks, 6) AS coverage, round(r / scored, 6) AS recall_at_10, round(g / scored, 6) AS ndcg_at_10, CASE WHEN run_id = 'r1' THEN round(tr, 6) END AS benchmark_recall_at_10, CASE WHEN run_id = 'r1' THEN round(tg, 6) END AS benchmark_ndcg_at_10 FROM wk CROSS JOIN tr")
+def weekly_run(d):
+    """A week of the log, one run of which has scores of its training; what is read back from the runs' CSV files."""
+    root = folder(d)
+    spot = F.col("spot_id")
+    tables.write_scores_csv(d.spots_sv.select("spot_id", ((spot % 10).cast("double") / 10.0).alias("recall"), ((spot % 7).cast("double") / 7.0).alias("ndcg")), root, "r1", runs.SCORES)
+    runs.point(d.spark, root, "production", "r1")
+    report, _ = runs.week(d.spark, root, d.request_log_sv.withColumn("ts", F.col("ts").cast("timestamp")), d.judgments_sv, "2024-01-14")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in report.schema)
+    back = d.spark.read.schema(kinds).option("header", True).csv(f"{root}/runs/*/metrics/weekly_2024-01-14")
+    return rounded(back, "coverage", "recall_at_10", "ndcg_at_10", "benchmark_recall_at_10", "benchmark_ndcg_at_10")
 
 
 # Names by which the queries over whole tables were once told apart from those over a part; both are over the whole now.

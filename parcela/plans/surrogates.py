@@ -64,7 +64,7 @@ SELECT r.spot_id, r.sector_id, r.type_id, s.modality, s.modality_mask, round(r.l
 FROM {spots_sv} s JOIN {raw_spots_sv} r ON r.spot_id = s.spot_id JOIN {spot_place_sv} p ON p.spot_id = s.spot_id JOIN {spot_text_sv} t ON t.spot_id = s.spot_id""",
     "vectors_sv": "SELECT vec_id AS spot_id, embedding AS nlp_vector, CAST(label AS INT) AS cluster_id FROM {embeddings}",
     "request_log_sv": """
-SELECT ts, 'request' AS event, CASE WHEN event_type = 'signup' THEN '/health' ELSE '/recommendations' END AS path,
+SELECT ts, 'request' AS event, CASE WHEN event_type = 'signup' THEN '/health' WHEN event_id % 17 = 0 THEN '/recommendations_old' ELSE '/recommendations/' || CAST((event_id * 7) % 97 AS STRING) END AS path,
   CAST(CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS INT) AS status, value * 10e0 AS latency_ms,
   CASE event_id % 3 WHEN 0 THEN 'r0' WHEN 1 THEN 'r1' ELSE 'r2' END AS run_id,
   (event_id * 7) % 97 AS spot_id, CAST(10 AS INT) AS n,
@@ -97,6 +97,10 @@ SELECT spot_id + 2000000000, sector_id, intention, latitude + 0.005e0, longitude
     "grouped_sv": """
 SELECT f.spot_id, f.sector_id, f.tab_vector, CASE WHEN f.sector_id = 15 AND f.nlp_vector IS NULL THEN v.nlp_vector ELSE f.nlp_vector END AS nlp_vector
 FROM {features_sv} f JOIN {vectors_sv} v ON v.spot_id = f.spot_id % 500 WHERE f.is_candidate""",
+    "served_sv": """
+SELECT f.spot_id, f.sector_id, f.modality_mask, f.latitude, f.longitude, f.tab_vector, CASE WHEN f.sector_id = 15 AND f.nlp_vector IS NULL THEN v.nlp_vector ELSE f.nlp_vector END AS nlp_vector,
+  f.rent_price_sqm, f.sale_price_sqm, f.is_candidate AND f.latitude IS NOT NULL AND f.longitude IS NOT NULL AS is_candidate
+FROM {features_sv} f JOIN {vectors_sv} v ON v.spot_id = f.spot_id % 500""",
     "candidates_sv": "SELECT *, type_id <> 2 AS is_candidate FROM {spots_sv}",
 }
 

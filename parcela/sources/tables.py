@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcela.contract import BENCHMARK_FIELDS, ContractError
+from parcela.sources import versions
 
 LOG_SCHEMA = "ts timestamp, event string, path string, status int, latency_ms double, run_id string, spot_id long, n int, spot_ids string"
 
@@ -59,12 +60,19 @@ def write_run(df: DataFrame, root: str, run_id: str, name: str) -> str:
     return path
 
 
-def write_feature_table(df: DataFrame, root: str, run_id: str, schema: T.StructType) -> str:
-    """The feature table by its contract: columns by position, names and types must agree."""
+def write_feature_table(df: DataFrame, root: str, schema: T.StructType, since: int | None = None) -> int:
+    """A new version of the feature table below `root`, by its contract (columns by position, names and types must agree); its number. Earlier versions stay."""
     mine = [(f.name, f.dataType) for f in df.schema]
     if mine != [(f.name, f.dataType) for f in schema]:
         raise ContractError(f"the feature table's columns are {mine}")
-    return write_run(df, root, run_id, "features")
+    return versions.commit(df, f"{root}/features", since)
+
+
+def snapshot(spark: SparkSession, root: str, run_id: str, version: int | None = None) -> int:
+    """A run's own copy of a version of the feature table (else the newest), overwritten when the run is repeated; the version it is of."""
+    version = versions.manifest(spark, f"{root}/features", version)["version"]
+    write_run(versions.read(spark, f"{root}/features", version), root, run_id, "snapshot")
+    return version
 
 
 def write_scores_csv(df: DataFrame, root: str, run_id: str, name: str) -> str:
@@ -74,7 +82,21 @@ def write_scores_csv(df: DataFrame, root: str, run_id: str, name: str) -> str:
     return path
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """As key-value rows: the key is the JSON list of the id."""
+    return rows.select(F.concat(F.lit("["), F.col("spot_id").cast("string"), F.lit("]")).alias("key"), *[c for c in rows.columns if c != "spot_id"])
+
+
 def published(old: DataFrame, new: DataFrame) -> DataFrame:
-    """An upsert by spot_id of key-value rows: the key is the JSON list of the id. Publishing twice changes nothing."""
-    keyed = new.withColumn("key", F.concat(F.lit("["), F.col("spot_id").cast("string"), F.lit("]"))).drop("spot_id")
-    return old.join(keyed, "key", "left_anti").unionByName(keyed)
+    """What an upsert by spot_id makes of key-value rows. Publishing twice changes nothing."""
+    rows = keyed(new)
+    return old.join(rows, "key", "left_anti").unionByName(rows)
+
+
+def publish(new: DataFrame, root: str, since: int | None = None) -> int:
+    """Upserts rows by spot_id into the key-value table below `root`; its new version. A reader sees the old one whole or the new one whole."""
+    return versions.upsert(keyed(new), f"{root}/online", "key", since=since)
+
+
+def online(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    return versions.read(spark, f"{root}/online", version)

@@ -6,13 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from parcela.operators.metrics import request_metrics, weekly_scores
+from parcela.operators.metrics import alarms, three_digits, timed, weekly_scores
 from parcela.sources.tables import answered
 
 
 def stream_request_metrics(log: DataFrame, late: str = "60 seconds", minutes: int = 5) -> DataFrame:
-    """request_metrics of a stream: a window is told once it is past the watermark; later rows are dropped. State: open windows alone."""
-    return request_metrics(log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), minutes)
+    """request_metrics() of a stream, with latencies to three digits: a window is told once it is past the watermark; later rows are dropped.
+
+    Each request counts for its window and, as what came before, for the next one, so the alarm over two windows needs no state across windows. Percentiles keep counts
+    of values, of which there are few: open windows alone are held, and their state doesn't grow with the traffic.
+    """
+    both = log.where("event = 'request'").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("back", F.explode(F.array(F.lit(False), F.lit(True))))
+    shifted = F.when(F.col("back"), F.col("ts") + F.expr(f"interval {minutes} minutes")).otherwise(F.col("ts"))
+    # What is shifted comes so much later, so the watermark waits as much longer.
+    rows = both.withColumn("at", shifted).withWatermark("at", f"{_seconds(late) + 60 * minutes} seconds")
+    own, latency = ~F.col("back"), three_digits(timed())
+    told = rows.groupBy(F.window("at", f"{minutes} minutes").alias("w")).agg(
+        F.sum(own.cast("long")).alias("requests"), F.sum((own & (F.col("status") >= 500)).cast("long")).alias("errors"), F.percentile(F.when(own, latency), 0.95).alias("p95_ms"), F.percentile(F.when(F.col("back"), latency), 0.95).alias("before"),
+    )
+    return alarms(told.where("requests > 0").withColumn("window_start", F.col("w.start")), F.col("before"))
+
+
+def _seconds(late: str) -> int:
+    n, unit = late.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600}[unit.removesuffix("s")]
 
 
 def stream_weekly_clicks(log: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -35,10 +52,3 @@ def weekly_window(log: DataFrame, end: str) -> DataFrame:
     """The seven days before the day of `end` (UTC), from its start on."""
     to = F.date_trunc("day", F.to_timestamp(F.lit(end))).cast(dict(log.dtypes)["ts"])
     return log.where((F.col("ts") >= to - F.expr("interval 7 days")) & (F.col("ts") < to))
-
-
-def batch_equal(metrics: DataFrame, closed_before: str) -> DataFrame:
-    """Windows that a stream must have told by then, for comparing both."""
-    return metrics.where(F.col("window_start") < F.to_timestamp(F.lit(closed_before)))
-
-

@@ -76,14 +76,51 @@ def test_reduced_vectors_of_the_tables(spark):
     assert got.shape == want.shape and np.abs(got @ got.T - want @ want.T).max() < 1e-4
 
 
+def told(df):
+    return {r.window_start: (r.requests, r.errors, r.p95_ms and round(r.p95_ms, 6), r.error_alarm, r.latency_alarm, r.alarm) for r in df.collect()}
+
+
 def test_stream_equals_batch_in_closed_windows(spark):
-    told = registry.QUERIES["stream_request_metrics"](spark, FOLDER).toPandas()
-    batch = metrics.request_metrics(Data(spark, FOLDER).request_log_sv.withColumn("ts", F.col("ts").cast("timestamp"))).select("window_start", "requests", "errors").toPandas()
-    closed = batch.sort_values("window_start").iloc[:-1]
-    told = told.sort_values("window_start")
-    assert len(batch) - 2 <= len(told) <= len(batch)
-    met = told.merge(closed, on="window_start", suffixes=("", "_b"))
-    assert len(met) >= len(told) - 1 and (met["requests"] == met["requests_b"]).all() and (met["errors"] == met["errors_b"]).all()
+    got = told(registry.QUERIES["stream_request_metrics"](spark, FOLDER))
+    log = Data(spark, FOLDER).request_log_sv.withColumn("ts", F.col("ts").cast("timestamp"))
+    batch = told(metrics.request_metrics(log, rounded=True))
+    last = log.agg(F.max("ts")).first()[0] - timedelta(seconds=60)  # the watermark
+    closed = {w: v for w, v in batch.items() if w + timedelta(minutes=5) <= last}
+    assert got == closed and len(closed) > 500
+    exact = told(metrics.request_metrics(log))
+    assert all(abs(v[2] - exact[w][2]) <= 0.005 * exact[w][2] for w, v in got.items() if v[2] is not None)
+
+
+#: minute, path, status, latency: two slow windows, a gap, one slow window, another path, a fast one, two with an error of 100 requests and of 50.
+LOG = [(m, "/recommendations/1", 200, 1500.0) for m in (0, 1, 5, 6, 20)] + [(25, "/recommendations_old", 200, 9000.0), (25, "/recommendations/7", 200, 10.0), (30, "/recommendations/7", 200, 1500.0), (36, "/health", 200, 5000.0), (41, "/recommendations/1", 200, 1500.0)]
+LOG += [(50, "/recommendations/1", 500 if i == 0 else 200, 1.0) for i in range(100)] + [(55, "/health", 503 if i == 0 else 200, 1.0) for i in range(50)] + [(59, "other", 200, None)]
+
+
+def alarm_log(spark):
+    kind = "ts timestamp, event string, path string, status int, latency_ms double, run_id string, spot_id long, n int, spot_ids string"
+    start = datetime(2024, 1, 7)
+    rows = [(start + timedelta(minutes=m), "request", path, status, ms, "r", 1, 10, "2") for m, path, status, ms in LOG]
+    return spark.createDataFrame([*rows, (start + timedelta(minutes=90), "start", "/", 500, 1.0, None, None, None, None)], kind).coalesce(1)
+
+
+ALARMS = {0: (False, False), 5: (False, True), 20: (False, False), 25: (False, False), 30: (False, False), 35: (False, False), 40: (False, False), 50: (False, False), 55: (True, False)}
+
+
+def test_latency_alarms_need_two_windows(spark):
+    out = {r.window_start.minute: r for r in metrics.request_metrics(alarm_log(spark)).collect()}
+    assert {m: (r.error_alarm, r.latency_alarm) for m, r in out.items()} == ALARMS
+    assert out[25].p95_ms == 10.0 and out[35].p95_ms is None and out[50].error_pct == 1.0 and all(r.alarm == (r.error_alarm or r.latency_alarm) for r in out.values())
+
+
+def test_streamed_alarms_need_two_windows(spark, tmp_path):
+    alarm_log(spark).write.parquet(f"{tmp_path}/log")
+    log_rows(spark, [600]).write.mode("append").parquet(f"{tmp_path}/log")
+    out = lambda s, root: requests.stream_request_metrics(s).writeStream.outputMode("append").option("checkpointLocation", f"{root}/ck").format("parquet").option("path", f"{root}/out")
+    run_stream(spark, tmp_path, out)
+    log_rows(spark, [1200]).write.mode("append").parquet(f"{tmp_path}/log")
+    run_stream(spark, tmp_path, out)
+    rows = {r.window_start: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert {w.minute: (r.error_alarm, r.latency_alarm) for w, r in rows.items() if w < datetime(2024, 1, 7, 2)} == ALARMS
 
 
 def log_rows(spark, minutes):
@@ -119,9 +156,15 @@ def test_weeks_are_scored_once_and_late_clicks_dropped(spark, tmp_path):
 
 
 def test_streamed_weeks_are_those_of_the_batch(spark):
-    out = registry.QUERIES["stream_weekly_clicks"](spark, FOLDER).toPandas()
-    log = Data(spark, FOLDER).request_log_sv.where("status = 200")
-    assert (out["clicks_in_benchmark"] <= out["clicks"]).all() and 0 < out["clicks"].sum() <= log.count()
+    names = ("week_start", "run_id", "clicks", "clicks_in_benchmark", "spots_scored", "coverage", "recall", "ndcg")
+    row = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in (r[n] for n in names))
+    got = sorted(row(r) for r in registry.QUERIES["stream_weekly_clicks"](spark, FOLDER).collect())
+    d = Data(spark, FOLDER)
+    log = d.request_log_sv.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("week_start", F.window("ts", "7 days", "7 days", "3 days")["start"])
+    groups = log.where("status = 200").groupBy("week_start", "run_id", "spot_id", "n", "spot_ids").agg(F.count("*").alias("clicks"))
+    batch = metrics.weekly_scores(groups, d.judgments_sv, by=["week_start", "run_id"])
+    last = log.where("status = 200").agg(F.max("ts")).first()[0] - timedelta(hours=1)
+    assert got == sorted(row(r) for r in batch.collect() if r.week_start + timedelta(days=7) <= last) and len(got) > 5
 
 
 def test_whole_matrix_counts_every_row(spark):
