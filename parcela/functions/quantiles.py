@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from parcela.session import cut
 
-#: Parts that the values of a group are dealt into.
-PARTS = 64
+#: Values to which a part is aimed; parts that the values of a group are dealt into, at least and at most.
+PART_VALUES, FEWEST, MOST = 250_000, 8, 4096
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, qs: tuple[float, ...]) -> DataFrame:
@@ -22,7 +22,8 @@ def quantiles(df: DataFrame, by: list[str], value: str, qs: tuple[float, ...]) -
     keys = [f"g{i}" for i in range(len(by))] or [F.lit(0).alias("g")]
     names = [f"g{i}" for i in range(len(by))] or ["g"]
     counted = cut(rows.groupBy(*keys, "v").agg(F.count("*").alias("times")))
-    marks = counted.groupBy(*names).agg(F.array_distinct(F.percentile_approx("v", [i / PARTS for i in range(1, PARTS)], 10 * PARTS)).alias("marks"))
+    parts = min(MOST, max(FEWEST, counted.count() // PART_VALUES))
+    marks = counted.groupBy(*names).agg(F.array_distinct(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10 * parts)).alias("marks"))
     same = [F.col(f"c.{n}").eqNullSafe(F.col(f"m.{n}")) for n in names]
     dealt = counted.alias("c").join(marks.alias("m"), same).select("c.*", F.size(F.filter("marks", lambda b: b <= F.col("c.v"))).alias("part"))
     sums = dealt.groupBy(*names, "part").agg(F.sum("times").alias("n"))  # a row for each part

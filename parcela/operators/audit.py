@@ -9,7 +9,7 @@ from parcela.contract import INSIDE, INTENTIONS, SECTORS, SPACE_TYPES
 from parcela.functions.parsing import decimals
 from parcela.functions.quantiles import quantiles
 from parcela.operators import pairs
-from parcela.operators.clean import FENCE, expand_intention, outlier_bounds
+from parcela.operators.clean import FENCE, applies_to, expand_intention, outlier_bounds
 from parcela.operators.prep import label_sector
 from parcela.operators.radius import near_pairs
 from parcela.session import cut
@@ -37,11 +37,6 @@ def column_profile(df: DataFrame) -> DataFrame:
     return stacked(one, [], cols, ["t", "p", "d", "e"], ["type", "pct_null", "n_distinct", "example"])
 
 
-def applies_to(intention: str) -> Column:
-    """Whether a listing has a price of this intention."""
-    return F.coalesce(F.col("modality").isin(intention, "Rent & Sale"), F.lit(False))
-
-
 PRICES = {"rent_price_sqm": "Rent", "rent_price_total": "Rent", "sale_price_sqm": "Sale", "sale_price_total": "Sale"}
 
 
@@ -55,12 +50,13 @@ def structural_nulls(df: DataFrame) -> DataFrame:
 
 
 def hierarchical_recoverability(df: DataFrame, child: str, parent: str) -> DataFrame:
-    """One row: missing parents, those that follow from a child with a single parent, children with several."""
+    """One row: missing parents, those that follow from a child with a single parent, their share in percent (0 if none is missing), children with several."""
     per_child = df.where(f"{child} is not null").groupBy(child).agg(F.countDistinct(parent).alias("parents"), F.sum(F.col(parent).isNull().cast("long")).alias("missing"))
     # Rows without a child can't be recovered, but are missing as well.
     orphans = df.where(f"{child} is null").agg(F.coalesce(F.sum(F.col(parent).isNull().cast("long")), F.lit(0)).alias("orphans"))
     one = per_child.agg(F.sum("missing").alias("m"), F.sum(F.when(F.col("parents") == 1, F.col("missing")).otherwise(0)).alias("recoverable"), F.sum((F.col("parents") > 1).cast("long")).alias("ambiguous_children"))
-    return one.join(orphans, F.lit(True)).select((F.coalesce("m", F.lit(0)) + F.col("orphans")).alias("missing"), F.coalesce("recoverable", F.lit(0)).alias("recoverable"), F.coalesce("ambiguous_children", F.lit(0)).alias("ambiguous_children"))
+    told = one.join(orphans, F.lit(True)).select((F.coalesce("m", F.lit(0)) + F.col("orphans")).alias("missing"), F.coalesce("recoverable", F.lit(0)).alias("recoverable"), F.coalesce("ambiguous_children", F.lit(0)).alias("ambiguous_children"))
+    return told.withColumn("pct_recoverable", F.coalesce(F.round(100.0 * F.col("recoverable") / F.nullif("missing", F.lit(0)), 2), F.lit(0.0)))
 
 
 TAXONOMY = {"sector_id": SECTORS, "type_id": SPACE_TYPES}

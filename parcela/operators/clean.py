@@ -82,6 +82,11 @@ def check_silver(df: DataFrame, bronze_rows: int) -> list[str]:
     return [f"state: {n} rows {what}" for n, what in ((s.no_state, "still null"), (s.mismatches, "that disagree with their municipality")) if n]
 
 
+def applies_to(intention: str) -> Column:
+    """Whether a listing has a price of this intention."""
+    return F.coalesce(F.col("modality").isin(intention, "Rent & Sale"), F.lit(False))
+
+
 def expand_intention(df: DataFrame) -> DataFrame:
     """A row for each intention: Rent & Sale twice; other modalities have none."""
     of = F.when(F.col("modality") == "Rent", F.array(F.lit("Rent"))).when(F.col("modality") == "Sale", F.array(F.lit("Sale"))).when(F.col("modality") == "Rent & Sale", F.array(F.lit("Rent"), F.lit("Sale")))
@@ -109,13 +114,14 @@ def beyond(value: Column, low: Column, high: Column) -> Column:
 
 
 def flag_outliers(df: DataFrame) -> DataFrame:
-    """Adds is_price_outlier (in any intention) and is_area_outlier; either ends a candidacy."""
-    blocks = priced(df)
-    bounds = outlier_bounds(blocks, ["sector_id", "intention"], "price")
-    price = blocks.join(F.broadcast(bounds), ["sector_id", "intention"], "left").groupBy("spot_id").agg(F.max(beyond(F.col("price"), F.col("low"), F.col("high"))).alias("is_price_outlier"))
-    area = outlier_bounds(df, ["sector_id"], "area_sqm").select("sector_id", "low", "high")
-    out = df.join(price, "spot_id", "left").join(F.broadcast(area), "sector_id", "left")
-    out = out.withColumn("is_price_outlier", F.coalesce("is_price_outlier", F.lit(False))).withColumn("is_area_outlier", beyond(F.col("area_sqm"), F.col("low"), F.col("high"))).drop("low", "high")
+    """Adds is_price_outlier (in any intention) and is_area_outlier; either ends a candidacy. Prices and areas are measured together."""
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.when(applies, F.col(c)).alias("value")) for kind, applies, c in (("Rent", applies_to("Rent"), "rent_price_sqm"), ("Sale", applies_to("Sale"), "sale_price_sqm"), ("area", F.lit(True), "area_sqm"))])
+    long = df.select("spot_id", "sector_id", "is_candidate", F.inline(kinds)).where("value is not null")
+    # A row for each sector and kind: few, whatever the table.
+    bounds = outlier_bounds(long, ["sector_id", "kind"], "value").groupBy("sector_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("low", "high")))).alias("bounds"))
+    out = df.join(F.broadcast(bounds), "sector_id", "left").withColumn("_kinds", kinds)
+    off = lambda k: beyond(k["value"], F.try_element_at("bounds", k["kind"])["low"], F.try_element_at("bounds", k["kind"])["high"])
+    out = out.withColumn("is_price_outlier", F.exists(F.filter("_kinds", lambda k: k["kind"] != "area"), off)).withColumn("is_area_outlier", F.exists(F.filter("_kinds", lambda k: k["kind"] == "area"), off)).drop("bounds", "_kinds")
     return out.withColumn("is_candidate", F.col("is_candidate") & ~F.col("is_price_outlier") & ~F.col("is_area_outlier"))
 
 

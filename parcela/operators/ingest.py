@@ -34,17 +34,37 @@ def parse_report(raw: DataFrame, fields: T.StructType) -> DataFrame:
     return raw.agg(*sums).selectExpr(f"stack({len(fields)}, {rows}) as (column_name, unparsed, missing)")
 
 
-def check_parsed(raw: DataFrame, fields: T.StructType) -> None:
-    bad = {r["column_name"]: r for r in parse_report(raw, fields).where("unparsed > 0 or missing > 0").collect()}  # a row for each column
-    if bad:
+FAULTS = "_faults"
+
+
+def parse_with_faults(raw: DataFrame, fields: T.StructType) -> DataFrame:
+    """parse(), and in FAULTS what can't be read of each row: name, text, missing (empty though it mustn't be). One pass over the file."""
+
+    def fault(f: T.StructField) -> Column:
+        text = filled(text_of(f))
+        missing = text.isNull() if not f.nullable else F.lit(False)
+        return F.when((text.isNotNull() & value_of(f).isNull()) | missing, F.struct(F.lit(f.name).alias("name"), text_of(f).alias("text"), missing.alias("missing")))
+
+    return raw.select(*[value_of(f).alias(f.name) for f in fields], F.array_compact(F.array(*[fault(f) for f in fields])).alias(FAULTS))
+
+
+def check_faults(rows: DataFrame, fields: T.StructType) -> None:
+    """Raises at what parse_with_faults() couldn't read: counts and three examples of each column."""
+    each = rows.select(F.explode(FAULTS).alias("f")).select("f.*")
+    counts = {r["name"]: r for r in each.groupBy("name").agg(F.sum((~F.col("missing")).cast("long")).alias("unparsed"), F.sum(F.col("missing").cast("long")).alias("missing")).collect()}  # a row for each column
+    if counts:
         said = []
         for f in fields:
-            if f.name in bad:
-                examples = raw.where(filled(text_of(f)).isNotNull() & value_of(f).isNull()).select(text_of(f)).take(3)
-                said.append(f"{f.name}: {bad[f.name]['unparsed']} unparsed {[r[0] for r in examples]}, {bad[f.name]['missing']} missing")
+            if f.name in counts:
+                examples = each.where((F.col("name") == f.name) & ~F.col("missing")).select("text").take(3)
+                said.append(f"{f.name}: {counts[f.name]['unparsed']} unparsed {[r[0] for r in examples]}, {counts[f.name]['missing']} missing")
         raise ContractError("; ".join(said))
 
 
+def check_parsed(raw: DataFrame, fields: T.StructType) -> None:
+    check_faults(parse_with_faults(raw, fields), fields)
+
+
 def schema_differences(df: DataFrame, schema: T.StructType) -> list[str]:
     """Names, types and order; whether a column may be null isn't compared."""
     mine, theirs = [(f.name, f.dataType.simpleString()) for f in df.schema], [(f.name, f.dataType.simpleString()) for f in schema]
@@ -56,17 +76,29 @@ def check_schema(df: DataFrame, schema: T.StructType) -> None:
         raise ContractError("; ".join(bad))
 
 
+def joined(spots: DataFrame, attributes: DataFrame) -> DataFrame:
+    """The full join of both files by spot_id, with the bronze columns and whether a row has a spot (_l) and attributes (_r)."""
+    both = spots.withColumn("_l", F.lit(True)).join(attributes.withColumn("_r", F.lit(True)), "spot_id", "full")
+    return both.select(*BRONZE.fieldNames(), F.coalesce("_l", F.lit(False)).alias("_l"), F.coalesce("_r", F.lit(False)).alias("_r"))
+
+
 def with_attributes(spots: DataFrame, attributes: DataFrame) -> DataFrame:
     """Bronze: every spot, with its attributes where it has some."""
-    return spots.join(attributes, "spot_id", "left").select(*BRONZE.fieldNames())
+    return joined(spots, attributes).where("_l").drop("_l", "_r")
+
+
+def met(both: DataFrame) -> DataFrame:
+    """Of joined(): spots, matched ones, the share in percent, and attribute rows without a spot."""
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    one = both.agg(n(F.col("_l")).alias("spots"), n(F.col("_l") & F.col("_r")).alias("matched"), n(~F.col("_l")).alias("orphans"))
+    return one.select("spots", "matched", F.round(100.0 * F.col("matched") / F.nullif("spots", F.lit(0)), 4).alias("match_pct"), "orphans")
 
 
 def join_report(spots: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Of one full join of the keys: spots, matched ones, the share in percent, and attribute rows without a spot."""
-    left = spots.select("spot_id", F.lit(1).alias("l"))
-    right = attributes.select("spot_id", F.lit(1).alias("r"))
-    both = left.join(right, "spot_id", "full").agg(F.sum("l").alias("spots"), F.sum(F.col("l") * F.col("r")).alias("matched"), F.sum(F.col("r") * F.col("l").isNull().cast("int")).alias("orphans"))
-    return both.select("spots", "matched", F.round(100.0 * F.col("matched") / F.col("spots"), 4).alias("match_pct"), F.coalesce("orphans", F.lit(0)).cast("long").alias("orphans"))
+    """met() of two tables' keys."""
+    flag = lambda df, c: df.select("spot_id", F.lit(True).alias(c))
+    both = flag(spots, "_l").join(flag(attributes, "_r"), "spot_id", "full")
+    return met(both.select(F.coalesce("_l", F.lit(False)).alias("_l"), F.coalesce("_r", F.lit(False)).alias("_r")))
 
 
 def repeated_keys(df: DataFrame, key: str = "spot_id", most: int = 10) -> DataFrame:

@@ -27,12 +27,15 @@ class Layers:
 
 def bronze(spots_raw: DataFrame, attributes_raw: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """Good rows, rows set aside with their reasons, and warnings; raises where a value can't be read or a key is repeated."""
+    parsed = []
     for raw, fields in ((spots_raw, contract.SPOTS), (attributes_raw, contract.ATTRIBUTES)):
-        ingest.check_parsed(raw, fields)
-    spots, attributes = ingest.parse(spots_raw, contract.SPOTS), ingest.parse(attributes_raw, contract.ATTRIBUTES)
-    joined = cut(ingest.with_attributes(spots, attributes))
+        rows = cut(ingest.parse_with_faults(raw, fields))  # the only pass over a file
+        ingest.check_faults(rows, fields)
+        parsed.append(rows.drop(ingest.FAULTS))
+    both = cut(ingest.joined(*parsed))
+    joined = both.where("_l").drop("_l", "_r")
     ingest.check_unique(joined)
-    met = ingest.join_report(spots, attributes).first()
+    met = ingest.met(both).first()
     warnings = [f"join: {met.match_pct} % of spots have attributes"] if met.spots and met.matched < contract.LEAST_MATCH * met.spots else []
     warnings += [f"join: {met.orphans} attribute rows have no spot"] if met.orphans else []
     good, bad = ingest.split_quarantine(joined)

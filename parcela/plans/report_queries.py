@@ -52,9 +52,12 @@ def silver_stats(d):
     return clean.silver_stats(clean.fill_state(clean.recode_sector(d.listing_sv), d.catalog_sv))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS silver_rows, CAST(count(*) AS BIGINT) AS gold_rows, true AS agree FROM {spots_sv}")
+@query("SELECT 'whole' AS gold, CAST(count(*) AS BIGINT) AS silver_rows, CAST(count(*) AS BIGINT) AS gold_rows, true AS agree FROM {spots_sv} UNION ALL SELECT 'without areas', CAST(count(*) AS BIGINT), CAST(count(area_sqm) AS BIGINT), count(*) = count(area_sqm) FROM {spots_sv}")
 def gold_row_check(d):
-    return prep.row_counts(d.spots_sv, prep.parse_security(prep.apply_domains(d.spots_sv)))
+    """Of a whole gold, and of one that has lost the rows without an area."""
+    gold = prep.parse_security(prep.apply_domains(d.spots_sv))
+    check = lambda name, some: prep.row_counts(d.spots_sv, some).select(F.lit(name).alias("gold"), "silver_rows", "gold_rows", "agree")
+    return check("whole", gold).unionByName(check("without areas", gold.where("area_sqm is not null")))
 
 
 @query("SELECT 'building_status' AS column_name, CAST(count(*) FILTER (building_status NOT IN (1, 2, 3)) AS BIGINT) AS n FROM {spots_sv} UNION ALL SELECT 'natural_light', CAST(count(*) FILTER (natural_light NOT BETWEEN 1 AND 100) AS BIGINT) FROM {spots_sv}")
@@ -122,7 +125,7 @@ def structural_nulls(d):
     return rounded(audit.structural_nulls(d.listing_sv), "pct_null", "pct_null_applicable", "pct_filled_elsewhere", digits=4)
 
 
-@query("WITH c AS (SELECT municipality, count(DISTINCT state) AS k, count(*) - count(state) AS m FROM {spot_place_sv} GROUP BY 1) SELECT CAST(sum(m) AS BIGINT) AS missing, CAST(sum(CASE WHEN k = 1 THEN m ELSE 0 END) AS BIGINT) AS recoverable, CAST(count(*) FILTER (k > 1) AS BIGINT) AS ambiguous_children FROM c")
+@query("WITH c AS (SELECT municipality, count(DISTINCT state) AS k, count(*) - count(state) AS m FROM {spot_place_sv} GROUP BY 1) SELECT CAST(sum(m) AS BIGINT) AS missing, CAST(sum(CASE WHEN k = 1 THEN m ELSE 0 END) AS BIGINT) AS recoverable, CAST(count(*) FILTER (k > 1) AS BIGINT) AS ambiguous_children, coalesce(round(100e0 * sum(CASE WHEN k = 1 THEN m ELSE 0 END) / nullif(sum(m), 0), 2), 0e0) AS pct_recoverable FROM c")
 def hierarchical_recoverability(d):
     return audit.hierarchical_recoverability(d.spot_place_sv, "municipality", "state")
 
