@@ -11,7 +11,7 @@ estimate of the Jaccard similarity of the anchors' multisets, exact for document
 
 Defined cases: a null text is the empty one, whose fingerprint is empty; a text shorter than K has one
 anchor, the hash of the whole; two empty fingerprints have likeness 1, an empty and another one 0. The
-next document is the next in descending doc_id (null ids last; rows with one id by text), after the last the first; a single document is its
+next document is the next in descending doc_id (null ids last; rows with one id by a hash of their text), after the last the first; a single document is its
 own next. Rows that repeat stay; an empty table gives no rows; other columns are ignored.
 """
 
@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcela.llm.common import BASE, buckets, mix, slices, texts_of
+from parcela.llm.common import BASE, buckets, cut, mix, slices, texts_of
+from parcela.llm.splitters import RANGE, ranged
 
 K, S, SIZE = 12, 4, 256
 
@@ -129,51 +130,46 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
+#: The order of documents: null ids last, descending ids, rows of one id by a hash of their text, then a number of the row.
+ORDER = ["none", "down", "tie", "row"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the columns of ORDER, which rise."""
+    return texts_of(docs).select("doc_id", "text", F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("long").alias("down"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+
+
 def with_next(docs: DataFrame, rows: int = 4096) -> DataFrame:
-    """Documents dealt into blocks of descending ids of about `rows`, each followed by the first one of the block after it.
+    """Documents dealt into blocks of the order, of about `rows`, each followed by the first one of the block after it.
 
-    Columns: block, key (of the order), doc_id, text, extra (true for that following document). The only
-    whole-text shuffle is by block; a block's first document is added to the block before it.
+    Columns: block, those of ORDER, doc_id, text, extra (true for that following document). Texts are shuffled by block alone. No two keys are
+    equal, so rows without an id, or with the same one, are split as others are. What the driver gets is a number for each coarse range, the root of the blocks.
     """
-    lowest = F.lit(-(2**63)).cast("long")
-    keyed = texts_of(docs).withColumn("key", F.coalesce("doc_id", lowest))
-    n = keyed.count()
-    blocks = min(max(n, 1), max(2 * buckets(docs.sparkSession), min(n // rows, 20_000)))
-    cuts = sorted({*keyed.agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0]}) if blocks > 1 else []
-    # Of the order: block 0 has the greatest ids. A key equal to a cut lies in the block above it.
-    step = int(len(cuts) ** 0.5) + 1
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    count = lambda values, c: F.size(F.filter(values, lambda b: b > c))
-    if cuts:
-        tops = F.array(*[F.lit(g[-1]).cast("long") for g in groups])
-        table = F.array(*[F.array(*[F.lit(v).cast("long") for v in g]) for g in groups])
-        sizes = F.array(*[F.lit(sum(len(h) for h in groups[i + 1 :])) for i in range(len(groups))])
-        whole = count(tops, F.col("key"))  # groups whose last cut is above the key
-        first = F.lit(len(groups)) - whole + 1  # the first such group
-        block = F.when(whole == 0, 0).otherwise(F.element_at(sizes, first) + count(F.element_at(table, first), F.col("key")))
-    else:
-        block = F.lit(0)
-    dealt = keyed.withColumn("block", block.cast("int"))
-    heads = dealt.groupBy("block").agg(F.max("key").alias("key")).collect()  # a row for each block
-    if not heads:
-        return dealt.withColumn("extra", F.lit(False))
-    order = sorted(h["block"] for h in heads)
-    before = [(h["block"], h["key"], order[order.index(h["block"]) - 1]) for h in heads]
-    small = docs.sparkSession.createDataFrame(before, "block int, key long, to int")
-    firsts = (
-        keyed.where(F.col("key").isin([h["key"] for h in heads]))
-        .join(F.broadcast(small), "key")
-        .groupBy("block", "key", "to")
-        .agg(F.min(F.struct("text", "doc_id")).alias("f"))
-        .select(F.col("f.doc_id").alias("doc_id"), F.col("f.text").alias("text"), "key", F.col("to").alias("block"), F.lit(True).alias("extra"))
-    )
-    return dealt.withColumn("extra", F.lit(False)).select("doc_id", "text", "key", "block", "extra").unionByName(firsts)
+    lined = keyed(docs)
+    n = lined.count()
+    blocks = max(1, 2 * buckets(docs.sparkSession), n // rows)
+    dealt = ranged(lined, ORDER, F.lit(blocks / max(n, 1)), blocks)
+    firsts = cut(dealt.groupBy(*RANGE).agg(F.min(F.struct(*ORDER)).alias("key")))
+    # Of each range the one before it in the order; before the first one comes the last.
+    tops = {r["coarse"]: r["top"] for r in firsts.groupBy("coarse").agg(F.max("fine").alias("top")).collect()}
+    order = sorted(tops)
+    turn = {c: (order[i - 1], tops[order[i - 1]]) for i, c in enumerate(order)}
+    within = F.lag("fine").over(Window.partitionBy("coarse").orderBy("fine"))
+    wrap = F.create_map(*[x for c, (p, q) in (turn or {0: (0, 0)}).items() for x in (F.lit(c), F.struct(F.lit(p).alias("coarse"), F.lit(q).alias("fine")))])
+    at = F.element_at(wrap, F.col("coarse"))
+    before = firsts.withColumn("_fine", within).select(F.coalesce(F.when(F.col("_fine").isNotNull(), F.col("coarse")), at["coarse"]).alias("coarse"), F.coalesce("_fine", at["fine"]).alias("fine"), "key.*")
+    # A first row's text by its key. Rows that are alike but for their number may be several; one of them does.
+    names = ORDER[:3]
+    found = lined.select("doc_id", "text", *names).join(before.drop("row"), names).groupBy(*RANGE, *names).agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"))
+    extra = found.select("doc_id", "text", *names, F.lit(-1).cast("long").alias("row"), *RANGE, F.lit(True).alias("extra"))
+    both = dealt.select("doc_id", "text", *ORDER, *RANGE, F.lit(False).alias("extra")).unionByName(extra)
+    return both.withColumn("block", F.shiftleft(F.col("coarse").cast("long"), 32) + F.col("fine"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each document."""
     lined = with_next(docs)
-    dealt = lined.repartitionByRange(2 * buckets(docs.sparkSession), "block").sortWithinPartitions("block", "extra", F.col("key").desc(), "text")
+    dealt = lined.repartition("block").sortWithinPartitions("block", "extra", *ORDER)
 
     def run(batches):
         held = None  # the last row so far, whose next isn't known yet: block, id, text, sketch

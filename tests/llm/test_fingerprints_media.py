@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from parcela.llm import syncmers, webp
+from parcela.llm import queries, syncmers, webp
 
 DOCS = "doc_id long, text string, block string, extra string"
 
@@ -52,6 +53,34 @@ def test_fingerprints_against_brute_force(spark):
         assert (r.near_edited, r.near_next) == (pytest.approx(syncmers.likeness(a, b)), pytest.approx(syncmers.likeness(a, c)))
 
 
+def test_fingerprints_of_many_rows_without_an_id(spark):
+    """A third of the rows has no id and a third the same one; blocks stay small, and each row is followed by the next of the order."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"words of text {i % 400} and some more of it", "x", "y") for i in range(1200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    blocks = syncmers.with_next(docs, rows=20)
+    assert blocks.where("not extra").count() == 1200 and blocks.where("not extra").groupBy("block").count().agg({"count": "max"}).first()[0] < 200
+    firsts = {r.block: r for r in blocks.where("not extra").groupBy("block").agg(F.min(F.struct(*syncmers.ORDER, "text")).alias("m")).collect()}
+    order = sorted(firsts, key=lambda b: firsts[b].m)
+    after = {b: firsts[order[(i + 1) % len(order)]].m.text for i, b in enumerate(order)}
+    assert {r.block: r.text for r in blocks.where("extra").collect()} == after
+    line = sorted(((r.none, r.down, r.tie, r.text) for r in syncmers.keyed(docs).collect()))
+    got = sorted((r.doc_id is None, 0 if r.doc_id is None else ~r.doc_id, r.edited_sha256) for r in syncmers.fingerprints(docs).collect())
+    want = sorted((bool(a[0]), a[1], hashlib.sha256(syncmers.edited(a[3], b[3]).encode()).hexdigest()) for a, b in zip(line, line[1:] + line[:1], strict=True))
+    assert got == want
+
+
+def test_fingerprints_of_a_table(spark):
+    rows = sorted((tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()), reverse=True)
+    out = {r.doc_id: r for r in queries.QUERIES["op1_document_fingerprints"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(out) == len(rows)
+    for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1], strict=True):
+        t, nxt = t or "", nxt or ""
+        new = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        a, b, c = syncmers.sketches([t, new, nxt])
+        assert (out[i].n_chars, out[i].edited_sha256) == (len(t), hashlib.sha256(new.encode()).hexdigest())
+        assert (out[i].fingerprint, out[i].near_edited, out[i].near_next) == (syncmers.written(a), pytest.approx(syncmers.likeness(a, b)), pytest.approx(syncmers.likeness(a, c)))
+
+
 def test_fingerprints_of_few_rows(spark):
     assert syncmers.fingerprints(spark.createDataFrame([], DOCS)).count() == 0
     one = syncmers.fingerprints(spark.createDataFrame([(5, "some text of its own", "", "")], DOCS)).collect()
