@@ -19,7 +19,8 @@ known words and one unknown word. A text that is there twice thus lies far from
    asked is looked up there by successor search between the pointers of the context, and the codes found go back.
 5. Each chunk adds up its tokens' probabilities.
 
-The cells of 3, a row for each chunk and range, grow as the square of the input; beyond a TB CHUNK should grow with it.
+The cells of 3 are a row for each chunk and each range in which it has a pair: as the square of the input at first, but never more than the chunks' distinct pairs, so
+in proportion to the input in the end.
 
 Defined cases: a null text is the empty one and has the end alone; without texts to learn from all
 counts are 0; rows that repeat are each scored; an empty table gives no rows; other columns are ignored.
@@ -78,7 +79,7 @@ class EliasFano:
         return cls(n, universe, low, np.packbits(marks, bitorder="little"))
 
     def lows(self, i: np.ndarray) -> np.ndarray:
-        at = i * self.bits
+        at = np.asarray(i, np.int64) * self.bits
         windows = np.ndarray((len(self.low) - 7,), "<u8", self.low, 0, (1,))
         return (windows[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.bits) - 1)
 
@@ -87,7 +88,7 @@ class EliasFano:
         if self._first is None:
             marks = np.unpackbits(self.high, count=self.n + (self.universe >> self.bits) + 1, bitorder="little")
             zeros = np.flatnonzero(marks == 0)
-            self._first = np.concatenate([[0], zeros - np.arange(len(zeros))])
+            self._first = np.concatenate([[0], zeros - np.arange(len(zeros))]).astype(np.int32 if self.n < 1 << 31 else np.int64)
         return self._first
 
     def values(self) -> np.ndarray:
@@ -380,7 +381,7 @@ class Trie:
         views = [whole[i:j] for i, j in zip(size, size[1:], strict=False)]
         self.firsts, self.pointer2, self.seconds, self.pointer3, self.thirds = (EliasFano(x.n, x.universe, views[2 * i], views[2 * i + 1]) for i, x in enumerate(lists))
         self.p2, self.back, self.p3 = (w.view("<u2") for w in views[10:])
-        self.begin2, self.begin3 = self.pointer2.values().astype(np.int64), self.pointer3.values().astype(np.int64)
+        self.begin2, self.begin3 = (x.values().astype(np.int32 if x.universe < 1 << 31 else np.int64) for x in (self.pointer2, self.pointer3))
 
     def look_up(self, pairs: np.ndarray, parent: np.ndarray, thirds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of pairs, of their back-off weights, and of triples (place among `pairs`, third)."""
@@ -477,7 +478,9 @@ def bucketed(df: DataFrame) -> DataFrame:
     """Written to the shared folder as a table of as many buckets as shuffles have partitions, so that grouping by chunk moves nothing."""
     spark, name = df.sparkSession, f"chunks_{uuid4().hex}"
     df.write.bucketBy(buckets(spark), "chunk").option("path", f"{new_folder(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files of a table with a path of its own stay
+    return out
 
 
 def score(docs: DataFrame) -> DataFrame:

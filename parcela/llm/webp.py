@@ -10,7 +10,7 @@ A payload is stored as one grey image (each byte a pixel) in one file. Bytes tha
 what came up to REACH before are written as back-references. A payload of up to 16 different bytes is written by a palette, with
 as many pixels to a byte as fit; others have the green sample coded, and red and blue equal by the subtract-green transform. The image is
 WIDTH columns wide, or the least multiple of it with which it is no higher than the format allows; what the last row then holds beyond the
-payload is told by a chunk of its own in the file's extended form.
+payload is told by a chunk of its own in the file's extended form. A payload beyond the greatest image (MOST_ROWS and MOST_COLUMNS, 256 MiB) fills several, one behind the other.
 
 Defined cases of the DataFrame operator: a null text is the empty one, whose payload is 64 zero bytes; rows that repeat
 give repeated results; an empty table gives no rows; other columns are ignored.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from parcela.llm.common import texts_of
 
-WIDTH, MOST_ROWS = 64, 1 << 14
+WIDTH, MOST_ROWS, MOST_COLUMNS = 64, 1 << 14, 1 << 14
 #: The shortest back-reference written, how far one reaches, and how much of a payload is searched at once.
 SHORTEST, REACH = 8, 1 << 18
 #: Bytes of a stream whose bit positions are decoded at once.
@@ -660,13 +660,18 @@ def payload_of(text: str) -> bytes:
 
 def store(payload: bytes) -> bytes:
     data = np.frombuffer(payload, np.uint8)
-    width = WIDTH * max(1, -(-len(data) // (WIDTH * MOST_ROWS)))
-    rows = -(-len(data) // width)
-    told = struct.pack("<Q", len(data)) if rows * width > len(data) else b""
-    stream = encode_image(np.pad(data, (0, rows * width - len(data))), width)
-    parts = [(b"VP8L", stream)]
+    parts, sides, told = [], (0, 0), b""
+    most = MOST_ROWS * MOST_COLUMNS
+    for lo in range(0, len(data), most):
+        some = data[lo : lo + most]
+        width = WIDTH * max(1, -(-len(some) // (WIDTH * MOST_ROWS)))
+        rows = -(-len(some) // width)
+        parts.append((b"VP8L", encode_image(np.pad(some, (0, rows * width - len(some))), width)))
+        sides = max(sides[0], width), max(sides[1], rows)
+        if rows * width > len(some) or len(parts) > 1:
+            told = struct.pack("<Q", len(data))
     if told:
-        parts = [(b"VP8X", bytes(4) + (width - 1).to_bytes(3, "little") + (rows - 1).to_bytes(3, "little")), *parts, (b"SIZE", told)]
+        parts = [(b"VP8X", bytes(4) + (sides[0] - 1).to_bytes(3, "little") + (sides[1] - 1).to_bytes(3, "little")), *parts, (b"SIZE", told)]
     body = b"".join(struct.pack("<4sI", k, len(c)) + c + b"\0" * (len(c) & 1) for k, c in parts)
     return struct.pack("<4sI4s", b"RIFF", len(body) + 4, b"WEBP") + body
 
@@ -679,7 +684,7 @@ def load(media: bytes) -> list[np.ndarray]:
 def restore(media: bytes) -> np.ndarray:
     """The payload that was stored."""
     told = [struct.unpack("<Q", c)[0] for k, c in chunks(media) if k == b"SIZE"]
-    samples = ((load(media)[0] >> 8) & 255).astype(np.uint8).reshape(-1)
+    samples = np.concatenate([((image >> 8) & 255).astype(np.uint8).reshape(-1) for image in load(media)])
     return samples[: told[0]] if told else samples
 
 

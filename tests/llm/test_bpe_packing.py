@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from parcela.llm import bpe, packing
+from parcela.llm import bpe, packing, queries
 
 RANKS, JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 DOCS = "doc_id long, text string, ids string, size long"
@@ -26,6 +26,15 @@ def test_both_libraries_give_the_same_ids(whole, text):
     assert packing.encoder(JSON, PATTERN)(text) == whole.encode(text, add_special_tokens=False).ids == bpe.encode(bpe.encoding(RANKS, PATTERN), text)
 
 
+def test_the_query_encodes_a_table_as_the_library_does(spark):
+    coder = bpe.encoding(RANKS, PATTERN)
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.QUERIES["op8_byte_bpe"](spark, "/root/testdata/sf0.001").collect()}
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    ids = {i: coder.encode_ordinary(t) for i, t in rows.items()}
+    assert got == {i: (len(ids[i]), sha(" ".join(map(str, ids[i])).encode()), sha(t.encode())) for i, t in rows.items()}
+
+
 def test_the_end_mark_is_one_id_as_in_the_library(whole):
     text = "a<|endoftext|> b <|endoftext|>"
     ids = packing.encoder(JSON, PATTERN)(text)

@@ -33,6 +33,12 @@ def slow_components(rows):
     return {i: (len(s), top(i), top(i) == i) for i, s in sets.items()}
 
 
+def test_the_query_links_a_table_as_by_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.QUERIES["op9_minhash_near_dedup"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == slow_components(rows)
+
+
 def near_copies(seed, n, edits):
     """A family of texts with up to so many changed words each."""
     rng = random.Random(seed)

@@ -294,6 +294,18 @@ def test_long_payloads_are_one_file_and_damage_is_told(monkeypatch, stretch):
         webp.decode_image(image[:150])
 
 
+@pytest.mark.parametrize("size", [64, 3 * 128, 3 * 128 + 64, 5 * 3 * 128 + 192])
+def test_payloads_beyond_the_greatest_image_fill_several(monkeypatch, size):
+    """The format's limits, made small: images of at most 3 rows and 128 columns."""
+    monkeypatch.setattr(webp, "MOST_ROWS", 3)
+    monkeypatch.setattr(webp, "MOST_COLUMNS", 128)
+    payload = np.random.default_rng(size).integers(0, 256, size, np.uint8).tobytes()
+    stored = webp.store(payload)
+    images = [c for k, c in webp.chunks(stored) if k == b"VP8L"]
+    assert len(images) == -(-size // 384) and webp.restore(stored).tobytes() == payload
+    assert all(i.shape[0] <= 3 and i.shape[1] <= 128 for i in webp.load(stored))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from([b"the cat sat ", b"on the mat ", b"xyz", b"\x00" * 20, bytes(range(40))]), max_size=200), st.sampled_from([40, 1 << 18]))
 def test_repeats_come_back(parts, reach):

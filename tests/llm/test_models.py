@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from parcela.llm import common, langid, ngrams, toxicity
+from parcela.llm import common, langid, ngrams, queries, toxicity
 
 DOCS = "doc_id long, text string, lang string, score string, severity string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -95,6 +95,27 @@ def test_scores_equal_brute_force(spark, monkeypatch, chunk, size):
         assert r.base_score == pytest.approx(base) and abs(r.score - score) <= 1.5e-3 * n
 
 
+def test_the_query_scores_a_table_as_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 7 != 2) for r in docs]
+    before = {t.name for t in spark.catalog.listTables()}
+    got = {r.doc_id: r for r in queries.QUERIES["op4_lm_scoring"](spark, "/root/testdata/sf0.001").collect()}
+    assert {t.name for t in spark.catalog.listTables()} == before and len(got) == len(rows)
+    for (i, (n, known, total, base, score)), (_, _, learns) in zip(slow_scores(rows).items(), rows, strict=True):
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not learns, n, known, total)
+        assert r.base_score == pytest.approx(base) and abs(r.score - score) <= 1.5e-3 * n
+
+
+def test_a_list_takes_few_bytes_a_value_in_memory():
+    rng = np.random.default_rng(0)
+    x = np.sort(rng.integers(0, 1 << 34, 500_000))
+    ef = ngrams.EliasFano.of(x, 1 << 34)
+    ef.first()
+    packed, directory = ef.low.nbytes + ef.high.nbytes, ef._first.nbytes
+    assert packed < 2.4 * len(x) and directory <= 6.2 * len(x) and (ef.find(x[::97]) == np.searchsorted(x, x[::97])).all()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9), st.integers(0, 9), st.integers(1, 4)), max_size=60))
 def test_a_trie_holds_a_model(triples):
