@@ -43,7 +43,7 @@ from parcela.llm.common import buckets, cut, mix, slices, texts_of, utf8, words
 from parcela.session import new_folder
 
 #: Tokens of a chunk; tokens of all texts for each range of words and for each range of n-grams.
-CHUNK, WORD_RANGE, RANGE = 1_000_000, 16_000_000, 1_500_000
+CHUNK, WORD_RANGE, RANGE = 1_000_000, 16_000_000, 1_000_000
 #: Keys drawn for each range of n-grams (expected).
 SAMPLES = 24
 #: Weight of the single words beside what followed a word.
@@ -403,9 +403,10 @@ class Trie:
 def model_of(b: pd.DataFrame, known: int, low: int) -> tuple[Trie, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """The trie of a range from what all chunks sent, and each chunk's pairs and triples."""
     asked, n2, n3, n1, firsts = [], [], [], [], []
+    small = np.int32 if known < 1 << 31 else np.int64
     for r in b.itertuples():
         pairs, triples = EliasFano.unpack(r.k2).values().astype(np.int64) + low, EliasFano.unpack(r.k3).values().astype(np.int64)
-        asked.append((pairs, triples // known, triples % known))
+        asked.append((pairs, (triples // known).astype(np.int32), (triples % known).astype(small)))
         n2.append(read_numbers(r.n2, len(pairs)))
         n3.append(read_numbers(r.n3, len(triples)))
         first = pairs // known
@@ -415,7 +416,9 @@ def model_of(b: pd.DataFrame, known: int, low: int) -> tuple[Trie, list[tuple[np
     total2 = np.bincount(place, weights=np.concatenate(n2), minlength=len(every)).astype(np.int64)
     begins = np.cumsum([0, *(len(a[0]) for a in asked)])
     codes, place3 = np.unique(np.concatenate([place[begins[i] + a[1]] * known + a[2] for i, a in enumerate(asked)]), return_inverse=True)
+    del place
     total3 = np.bincount(place3, weights=np.concatenate(n3), minlength=len(codes)).astype(np.int64)
+    del place3, n3
     learnt = total2 > 0
     rank, has3 = np.cumsum(learnt) - 1, total3 > 0
     codes, total3 = codes[has3], total3[has3]
