@@ -32,11 +32,12 @@ def position(bounds: list[tuple], here: Column, types: list[str]) -> Column:
     return F.when(row == 0, 0).otherwise((row - 1) * step + within).cast("int")
 
 
-def ranged(df: DataFrame, keys: list[str], share: Column, ranges: int, samples: int = SAMPLES) -> DataFrame:
+def ranged(df: DataFrame, keys: list[str], share: Column, ranges: int, samples: int = SAMPLES, sent_below: int = 0) -> DataFrame:
     """Adds `coarse` and `fine`: together the range of a row, in the order of the keys.
 
     share: what a row is of a range aimed at, such as its size by the size of a range; rows are drawn in proportion to it.
     The keys aren't null. df is read three times, so it should be written or cheap.
+    sent_below: up to so many ranges the bounds are sent to all tasks and rows stay where they are; for wide rows, where keys are of fixed size. Beyond, rows are joined with them.
     """
     types = [dict(df.dtypes)[k] for k in keys]
     here = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
@@ -53,7 +54,7 @@ def ranged(df: DataFrame, keys: list[str], share: Column, ranges: int, samples:
     table = some.select("coarse", bounds.alias("bounds")).withColumn("step", step).select("coarse", "step", rows.alias("rows"))
     row = F.size(F.filter("rows", lambda r: r[0] <= here))
     fine = F.when(row > 0, (row - 1) * F.col("step") + F.size(F.filter(F.element_at("rows", row), lambda b: b <= here))).otherwise(0)
-    return dealt.join(table, "coarse", "left").withColumn("fine", F.coalesce(fine, F.lit(0)).cast("int")).drop("step", "rows")
+    return dealt.join(F.broadcast(table) if ranges <= sent_below else table, "coarse", "left").withColumn("fine", F.coalesce(fine, F.lit(0)).cast("int")).drop("step", "rows")
 
 
 def with_before(sums: DataFrame, value: str, name: str) -> DataFrame:

@@ -132,6 +132,8 @@ def edited(text: str, following: str) -> str:
 
 #: The order of documents: null ids last, descending ids, rows of one id by a hash of their text, then a number of the row.
 ORDER = ["none", "down", "tie", "row"]
+#: Blocks up to which their bounds (28 bytes each) are sent to all tasks, so that texts are shuffled by block alone.
+SENT_BELOW = 500_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -142,13 +144,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame, rows: int = 4096) -> DataFrame:
     """Documents dealt into blocks of the order, of about `rows`, each followed by the first one of the block after it.
 
-    Columns: block, those of ORDER, doc_id, text, extra (true for that following document). Texts are shuffled by block alone. No two keys are
+    Columns: block, those of ORDER, doc_id, text, extra (true for that following document). Texts are shuffled by block alone (beyond SENT_BELOW blocks they are joined with the bounds as well). No two keys are
     equal, so rows without an id, or with the same one, are split as others are. What the driver gets is a number for each coarse range, the root of the blocks.
     """
     lined = keyed(docs)
     n = lined.count()
     blocks = max(1, 2 * buckets(docs.sparkSession), n // rows)
-    dealt = ranged(lined, ORDER, F.lit(blocks / max(n, 1)), blocks)
+    dealt = ranged(lined, ORDER, F.lit(blocks / max(n, 1)), blocks, sent_below=SENT_BELOW)
     firsts = cut(dealt.groupBy(*RANGE).agg(F.min(F.struct(*ORDER)).alias("key")))
     # Of each range the one before it in the order; before the first one comes the last.
     tops = {r["coarse"]: r["top"] for r in firsts.groupBy("coarse").agg(F.max("fine").alias("top")).collect()}
@@ -160,7 +162,8 @@ def with_next(docs: DataFrame, rows: int = 4096) -> DataFrame:
     before = firsts.withColumn("_fine", within).select(F.coalesce(F.when(F.col("_fine").isNotNull(), F.col("coarse")), at["coarse"]).alias("coarse"), F.coalesce("_fine", at["fine"]).alias("fine"), "key.*")
     # A first row's text by its key. Rows that are alike but for their number may be several; one of them does.
     names = ORDER[:3]
-    found = lined.select("doc_id", "text", *names).join(before.drop("row"), names).groupBy(*RANGE, *names).agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"))
+    few = F.broadcast(before.drop("row")) if blocks <= SENT_BELOW else before.drop("row")
+    found = lined.select("doc_id", "text", *names).join(few, names).groupBy(*RANGE, *names).agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"))
     extra = found.select("doc_id", "text", *names, F.lit(-1).cast("long").alias("row"), *RANGE, F.lit(True).alias("extra"))
     both = dealt.select("doc_id", "text", *ORDER, *RANGE, F.lit(False).alias("extra")).unionByName(extra)
     return both.withColumn("block", F.shiftleft(F.col("coarse").cast("long"), 32) + F.col("fine"))
