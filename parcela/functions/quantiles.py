@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcela.session import cut
+from parcela.session import kept
 
 #: Values to which a part is aimed; parts that the values of a group are dealt into, at least and at most.
 PART_VALUES, FEWEST, MOST = 250_000, 8, 4096
@@ -21,7 +21,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, qs: tuple[float, ...]) -
     rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(by)], F.col(value).cast("double").alias("v"))
     keys = [f"g{i}" for i in range(len(by))] or [F.lit(0).alias("g")]
     names = [f"g{i}" for i in range(len(by))] or ["g"]
-    counted = cut(rows.groupBy(*keys, "v").agg(F.count("*").alias("times")))
+    counted = kept(rows.groupBy(*keys, "v").agg(F.count("*").alias("times")))
     parts = min(MOST, max(FEWEST, counted.count() // PART_VALUES))
     marks = counted.groupBy(*names).agg(F.array_distinct(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10 * parts)).alias("marks"))
     same = [F.col(f"c.{n}").eqNullSafe(F.col(f"m.{n}")) for n in names]

@@ -12,7 +12,7 @@ from parcela.operators import pairs
 from parcela.operators.clean import FENCE, applies_to, expand_intention, outlier_bounds
 from parcela.operators.prep import label_sector
 from parcela.operators.radius import near_pairs
-from parcela.session import cut
+from parcela.session import kept
 
 EDA_EARTH_KM = 6371.0
 PARTITION = ["sector_id", "intention"]
@@ -167,7 +167,7 @@ def price_consistency(df: DataFrame, tolerance: float = 0.01) -> DataFrame:
     kinds = [F.struct(F.lit(i).alias("intention"), applies_to(i).alias("applies"), F.col(f"{i.lower()}_price_sqm").alias("unit"), F.col(f"{i.lower()}_price_total").alias("total"), F.col("area_sqm").alias("area")) for i in INTENTIONS]
     rows = df.select(F.inline(F.array(*kinds))).where("applies and unit is not null and total is not null and area is not null")
     error = F.abs(F.col("total") - F.col("unit") * F.col("area")) / F.nullif("total", F.lit(0.0))
-    told = cut(rows.select("intention", error.alias("error")))
+    told = kept(rows.select("intention", error.alias("error")))
     share = told.groupBy("intention").agg(F.count("*").alias("n"), pct(F.coalesce(F.col("error") <= tolerance, F.lit(False))).alias("pct_consistent"))
     median = quantiles(told, ["intention"], "error", (0.5,)).select("intention", F.col("q")[0].alias("median_error"))
     return share.join(median, "intention", "left")

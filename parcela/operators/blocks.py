@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcela.functions.geo import DEGREE_KM, EARTH_KM, band, column, columns_in
-from parcela.session import cut
+from parcela.session import kept
 
 #: Points of a square at most, and points that ask of a block (expected).
 SQUARE, ASKING = 1024, 256
@@ -34,13 +34,15 @@ def located(df: DataFrame, km: float) -> DataFrame:
 
 
 def squares(points: DataFrame, asking: DataFrame, keys: list[str], km: float) -> tuple[DataFrame, DataFrame]:
-    """points and asking with `square` (a number) and the cell b, c; only rows with coordinates."""
+    """points and asking with `square` (a number) and the cell b, c; only rows with coordinates. Both are read several times, so they should be written."""
     points, asking = located(points, km), located(asking, km)
     places = points.groupBy(*keys, "b", "c", "u", "v").agg(F.count("*").alias("n"))
     at = lambda c, depth: F.expr(f"shiftright({c}, {LAST} - {depth})")
     nodes = places.select(*keys, "b", "c", "u", "v", "n", F.explode(F.sequence(F.lit(0), F.lit(LAST), F.lit(STEP))).alias("depth"))
-    full = cut(nodes.groupBy(*keys, "b", "c", "depth", at("u", "depth").alias("su"), at("v", "depth").alias("sv")).agg(F.sum("n").alias("n")).where(F.col("n") > SQUARE))
+    full = nodes.groupBy(*keys, "b", "c", "depth", at("u", "depth").alias("su"), at("v", "depth").alias("sv")).agg(F.sum("n").alias("n")).where(F.col("n") > SQUARE)
     deepest = full.agg(F.max("depth")).first()[0]
+    if deepest is not None:
+        full = kept(full)
 
     def placed(df: DataFrame, split: bool) -> DataFrame:
         out = df.withColumn("depth", F.lit(0)).withColumn("part", F.lit(0).cast("long"))
@@ -52,7 +54,8 @@ def squares(points: DataFrame, asking: DataFrame, keys: list[str], km: float) ->
             out = out.join(here, [*keys, "b", "c", "u", "v"], "left").withColumn("part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("id"), "_parts")).otherwise(F.lit(0))).drop("_parts")
         return out.withColumn("square", F.xxhash64(*keys, "b", "c", "depth", at("u", "depth"), at("v", "depth"), "part")).drop("u", "v", "depth", "part")
 
-    return placed(points, True), placed(asking, False)
+    whole = (lambda df: df) if deepest is None else kept
+    return whole(placed(points, True)), whole(placed(asking, False))
 
 
 def boxes(df: DataFrame, keys: list[str], name: str, totals: dict[str, Column]) -> DataFrame:
@@ -104,7 +107,9 @@ class Blocks:
 
     def apply(self, run, schema: str) -> DataFrame:
         """run(rows that ask, points) of each block; both have their columns besides block and part."""
-        anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy("block", "part")  # noqa: E731  both may come from one table
+        # Named anew, since both may come from one table; dealt into a stated number, since few bytes may be much work, and Spark would put them into few tasks.
+        parts = int(self.asking.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns]).repartition(parts, "block", "part").groupBy("block", "part")
 
         def of_rows(asking: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
             return run(asking.drop(columns=["block", "part"]), points.drop(columns=["block", "part"]))

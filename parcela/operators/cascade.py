@@ -129,9 +129,10 @@ def recommend(clicks: DataFrame, spots: DataFrame, p: Params = Params()) -> Data
     def run(asking: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         found = [(i, np.sort(at)) for i, at, _, _ in nearest(asking, points, p)] if len(points) else []
         ids, own, cluster = points["id"].to_numpy(), asking["id"].to_numpy(), points["cluster_id"].to_numpy(dtype=float, na_value=np.nan)
-        rows = []
-        for (i, at), like in zip(found, similarities(asking, points, found, p), strict=True):
-            score = like * factors(asking, points, np.full(len(at), i), at, p)
+        rows, sizes = [], [len(at) for _, at in found]
+        each = factors(asking, points, np.repeat([i for i, _ in found], sizes).astype(np.int64), joined([at for _, at in found], np.int64), p)
+        for (i, at), like, factor in zip(found, similarities(asking, points, found, p), np.split(each, np.cumsum(sizes)[:-1]) if sizes else (), strict=True):
+            score = like * factor
             best = chosen(score, cluster[at], p)
             rows.append((np.full(len(best), own[i]), np.arange(1, len(best) + 1), ids[at[best]], score[best]))
         return pd.DataFrame({c: joined([r[k] for r in rows], kind) for k, (c, kind) in enumerate((("click_id", np.int64), ("rank", np.int64), ("spot_id", np.int64), ("score", float)))})

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcela.contract import ContractError
-from parcela.session import cut
+from parcela.session import kept
 
 VARIANCES, KS, RESTARTS, MARGIN = (0.7, 0.8, 0.9, 0.95), tuple(range(4, 13)), 10, 0.01
 #: Rows of a block of the exact silhouette.
@@ -121,7 +121,7 @@ def prepared(df: DataFrame, tab: str | None, text: str, sector: str | None = "se
     """spot_id, sector_id, tab, text (doubles) of rows with text, written once."""
     none = F.lit(None).cast("array<double>")
     rows = df.where(F.col(text).isNotNull())
-    return cut(rows.select("spot_id", (F.col(sector) if sector else F.lit(0)).cast("int").alias("sector_id"), (F.col(tab).cast("array<double>") if tab else none).alias("tab"), F.col(text).cast("array<double>").alias("text")))
+    return kept(rows.select("spot_id", (F.col(sector) if sector else F.lit(0)).cast("int").alias("sector_id"), (F.col(tab).cast("array<double>") if tab else none).alias("tab"), F.col(text).cast("array<double>").alias("text")))
 
 
 def pca_text(df: DataFrame, variance: float, column: str = "nlp_vector") -> DataFrame:
@@ -375,7 +375,7 @@ def searched(rows: DataFrame, variances: tuple[float, ...], ks: tuple[int, ...],
 def exact_silhouette(rows: DataFrame, model: Model) -> float | None:
     """The mean silhouette by Euclidean distance of a model's rows, in tab vector and whole text; null with less than two clusters."""
     mine = rows.where(F.col("sector_id") == model.sector)
-    at = cut(labelled(mine, {model.sector: model}))
+    at = kept(labelled(mine, {model.sector: model}))
     if at.agg(F.min("cluster_id") == F.max("cluster_id")).first()[0] is not False:
         return None
     whole = F.concat(F.coalesce("tab", F.array().cast("array<double>")), F.col("text"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parcela.contract import FEATURES, ContractError
 from parcela.functions.scoring import modality_mask
 from parcela.operators.prep import encoder_text
-from parcela.session import cut
+from parcela.session import kept
 from parcela.sources import versions
 
 # Fixed values of the vectors, in their order. Per sector: columns taken as log(1 + x), columns taken as they are, and binary blocks.
@@ -102,15 +102,17 @@ def encode_text(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]],
             yield pd.DataFrame({"key": b["key"], "nlp_vector": list(np.where(n > 0, v / np.where(n > 0, n, 1), np.nan).astype(np.float32)), "zero": (n == 0).ravel()})
 
     # One of equal texts is encoded; texts are joined back by their 128-bit hash.
+    # Few bytes are much work for an encoder, so texts are dealt into a stated number of tasks, which Spark doesn't merge.
     texts = rows.groupBy("key").agg(F.min("t").alias("t"))
-    encoded = lambda some: some.mapInPandas(run, "key string, nlp_vector array<float>, zero boolean").select("key", F.when(~F.col("zero"), F.col("nlp_vector")).alias("nlp_vector"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    encoded = lambda some: some.repartition(parts, "key").mapInPandas(run, "key string, nlp_vector array<float>, zero boolean").select("key", F.when(~F.col("zero"), F.col("nlp_vector")).alias("nlp_vector"))
     if store is None:
         vectors = encoded(texts)
     else:
         spark = df.sparkSession
         if versions.versions(spark, store):
             texts = texts.join(versions.read(spark, store).select("key"), "key", "left_anti")
-        new = cut(encoded(texts))
+        new = kept(encoded(texts))
         if not new.isEmpty():
             versions.upsert(new, store, "key")
         vectors = versions.read(spark, store) if versions.versions(spark, store) else new

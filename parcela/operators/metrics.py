@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcela.functions.quantiles import quantiles
-from parcela.session import cut
+from parcela.session import kept
 
 
 def gain(grade: Column) -> Column:
@@ -120,7 +120,7 @@ def request_metrics(log: DataFrame, minutes: int = 5, rounded: bool = False, mos
     rows = log.where("event = 'request'").withColumn("window_start", F.window("ts", f"{minutes} minutes")["start"])
     counts = rows.groupBy("window_start").agg(F.count("*").alias("requests"), F.sum((F.col("status") >= 500).cast("long")).alias("errors"))
     latency = three_digits(timed()) if rounded else timed()
-    p95 = cut(quantiles(rows.select("window_start", latency.alias("ms")), ["window_start"], "ms", (0.95,)).select("window_start", F.col("q")[0].alias("p95_ms")))
+    p95 = kept(quantiles(rows.select("window_start", latency.alias("ms")), ["window_start"], "ms", (0.95,)).select("window_start", F.col("q")[0].alias("p95_ms")))
     # Each window's p95 is also told to the next one, so no window of all windows is needed.
     earlier = p95.select((F.col("window_start") + F.expr(f"interval {minutes} minutes")).alias("window_start"), F.col("p95_ms").alias("before"))
     return alarms(counts.join(p95, "window_start", "left").join(earlier, "window_start", "left"), F.col("before"), most_5xx_pct, most_ms)

@@ -14,22 +14,22 @@ from pyspark.sql import functions as F
 from parcela.functions.geo import EARTH_KM
 from parcela.operators import blocks
 from parcela.operators.radius import AT_ONCE, distances
-from parcela.session import cut
+from parcela.session import kept
 
 
 def weighted(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
     """id (a number), keys, latitude, longitude, `more`, weight of the distinct points of rows with coordinates."""
     names = [*keys, "latitude", "longitude", *more]
-    return cut(rows.where("latitude is not null and longitude is not null").groupBy(*names).agg(F.count("*").alias("weight")).withColumn("id", F.xxhash64(*names)))
+    return kept(rows.where("latitude is not null and longitude is not null").groupBy(*names).agg(F.count("*").alias("weight")).withColumn("id", F.xxhash64(*names)))
 
 
 def neighbour_counts(rows: DataFrame, keys: list[str], radii: tuple[float, ...], earth_km: float = EARTH_KM) -> DataFrame:
     """keys, latitude, longitude and within_<r>: how many other rows of equal keys lie within each radius of a row there."""
     km, names = float(max(radii)), [f"within_{r}" for r in radii]
     places = weighted(rows, keys)
-    points, asking = (cut(x) for x in blocks.squares(places, places.drop("weight"), keys, km))
+    points, asking = blocks.squares(places, places.drop("weight"), keys, km)
     there, here = blocks.boxes(points, keys, "square", {"n": F.sum("weight")}), blocks.boxes(asking, keys, "block", {"n": F.count("*")})
-    met = cut(blocks.met(here, there, keys, km, earth_km))
+    met = kept(blocks.met(here, there, keys, km, earth_km))
     whole = met.groupBy("block").agg(*[F.sum(F.when(F.col("most") <= r, F.col("p_n")).otherwise(0)).alias(n) for r, n in zip(radii, names, strict=True)])
     rims = [f"rim_{i}" for i in range(len(radii))]
     open_ones = met.select("block", "n", F.col("p_square").alias("square"), *[((F.col("least") <= r) & (F.col("most") > r)).alias(c) for r, c in zip(radii, rims, strict=True)])
@@ -63,9 +63,9 @@ def ratio_quantiles(rows: DataFrame, keys: list[str], value: str, km: float, qs:
     the sums of blocks tell which of them is wanted. What leaves a block are counts of the bits that it has met. Rows with a positive value take part.
     """
     places = weighted(rows.where(F.col(value) > 0), keys, value)
-    points, asking = (cut(x) for x in blocks.squares(places, places, keys, km))
+    points, asking = blocks.squares(places, places, keys, km)
     there, here = blocks.boxes(points, keys, "square", {}), blocks.boxes(asking, keys, "block", {"n": F.count("*")})
-    needs = cut(blocks.met(here, there, keys, km, earth_km).select("block", "n", F.col("p_square").alias("square"), (F.col("most") <= km).alias("whole")))
+    needs = kept(blocks.met(here, there, keys, km, earth_km).select("block", "n", F.col("p_square").alias("square"), (F.col("most") <= km).alias("whole")))
     columns = ["id", "latitude", "longitude", value, "weight", "square", "b", "c"]
     met = blocks.gathered(asking.select(*columns), points.select(*columns), needs, ["whole"])
     low, high = outside
@@ -107,7 +107,7 @@ def ratio_quantiles(rows: DataFrame, keys: list[str], value: str, km: float, qs:
     n = beyond = 0
     for k, shift in enumerate(SHIFTS):
         begin = SHIFTS[k - 1] if k else 64
-        counted = cut(met.apply(counting(shift, begin, found), "digits long, n long").groupBy("digits").agg(F.sum("n").alias("n")))
+        counted = kept(met.apply(counting(shift, begin, found), "digits long, n long").groupBy("digits").agg(F.sum("n").alias("n")))
         if not k:
             n, beyond = counted.agg(F.sum(F.when(F.col("digits") >= 0, F.col("n"))), F.sum(F.when(F.col("digits") < 0, F.col("n")))).first()
             counted = counted.where("digits >= 0")

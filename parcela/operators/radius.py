@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parcela.functions.geo import EARTH_KM, cell, cells_around, haversine_km
 from parcela.functions.scoring import Params
 from parcela.operators import blocks
-from parcela.session import cut
+from parcela.session import kept
 
 
 def near_pairs(left: DataFrame, right: DataFrame, km: float, keys: list[str], left_id: str, right_id: str, keep_left: list[str] = [], keep_right: list[str] = [], earth_km: float = EARTH_KM) -> DataFrame:  # noqa: B006
@@ -87,13 +87,13 @@ def candidate_blocks(clicks: DataFrame, spots: DataFrame, p: Params, keep_clicks
     asking = clicks.where("modality_mask is not null").select(F.col("spot_id").alias("id"), *names, *keep_clicks)
     alike = Window.partitionBy(*names).orderBy("id")
     found = spots.where("is_candidate and modality_mask <> 0 and latitude is not null and longitude is not null").select(F.col("spot_id").alias("id"), *names)
-    found = found.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= most).drop("_n")
-    points, asked = (cut(x) for x in blocks.squares(found, asking.select("id", *names), ["sector_id"], km))
+    found = kept(found.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= most).drop("_n"))
+    points, asked = blocks.squares(found, kept(asking.select("id", *names)), ["sector_id"], km)
     kind = lambda m: F.count(F.when(F.col("modality_mask").bitwiseAND(F.lit(m)) != 0, 1))
     kinds = (1, 2, 3)
     there = blocks.boxes(points, ["sector_id"], "square", {f"n{m}": kind(m) for m in kinds})
     here = blocks.boxes(asked, ["sector_id"], "block", {"n": F.count("*"), **{f"has{m}": F.max(F.col("modality_mask") == m) for m in kinds}})
-    needs = cut(blocks.nearest_needs(blocks.met(here, there, ["sector_id"], km), most, km, [(f"has{m}", f"p_n{m}") for m in kinds]))
+    needs = kept(blocks.nearest_needs(blocks.met(here, there, ["sector_id"], km), most, km, [(f"has{m}", f"p_n{m}") for m in kinds]))
     whole = lambda df, source, columns: df.join(source, "id") if columns else df
     named = lambda df, columns: df.select(F.col("spot_id").alias("id"), *columns)
     return blocks.gathered(whole(asked.drop("sector_id"), named(clicks, keep_clicks), keep_clicks), whole(points.drop("sector_id"), named(spots, keep_spots), keep_spots), needs)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parcela import contract
 from parcela.operators import clean, features, gate, ingest, prep
-from parcela.session import cut
+from parcela.session import kept
 from parcela.sources import tables
 
 
@@ -29,10 +29,10 @@ def bronze(spots_raw: DataFrame, attributes_raw: DataFrame, baseline: DataFrame)
     """Good rows, rows set aside with their reasons, and warnings; raises where a value can't be read or a key is repeated."""
     parsed = []
     for raw, fields in ((spots_raw, contract.SPOTS), (attributes_raw, contract.ATTRIBUTES)):
-        rows = cut(ingest.parse_with_faults(raw, fields))  # the only pass over a file
+        rows = kept(ingest.parse_with_faults(raw, fields))  # the only pass over a file
         ingest.check_faults(rows, fields)
         parsed.append(rows.drop(ingest.FAULTS))
-    both = cut(ingest.joined(*parsed))
+    both = kept(ingest.joined(*parsed))
     joined = both.where("_l").drop("_l", "_r")
     ingest.check_unique(joined)
     met = ingest.met(both).first()
@@ -50,16 +50,16 @@ def layers(spots_raw: DataFrame, attributes_raw: DataFrame, catalog: DataFrame,
     good, bad, warnings = bronze(spots_raw, attributes_raw, ingest.null_baseline(spots_raw.sparkSession) if baseline is None else baseline)
     ingest.check_schema(good, contract.BRONZE)
     rows = good.count()
-    silver = cut(clean.silver(good, catalog))
+    silver = kept(clean.silver(good, catalog))
     ingest.check_schema(silver, contract.SILVER)
     warnings += clean.check_silver(silver, rows)
-    gold = cut(prep.gold(silver))
+    gold = kept(prep.gold(silver))
     ingest.check_schema(gold, contract.GOLD)
     gold_rows, described = gold.agg(F.count("*"), F.coalesce(F.sum(F.col("has_description").cast("long")), F.lit(0))).first()
     if gold_rows != rows:
         raise contract.ContractError(f"gold has {gold_rows} rows, silver {rows}")
     warnings += [f"{r.column_name}: {r.n} values off their domain" for r in prep.domain_nulls(silver).where("n > 0").collect()]
-    table = cut(features.features(gold, make_encoder, store))
+    table = kept(features.features(gold, make_encoder, store))
     ingest.check_schema(table, contract.FEATURES)
     warnings += gate.check_features(table, gold_rows, described)
     unknown = prep.unknown_codes(gold).count()

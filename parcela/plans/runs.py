@@ -15,7 +15,7 @@ from parcela import contract
 from parcela.functions.scoring import Params
 from parcela.operators import audit, cascade, cluster, features, gate, metrics
 from parcela.plans import build
-from parcela.session import cut
+from parcela.session import kept
 from parcela.sources import tables, versions
 from parcela.streaming.requests import weekly_window
 
@@ -72,13 +72,13 @@ def train(spark: SparkSession, root: str, run_id: str, judgments: DataFrame | No
     """
     since = versions.manifest(spark, f"{root}/features")["version"]
     table = versions.read(spark, f"{root}/features", since)
-    candidates = cut(table.where("is_candidate").select("spot_id", "sector_id", "tab_vector", "nlp_vector"))
+    candidates = kept(table.where("is_candidate").select("spot_id", "sector_id", "tab_vector", "nlp_vector"))
     found = cluster.cluster_candidates(candidates, **grid)
     champion, old = pointer(spark, root, "champion"), None
     if champion is not None:
         old = cluster.score_models(candidates, cluster.models_of(spark.read.parquet(f"{root}/runs/{champion}/models")))
-    report = cut(cluster.promotion_report(found.scores, old))
-    whole = cut(features.assign_clusters(table, cut(found.clusters)))
+    report = kept(cluster.promotion_report(found.scores, old))
+    whole = kept(features.assign_clusters(table, kept(found.clusters)))
     refused = [(r["finding"], r["n"]) for r in gate.feature_gate(whole).where("n > 0").collect()]
     if refused:
         raise contract.ContractError(f"the feature table can't be published: {refused}")
@@ -86,7 +86,7 @@ def train(spark: SparkSession, root: str, run_id: str, judgments: DataFrame | No
     if judgments is not None:
         clicks = whole.select("spot_id").join(judgments.select("spot_id").distinct(), "spot_id", "left_semi")
         answers = cascade.recommend(clicks, whole, p).select(F.col("click_id").alias("spot_id"), F.col("spot_id").alias("recommended_spot_id"), "rank")
-        scores = cut(metrics.ranking_scores(answers, clicks, judgments))
+        scores = kept(metrics.ranking_scores(answers, clicks, judgments))
         tables.write_scores_csv(scores, root, run_id, SCORES)
     tables.write_run(cluster.model_table(spark, found.models), root, run_id, "models")
     tables.write_run(report, root, run_id, "report")
@@ -125,8 +125,8 @@ def week(spark: SparkSession, root: str, log: DataFrame, judgments: DataFrame, e
 
     What training measured is the mean of the run's benchmark scores; null where it has none.
     """
-    groups = cut(metrics.click_groups(weekly_window(tables.answered(log), end)))
-    scores = cut(metrics.weekly_scores(groups, judgments))
+    groups = kept(metrics.click_groups(weekly_window(tables.answered(log), end)))
+    scores = kept(metrics.weekly_scores(groups, judgments))
     trained = spark.createDataFrame([], "run_id string, recall double, ndcg double")
     names = [r["run_id"] for r in scores.select("run_id").collect()]  # runs that answered in this week: few
     for name in names:
@@ -134,9 +134,9 @@ def week(spark: SparkSession, root: str, log: DataFrame, judgments: DataFrame, e
         if fs.exists(where):
             one = spark.read.schema("spot_id long, recall double, ndcg double").option("header", True).csv(f"{root}/runs/{name}/{SCORES}")
             trained = trained.unionByName(one.agg(F.coalesce(F.avg("recall"), F.lit(0.0)).alias("recall"), F.coalesce(F.avg("ndcg"), F.lit(0.0)).alias("ndcg")).select(F.lit(name).alias("run_id"), "recall", "ndcg"))
-    trained = cut(trained)
+    trained = kept(trained)
     day = F.to_date(F.lit(end))
-    report = cut(metrics.weekly_report(scores, trained, F.date_sub(day, 7).cast("string"), day.cast("string")))
+    report = kept(metrics.weekly_report(scores, trained, F.date_sub(day, 7).cast("string"), day.cast("string")))
     for name in names:
         tables.write_scores_csv(report.where(F.col("run_id") == name), root, name, f"metrics/weekly_{end}")
     live = pointer(spark, root, "production")

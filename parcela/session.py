@@ -37,3 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialised in the shared checkpoint folder, without its lineage."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Written as Parquet to a folder of its own below the shared checkpoint folder and read from there: one pass, and what reads it knows its size and takes only the columns it needs."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
