@@ -89,12 +89,18 @@ def ratio_quantiles(rows: DataFrame, keys: list[str], value: str, km: float, qs:
                 times[:, :rim][far > km] = 0
                 bits = ratio.view(np.int64)
                 keep = times > 0
-                if wanted is not None:
-                    keep &= np.isin(bits >> begin, wanted)
-                else:
+                if wanted is None:  # few different bits: counted in a table
                     beyond += int(times[(ratio < low) | (ratio > high)].sum())
-                digits, place = np.unique(bits[keep] >> shift, return_inverse=True)
-                held.append((digits, np.bincount(place, times[keep], len(digits)).astype(np.int64)))
+                    heads, n = bits[keep] >> shift, times[keep]
+                    least = int(heads.min()) if len(heads) else 0
+                    table = np.bincount(heads - least, n)
+                    digits = np.flatnonzero(table)
+                    held.append((digits + least, table[digits].astype(np.int64)))
+                else:  # few ratios
+                    begins = bits >> begin
+                    keep &= wanted[np.minimum(np.searchsorted(wanted, begins), len(wanted) - 1)] == begins
+                    digits, place = np.unique(bits[keep] >> shift, return_inverse=True)
+                    held.append((digits, np.bincount(place, times[keep], len(digits)).astype(np.int64)))
             digits, place = np.unique(np.concatenate([d for d, _ in held] or [np.empty(0, np.int64)]), return_inverse=True)
             n = np.bincount(place, np.concatenate([t for _, t in held] or [np.empty(0)]), len(digits)).astype(np.int64)
             if wanted is None:
