@@ -14,14 +14,16 @@ empty). Two are linked if 100 * |intersection| >= percent * |union|.
    The nodes that aren't in the pivot's component are compared with all of the bucket's, block by block: a block's
    sets become a matrix of 0 and 1 and all its intersections one product. Only links that join
    components leave a block. No pair is ever a row, and no block holds more than 2 * BLOCK sets.
+   Where those nodes fill more than one block, a node leaves the bucket first if too much of its set is in no other set of
+   such buckets: a link needs percent of each of its two sets in common. One count of shingles tells this.
 5. Components by alternating star contractions, on edges in Spark.
 
 Rows, not ids, are what is linked: rows without an id, or with the same one, are told apart. A component is
 named by its least doc_id, and one of its rows is chosen to stand for it, that of the least doc_id.
 
-Step 4 costs, within a bucket, as many copies of sets as the nodes that aren't near the pivot fill blocks. Where very
-many pages are made of one template, share more than half of their shingles and aren't linked, buckets grow with
-the family and so does this factor.
+Step 4 costs, within a bucket, as many copies of sets as the nodes that aren't near the pivot fill blocks. Pages of one
+template with words of their own leave their buckets before that, so their cost is linear. Only where very many pages are mixed
+from parts that others have too, and still aren't linked, does this factor grow with the family.
 
 Defined cases: documents with empty sets are linked with nothing, and each stays; a null text is empty. A row
 without an id gets the component of the rows that it is linked with, null if none of them has an id, and is kept only
@@ -241,6 +243,32 @@ def block_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return spread.groupBy("p", "x", "y").applyInPandas(run, "p long, a long")
 
 
+def lonely(sets: DataFrame, percent: int) -> DataFrame:
+    """Of sets (id, shingles): the ids of those that can't be linked with any other of them, since less than percent of their shingles are in another one."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi in slices(list(b["shingles"]), 1 << 22):
+                part = b.iloc[lo:hi]
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), [len(s) // 8 for s in part["shingles"]]), "shingle": np.frombuffer(b"".join(part["shingles"]), np.int64)})
+
+    # A shingle of one set names this set, so nothing is joined back, and a shingle of very many sets is counted before it is shuffled.
+    alone = sets.mapInPandas(run, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    return sets.select("id", (F.length("shingles") / 8).cast("long").alias("size")).join(alone, "id").where(100 * (F.col("size") - F.col("alone")) < percent * F.col("size")).select("id")
+
+
+def narrowed(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """groups (p, a, comp, near) without the nodes of wide ones that are linked with nothing in there; wide: more than one block isn't near the pivot."""
+    wide = cut(groups.groupBy("p").agg(F.sum((~F.col("near")).cast("long")).alias("rest")).where(F.col("rest") > BLOCK).select("p"))
+    if wide.isEmpty():
+        return groups
+    flagged = cut(groups.join(wide.withColumn("wide", F.lit(True)), "p", "left"))
+    among = flagged.where("wide").select(F.col("a").alias("id")).distinct()
+    # A set is lonely among all wide groups, hence in each of them, but maybe not in a group whose other sets weren't counted.
+    leave = cut(lonely(sets.join(among, "id", "left_semi"), percent)).select(F.col("id").alias("a"), F.lit(True).alias("wide"))
+    return cut(flagged.join(leave, ["a", "wide"], "left_anti").select(*groups.columns))
+
+
 #: Edges to which a partition of a graph is aimed.
 PART_EDGES = 250_000
 
@@ -290,7 +318,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wide = comp.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1 and n > 2").select("band")
     pivots = comp.where("a = p").select("p", F.col("comp").alias("pc")).distinct()
     groups = cut(comp.join(wide, "band").select("p", "a", "comp").distinct().join(pivots, "p").select("p", "a", "comp", (F.col("comp") == F.col("pc")).alias("near")))
-    more = cut(block_links(groups, sets, percent))
+    more = cut(block_links(narrowed(groups, sets, percent), sets, percent))
     second = components(stars.unionByName(more)) if not more.isEmpty() else first
     named = nodes.select("k1", "k2", "node", "doc_id").join(second, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node"))

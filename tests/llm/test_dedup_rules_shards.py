@@ -93,6 +93,39 @@ def test_pages_of_one_template_that_are_not_linked(spark, monkeypatch):
     assert out == slow_components(rows) and out[500][1] == 7
 
 
+def test_pages_with_words_of_their_own_leave_wide_groups(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(5)
+    template = range(100)
+    sets = {i: {*template, *(rng.randrange(1000, 1 << 60) for _ in range(60))} for i in range(200)}
+    sets[200] = {*sets[7], 1}  # linked with a page
+    sets[201] = {*range(100, 160), *range(5)}  # only in a group that isn't wide, as is what it is linked with
+    sets[202] = {*sets[201], 2000}
+    rows = [(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in sets.items()]
+    frame = spark.createDataFrame(rows, "id long, shingles binary")
+    groups = [(0, i, i, i == 0) for i in range(201)] + [(300, i, i, False) for i in (3, 201, 202)]
+    groups = spark.createDataFrame(groups, "p long, a long, comp long, near boolean")
+    left = sorted((r.p, r.a) for r in neardup.narrowed(groups, frame, 85).collect())
+    assert left == [(0, 7), (0, 200), (300, 3), (300, 201), (300, 202)]
+    links = lambda g: {tuple(sorted((r.p, r.a))) for r in neardup.block_links(g, frame, 85).collect()}
+    assert links(neardup.narrowed(groups, frame, 85)) == links(groups) == {(7, 200), (201, 202)}
+    few = groups.where("p = 300")
+    assert neardup.narrowed(few, frame, 85).count() == 3 and neardup.narrowed(few.where("false"), frame, 85).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_what_is_lonely_has_no_link(spark, seed):
+    rng = random.Random(seed)
+    sets = [set(rng.sample(range(60), rng.randrange(1, 20))) | {rng.randrange(100, 400) for _ in range(rng.randrange(4))} for _ in range(120)]
+    sets += [s | {1000 + k} for k, s in enumerate(sets[:20])]
+    rows = [(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in enumerate(sets)]
+    found = {r.id for r in neardup.lonely(spark.createDataFrame(rows, "id long, shingles binary"), 85).collect()}
+    elsewhere = lambda i: sum(any(x in t for j, t in enumerate(sets) if j != i) for x in sets[i])
+    assert found == {i for i, s in enumerate(sets) if 100 * elsewhere(i) < 85 * len(s)} and found
+    linked = {i for i, s in enumerate(sets) for j, t in enumerate(sets) if i != j and 100 * len(s & t) >= 85 * len(s | t)}
+    assert linked and not linked & found
+
+
 def test_a_very_long_text_has_its_near_copy_found(spark):
     words = [f"w{i % 50_021}" for i in range(60_000)]
     rows = [(1, " ".join(words), "", 0, 0), (2, " ".join([*words[:500], "x", *words[500:]]), "", 0, 0), (3, " ".join(words[:30_000]), "", 0, 0)]
