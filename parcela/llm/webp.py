@@ -19,6 +19,7 @@ give repeated results; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -65,43 +66,50 @@ MIRROR = mirror_table(MOST_BITS)
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """The codes of a prefix code with these lengths, as they stand in the stream (first bit lowest)."""
-    lengths = lengths.astype(np.int64)
-    used = np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")]
+    lengths = lengths.astype(np.int64, copy=False)
+    used = lengths.nonzero()[0]
+    order = used[lengths[used].argsort(kind="stable")]
     step = np.int64(1) << (MOST_BITS - lengths[order])
     codes = np.zeros(len(lengths), np.int64)
-    codes[order] = MIRROR[np.cumsum(step) - step]
+    codes[order] = MIRROR[step.cumsum() - step]
     return codes
 
 
+@lru_cache(maxsize=MOST_BITS + 1)
+def mirrored(bits: int) -> np.ndarray:
+    return MIRROR[: 1 << bits] >> (MOST_BITS - bits)
+
+
 class Code:
-    """A prefix code as a table over the next `bits` bits: symbol and length."""
+    """A prefix code as a table over the next `bits` bits: length and, above its 4 bits, symbol."""
 
-    def __init__(self, lengths: np.ndarray):
-        self.used = used = np.flatnonzero(lengths)
+    def __init__(self, coded: bytes):
+        lengths = np.frombuffer(coded, np.uint8)
+        used = lengths.nonzero()[0]
         if not len(used):
             raise ValueError("a prefix code without symbols")
         self.only, self.plain = int(used[0]) if len(used) == 1 else None, None
-        self.bits = bits = 0 if self.only is not None else int(lengths.max())
+        self.bits = bits = 0 if self.only is not None else max(coded)
         if self.only is not None:
-            self.symbol, self.length = used.astype(np.int32), np.zeros(1, np.int32)
+            self.table = used << 4
             return
-        order = used[np.argsort(lengths[used], kind="stable")]
-        times = np.int64(1) << (bits - lengths[order])
+        sizes = lengths[used]
+        order = sizes.argsort(kind="stable")
+        sizes = sizes[order].astype(np.int64)
+        times = np.int64(1) << (bits - sizes)
         if times.sum() != 1 << bits:
             raise ValueError("a prefix code that isn't complete")
-        self.symbol = np.repeat(order.astype(np.int32), times)[MIRROR[: 1 << bits] >> (MOST_BITS - bits)]
-        self.length = lengths.astype(np.int32)[self.symbol]
+        self.table = (used[order] << 4 | sizes).repeat(times)[mirrored(bits)]
 
     def lists(self) -> tuple[list[int], list[int]]:
         if self.plain is None:
-            self.plain = self.symbol.tolist(), self.length.tolist()
+            self.plain = (self.table >> 4).tolist(), (self.table & 15).tolist()
         return self.plain
 
 
 @lru_cache(maxsize=64)
 def code_of(lengths: bytes) -> Code:
-    return Code(np.frombuffer(lengths, np.int64))
+    return Code(lengths)
 
 
 class Reader:
@@ -127,23 +135,25 @@ class Reader:
 
 
 def read_code(r: Reader, size: int) -> Code:
-    lengths = np.zeros(size, np.int64)
+    lengths = bytearray(size)
     if r.read(1):
         two, wide = r.read(1), r.read(1)
         lengths[r.read(8 if wide else 1)] = 1
         if two:
             lengths[r.read(8)] = 1
-        return code_of(lengths.tobytes())
-    of_lengths = np.zeros(19, np.int64)
-    for k in LENGTH_ORDER[: 4 + r.read(4)]:
-        of_lengths[k] = r.read(3)
-    code = code_of(of_lengths.tobytes())
+        return code_of(bytes(lengths))
+    of_lengths, told = bytearray(19), 4 + r.read(4)
+    ahead = int.from_bytes(r.data[r.at >> 3 : (r.at >> 3) + 8], "little") >> (r.at & 7)  # 57 bits at most
+    for i, k in enumerate(LENGTH_ORDER[:told]):
+        of_lengths[k] = ahead >> 3 * i & 7
+    r.at += 3 * told
+    code = code_of(bytes(of_lengths))
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else size
     symbols, sizes, mask = *code.lists(), (1 << code.bits) - 1
     at, last = 0, 8
     while at < size and left:
         # A symbol and its extra bits take 22 bits at most; so many are taken out of the stream at once.
-        some = min(left, 128)
+        some = min(left, 48)
         ahead, used = int.from_bytes(r.data[r.at >> 3 : (r.at >> 3) + 3 * some + 2], "little") >> (r.at & 7), 0
         for _ in range(some):
             i = (ahead >> used) & mask
@@ -151,7 +161,9 @@ def read_code(r: Reader, size: int) -> Code:
             s = symbols[i]
             if s < 16:
                 lengths[at] = s
-                at, last = at + 1, s or last
+                at += 1
+                if s:
+                    last = s
             else:
                 more = (2, 3, 7)[s - 16]
                 n = (11 if s == 18 else 3) + ((ahead >> used) & ((1 << more) - 1))
@@ -159,7 +171,7 @@ def read_code(r: Reader, size: int) -> Code:
                 if at + n > size:
                     raise ValueError("code lengths beyond the alphabet")
                 if s == 16:
-                    lengths[at : at + n] = last
+                    lengths[at : at + n] = bytes((last,)) * n
                 at += n
             left -= 1
             if at >= size:
@@ -167,85 +179,96 @@ def read_code(r: Reader, size: int) -> Code:
         r.at += used
         if r.at > r.end:
             raise ValueError("the data end within an image")
-    return Code(lengths)
+    return Code(bytes(lengths))
 
 
 #: Of each length or distance prefix: how many bits follow, and the value without them.
 EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(40)])
 EXTRA_MASK = (np.uint64(1) << EXTRA.astype(np.uint64)) - np.uint64(1)
+EIGHT = np.arange(8, dtype=np.int32)
 LEAST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)])
 
 
+@lru_cache(maxsize=64)
+def near_distances(width: int) -> np.ndarray:
+    """What the short distance codes mean in an image of this width."""
+    return np.array([0, *[max(1, x + y * width) for x, y in NEAR]])
+
+
 def green_only(r: Reader, green: Code, far: Code, width: int, n: int) -> np.ndarray:
     """n values of one code with back-references, a stretch of the stream at a time."""
     if green.only is not None and green.only < LITERALS:
         return np.full(n, green.only, np.uint8)
-    out, have, near = bytearray(n), 0, np.array([0, *[max(1, x + y * width) for x, y in NEAR]])
+    out, have, near = bytearray(n), 0, near_distances(width)
     mask, far_mask = np.int32((1 << green.bits) - 1), np.uint64((1 << far.bits) - 1)
-    table, far_steps = green.length | green.symbol << 4, far.length + EXTRA[far.symbol].astype(np.int32)
+    table, of_far, far_length = green.table.astype(np.int32), far.table >> 4, far.table & 15
+    far_steps = far_length + EXTRA[of_far]
     while have < n:
         base = r.at >> 3
         data = np.frombuffer(r.data[base : base + STRETCH + 16] + bytes(24), np.uint8)
         word, near_word = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,)), np.ndarray((len(data) - 7,), "<i4", data, 0, (1,))
         end = 8 * min(STRETCH, max(0, len(r.data) - base))
         bits = lambda at, m: (word[at >> 3] >> (at & 7).astype(np.uint64)) & m  # noqa: E731, B023
-        seen = ((near_word[: end >> 3, None] >> np.arange(8, dtype=np.int32)) & mask).reshape(-1)  # a code has 15 bits at most
-        known = table[seen]  # length and, above it, symbol
-        step = (known & 15) + np.arange(end, dtype=np.int32)
-        copies = np.flatnonzero(known >= LITERALS << 4)
+        seen = near_word[: end >> 3, None] >> EIGHT
+        seen &= mask  # a code has 15 bits at most
+        known = table.take(seen.reshape(-1))  # length and, above it, symbol
+        reach = np.arange(end + 1)
+        reach[:end] += known & 15
+        copies = (known >= LITERALS << 4).nonzero()[0]
         if len(copies):
-            kind = (known[copies] >> 4) - LITERALS
-            if int(kind.max()) >= LENGTHS:
-                raise ValueError("a cache symbol without a cache")
-            at = np.minimum(step[copies] + EXTRA[kind], end + 64)
-            step[copies] = at + far_steps[bits(at, far_mask).astype(np.int64)]
-        reach = np.append(np.minimum(step, end), np.int32(end))
-        jump = reach[reach]
-        for _ in range(2):
-            jump = jump[jump]
+            at = np.minimum(reach[copies] + EXTRA[(known[copies] >> 4) - LITERALS], end + 64)
+            reach[copies] = at + far_steps[bits(at, far_mask).astype(np.int64)]
+        jump = np.minimum(reach, end)
+        step, reach = reach, jump
+        for _ in range(3):
+            jump = jump.take(jump)
         starts, p, follow = [], r.at & 7, memoryview(jump)
         while p < end:
             starts.append(p)
             p = follow[p]
         if not starts:
             raise ValueError("the data end within an image")
-        chain = np.empty((len(starts), 8), np.int32)
-        chain[:, 0] = starts
+        chain = np.empty((8, len(starts)), np.int64)
+        chain[0] = starts
         for k in range(1, 8):
-            chain[:, k] = reach[chain[:, k - 1]]
-        chain = chain.reshape(-1)
-        chain = chain[: int(np.searchsorted(chain, end))].astype(np.int64)
-        known = known[chain]
-        symbol, taken = known >> 4, known & 15
-        found, size = symbol, np.ones(len(chain), np.int64)
-        back = np.flatnonzero(found >= LITERALS)
-        if len(back):
-            kind, at = found[back] - LITERALS, chain[back] + taken[back]
+            chain[k] = reach.take(chain[k - 1])
+        chain = chain.T.reshape(-1)
+        chain = chain[: int(chain.searchsorted(end))]
+        known = known.take(chain)
+        found = known >> 4
+        back = (found >= LITERALS).nonzero()[0] if len(copies) else copies
+        if not len(back):
+            found = found[: n - have]
+            chain = chain[: len(found)]
+            out[have : have + len(found)] = found.astype(np.uint8).tobytes()
+            have += len(found)
+        else:
+            size = np.ones(len(chain), np.int64)
+            kind, at = found[back] - LITERALS, chain[back] + (known[back] & 15)
             size[back] = LEAST[kind] + bits(at, EXTRA_MASK[kind]).astype(np.int64)
             at = np.minimum(at + EXTRA[kind], end + 64)
             code = bits(at, far_mask).astype(np.int64)
-            of = far.symbol[code]
-            at = np.minimum(at + far.length[code], end + 64)
+            of = of_far[code]
+            at = np.minimum(at + far_length[code], end + 64)
             distance = LEAST[of] + bits(at, EXTRA_MASK[of]).astype(np.int64)
             distance = np.where(distance > len(NEAR), distance - len(NEAR), near[np.minimum(distance, len(NEAR))])
-        ends = have + np.cumsum(size)
-        many = int(np.searchsorted(ends, n)) + 1  # tokens that are part of the image
-        if many <= len(ends):
-            found, size, ends, chain = found[:many], size[:many], ends[:many], chain[:many]
-        plain = np.flatnonzero(found < LITERALS)
-        np.frombuffer(out, np.uint8)[ends[plain] - 1] = found[plain]
-        if len(back):
-            back = back[: int(np.searchsorted(back, len(ends)))]
-            distance = distance[: len(back)]
-            begin = ends[back] - size[back]
-            if (distance > begin).any() or (len(ends) and ends[-1] > n):
+            ends = have + size.cumsum()
+            many = int(ends.searchsorted(n)) + 1  # tokens that are part of the image
+            if many <= len(ends):
+                found, size, ends, chain = found[:many], size[:many], ends[:many], chain[:many]
+                back = back[: int(back.searchsorted(many))]
+                distance = distance[: len(back)]
+            length = size[back]
+            begin = ends[back] - length
+            if (distance > begin).any() or ends[-1] > n:
                 raise ValueError("a back-reference beyond the image")
-            for at, length, far_back in zip(begin.tolist(), size[back].tolist(), distance.tolist(), strict=True):
-                if length <= far_back:
-                    out[at : at + length] = out[at - far_back : at - far_back + length]
+            out[have : int(ends[-1])] = found.astype(np.uint8).repeat(size).tobytes()  # what copies cover is written next
+            for at, many, far_back in zip(begin.tolist(), length.tolist(), distance.tolist(), strict=True):
+                if many <= far_back:
+                    out[at : at + many] = out[at - far_back : at - far_back + many]
                 else:
-                    out[at : at + length] = (out[at - far_back : at] * (length // far_back + 1))[:length]
-        have = int(ends[-1])
+                    out[at : at + many] = (out[at - far_back : at] * (many // far_back + 1))[:many]
+            have = int(ends[-1])
         r.at = 8 * base + int(step[chain[-1]])
         if r.at > r.end:
             raise ValueError("the data end within an image")
@@ -379,7 +402,7 @@ def undo_cross(argb: np.ndarray, width: int, elements: np.ndarray, bits: int) ->
 
 def undo_green(argb: np.ndarray) -> np.ndarray:
     green = (argb >> 8) & 255
-    return (argb & 0xFF00FF00) | (((argb >> 16) + green) & 255) << 16 | ((argb + green) & 255)
+    return (argb & 0xFF00FF00) | ((argb & 0x00FF00FF) + green * 0x00010001) & 0x00FF00FF  # red and blue at once
 
 
 def undo_palette(argb: np.ndarray, width: int, height: int, colours: np.ndarray, bits: int) -> np.ndarray:
@@ -457,41 +480,65 @@ class Writer:
 
 def code_lengths(counts: list[int]) -> list[int]:
     """Huffman code lengths of at most 15 bits, for two symbols or more, by two queues: the symbols and the pairs made, both rising."""
-    used = sorted((n, i) for i, n in enumerate(counts) if n)
+    used = sorted([i for i, n in enumerate(counts) if n], key=counts.__getitem__)
+    weight, none = [counts[i] for i in used], float("inf")
     while True:
-        weight = [n for n, _ in used]
-        leaves, parent, a, b = len(weight), [0] * (2 * len(weight) - 1), 0, len(weight)
-        for made in range(leaves, 2 * leaves - 1):
+        pairs = len(weight) - 1
+        leaf, made = [*weight, none], [none] * (pairs + 1)
+        over, above, a, b = [0] * (pairs + 1), [0] * pairs, 0, 0
+        for k in range(pairs):
             total = 0
             for _ in (0, 1):
-                if a < leaves and (b >= made or weight[a] <= weight[b]):
-                    k, a = a, a + 1
+                x, y = leaf[a], made[b]
+                if x <= y:
+                    over[a] = k
+                    a += 1
+                    total += x
                 else:
-                    k, b = b, b + 1
-                parent[k] = made
-                total += weight[k]
-            weight.append(total)
-        depth = [0] * (2 * leaves - 1)
-        for k in range(2 * leaves - 3, -1, -1):
-            depth[k] = depth[parent[k]] + 1
+                    above[b] = k
+                    b += 1
+                    total += y
+            made[k] = total
+        depth = [1] * pairs  # of what is below a pair
+        for k in range(pairs - 2, -1, -1):
+            depth[k] = depth[above[k]] + 1
         if max(depth) <= MOST_BITS:
             break
-        used = [((n + 1) // 2, i) for n, i in used]
+        weight = [(n + 1) // 2 for n in weight]
     lengths = [0] * len(counts)
-    for (_, i), d in zip(used, depth, strict=False):
-        lengths[i] = d
+    for i, k in zip(used, over, strict=True):
+        lengths[i] = depth[k]
     return lengths
 
 
 #: The code for code lengths: those up to 13 have 4 bits, 14, 15 and the runs of zeros (17, 18) have 5.
 RUN_LENGTHS = np.array([4] * 14 + [5, 5, 0, 5, 5])
 RUN_CODES = canonical(RUN_LENGTHS).tolist()
+#: A code by code lengths, 19 of them for the lengths themselves (3 bits each), and the whole alphabet: the value and its bits.
+RUN_HEAD = 15 << 1 | sum(int(RUN_LENGTHS[k]) << (5 + 3 * i) for i, k in enumerate(LENGTH_ORDER)), 5 + 3 * 19 + 1
 
 
 def put_only(w: Writer, symbol: int) -> None:
     w.put(1 | 1 << 2 | symbol << 3, 11)
 
 
+@lru_cache(maxsize=512)
+def zeros(n: int) -> tuple[int, int]:
+    """The code for n code lengths of 0, and its bits."""
+    w = Writer()
+    while n:
+        run = min(n, 138)
+        if run >= 11:
+            w.put(RUN_CODES[18] | (run - 11) << 5, 12)
+        elif run >= 3:
+            w.put(RUN_CODES[17] | (run - 3) << 5, 8)
+        else:
+            run = 1
+            w.put(RUN_CODES[0], 4)
+        n -= run
+    return w.value, w.size
+
+
 def put_code(w: Writer, lengths: list[int], size: int) -> None:
     used = [i for i, n in enumerate(lengths) if n]
     if len(used) <= 2 and used[-1] < 256:
@@ -499,46 +546,42 @@ def put_code(w: Writer, lengths: list[int], size: int) -> None:
         for s in used:
             w.put(s, 8)
         return
-    w.put(0, 1)
-    w.put(15, 4)
-    for k in LENGTH_ORDER:
-        w.put(int(RUN_LENGTHS[k]), 3)
-    w.put(0, 1)
+    value, bits = RUN_HEAD
     at = 0
-    for k in [*used, size]:
-        while at < k:  # zeros
-            run = min(k - at, 138)
-            if run >= 11:
-                w.put(RUN_CODES[18] | (run - 11) << 5, 12)
-            elif run >= 3:
-                w.put(RUN_CODES[17] | (run - 3) << 5, 8)
-            else:
-                run = 1
-                w.put(RUN_CODES[0], 4)
-            at += run
-        if k < size:
-            w.put(RUN_CODES[lengths[k]], 4 if lengths[k] < 14 else 5)
-            at += 1
+    for k in used:
+        if k > at:
+            v, n = zeros(k - at)
+            value |= v << bits
+            bits += n
+        n = lengths[k]
+        value |= RUN_CODES[n] << bits
+        bits += 4 if n < 14 else 5
+        at = k + 1
+    v, n = zeros(size - at)
+    w.put(value | v << bits, bits + n)
+
+
+FIRST, LOW, HALF = np.zeros(1, np.int64), np.uint64((1 << 32) - 1), np.uint64(32)
 
 
 def packed(head: Writer, codes: np.ndarray, lengths: np.ndarray) -> bytes:
-    """The head's bits and then codes of these lengths."""
-    end = head.size + np.cumsum(lengths)
+    """The head's bits and then codes of these lengths, of at most 32 bits each."""
+    end = head.size + lengths.cumsum()
     total = int(end[-1]) if len(end) else head.size
-    out = np.zeros(total // 8 + 8, np.uint8)
-    start = head.value.to_bytes(head.size // 8 + 1, "little")
-    out[: len(start)] |= np.frombuffer(start, np.uint8)
+    out = np.zeros(total // 32 + 3, "<u4")
     if len(end):
         at = end - lengths
-        value = (codes << (at & 7)).astype(np.uint32)
-        byte = at >> 3
-        first = np.flatnonzero(np.diff(byte, prepend=-1))
-        sums, byte = np.add.reduceat(value, first), byte[first]  # no two codes share a bit
-        for k in range(4):
-            out[byte + k] |= ((sums >> np.uint32(8 * k)) & np.uint32(255)).astype(np.uint8)
+        word = at >> 5
+        first = (word[1:] != word[:-1]).nonzero()[0] + 1
+        first = np.concatenate([FIRST, first])
+        sums, word = np.add.reduceat((codes << (at & 31)).astype(np.uint64), first), word[first]  # no two codes share a bit
+        out[word] = sums & LOW
+        out[word + 1] |= (sums >> HALF).astype(np.uint32)
+    start = head.value.to_bytes(head.size // 8 + 1, "little")
+    out = out.view(np.uint8)
+    out[: len(start)] |= np.frombuffer(start, np.uint8)
     return out[: (total + 7) // 8].tobytes()
 
-
 PLACES = np.uint64(2 * REACH - 1)
 
 
@@ -556,29 +599,43 @@ def repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         part = np.ascontiguousarray(samples[begin:end])
         eight = np.ndarray((len(part) - 7,), "<u8", part, 0, (1,)).copy()
         # Places in the order of a hash of their eight bytes, and of the place: a sort of plain numbers.
-        order = (np.sort(mixed(eight) & ~PLACES | np.arange(len(eight), dtype=np.uint64)) & PLACES).astype(np.int64)
-        same = np.flatnonzero(eight[order[1:]] == eight[order[:-1]])
-        back = np.zeros(len(eight), np.int64)  # to the last place with the same eight bytes
-        back[order[same + 1]] = order[same + 1] - order[same]
-        back[: lo - begin] = 0
-        edge = np.flatnonzero(np.diff(back, prepend=0))
-        run = edge[back[edge] > 0]
-        stop = np.append(edge, len(back))[np.searchsorted(edge, run) + 1] + 7  # a run's last eight bytes reach so far
-        parts.append((run + begin, stop + begin, back[run]))
+        order = mixed(eight)
+        order &= ~PLACES
+        order |= np.arange(len(eight), dtype=np.uint64)
+        order.sort()
+        order &= PLACES
+        order = order.astype(np.int64)
+        eight = eight.take(order)
+        same = (eight[1:] == eight[:-1]).nonzero()[0]
+        if not len(same):
+            continue
+        back, later = np.zeros(len(order), np.int64), order[same + 1]  # to the last place with the same eight bytes
+        back[later] = later - order[same]
+        back[: lo - begin] = 0  # the first place has none before it in any case
+        edge = (back[1:] != back[:-1]).nonzero()[0] + 1
+        stop = np.append(edge[1:], len(back)) + 7  # a run's last eight bytes reach so far
+        back = back[edge]
+        run = back.nonzero()[0]
+        parts.append((edge[run] + begin, stop[run] + begin, back[run]))
     if not parts:
         return tuple(np.empty(0, np.int64) for _ in range(3))
-    run, stop, back = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    run = np.maximum(run, np.append(0, np.maximum.accumulate(stop))[:-1])
-    good = stop - run >= SHORTEST
-    return run[good], (stop - run)[good], back[good]
+    run, stop, back = parts[0] if len(parts) == 1 else (np.concatenate([p[k] for p in parts]) for k in range(3))
+    run[1:] = np.maximum(run[1:], np.maximum.accumulate(stop)[:-1])
+    length = stop - run
+    good = (length >= SHORTEST).nonzero()[0]
+    return run[good], length[good], back[good]
 
 
 def prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of values from 1 on: the prefix, how many bits follow it, and these."""
-    prefix = np.searchsorted(LEAST, values, "right") - 1
+    prefix = LEAST.searchsorted(values, "right") - 1
     return prefix, EXTRA[prefix], values - LEAST[prefix]
 
 
+#: Samples up to a back-reference are written as they are, those of it are not.
+PLAIN = np.array([True, False])
+
+
 def put_pixels(w: Writer, samples: np.ndarray, only: tuple[int, int, int] = (0, 0, 255)) -> bytes:
     """An image of green samples, all else being the same in all pixels; closes the stream."""
     w.put(0, 2)  # no cache, one set of codes
@@ -587,30 +644,42 @@ def put_pixels(w: Writer, samples: np.ndarray, only: tuple[int, int, int] = (0,
         split = -(-length // 4096)
         nth = np.arange(split.sum()) - np.repeat(np.cumsum(split) - split, split)
         begin, length, back = np.repeat(begin, split) + 4096 * nth, np.minimum(4096, np.repeat(length, split) - 4096 * nth), np.repeat(back, split)
-    covered = np.cumsum(np.bincount(begin, minlength=len(samples) + 1) - np.bincount(begin + length, minlength=len(samples) + 1))
-    plain = np.flatnonzero(covered[:-1] == 0)
+    if not len(begin):
+        plain = samples.astype(np.int64)
+        lengths = put_counts(w, np.bincount(plain, minlength=LITERALS + LENGTHS).tolist(), LITERALS + LENGTHS)
+        for o in (*only, 0):
+            put_only(w, o)
+        return packed(w, canonical(lengths)[plain], lengths[plain])
+    # Samples between back-references, and how many of them each back-reference has before it.
+    stops = np.empty(2 * len(begin) + 1, np.int64)
+    stops[:-1:2], stops[1::2], stops[-1] = begin, begin + length, len(samples)
+    stops[1:] -= stops[:-1].copy()
+    between = stops[::2]
+    plain = samples[np.resize(PLAIN, len(stops)).repeat(stops)].astype(np.int64)
+    before = between.cumsum()
     p1, e1, x1 = prefixed(length)
     p2, e2, x2 = prefixed(back + len(NEAR))
-    green = np.bincount(samples[plain], minlength=LITERALS + LENGTHS) + np.bincount(LITERALS + p1, minlength=LITERALS + LENGTHS)
-    lengths = [put_counts(w, green.tolist(), LITERALS + LENGTHS)]
+    p1 += LITERALS
+    green = np.bincount(plain, minlength=LITERALS + LENGTHS) + np.bincount(p1, minlength=LITERALS + LENGTHS)
+    near = put_counts(w, green.tolist(), LITERALS + LENGTHS)
     for o in only:
         put_only(w, o)
-    lengths.append(put_counts(w, np.bincount(p2, minlength=40).tolist(), 40) if len(p2) else put_only(w, 0))
-    codes = [canonical(x) if x is not None else None for x in lengths]
+    far = put_counts(w, np.bincount(p2, minlength=40).tolist(), 40)
+    near_code, far_code = canonical(near), canonical(far)
     # Fields in the order of the stream: a plain sample has one, a back-reference four.
-    at = np.arange(len(plain)) + 4 * np.searchsorted(begin, plain)
+    at = np.arange(len(plain)) + np.arange(0, 4 * len(between), 4).repeat(between)
     code, size = np.empty(len(plain) + 4 * len(begin), np.int64), np.empty(len(plain) + 4 * len(begin), np.int64)
-    code[at], size[at] = codes[0][samples[plain]], lengths[0][samples[plain]]
-    if len(begin):
-        at = 4 * np.arange(len(begin)) + np.searchsorted(plain, begin)
-        for k, (c, n) in enumerate(((codes[0][LITERALS + p1], lengths[0][LITERALS + p1]), (x1, e1), (codes[1][p2], lengths[1][p2]), (x2, e2))):
-            code[at + k], size[at + k] = c, n
+    code[at], size[at] = near_code[plain], near[plain]
+    at = np.arange(0, 4 * len(begin), 4) + before[:-1]
+    for c, n in ((near_code[p1], near[p1]), (x1, e1), (far_code[p2], far[p2]), (x2, e2)):
+        code[at], size[at] = c, n
+        at += 1
     return packed(w, code, size)
 
 
 def put_counts(w: Writer, counts: list[int], size: int) -> np.ndarray:
     """Writes the code for these counts; its lengths, 0 for an only symbol."""
-    several = sum(n > 0 for n in counts) > 1
+    several = len(counts) - counts.count(0) > 1
     lengths = code_lengths(counts) if several else [int(n > 0) for n in counts]
     put_code(w, lengths, size)
     return np.array(lengths, np.int64) if several else np.zeros(len(counts), np.int64)
@@ -666,7 +735,7 @@ def store(payload: bytes) -> bytes:
         some = data[lo : lo + most]
         width = WIDTH * max(1, -(-len(some) // (WIDTH * MOST_ROWS)))
         rows = -(-len(some) // width)
-        parts.append((b"VP8L", encode_image(np.pad(some, (0, rows * width - len(some))), width)))
+        parts.append((b"VP8L", encode_image(np.pad(some, (0, rows * width - len(some))) if rows * width > len(some) else some, width)))
         sides = max(sides[0], width), max(sides[1], rows)
         if rows * width > len(some) or len(parts) > 1:
             told = struct.pack("<Q", len(data))
@@ -683,19 +752,30 @@ def load(media: bytes) -> list[np.ndarray]:
 
 def restore(media: bytes) -> np.ndarray:
     """The payload that was stored."""
-    told = [struct.unpack("<Q", c)[0] for k, c in chunks(media) if k == b"SIZE"]
-    samples = np.concatenate([((image >> 8) & 255).astype(np.uint8).reshape(-1) for image in load(media)])
+    told, images = [], []
+    for k, c in chunks(media):
+        if k == b"VP8L":
+            images.append(decode_image(c).reshape(-1).astype("<i8", copy=False).view(np.uint8)[1::8])  # the second byte of a number is the green one
+        elif k == b"SIZE":
+            told.append(struct.unpack("<Q", c)[0])
+    samples = np.ascontiguousarray(images[0]) if len(images) == 1 else np.concatenate(images)
     return samples[: told[0]] if told else samples
 
 
+VALUES = np.arange(256)
+SQUARES = VALUES * VALUES
+
+
 def feature_of(grey: np.ndarray) -> str:
-    """A hash of which of 8 x 8 areas are lighter than the mean, the mean and the deviation."""
+    """A hash of which of 8 x 8 areas are lighter than the mean, the mean and the deviation; sums are whole numbers, thus exact."""
     height, width = grey.shape
-    grey = grey.astype(np.float64)
-    rows = np.vstack([grey[k * height // 8 : max(k * height // 8 + 1, (k + 1) * height // 8)].mean(0) for k in range(8)])
-    cells = rows.reshape(8, 8, width // 8).mean(2)
-    bits = np.packbits((cells > grey.mean()).reshape(-1)).tobytes().hex()
-    return f"{bits}:{grey.mean():.4f}:{grey.std():.4f}"
+    first = [k * height // 8 for k in range(8)]
+    rows = [max(1, b - a) for a, b in zip(first, [*first[1:], height], strict=True)]
+    cells = np.add.reduceat(grey, first, 0, np.int64).reshape(8, 8, width // 8).sum(2)  # of a first row that is the next one's too: the row itself
+    counts = np.bincount(grey.reshape(-1), minlength=256)
+    n, total, squares = height * width, int(counts @ VALUES), int(counts @ SQUARES)
+    bits = np.packbits(cells / (np.array(rows)[:, None] * (width // 8)) > total / n).tobytes().hex()
+    return f"{bits}:{total / n:.4f}:{math.sqrt(n * squares - total * total) / n:.4f}"
 
 
 def round_trip(docs: DataFrame, media: bool = False) -> DataFrame:
