@@ -33,13 +33,14 @@ def located(df: DataFrame, km: float) -> DataFrame:
     return rows.withColumn("c", column(lon, F.col("b"), km)).withColumn("u", within(lat / F.lit(km / DEGREE_KM) - F.col("b"))).withColumn("v", within((lon + 180) * n / 360 - F.floor((lon + 180) * n / 360)))
 
 
-def squares(points: DataFrame, asking: DataFrame, keys: list[str], km: float) -> tuple[DataFrame, DataFrame]:
-    """points and asking with `square` (a number) and the cell b, c; only rows with coordinates. Both are read several times, so they should be written."""
-    points, asking = located(points, km), located(asking, km)
+def squares(points: DataFrame, asking: DataFrame | None, keys: list[str], km: float, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """points and asking with `square` (a number) and the cell b, c; only rows with coordinates. Both are read several times, so they should be written. most: other than SQUARE."""
+    most = SQUARE if most is None else most
+    points, asking = located(points, km), None if asking is None else located(asking, km)
     places = points.groupBy(*keys, "b", "c", "u", "v").agg(F.count("*").alias("n"))
     at = lambda c, depth: F.expr(f"shiftright({c}, {LAST} - {depth})")
     nodes = places.select(*keys, "b", "c", "u", "v", "n", F.explode(F.sequence(F.lit(0), F.lit(LAST), F.lit(STEP))).alias("depth"))
-    full = nodes.groupBy(*keys, "b", "c", "depth", at("u", "depth").alias("su"), at("v", "depth").alias("sv")).agg(F.sum("n").alias("n")).where(F.col("n") > SQUARE)
+    full = nodes.groupBy(*keys, "b", "c", "depth", at("u", "depth").alias("su"), at("v", "depth").alias("sv")).agg(F.sum("n").alias("n")).where(F.col("n") > most)
     deepest = full.agg(F.max("depth")).first()[0]
     if deepest is not None:
         full = kept(full)
@@ -50,12 +51,12 @@ def squares(points: DataFrame, asking: DataFrame, keys: list[str], km: float) ->
             here = full.where(F.col("depth") == depth).select(*keys, "b", "c", "su", "sv", F.lit(depth + STEP).alias("_next"))
             out = out.withColumn("su", at("u", depth)).withColumn("sv", at("v", depth)).join(here, [*keys, "b", "c", "su", "sv"], "left").withColumn("depth", F.coalesce("_next", "depth")).drop("_next", "su", "sv")
         if split and deepest == LAST:  # the finest squares can't be cut
-            here = full.where(F.col("depth") == LAST).select(*keys, "b", "c", F.col("su").alias("u"), F.col("sv").alias("v"), F.ceil(F.col("n") / SQUARE).alias("_parts"))
+            here = full.where(F.col("depth") == LAST).select(*keys, "b", "c", F.col("su").alias("u"), F.col("sv").alias("v"), F.ceil(F.col("n") / most).alias("_parts"))
             out = out.join(here, [*keys, "b", "c", "u", "v"], "left").withColumn("part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("id"), "_parts")).otherwise(F.lit(0))).drop("_parts")
         return out.withColumn("square", F.xxhash64(*keys, "b", "c", "depth", at("u", "depth"), at("v", "depth"), "part")).drop("u", "v", "depth", "part")
 
     whole = (lambda df: df) if deepest is None else kept
-    return whole(placed(points, True)), whole(placed(asking, False))
+    return whole(placed(points, True)), None if asking is None else whole(placed(asking, False))
 
 
 def boxes(df: DataFrame, keys: list[str], name: str, totals: dict[str, Column]) -> DataFrame:

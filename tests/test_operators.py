@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,46 @@ def test_counts_and_ratios_of_pairs_equal_slow_versions(spark, monkeypatch, squa
     assert audit.price_ratio_distribution(df.where("price is null")).count() == 0
 
 
+def test_pairs_in_small_parts_and_many_passes_equal_slow_versions(spark, monkeypatch):
+    """Parts of a few points, circles that cut tiles, bounds that are narrowed pass by pass, and ratios that very many pairs share."""
+    for name, n in (("GROUP", 30), ("CHUNK", 25), ("TILE", 4), ("CELL", 3), ("WIDE", 7), ("LISTED", 40), ("FEW", 0), ("DRAWN", 4000), ("STEPS", 5)):
+        monkeypatch.setattr(pairs, name, n)
+    monkeypatch.setattr(blocks, "SQUARE", 10)
+    rows = [(i, 9, "Rent", lat, lon, float(1 + i % 5) ** 2 if i % 3 else 2.0 + i / 7) for i, _, _, lat, lon in scattered(260, 5)]
+    df = spark.createDataFrame(rows, "spot_id long, sector_id int, intention string, latitude double, longitude double, price double")
+    near = [(a, b, slow_km(a[3:5], b[3:5], 6371.0)) for a in rows for b in rows if a[0] != b[0] and None not in (a[3], b[3])]
+    got = {r.spot_id: (r.within_5, r.within_10, r.within_15) for r in audit.neighbor_density(df).collect()}
+    assert got == {r[0]: tuple(sum(a[0] == r[0] and km <= d for a, _, km in near) for d in (5, 10, 15)) for r in rows if r[3] is not None}
+    ratios = np.array([b[5] / a[5] for a, b, km in near if km <= 10])
+    out = audit.price_ratio_distribution(df).first()
+    assert out.n_pairs == len(ratios) and out.pct_outside == pytest.approx(100 * ((ratios < 0.5) | (ratios > 2)).mean())
+    assert list(out)[2:9] == pytest.approx(list(np.quantile(ratios, audit.RATIO_QUANTILES)), rel=1e-12)
+
+
+def test_few_copies_of_a_point_are_made_for_counts(spark, monkeypatch):
+    """6,000 points on a few km: at most one block for each cell near one, not one for each 256 rows that ask; a part has a bounded number of points."""
+    made, rng = [], np.random.default_rng(3)
+    apply = blocks.Blocks.apply
+    monkeypatch.setattr(blocks.Blocks, "apply", lambda self, *a: made.append(self) or apply(self, *a))
+    rows = [(i, 9, "Rent", 19.0 + float(y) * 0.2, -99.0 + float(x) * 0.2, 1.0) for i, (y, x) in enumerate(rng.random((6000, 2)))]
+    df = spark.createDataFrame(rows, "spot_id long, sector_id int, intention string, latitude double, longitude double, price double")
+    for chunk in (pairs.CHUNK, 2000):
+        monkeypatch.setattr(pairs, "CHUNK", chunk)
+        assert audit.neighbor_density(df).count() == 6000
+        sizes = [r["count"] for r in made[-1].points.groupBy("block", "part").count().collect()]
+        assert sum(sizes) <= 9 * 6000 and max(sizes) <= chunk + blocks.SQUARE
+
+
+def test_chords_leave_the_limit_to_distances():
+    """Points just within, at and beyond the radius."""
+    south = pd.DataFrame({"latitude": [19.0], "longitude": [-99.0]})
+    at = pairs.Place(south)
+    north = pd.DataFrame({"latitude": 19 + np.degrees(10 / 6371.0) * (1 + np.arange(-50, 51) * 1e-14), "longitude": -99.0})
+    points = pairs.Place(north, at.middle)
+    want = [pairs.distances_of(19.0, -99.0, y, -99.0, 6371.0) <= 10 for y in north["latitude"]]
+    assert pairs.hits(at, np.array([0]), points, np.arange(101), 10.0, 6371.0)[0].tolist() == want and 0 < sum(want) < 101
+
+
 def test_ranking_metrics(spark):
     j = spark.createDataFrame([(7, 1, 3), (7, 2, 2), (7, 3, 1), (7, 9, 0), (8, 1, 0)], "spot_id long, recommended_spot_id long, relevance int")
     r = spark.createDataFrame([(7, 1, 1), (7, 5, 2), (7, 3, 3)], "spot_id long, recommended_spot_id long, rank int")
