@@ -76,6 +76,33 @@ def scored_pairs(clicks: DataFrame, spots: DataFrame, p: Params = Params()) -> D
     return answers(clicks, spots, p, run, "click_id long, spot_id long, km double, radius_km double, similarity double, price_factor double, score double, cluster_id int")
 
 
+def priced_pairs(clicks: DataFrame, spots: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
+    """click_id, spot_id, price_factor (as price_factors() has it) of all candidates of the clicks. Prices meet in the block, so no pair is shuffled.
+
+    clicks and spots: spot_id, sector_id, modality_mask, latitude, longitude and prices; spots with is_candidate.
+    """
+    # Which prices count; a block can't tell null from NaN.
+    told = lambda bit, c: F.when(F.col(c).isNotNull() & (F.col(c) != 0), F.col("modality_mask").bitwiseAND(F.lit(bit))).otherwise(0)
+    marked = lambda df: df.withColumn("priced", told(1, PRICES[0]) + told(2, PRICES[1]))
+    kept = ["priced", *PRICES]
+
+    def run(asking: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("id", ignore_index=True)
+        found = [(i, at) for i, at, _, _ in nearest(asking, points, p)] if len(points) else []
+        a, b = joined([np.full(len(at), i) for i, at in found], np.int64), joined([at for _, at in found], np.int64)
+        both = asking["priced"].to_numpy(np.int64)[a] & points["priced"].to_numpy(np.int64)[b]
+        total, n = np.zeros(len(a)), np.zeros(len(a))
+        for bit, c in ((1, PRICES[0]), (2, PRICES[1])):
+            some = np.flatnonzero(both & bit)
+            with np.errstate(over="ignore", invalid="ignore"):
+                ratio = points[c].to_numpy(float)[b[some]] / asking[c].to_numpy(float)[a[some]]
+            total[some] += np.where(np.isnan(ratio), p.low, np.interp(ratio, [0.5, 1.0, 2.0], [p.high, 1.0, p.low]))  # NaN is the greatest
+            n[some] += 1
+        return pd.DataFrame({"click_id": asking["id"].to_numpy()[a], "spot_id": points["id"].to_numpy()[b], "price_factor": np.where(n > 0, total / np.maximum(n, 1), 1.0)})
+
+    return candidate_blocks(marked(clicks), marked(spots), p, kept, kept).apply(run, "click_id long, spot_id long, price_factor double")
+
+
 def factors(asking: pd.DataFrame, points: pd.DataFrame, a: np.ndarray, b: np.ndarray, p: Params) -> np.ndarray:
     """price_factors() of the pairs of places a and b."""
     total, n = np.zeros(len(a)), np.zeros(len(a))

@@ -115,6 +115,21 @@ def test_blocks_are_small_and_change_nothing(spark, monkeypatch):
         assert score == pytest.approx(min(1, max(0, sim)) * f)
 
 
+def test_factors_of_pairs_shuffle_no_pair(spark):
+    """Against price_factors() by column, with prices that are null, 0, NaN and infinite; after the blocks the plan has neither join nor exchange."""
+    prices = [None, 0.0, float("nan"), float("inf"), 10.0, 15.0, 40.0, 1e-300]
+    rows = [(i, 9, 1 + i % 3, 19.0, -99.0 + i / 1000, None, None, prices[i % 8], prices[i // 8 % 8], True, None) for i in range(64)]
+    s = spark.createDataFrame(rows, SPOT)
+    out = cascade.priced_pairs(s, s)
+    columns = ["modality_mask", "rent_price_sqm", "sale_price_sqm"]
+    a, b = (s.select(F.col("spot_id").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in columns]) for n in ("click_id", "spot_id"))
+    want = radius.widening_candidates(s, s).join(a, "click_id").join(b, "spot_id").select("click_id", "spot_id", price_factors(*[F.col(f"{c}_{n}") for n in ("click_id", "spot_id") for c in columns]).alias("f"))
+    got = {r[:2]: r[2] for r in values(out, "click_id", "spot_id", "price_factor")}
+    assert got == {r[:2]: pytest.approx(r[2]) for r in values(want, "click_id", "spot_id", "f")} and len(got) > 2000
+    plan = registry.QUERIES["price_factors"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan[: plan.index("FlatMapCoGroups")] for x in ("Join", "Exchange"))
+
+
 def slow_km(a, b, earth=geo.EARTH_KM):
     p, q = math.radians(a[0]), math.radians(b[0])
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
