@@ -498,30 +498,54 @@ def score_models(candidates: DataFrame, models: dict[int, Model]) -> DataFrame:
     return candidates.sparkSession.createDataFrame(rows, "sector_id int, silhouette double, n long")
 
 
+#: Rows of a group that silhouette_exact() sends at most, and numbers in their vectors; groups that it makes of a small table, so that there is a task for each core.
+GROUP_ROWS, GROUP_NUMBERS, FEWEST_GROUPS = 1 << 14, 1 << 22, 8
+
+
+def met_groups(rows: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt into groups, and copied to each pair (lo, hi) of groups that their own is in: as lo on the left, as hi > lo on the right."""
+    dealt = rows.withColumn("_group", F.pmod(F.xxhash64("spot_id"), F.lit(groups)).cast("int"))
+    left = dealt.select("*", F.col("_group").alias("lo"), F.explode(F.sequence("_group", F.lit(groups - 1))).alias("hi")).drop("_group")
+    right = dealt.where("_group > 0").select(*[F.col(c).alias(c) for c in rows.columns], F.explode(F.sequence(F.lit(0), F.col("_group") - 1)).alias("lo"), F.col("_group").alias("hi"))
+    return left, right
+
+
 def silhouette_exact(df: DataFrame, column: str, block: int = BLOCK) -> DataFrame:
-    """spot_id, silhouette by Euclidean distance, as defined: O(n ** 2) distances, but blocks of rows against blocks, and no pair is a row.
+    """spot_id, silhouette by Euclidean distance, as defined: O(n ** 2) distances, each computed once, and no pair is a row.
 
-    Each row is summed against each block by cluster, so a task holds two blocks. A row alone in its cluster has 0.
+    Groups of rows meet in pairs, so a task holds two groups and the distances of `block` rows; a row is copied once for each group. Each row is summed against
+    each group by cluster. A row alone in its cluster has 0, and so has one without a cluster, which counts for no other.
     """
-    rows = df.where(F.col(column).isNotNull()).select("spot_id", "cluster_id", F.transform(column, lambda x: x.cast("double")).alias("v"))
-    blocks = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("spot_id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = dealt.select("*", F.explode(every).alias("other"))
-    right = dealt.select(*[F.col(c).alias(c) for c in ("spot_id", "cluster_id", "v")], F.col("block").alias("other"), F.explode(every).alias("block"))
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    rows = df.where(F.col(column).isNotNull()).select("spot_id", F.col("cluster_id").cast("long").alias("cluster_id"), F.col(column).alias("v"))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    groups = max(1, -(-n // max(1, min(GROUP_ROWS, GROUP_NUMBERS // max(1, size)))), min(FEWEST_GROUPS, -(-n // block)))
+    left, right = met_groups(rows, groups)
+
+    def sums(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        alone = key[0] == key[1]
+        b = a if alone else b
         if not len(a) or not len(b):
-            return pd.DataFrame({"spot_id": [], "own": [], "cluster_id": [], "total": [], "n": []}).astype({"spot_id": "int64", "own": "int64", "cluster_id": "int64", "n": "int64"})
-        x, y = np.stack(a["v"]), np.stack(b["v"])
-        far = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-        far[a["spot_id"].to_numpy()[:, None] == b["spot_id"].to_numpy()[None]] = 0
-        names, of = np.unique(b["cluster_id"], return_inverse=True)
-        total = far @ np.eye(len(names))[of]
-        return pd.DataFrame({"spot_id": np.repeat(a["spot_id"], len(names)), "own": np.repeat(a["cluster_id"], len(names)), "cluster_id": np.tile(names, len(a)), "total": total.reshape(-1), "n": np.tile(np.bincount(of), len(a))})
-
-    met = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(sums, "spot_id long, own long, cluster_id long, total double, n long")
-    by = met.groupBy("spot_id", "own", "cluster_id").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+            return pd.DataFrame({c: [] for c in ("spot_id", "own", "cluster_id", "total")})
+        x, y = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float)
+        xx, yy = (x * x).sum(1), (y * y).sum(1)
+        sides = [(rows["spot_id"].to_numpy(), rows["cluster_id"].astype("Int64"), *pd.factorize(rows["cluster_id"])) for rows in (a, b)]
+        marks = [np.eye(len(names) + 1)[of][:, : len(names)] for _, _, of, names in sides]  # none: the last one, which goes
+        totals = [np.zeros((len(a), marks[1].shape[1])), np.zeros((len(b), marks[0].shape[1]))]
+        for lo in range(0, len(a), block):
+            some = slice(lo, lo + block)
+            far = np.sqrt(np.maximum(xx[some, None] + yy[None] - 2 * x[some] @ y.T, 0))
+            if alone:
+                far[sides[0][0][some, None] == sides[1][0][None]] = 0
+            else:
+                totals[1] += far.T @ marks[0][some]
+            totals[0][some] = far @ marks[1]
+        out = [(sides[0], sides[1][3], totals[0])] + ([] if alone else [(sides[1], sides[0][3], totals[1])])
+        return pd.concat([pd.DataFrame({"spot_id": np.repeat(ids, len(names)), "own": own.repeat(len(names)).to_numpy(), "cluster_id": np.tile(np.asarray(names), len(ids)).astype(np.int64), "total": total.reshape(-1)}) for (ids, own, _, _), names, total in out])
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_pair = lambda side: side.repartition(parts, "lo", "hi").groupBy("lo", "hi")
+    met = by_pair(left).cogroup(by_pair(right)).applyInPandas(sums, "spot_id long, own long, cluster_id long, total double")
+    by = met.groupBy("spot_id", "own", "cluster_id").agg(F.sum("total").alias("total")).join(rows.groupBy("cluster_id").agg(F.count("*").alias("n")), "cluster_id")
     same = F.col("own") == F.col("cluster_id")
     one = by.groupBy("spot_id").agg(F.max(F.when(same, F.col("total") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"), F.min(F.when(~same, F.col("total") / F.col("n"))).alias("b"))
     return one.select("spot_id", F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("silhouette"))

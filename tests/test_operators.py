@@ -471,6 +471,25 @@ def test_silhouettes_equal_a_slow_version(spark):
     assert cluster.silhouettes(cluster.prepared(df, None, "v"), [model]) == [pytest.approx(want)]
 
 
+def test_exact_silhouettes_of_groups_equal_a_slow_version(spark, monkeypatch):
+    """Rows are copied once for each group, and distances computed a few rows at a time; rows alone in a cluster and without one."""
+    monkeypatch.setattr(cluster, "GROUP_ROWS", 30)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(110, 3)).astype(np.float32) + 20
+    of = [None if i % 19 == 0 else 7 if i == 1 else i % 3 for i in range(110)]
+    df = spark.createDataFrame([(i, k, v.tolist()) for i, (v, k) in enumerate(zip(x, of, strict=True))], "spot_id long, cluster_id int, v array<float>")
+    left, right = cluster.met_groups(df, 4)
+    assert left.count() + right.count() == 110 * 4
+    far = np.sqrt(((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2))
+    means = [{k: np.mean([far[i, j] for j in range(110) if j != i and of[j] == k] or [np.nan]) for k in (0, 1, 2, 7)} for i in range(110)]
+    want = {}
+    for i, k in enumerate(of):
+        a, b = means[i].get(k, np.nan), min((m for c, m in means[i].items() if c != k), default=np.nan)
+        want[i] = 0.0 if np.isnan(a) else (b - a) / max(a, b)
+    for block in (7, 1024):
+        assert dict(values(cluster.silhouette_exact(df, "v", block), "spot_id", "silhouette")) == pytest.approx(want, abs=1e-9)
+
+
 def test_pca_equals_numpy(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 6)) + rng.normal(0, 0.05, (60, 6)) + 2
